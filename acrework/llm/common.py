@@ -78,3 +78,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(32)
     return x
+
+
+def free_finished(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished steps now, not when the driver next happens to collect garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from acrework.llm.byte_bpe import op8_byte_bpe
+from acrework.llm.suffix_dedup import op9_suffix_dedup
 from acrework.llm.token_files import op7_token_files
 
 QUERIES = {
     "op7_token_files": op7_token_files,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 #: None of these has its exact meaning in SQL; tests compare them with brute force, round trips or held-out rows.
