@@ -82,7 +82,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each written partition
     base = totals.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-    placed = files.join(base, "part").select((F.col("base") + F.col("ids_before")).alias("start"), "doc_ids", "lengths", "payload")
+    # at most one row for each range partition that was written (spark.sql.shuffle.partitions), so small at any input
+    placed = files.join(F.broadcast(base), "part").select((F.col("base") + F.col("ids_before")).alias("start"), "doc_ids", "lengths", "payload")
     return placed.mapInArrow(_documents, RESULT)
 
 
