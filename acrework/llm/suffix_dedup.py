@@ -3,7 +3,7 @@
 Suffixes are ordered only through the threshold (100 bytes), most significant digit first, and a group of one leaves
 the sort at once.  The digits are taken so that each pass shuffles little:
 
-1. *First digit*: of all 100-byte windows that share their least 48-byte hash and lie side by side, one row goes out
+1. *First digit*: of all 100-byte windows that share the place of their least 48-byte hash, one row goes out
    (a run).  A window that occurs twice has the same least hash both times, so a digit seen once ends its whole run.
 2. *Run digit*: runs that are equal byte for byte (all their windows) form a group; all but its first are repeats.
 3. *Last digit*: of runs still alone in a shared first digit, every window goes out with the hash of its 100 bytes;
@@ -48,7 +48,9 @@ class Runs:
             return
         has = np.flatnonzero(windows)
         before = np.cumsum(windows[has]) - windows[has]
-        least = sliding_min(self.prefix.windows(digit), threshold - digit + 1)
+        hashes = self.prefix.windows(digit)
+        low = np.uint64((1 << len(hashes).bit_length()) - 1)  # low bits hold the place: of equal hashes the leftmost counts
+        least = sliding_min((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), threshold - digit + 1)
         at = np.arange(total) + np.repeat(offsets[:-1][has] - before, windows[has])
         value = least[at]
         head = np.ones(total, bool)
@@ -56,7 +58,7 @@ class Runs:
         head[before] = True
         first = np.flatnonzero(head)
         self.size = np.diff(first, append=total)
-        self.start, self.digit = at[first], value[first]
+        self.start, self.digit = at[first], hashes[(value[first] & low).astype(np.int64)]
         self.doc = np.repeat(has, np.diff(np.searchsorted(first, np.append(before, total))))
         self.content = self.prefix.ranges(self.start, self.start + self.size - 1 + threshold)
 
