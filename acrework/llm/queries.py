@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from acrework.llm.byte_bpe import op8_byte_bpe
+from acrework.llm.language_id import op3_language_id
+from acrework.llm.quality_rules import op10_quality_rules
+from acrework.llm.secrets import op2_secret_scan
 from acrework.llm.suffix_dedup import op9_suffix_dedup
 from acrework.llm.token_files import op7_token_files
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
+    "op3_language_id": op3_language_id,
     "op7_token_files": op7_token_files,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 #: None of these has its exact meaning in SQL; tests compare them with brute force, round trips or held-out rows.
