@@ -34,7 +34,7 @@ INNER_SHARE = 0.75
 STEPS = 4
 REJECT_P = 0.9999
 #: Added variances: differences of this size (square root) in a statistic are ordinary anywhere.
-FLOOR = (0.35**2, 0.06**2, 0.05**2, 0.10**2, 0.12**2)
+FLOOR = (0.35**2, 0.06**2, 0.05**2, 0.20**2, 0.20**2)
 DIMS = len(FLOOR)
 #: Bins of log2 of the squared distance: from 2**-20 upward, 64 to each doubling.
 BIN_LOW, BIN_PER_OCTAVE = -20, 64
