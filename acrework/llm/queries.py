@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from acrework.llm.byte_bpe import op8_byte_bpe
 from acrework.llm.language_id import op3_language_id
+from acrework.llm.near_dedup import op4_near_dedup
 from acrework.llm.quality_rules import op10_quality_rules
 from acrework.llm.secrets import op2_secret_scan
 from acrework.llm.suffix_dedup import op9_suffix_dedup
 from acrework.llm.token_files import op7_token_files
+from acrework.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
     "op3_language_id": op3_language_id,
+    "op4_near_dedup": op4_near_dedup,
     "op7_token_files": op7_token_files,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
