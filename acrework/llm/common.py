@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,8 +79,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def free_finished(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished steps now, not when the driver next happens to collect garbage."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete shuffle files of finished steps now, not when the driver next happens to collect garbage.
+
+    Handles are released by the cleaner's thread after a collection, and what they held only by the next one.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)

@@ -6,7 +6,7 @@ the sort at once.  The digits are taken so that each pass shuffles little:
 1. *First digit*: of all 100-byte windows that share the place of their least 48-byte hash, one row goes out
    (a run).  A window that occurs twice has the same least hash both times, so a digit seen once ends its whole run.
 2. *Run digit*: runs that are equal byte for byte (all their windows) form a group; all but its first are repeats.
-3. *Last digit*: of runs still alone in a shared first digit, every window goes out with the hash of its 100 bytes;
+3. *Last digit*: of the first runs of groups whose first digit has other groups too, every window goes out with the hash of its 100 bytes;
    equal groups are exactly the repeated windows.
 
 Repeats inside one document are found while its text is at hand.  Counts are aggregated before they are shuffled and
@@ -194,20 +194,15 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     docs = _identified(docs)
     texts = docs.select("uid", "text")
     runs = texts.mapInArrow(lambda it: _run_rows(it, threshold), "digit bigint, content int, uid bigint, start int, size int")
-    digits = (
-        runs.groupBy("digit")
-        .agg(F.count("uid").alias("n"), F.min("uid").alias("first"), F.min("content").alias("low"), F.max("content").alias("high"))
-        .filter("n > 1")
-        .select("digit", "first", (F.col("low") == F.col("high")).alias("alike"))
-    )
-    shared = materialise(runs.join(digits, "digit"), "shared-runs")
+    shared_digits = runs.groupBy("digit").count().filter("count > 1").select("digit")
+    shared = materialise(runs.join(shared_digits, "digit"), "shared-runs")
     free_finished(spark)
-    repeats = shared.filter("alike AND uid > first").select("uid", "start", "size")
-    mixed = shared.filter("NOT alike").drop("alike", "first")
-    firsts = mixed.groupBy("digit", "content").agg(F.min("uid").alias("first"))
-    mixed = materialise(mixed.join(firsts, ["digit", "content"]), "mixed-runs")
-    repeats = repeats.unionByName(mixed.filter("uid > first").select("uid", "start", "size"))
-    alone = mixed.filter("uid = first").groupBy("uid").agg(F.collect_list(F.struct("digit", "start", "size")).alias("runs"))  # a document's own runs
+    firsts = shared.groupBy("digit", "content").agg(F.min("uid").alias("first"))
+    variants = firsts.groupBy("digit").agg((F.count("first") > 1).alias("mixed"))
+    placed = shared.join(firsts, ["digit", "content"]).filter("uid >= first")
+    repeats = materialise(placed.filter("uid > first").select("uid", "start", "size"), "repeated-runs")
+    mixed = placed.filter("uid = first").join(variants.filter("mixed"), "digit")
+    alone = mixed.groupBy("uid").agg(F.collect_list(F.struct("digit", "start", "size")).alias("runs"))  # a document's own runs
     windows = materialise(texts.join(alone, "uid").mapInArrow(lambda it: _window_rows(it, threshold), "digit bigint, value bigint, uid bigint, start int"), "windows")
     free_finished(spark)
     equal = windows.groupBy("digit", "value").agg(F.count("uid").alias("n"), F.min("uid").alias("first")).filter("n > 1").drop("n")
