@@ -5,6 +5,7 @@ from __future__ import annotations
 from acrework.llm.byte_bpe import op8_byte_bpe
 from acrework.llm.language_id import op3_language_id
 from acrework.llm.near_dedup import op4_near_dedup
+from acrework.llm.neighbours import op5_nearest_neighbours
 from acrework.llm.packing import op6_packing
 from acrework.llm.quality_rules import op10_quality_rules
 from acrework.llm.secrets import op2_secret_scan
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_language_id": op3_language_id,
     "op4_near_dedup": op4_near_dedup,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_packing": op6_packing,
     "op7_token_files": op7_token_files,
     "op8_byte_bpe": op8_byte_bpe,

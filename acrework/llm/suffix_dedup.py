@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from acrework.llm.common import documents, free_finished, materialise, text_slices, utf8
 from acrework.llm.rolling import Prefix, sliding_min
@@ -142,7 +143,7 @@ def _cover(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _remove(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], threshold: int, as_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches, "text"):
         data, offsets = utf8(batch.column("text"))
         inside = Runs(data, offsets, threshold).repeated_inside()
@@ -161,37 +162,39 @@ def _remove(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Re
             edge[first] = gone[first]
         n_gone, n_edge = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(edge))
         kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
-        yield pa.record_batch(
-            [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(np.diff(n_gone[offsets])), pa.array(np.diff(n_edge[offsets])), pa.array(kept, pa.binary())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_bytes"],
-        )
+        result = [pa.array(np.diff(offsets)), pa.array(np.diff(n_gone[offsets])), pa.array(np.diff(n_edge[offsets]))]
+        result.append(pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()))
+        carried = [c for c in batch.schema.names if c not in ("text", "spans")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *result], [*carried, "n_bytes", "n_removed", "n_spans", "kept_bytes"])
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a unique uid in the order of the contract: doc_id itself where it is unique and never null."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    repeated = docs.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull()).limit(1).count()
+def _identified(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The kept columns, text and a unique uid in the order of the contract: doc_id where it is unique and never null."""
+    docs = docs.select(*(docs[c] for c in keep), docs["text"].cast("string").alias("text"), docs["doc_id"].cast("long").alias("uid"))
+    repeated = docs.groupBy("uid").count().filter((F.col("count") > 1) | F.col("uid").isNull()).limit(1).count()
     if not repeated:
-        return docs.withColumn("uid", F.col("doc_id"))
-    ordered = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+        return docs
+    ordered = docs.repartitionByRange("uid", F.xxhash64("text")).sortWithinPartitions("uid", F.xxhash64("text"))
+    place = ordered.columns.index("uid")
 
     def number(batches):
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            uid = (np.int64(part) << 40) + n + np.arange(batch.num_rows)
+            uid = pa.array((np.int64(part) << 40) + n + np.arange(batch.num_rows))
             n += batch.num_rows
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array(uid)], ["doc_id", "text", "uid"])
+            yield batch.set_column(place, "uid", uid)
 
-    return materialise(ordered.mapInArrow(number, "doc_id bigint, text string, uid bigint"), "numbered")
+    return materialise(ordered.mapInArrow(number, ordered.schema), "numbered")
 
 
-def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, keep: tuple[str, ...] = ("doc_id",), as_text: bool = False) -> DataFrame:
     """Remove each byte covered by a passage of ``threshold`` bytes that also starts earlier in the corpus.
 
-    Returns doc_id, n_bytes, n_removed, n_spans and kept_bytes (the remaining bytes, which need not be valid UTF-8).
+    Returns the ``keep`` columns, n_bytes, n_removed, n_spans and kept_bytes (the remaining bytes, which need not be
+    valid UTF-8), or kept_text (without parts of characters that a cut left).
     """
     spark = docs.sparkSession
-    docs = _identified(docs)
+    docs = _identified(docs, keep)
     texts = docs.select("uid", "text")
     runs = texts.mapInArrow(lambda it: _run_rows(it, threshold), "digit bigint, content int, uid bigint, start int, size int")
     shared_digits = runs.groupBy("digit").count().filter("count > 1").select("digit")
@@ -210,7 +213,11 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     spans = repeats.unionByName(_side_by_side(later)).groupBy("uid").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     spans = materialise(spans, "repeat-spans")
     free_finished(spark)
-    return docs.join(spans, "uid", "left").select("doc_id", "text", "spans").mapInArrow(lambda it: _remove(it, threshold), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_bytes binary")
+    cut = docs.join(spans, "uid", "left").select(*keep, "text", "spans")
+    kept = StructField("kept_bytes", StringType() if as_text else BinaryType())
+    schema = StructType([*(cut.schema[c] for c in keep), *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), kept])
+    out = cut.mapInArrow(lambda it: _remove(it, threshold, as_text), schema)
+    return out.withColumnRenamed("kept_bytes", "kept_text") if as_text else out
 
 
 def _side_by_side(windows: DataFrame) -> DataFrame:

@@ -1,18 +1,98 @@
-"""Corpus pipeline over ``documents``: five stages, each working on what its predecessor kept."""
+"""Corpus pipeline over ``documents``: five stages, each working on all that its predecessor kept.
+
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from acrework.llm.common import materialise
+from acrework.llm.language_id import UNKNOWN, predict_languages, train
+from acrework.llm.near_dedup import near_duplicate_components
+from acrework.llm.packing import pack_documents
+from acrework.llm.secrets import find_secrets
+from acrework.llm.suffix_dedup import remove_repeats
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Calibrated probability of the predicted language below which a document goes.
+LEAST_SCORE = 0.5
+MARK = "[redacted]"
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or whose language stays uncertain, go."""
+    scored = predict_languages(docs, train(docs), keep=COLUMNS)
+    return scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component stays, that of the least id.
+
+    Rows with a null id stay; of rows that share an id, one stays.
+    """
+    kept = near_duplicate_components(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    stay = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        stay = stay.dropDuplicates(["doc_id"])
+    return stay.unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages of 100 bytes and more are cut out; a document of which nothing is left goes."""
+    cut = remove_repeats(docs, keep=("doc_id", "lang", "source"), as_text=True)
+    left = cut.filter((F.col("n_removed") == 0) | (F.length("kept_text") > 0))
+    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for i, spans in enumerate(batch.column("secret_spans").to_pylist()):
+            if not spans:
+                continue
+            parts, at = [], 0
+            for span in spans:  # by start; overlapping spans share one mark
+                if span["start"] >= at:
+                    parts += [texts[i][at : span["start"]], MARK]
+                at = max(at, span["end"])
+            texts[i] = "".join([*parts, texts[i][at:]])
+        kept = batch.set_column(batch.schema.names.index("text"), "text", pa.array(texts, pa.string()))
+        yield kept.select(list(COLUMNS))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret is replaced by a mark; all documents stay."""
+    found = find_secrets(docs.select(*COLUMNS), keep=COLUMNS)
+    return found.mapInArrow(_redact, found.select(*COLUMNS).schema).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left is packed into training sequences."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
 
-STAGES = []
+STAGES = [
+    ("language ID", language_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("suffix-array dedup", repeats_stage),
+    ("secret scans", secrets_stage),
+    ("packing", packing_stage),
+]
 
 #: The stages include trained models and tokenisers, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``."""
+    """Apply all stages to ``documents``; what a stage returns is written before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
