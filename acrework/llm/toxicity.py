@@ -29,7 +29,7 @@ WINDOW, STRIDE = 32, 16
 SAMPLE_PER_CLASS = 1000
 WORDS, GRAMS = 1 << 12, 1 << 15
 DIM, HIDDEN = 8, 8
-EPOCHS, BATCH, RATE = 4, 16, 0.01
+STEPS, BATCH, RATE = 500, 16, 0.01
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#$%&|-_"
 
 
@@ -210,8 +210,8 @@ def _log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int)
     return np.where(toxic + clean >= 4, np.clip(odds, -3, 3), 0.0).astype(np.float32)
 
 
-def fit_network(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> Network:
-    """Train on (text, label) pairs with Adam."""
+def fit_network(rows: list[tuple[str, int]], steps: int = STEPS) -> Network:
+    """Train on (text, label) pairs with Adam, in as many whole rounds as give at least ``steps`` steps."""
     labels = np.asarray([y for _, y in rows])
     n_toxic, n_clean = int(labels.sum()), int(len(labels) - labels.sum())
     in_docs: dict[str, np.ndarray] = {}
@@ -234,14 +234,14 @@ def fit_network(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> Network:
     rng = np.random.default_rng(5)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
-    step = 0
-    for epoch in range(epochs):
+    step, epochs = 0, -(-steps * BATCH // len(rows))
+    for _ in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             some = [rows[i] for i in order[at : at + BATCH]]
             g, step = net.gradients([t for t, _ in some], np.asarray([y for _, y in some])), step + 1
             norm = float(np.sqrt(sum((v * v).sum() for v in g.values())))
-            rate = RATE / (1 + epoch)
+            rate = RATE / (1 + 3 * step / steps)
             for k, v in g.items():
                 v *= min(1.0, 5.0 / max(norm, 1e-9))
                 first[k] += 0.1 * (v - first[k])
