@@ -5,7 +5,7 @@ n-grams, so unseen spellings still carry their parts.  Windows of ``WINDOW`` wor
 text; both directions run over each, attention pools its states, and the window logits are pooled by a softmax of
 themselves, so that one bad window decides.  All windows of all texts are scored, in tasks, without a shuffle.
 
-The network is trained on the driver on a bounded sample, ``SAMPLE_PER_CLASS`` labelled whole texts of each class.
+The network is trained on the driver on a bounded sample, ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled whole texts.
 Vectors start from smoothed log odds of the sample, everything else from fixed random numbers.
 
 Defined results: null and empty texts are scored as a window without words; with labels of one class only, or none, every score is
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from acrework.llm.common import documents, held_out, text_slices
 
 WINDOW, STRIDE = 32, 16
-#: Bound of the training sample: labelled whole texts for each class.
-SAMPLE_PER_CLASS = 1000
+#: Bound of the training sample: labelled whole texts of the toxic and of the other class.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 3000
 WORDS, GRAMS = 1 << 12, 1 << 15
 DIM, HIDDEN = 8, 8
 STEPS, BATCH, RATE = 500, 16, 0.01
@@ -250,20 +250,20 @@ def fit_network(rows: list[tuple[str, int]], steps: int = STEPS) -> Network:
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Network:
-    """Learn from labelled rows that are not held out; at most ``per_class`` texts of each class reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (SAMPLE_CLEAN, SAMPLE_TOXIC)) -> Network:
+    """Learn from labelled rows that are not held out; at most ``most`` texts of class 0 and 1 reach the driver."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_003))
     share = F.lit(-1)
     for y, n in sizes.items():
-        share = F.when(F.col("toxic") == y, F.lit(int(1_000_003 * min(1.0, (1.2 * per_class + 20) / n)))).otherwise(share)
-    drawn = known.withColumn("draw", draw).filter(F.col("draw") < share)  # about 1.2 * per_class rows of each class: small at any input
+        share = F.when(F.col("toxic") == y, F.lit(int(1_000_003 * min(1.0, (1.2 * most[y] + 20) / n)))).otherwise(share)
+    drawn = known.withColumn("draw", draw).filter(F.col("draw") < share)  # about 1.2 times the bound: small at any input
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id").select("draw", "doc_id", "toxic", "text").collect()
     taken, sample = {0: 0, 1: 0}, []
     for r in sorted(rows, key=lambda r: (r["draw"], r["doc_id"], r["text"])):
         taken[r["toxic"]] += 1
-        if taken[r["toxic"]] <= per_class:
+        if taken[r["toxic"]] <= most[r["toxic"]]:
             sample.append((r["text"], int(r["toxic"])))
     return fit_network(sample)
 
