@@ -28,17 +28,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from acrework.llm.common import documents, free_finished, materialise, text_slices, utf8
+from acrework.llm.common import documents, free_finished, materialise, mix64, text_slices, utf8
 from acrework.llm.rolling import Prefix, sliding_min
 
 THRESHOLD = 100
 DIGIT = 48
+#: Bytes of text at once, so that the arrays stay in a core's cache.
+SLICE = 250_000
 
 
 class Runs:
     """Runs of windows with one first digit, over concatenated texts."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, threshold: int = THRESHOLD, digit: int = DIGIT):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, threshold: int = THRESHOLD, digit: int = DIGIT, contents: bool = True):
         self.threshold, self.prefix = threshold, Prefix(data)
         lengths = np.diff(offsets)
         windows = np.maximum(lengths - threshold + 1, 0)
@@ -61,7 +63,8 @@ class Runs:
         self.size = np.diff(first, append=total)
         self.start, self.digit = at[first], hashes[(value[first] & low).astype(np.int64)]
         self.doc = np.repeat(has, np.diff(np.searchsorted(first, np.append(before, total))))
-        self.content = self.prefix.ranges(self.start, self.start + self.size - 1 + threshold)
+        if contents:
+            self.content = self.prefix.ranges(self.start, self.start + self.size - 1 + threshold)
 
     def starts_of(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All window starts in the chosen runs and, for each, its run."""
@@ -76,8 +79,9 @@ class Runs:
         """Starts of windows that also start earlier in their own document."""
         if not len(self.doc):
             return np.zeros(0, np.int64)
-        order = np.lexsort((self.digit, self.doc))
-        same = (self.doc[order][1:] == self.doc[order][:-1]) & (self.digit[order][1:] == self.digit[order][:-1])
+        key = mix64(self.digit + self.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
         shared = np.zeros(len(order), bool)
         shared[1:] |= same
         shared[:-1] |= same
@@ -85,9 +89,9 @@ class Runs:
         if not len(chosen):
             return np.zeros(0, np.int64)
         starts, run = self.starts_of(chosen)
-        value = self.hashes(starts)
-        order = np.lexsort((starts, value, self.doc[run]))
-        later = (self.doc[run][order][1:] == self.doc[run][order][:-1]) & (value[order][1:] == value[order][:-1])
+        value = mix64(self.hashes(starts) + self.doc[run].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort(value, kind="stable")  # starts ascend, so of equal windows the first comes first
+        later = value[order][1:] == value[order][:-1]
         return np.sort(starts[order[1:][later]])
 
 
@@ -95,17 +99,29 @@ def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
+def _first_of_equal(key: np.ndarray) -> np.ndarray:
+    """Ascending positions of the first of equal keys."""
+    order = np.argsort(key, kind="stable")
+    keep = np.ones(len(order), bool)
+    keep[1:] = key[order][1:] != key[order][:-1]
+    return np.sort(order[keep])
+
+
+def _digit_rows(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """The first digits of each document, each once."""
+    for batch in text_slices(batches, "text", SLICE):
+        runs = Runs(*utf8(batch.column("text")), threshold, contents=False)
+        at = _first_of_equal(mix64(runs.digit + runs.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        yield pa.record_batch([_long(runs.digit[at])], ["digit"])
+
+
 def _run_rows(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches, "text"):
+    """Runs, one row for equal runs of a document."""
+    for batch in text_slices(batches, "text", SLICE):
         data, offsets = utf8(batch.column("text"))
         runs = Runs(data, offsets, threshold)
         uid = batch.column("uid").to_numpy(zero_copy_only=False)
-        order = np.lexsort((runs.start, runs.content, runs.digit, runs.doc))  # one row for equal runs of a document
-        keep = np.ones(len(order), bool)
-        if len(order):
-            d, k, c = runs.doc[order], runs.digit[order], runs.content[order]
-            keep[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        at = np.sort(order[keep])
+        at = _first_of_equal(mix64(runs.digit + mix64(runs.content + runs.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
         yield pa.record_batch(
             [_long(runs.digit[at]), pa.array(runs.content[at].astype(np.uint32).view(np.int32)), pa.array(uid[runs.doc[at]]), pa.array((runs.start - offsets[:-1][runs.doc])[at].astype(np.int32)), pa.array(runs.size[at].astype(np.int32))],
             ["digit", "content", "uid", "start", "size"],
@@ -125,26 +141,18 @@ def _window_rows(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[
         local = np.arange(len(run)) + np.repeat(start - (np.cumsum(size) - size), size)
         doc = owner[run]
         value = prefix.ranges(local + offsets[:-1][doc], local + offsets[:-1][doc] + threshold)
-        order = np.lexsort((local, value, doc))
-        keep = np.ones(len(order), bool)
-        if len(order):
-            d, v = doc[order], value[order]
-            keep[1:] = (d[1:] != d[:-1]) | (v[1:] != v[:-1])
-        at = np.sort(order[keep])
+        at = _first_of_equal(mix64(value + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         for a in range(0, len(at), 200_000):
             some = at[a : a + 200_000]
             yield pa.record_batch([pa.array(digit[run[some]]), _long(value[some]), pa.array(uid[doc[some]]), pa.array(local[some].astype(np.int32))], ["digit", "value", "uid", "start"])
 
 
 def _cover(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
-    step = np.zeros(n + 1, np.int32)
-    np.add.at(step, starts, 1)
-    np.add.at(step, ends, -1)
-    return np.cumsum(step[:-1]) > 0
+    return np.cumsum(np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:-1] > 0
 
 
 def _remove(batches: Iterator[pa.RecordBatch], threshold: int, as_text: bool) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches, "text"):
+    for batch in text_slices(batches, "text", SLICE):
         data, offsets = utf8(batch.column("text"))
         inside = Runs(data, offsets, threshold).repeated_inside()
         lists = batch.column("spans").to_pylist()
@@ -197,7 +205,8 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, keep: tuple[str,
     docs = _identified(docs, keep)
     texts = docs.select("uid", "text")
     runs = texts.mapInArrow(lambda it: _run_rows(it, threshold), "digit bigint, content int, uid bigint, start int, size int")
-    shared_digits = runs.groupBy("digit").count().filter("count > 1").select("digit")
+    digits = texts.select("text").mapInArrow(lambda it: _digit_rows(it, threshold), "digit bigint")
+    shared_digits = digits.groupBy("digit").count().filter("count > 1").select("digit")
     shared = materialise(runs.join(shared_digits, "digit"), "shared-runs")
     free_finished(spark)
     firsts = shared.groupBy("digit", "content").agg(F.min("uid").alias("first"))
