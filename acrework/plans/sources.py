@@ -92,6 +92,14 @@ def s10(spark, sf):
     return summary.crossJoin(rows)
 
 
+@query("s11_feature_sink", """SELECT '{"type":"Feature","properties":{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"},"geometry":{"type":"Point","coordinates":[' || r_regionkey || '.0,1.5]}}' AS value FROM region""")
+def s11(spark, sf):
+    path = shared_path(spark, "sink")
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.col("r_regionkey").cast("double"), F.lit(1.5)).alias("coordinates"))
+    T.write_features(table(spark, sf, "region").withColumn("geometry", point), path, ["r_regionkey", "r_name"])
+    return spark.read.text(path)
+
+
 @query("s12_content_addressed", "SELECT n_nationkey, sha256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}') AS digest FROM nation")
 def s12(spark, sf):
     nations, root = table(spark, sf, "nation"), shared_path(spark, "published")

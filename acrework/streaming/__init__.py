@@ -1 +1 @@
-
+"""No operator of this library keeps state over a stream: the work it covers is batch work throughout."""
