@@ -10,10 +10,10 @@ from acrework.plans.registry import query, table
 
 
 @query("a01_support_median", """
-SELECT l_partkey, round(median(l_extendedprice / l_quantity), 4) AS median, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 5""")
+SELECT l_partkey, round(median(l_extendedprice / l_quantity), 8) AS median, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 5""")
 def a01(spark, sf):
     unit = table(spark, sf, "lineitem").withColumn("unit", F.col("l_extendedprice") / F.col("l_quantity"))
-    return A.support_median(unit, "l_partkey", "unit", 5).withColumn("median", F.round("median", 4))
+    return A.support_median(unit, "l_partkey", "unit", 5).withColumn("median", F.round("median", 8))
 
 
 @query("a02_site_summary", """
@@ -65,10 +65,10 @@ def a08(spark, sf):
 
 @query("a09_quantile_trim", """
 WITH u AS (SELECT l_extendedprice / l_quantity AS u FROM lineitem), b AS (SELECT quantile_cont(u, 0.01) AS lo, quantile_cont(u, 0.99) AS hi FROM u)
-SELECT count(*) AS n, round(min(u), 4) AS low, round(max(u), 4) AS high FROM u, b WHERE u BETWEEN lo AND hi""")
+SELECT count(*) AS n, round(min(u), 8) AS low, round(max(u), 8) AS high FROM u, b WHERE u BETWEEN lo AND hi""")
 def a09(spark, sf):
     unit = table(spark, sf, "lineitem").select((F.col("l_extendedprice") / F.col("l_quantity")).alias("u"))
-    return A.quantile_trim(unit, "u").agg(F.count("*").alias("n"), F.round(F.min("u"), 4).alias("low"), F.round(F.max("u"), 4).alias("high"))
+    return A.quantile_trim(unit, "u").agg(F.count("*").alias("n"), F.round(F.min("u"), 8).alias("low"), F.round(F.max("u"), 8).alias("high"))
 
 
 @query("a10_agreement", """

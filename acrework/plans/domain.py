@@ -40,9 +40,9 @@ def d03(spark, sf):
     return sites.groupBy("limit_at").agg(F.count_if(meets).alias("sites"), F.coalesce(F.sum(F.when(meets, F.col("p_size"))), F.lit(0)).alias("total"))
 
 
-@query("d04_land_value_model", HOLDOUT_SQL + "SELECT l_partkey, method, round(avg(estimate), 4) AS estimate, count(*) AS n FROM e WHERE NOT train GROUP BY 1, 2")
+@query("d04_land_value_model", HOLDOUT_SQL + "SELECT l_partkey, method, round(avg(estimate), 8) AS estimate, count(*) AS n FROM e WHERE NOT train GROUP BY 1, 2")
 def d04(spark, sf):
-    return estimates(spark, sf).filter("NOT train").groupBy("l_partkey", "method").agg(F.round(F.avg("estimate"), 4).alias("estimate"), F.count("*").alias("n"))
+    return estimates(spark, sf).filter("NOT train").groupBy("l_partkey", "method").agg(F.round(F.avg("estimate"), 8).alias("estimate"), F.count("*").alias("n"))
 
 
 @query("d05_two_vintage_change", """

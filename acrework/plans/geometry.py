@@ -187,11 +187,11 @@ def j08(spark, sf):
     return G.points_within(points(spark, sf), "x", "y", boxes(spark, sf).select("k", "ring"), "ring", 40.0).select("id", F.col("r_k").alias("k"))
 
 
-OVERLAP = f"WITH {B}, o AS (SELECT a.k, c.k AS r_k, (least(a.x2, c.x2) - greatest(a.x1, c.x1)) * (least(a.y2, c.y2) - greatest(a.y1, c.y1)) AS overlap, (a.x2 - a.x1) * (a.y2 - a.y1) AS own FROM b a JOIN b c ON a.k % 2 = 0 AND c.k % 2 = 1 AND least(a.x2, c.x2) > greatest(a.x1, c.x1) AND least(a.y2, c.y2) > greatest(a.y1, c.y1))"
+OVERLAP = f"WITH {B.replace('b AS', 'b0 AS', 1)}, b AS (SELECT k, x1, y1, x2 + 30 AS x2, y2 + 30 AS y2 FROM b0), o AS (SELECT a.k, c.k AS r_k, (least(a.x2, c.x2) - greatest(a.x1, c.x1)) * (least(a.y2, c.y2) - greatest(a.y1, c.y1)) AS overlap, (a.x2 - a.x1) * (a.y2 - a.y1) AS own FROM b a JOIN b c ON a.k % 2 = 0 AND c.k % 2 = 1 AND least(a.x2, c.x2) > greatest(a.x1, c.x1) AND least(a.y2, c.y2) > greatest(a.y1, c.y1))"
 
 
 def overlaps(spark, sf, least_share=0.02):
-    shapes = boxes(spark, sf).drop("ring")
+    shapes = boxes(spark, sf).drop("ring").withColumns({"xmax": F.col("xmax") + 30, "ymax": F.col("ymax") + 30})
     return G.material_overlaps(shapes.filter("k % 2 = 0"), shapes.filter("k % 2 = 1"), 40.0, 10.0, least_share)
 
 
