@@ -38,6 +38,8 @@ TABLES, ROWS = 10, 3
 PERCENT = 85
 #: Bounds of a block: shingles and classes.
 BLOCK_SHINGLES, BLOCK_CLASSES = 300_000, 1_500
+#: Bytes of text at once, so that the arrays stay small.
+SLICE = 500_000
 SIGNATURE = "doc_id bigint, n_shingles bigint, node bigint, a array<int>, b array<int>"
 
 
@@ -73,7 +75,7 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches, "text"):
+    for batch in text_slices(batches, "text", SLICE):
         key, bounds = shingle_sets(*utf8(batch.column("text")), SHINGLE)
         a, b = table_keys(key, bounds)
         yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(fingerprints(key, bounds).view(np.int64)), _lists(a), _lists(b)], ["doc_id", "n_shingles", "node", "a", "b"])
@@ -81,7 +83,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The full set of each wanted class, from the text of its representative."""
-    for batch in text_slices(batches, "text"):
+    for batch in text_slices(batches, "text", SLICE):
         key, bounds = shingle_sets(*utf8(batch.column("text")), SHINGLE)
         same = np.flatnonzero(fingerprints(key, bounds).view(np.int64) == batch.column("node").to_numpy())
         sets = [key[bounds[i] : bounds[i + 1]].tobytes() for i in same.tolist()]

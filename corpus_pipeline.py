@@ -75,7 +75,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """What is left is packed into training sequences."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # workers also hold what earlier stages left in them, so this stage keeps fewer encoded pieces
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cache_pieces=250_000)
 
 
 STAGES = [
