@@ -33,6 +33,8 @@ DIMS = 8
 #: The test stops when a nearer vector would have been seen with this probability.
 CONFIDENCE = 0.95
 CELL_ROWS, LEAF_ROWS = 20_000, 64
+#: Leaves that are verified together at most.
+STEP = 16
 #: Rows whose projections choose the upper splits.
 SAMPLE = 20_000
 QUERY_EVERY = 50
@@ -105,28 +107,39 @@ def _stop_radius(confidence: float) -> float:
 
 
 def _search_cell(data: pa.Table, queries: pa.Table, k: int, ratio: float) -> list[tuple[int, int, float]]:
-    """The k best ids in this part of a cell for each query, no further than the stopping test asks."""
+    """The k best ids in this part of a cell for each query, no further than the stopping test asks.
+
+    Leaves are verified in order of projected distance, in steps of one, two, four and up to ``STEP`` leaves; only rows
+    that reach the k-th best score so far are looked at one by one.
+    """
     vectors, points = _matrix(data.column("vec")), _matrix(data.column("proj"))
-    norms = np.sqrt((vectors * vectors).sum(1))
-    ids = data.column("ids").to_pylist()
-    leaves, out = Leaves(points), []
-    bounds = queries.column("bound").to_numpy()
-    for query_id, q, p, bound in zip(queries.column("query_id").to_pylist(), _matrix(queries.column("vec")), _matrix(queries.column("proj")), bounds):
+    leaves = Leaves(points)
+    order = np.concatenate(leaves.members)
+    bounds = np.append(0, np.cumsum([len(m) for m in leaves.members]))
+    vectors, ids = vectors[order], data.column("ids").take(pa.array(order)).to_pylist()
+    norms, out = np.sqrt((vectors * vectors).sum(1)), []
+    limits = queries.column("bound").to_numpy()
+    for query_id, q, p, limit in zip(queries.column("query_id").to_pylist(), _matrix(queries.column("vec")), _matrix(queries.column("proj")), limits):
         away = leaves.distances(p)
+        nearest = np.argsort(away, kind="stable")
         q_norm = np.sqrt((q * q).sum())
         best: list[tuple[float, int]] = []
-        far = float(bound)
-        for leaf in np.argsort(away, kind="stable"):
-            if away[leaf] > ratio * far + 1e-9:
-                break
-            rows = leaves.members[leaf]
+        far, at, step = float(limit), 0, 1
+        while at < len(nearest) and away[nearest[at]] <= ratio * far + 1e-9:
+            some = nearest[at : at + step]
+            rows = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in some])
             score = (vectors[rows] @ q) / (norms[rows] * q_norm)
-            for r, s in zip(rows.tolist(), score.tolist()):
-                best += [(-s, i) for i in ids[r] if i != query_id]
+            least = -best[-1][0] if len(best) == k else -np.inf
+            close = np.flatnonzero(score >= least)
+            if len(close) > 4 * k:  # an entry may be the query's own, so one more than k entries can be needed
+                close = close[score[close] >= np.partition(score[close], -(k + 1))[-(k + 1)]]
+            for r in close.tolist():
+                best += [(-float(score[r]), i) for i in ids[rows[r]] if i != query_id]
             best.sort()
             del best[k:]
             if len(best) == k:
                 far = min(far, float(np.sqrt(max(0.0, 2 + 2 * best[-1][0]))))
+            at, step = at + step, min(2 * step, STEP)
         out += [(query_id, i, -s) for s, i in best]
     return out
 
