@@ -25,7 +25,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 1 << 21)
+            size = max(n, 1 << 19)
             for name, base in (("up", BASE), ("down", INVERSE)):
                 powers = np.full(size, base, np.uint64)
                 powers[0] = 1

@@ -102,6 +102,29 @@ def _with_spans(source: DataFrame) -> StructType:
     return StructType([*source.schema.fields, StructField("secret_spans", ArrayType(span))])
 
 
+def _redact(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...], mark: str) -> Iterator[pa.RecordBatch]:
+    if rules not in _WORKER:
+        _WORKER[rules] = Scanner(rules)
+    for batch in text_slices(batches, "text"):
+        texts = batch.column("text").to_pylist()
+        for i, spans in enumerate(_WORKER[rules].scan(batch.column("text"))):
+            if not spans:
+                continue
+            parts, at = [], 0
+            for start, _, end in spans:  # by start; overlapping spans share one mark
+                if start >= at:
+                    parts += [texts[i][at:start], mark]
+                at = max(at, end)
+            texts[i] = "".join([*parts, texts[i][at:]])
+        yield batch.set_column(batch.schema.names.index("text"), "text", pa.array(texts, pa.string()))
+
+
+def redact_secrets(docs: DataFrame, mark: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The same rows with every secret in ``text`` replaced by a mark; null text stays null."""
+    source = docs.withColumn("text", F.col("text").cast("string"))
+    return source.mapInArrow(lambda it: _redact(it, rules, mark), source.schema)
+
+
 def joined(spans):
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

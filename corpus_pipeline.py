@@ -5,9 +5,6 @@ Every stage takes (spark, docs, sf_dir); all but the last return the columns of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +12,7 @@ from acrework.llm.common import materialise
 from acrework.llm.language_id import UNKNOWN, predict_languages, train
 from acrework.llm.near_dedup import near_duplicate_components
 from acrework.llm.packing import pack_documents
-from acrework.llm.secrets import find_secrets
+from acrework.llm.secrets import redact_secrets
 from acrework.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,8 +21,17 @@ LEAST_SCORE = 0.5
 MARK = "[redacted]"
 
 
+#: Rows that Spark hands to a Python worker at once; documents are large, and workers of several stages share a machine.
+BATCH_ROWS = "1000"
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or whose language stays uncertain, go."""
+    _bound_batches(spark)
     scored = predict_languages(docs, train(docs), keep=COLUMNS)
     return scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
@@ -35,6 +41,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows with a null id stay; of rows that share an id, one stays.
     """
+    _bound_batches(spark)
     kept = near_duplicate_components(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     stay = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*COLUMNS)
     if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count():
@@ -44,37 +51,23 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages of 100 bytes and more are cut out; a document of which nothing is left goes."""
+    _bound_batches(spark)
     cut = remove_repeats(docs, keep=("doc_id", "lang", "source"), as_text=True)
     left = cut.filter((F.col("n_removed") == 0) | (F.length("kept_text") > 0))
     return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
-def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for i, spans in enumerate(batch.column("secret_spans").to_pylist()):
-            if not spans:
-                continue
-            parts, at = [], 0
-            for span in spans:  # by start; overlapping spans share one mark
-                if span["start"] >= at:
-                    parts += [texts[i][at : span["start"]], MARK]
-                at = max(at, span["end"])
-            texts[i] = "".join([*parts, texts[i][at:]])
-        kept = batch.set_column(batch.schema.names.index("text"), "text", pa.array(texts, pa.string()))
-        yield kept.select(list(COLUMNS))
-
-
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced by a mark; all documents stay."""
-    found = find_secrets(docs.select(*COLUMNS), keep=COLUMNS)
-    return found.mapInArrow(_redact, found.select(*COLUMNS).schema).withColumn("n_chars", F.length("text").cast("long"))
+    _bound_batches(spark)
+    return redact_secrets(docs.select(*COLUMNS), MARK).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left is packed into training sequences."""
     import public_tokenizers
 
+    _bound_batches(spark)
     # workers also hold what earlier stages left in them, so this stage keeps fewer encoded pieces
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cache_pieces=250_000)
 
