@@ -25,6 +25,19 @@ def shared_member_components(membership: DataFrame, item: str, entity: str, keep
     return out if keep_single else out.filter("size > 1")
 
 
+def category_components(rows: DataFrame, category: str, item: str, identities: list[str]) -> DataFrame:
+    """Components of items within a category over several identity columns; adds ``label``, the least item."""
+    node = F.struct(category, item)
+    by = None
+    for i, column in enumerate(identities):
+        entity = F.struct(F.col(category), F.lit(i).alias("which"), F.col(column).cast("string").alias("value"))
+        part = rows.filter(F.col(column).isNotNull()).select(node.alias("node"), entity.alias("entity"))
+        by = part if by is None else by.unionByName(part)
+    found = shared_member_components(by, "node", "entity", keep_single=True)
+    placed = found.select(F.col(f"node.{category}").alias(category), F.col(f"node.{item}").alias(item), F.col(f"component.{item}").alias("label"))
+    return rows.join(placed, [category, item])
+
+
 def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """Nodes within ``depth`` steps of the start nodes (column node), with the least number of steps."""
     reached = start.select("node").distinct().withColumn("steps", F.lit(0))

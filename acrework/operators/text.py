@@ -86,13 +86,20 @@ def phrases_around(token_rows: DataFrame, key: str, modals: Sequence[str]) -> Da
     ordered = Window.partitionBy(key).orderBy("pos")
     sentence = F.coalesce(F.sum(F.col("token").isin(".", "!", "?").cast("int")).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     marked = token_rows.withColumn("sentence", sentence)
-    inside = Window.partitionBy(key, "sentence").orderBy("pos")
-    before, after = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(1, Window.unboundedFollowing)
-    comma = F.coalesce(F.max(F.when(F.col("token") == ",", F.col("pos"))).over(before), F.lit(-1))
-    words = F.when(F.col("kind") != "punctuation", F.struct("pos", "token"))
-    rows = marked.withColumns({"_comma": comma, "_before": F.collect_list(words).over(before), "_after": F.collect_list(words).over(after)}).filter(F.lower("token").isin(*modals))
-    text = lambda items: F.array_join(F.transform(items, lambda s: s["token"]), " ")
-    return rows.select(key, "pos", "sentence", F.col("token").alias("modal"), text(F.filter("_before", lambda s: s["pos"] > F.col("_comma"))).alias("subject"), text(F.col("_after")).alias("predicate"))
+    # one array for each sentence; the phrases of its modals are cut from it within the row
+    whole = marked.groupBy(key, "sentence").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "kind"))).alias("_all"))
+    modal = lambda t: F.lower(t["token"]).isin(*modals)
+    text = lambda items: F.array_join(F.transform(items, lambda t: t["token"]), " ")
+
+    def phrase(m: Column) -> Column:
+        commas = F.transform(F.filter("_all", lambda t: (t["token"] == ",") & (t["pos"] < m["pos"])), lambda t: t["pos"])
+        begin = F.coalesce(F.array_max(commas), F.lit(-1))
+        word = lambda t: t["kind"] != "punctuation"
+        before = F.filter("_all", lambda t: word(t) & (t["pos"] > begin) & (t["pos"] < m["pos"]))
+        after = F.filter("_all", lambda t: word(t) & (t["pos"] > m["pos"]))
+        return F.struct(m["pos"].alias("pos"), m["token"].alias("modal"), text(before).alias("subject"), text(after).alias("predicate"))
+
+    return whole.select(key, "sentence", F.explode(F.transform(F.filter("_all", modal), phrase)).alias("p")).select(key, "p.pos", "sentence", "p.modal", "p.subject", "p.predicate")
 
 
 def citations(df: DataFrame, key: str, text: str, pattern: str, sections: DataFrame, section_key: str, reserved: tuple[int, int] | None = None) -> DataFrame:

@@ -89,11 +89,11 @@ def g10(spark, sf):
     return G.grid(spark, 0, 0, int(top[0]), int(top[1]), 50).agg(F.count("*").alias("cells"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
 
 
-@query("g11_majority_coverage", f"WITH {B}, q AS (SELECT x1 - 150 AS x1, y1 - 150 AS y1, x1 + 150 AS x2, y1 + 150 AS y2 FROM b WHERE k < 25), c AS (SELECT (i + 0.5) * 50 AS x, (j + 0.5) * 50 AS y FROM range(0, 20) a(i), range(0, 20) b(j)) SELECT x, y, count(*) AS cover FROM c JOIN q ON x >= x1 AND x < x2 AND y >= y1 AND y < y2 GROUP BY 1, 2 HAVING count(*) >= 3")
+@query("g11_majority_coverage", f"WITH {B}, q AS (SELECT x1 - 150 AS x1, y1 - 150 AS y1, x1 + 150 AS x2, y1 + 150 AS y2 FROM b), c AS (SELECT (i + 0.5) * 50 AS x, (j + 0.5) * 50 AS y FROM range(0, 20) a(i), range(0, 20) b(j)) SELECT x, y, count(*) AS cover FROM c JOIN q ON x >= x1 AND x < x2 AND y >= y1 AND y < y2 GROUP BY 1, 2 HAVING count(*) >= (SELECT count(*) FROM b) // 10 // 2 + 1")
 def g11(spark, sf):
-    wide = boxes(spark, sf).filter("k < 25").select("k", G.rectangle(F.col("xmin") - 150, F.col("ymin") - 150, F.col("xmin") + 150, F.col("ymin") + 150).alias("ring"))
+    wide = boxes(spark, sf).select("k", G.rectangle(F.col("xmin") - 150, F.col("ymin") - 150, F.col("xmin") + 150, F.col("ymin") + 150).alias("ring"))
     cells = G.grid(spark, 0, 0, 1000, 1000, 50)
-    return G.majority_cells(cells, wide, "ring", 5, 100).join(cells, "cell_id").select("x", "y", "cover")
+    return G.majority_cells(cells, wide, "ring", wide.count() // 10, 100).join(cells, "cell_id").select("x", "y", "cover")
 
 
 @query("g12_threshold_bands", f"WITH {P} SELECT t AS threshold, count(*) AS cells FROM p, (SELECT unnest([200, 400, 800]) AS t) WHERE sqrt(x * x + y * y) <= t GROUP BY 1")
@@ -117,9 +117,9 @@ def g14(spark, sf):
     return G.close_gaps(cells, 1, 1)
 
 
-@query("g15_contiguity_dissolve", f"WITH RECURSIVE {B}, s AS (SELECT * FROM b WHERE k < 150), e AS (SELECT a.k AS u, c.k AS v FROM s a JOIN s c ON a.x1 <= c.x2 AND c.x1 <= a.x2 AND a.y1 <= c.y2 AND c.y1 <= a.y2), r(u, v) AS (SELECT * FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u), m AS (SELECT u AS k, min(v) AS block FROM r GROUP BY 1) SELECT block, count(*) AS parts, sum((x2 - x1) * (y2 - y1)) AS area FROM m JOIN s USING (k) GROUP BY 1")
+@query("g15_contiguity_dissolve", f"WITH RECURSIVE {B}, s AS (SELECT * FROM b), e AS (SELECT a.k AS u, c.k AS v FROM s a JOIN s c ON a.x1 <= c.x2 AND c.x1 <= a.x2 AND a.y1 <= c.y2 AND c.y1 <= a.y2), r(u, v) AS (SELECT * FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u), m AS (SELECT u AS k, min(v) AS block FROM r GROUP BY 1) SELECT block, count(*) AS parts, sum((x2 - x1) * (y2 - y1)) AS area FROM m JOIN s USING (k) GROUP BY 1")
 def g15(spark, sf):
-    shapes = boxes(spark, sf).filter("k < 150")
+    shapes = boxes(spark, sf)
     touching = G.box_pairs(shapes.select("k", *G.BOX), shapes.select("k", *G.BOX), 50.0)
     blocks = connected_components(touching.select(F.col("k").alias("src"), F.col("r_k").alias("dst")))
     return shapes.join(blocks, shapes.k == blocks.node).groupBy(F.col("component").alias("block")).agg(F.count("*").alias("parts"), F.sum(G.area(F.col("ring"))).alias("area"))

@@ -7,26 +7,18 @@ from pyspark.sql import functions as F
 from acrework.operators import graph as G
 from acrework.plans.registry import query, table
 
-LINKS = "SELECT l_orderkey AS item, l_partkey AS entity FROM lineitem WHERE l_quantity > 48"
-COMPONENTS = f"""WITH RECURSIVE m AS ({LINKS}), e AS (SELECT DISTINCT a.item AS x, b.item AS y FROM m a JOIN m b USING (entity)), r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), c AS (SELECT x AS item, min(y) AS component FROM r GROUP BY 1)"""
-
-
-@query("n01_shared_member_components", COMPONENTS + """
-SELECT item, component, count(*) OVER (PARTITION BY component) AS size, coalesce(linking, 0) AS linking FROM c LEFT JOIN (SELECT component, count(*) AS linking FROM (SELECT DISTINCT component, entity FROM m JOIN c USING (item)) JOIN (SELECT entity FROM m GROUP BY 1 HAVING count(DISTINCT item) > 1) USING (entity) GROUP BY 1) USING (component) QUALIFY size > 1""")
+@query("n01_shared_member_components")
 def n01(spark, sf):
-    links = table(spark, sf, "lineitem").filter("l_quantity > 48").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("entity"))
+    """Orders that share a part; SQL would list all pairs of a component, so tests compare it with brute force."""
+    links = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("entity"))
     return G.shared_member_components(links, "item", "entity").select("item", "component", "size", "linking")
 
 
-@query("n02_components_within_category", """WITH RECURSIVE m AS (SELECT DISTINCT l_returnflag AS cat, l_orderkey AS item, l_partkey AS p, l_suppkey * 1000 + l_linenumber AS s, l_quantity AS q FROM lineitem WHERE l_quantity > 48), e AS (SELECT DISTINCT a.cat, a.item AS x, b.item AS y FROM m a JOIN m b ON a.cat = b.cat AND (a.p = b.p OR a.s = b.s)),
-r(cat, x, y) AS (SELECT * FROM e UNION SELECT r.cat, r.x, e.y FROM r JOIN e ON r.y = e.x AND r.cat = e.cat), c AS (SELECT cat, x AS item, min(y) AS label FROM r GROUP BY 1, 2)
-SELECT cat, label, count(DISTINCT item) AS cases, count(DISTINCT p) AS places FROM c JOIN m USING (cat, item) GROUP BY 1, 2""")
+@query("n02_components_within_category")
 def n02(spark, sf):
-    rows = table(spark, sf, "lineitem").filter("l_quantity > 48").select(F.col("l_returnflag").alias("cat"), F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("p"), (F.col("l_suppkey") * 1000 + F.col("l_linenumber")).alias("s"))
-    own = F.struct("cat", "item")
-    by = rows.select(own.alias("node"), F.struct("cat", F.lit("p").alias("k"), F.col("p").alias("v")).alias("entity")).union(rows.select(own.alias("node"), F.struct("cat", F.lit("s").alias("k"), F.col("s").alias("v")).alias("entity")))
-    found = G.shared_member_components(by, "node", "entity", keep_single=True).select("node.cat", "node.item", F.col("component.item").alias("label"))
-    return found.join(rows, ["cat", "item"]).groupBy("cat", "label").agg(F.count_distinct("item").alias("cases"), F.count_distinct("p").alias("places"))
+    """Orders of one return flag that share a part, or supplier and line; tests compare it with brute force."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("cat"), F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("p"), (F.col("l_suppkey") * 1000 + F.col("l_linenumber")).alias("s"))
+    return G.category_components(rows, "cat", "item", ["p", "s"]).groupBy("cat", "label").agg(F.count_distinct("item").alias("cases"))
 
 
 @query("n03_bounded_neighbourhood", """
@@ -62,9 +54,9 @@ def n06(spark, sf):
 
 
 @query("n07_cost_limited_reach", """
-WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey + 1 AS dst, p_size::DOUBLE AS cost FROM part WHERE p_partkey < 60 UNION ALL SELECT p_partkey, p_partkey + 3, 40.0::DOUBLE FROM part WHERE p_partkey < 60), r(node, cost) AS (SELECT 0::BIGINT, 0.0::DOUBLE UNION SELECT dst, r.cost + e.cost FROM r JOIN e ON r.node = e.src WHERE r.cost + e.cost <= 200) SELECT node, min(cost)::DOUBLE AS cost FROM r GROUP BY 1""")
+WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey + 1 AS dst, p_size::DOUBLE AS cost FROM part UNION ALL SELECT p_partkey, p_partkey + 3, 40.0::DOUBLE FROM part), r(node, cost) AS (SELECT 0::BIGINT, 0.0::DOUBLE UNION SELECT dst, r.cost + e.cost FROM r JOIN e ON r.node = e.src WHERE r.cost + e.cost <= 200) SELECT node, min(cost)::DOUBLE AS cost FROM r GROUP BY 1""")
 def n07(spark, sf):
-    parts = table(spark, sf, "part").filter("p_partkey < 60")
+    parts = table(spark, sf, "part")
     k = F.col("p_partkey")
     edges = parts.select(k.alias("src"), (k + 1).alias("dst"), F.col("p_size").cast("double").alias("cost")).union(parts.select(k, k + 3, F.lit(40.0)))
     return G.reachable_within(edges, parts.filter("p_partkey = 0").select(k.alias("node")), 200.0)

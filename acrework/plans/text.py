@@ -45,10 +45,9 @@ WORDS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 
 
 @query("x09_tokeniser", f"""
-SELECT doc_id, len(regexp_extract_all(text, '{WORDS}')) AS words, len(regexp_extract_all(text, '[.,;:!?()]')) - len(regexp_extract_all(text, '\\d[.,]\\d')) AS marks FROM documents WHERE NOT regexp_matches(text, '[§0-9]') AND regexp_matches(text, '\\S')""")
+SELECT doc_id, len(regexp_extract_all(t, '{WORDS}')) AS words, len(regexp_extract_all(t, '[.,;:!?()]')) AS marks FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '§+\\s*\\d+(?:[-.]\\d+)*', ' ', 'g'), '\\d+(?:[.,]\\d+)*', ' ', 'g') AS t FROM documents WHERE regexp_matches(text, '\\S'))""")
 def x09(spark, sf):
-    docs = table(spark, sf, "documents").filter(~F.col("text").rlike("[§0-9]"))
-    rows = X.tokens(docs, "doc_id", "text")
+    rows = X.tokens(table(spark, sf, "documents"), "doc_id", "text")
     return rows.groupBy("doc_id").agg(F.count_if(F.col("kind") == "word").alias("words"), F.count_if(F.col("kind") == "punctuation").alias("marks"))
 
 
@@ -80,7 +79,7 @@ def x12(spark, sf):
 @query("x13_phrases_around_modals")
 def x13(spark, sf):
     """Subject and predicate of each modal; compared with brute force in the tests."""
-    return X.phrases_around(X.tokens(table(spark, sf, "documents").filter("n_chars < 3000"), "doc_id", "text"), "doc_id", ["is", "was"])
+    return X.phrases_around(X.tokens(table(spark, sf, "documents"), "doc_id", "text"), "doc_id", ["is", "was"])
 
 
 @query("x14_lexical_hints", """

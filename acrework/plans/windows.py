@@ -98,12 +98,12 @@ def o01(spark, sf):
 
 
 @query("o02_table_sort", """
-SELECT event_id, row_number() OVER (ORDER BY (event_type = 'error'), nullif(value, 6.55) DESC NULLS LAST, event_id) AS position FROM events WHERE user_id = 8""")
+SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY (event_type = 'error'), nullif(value, 6.55) DESC NULLS LAST, event_id) AS position FROM events""")
 def o02(spark, sf):
     from pyspark.sql import Window
 
-    shown = table(spark, sf, "events").filter("user_id = 8").withColumn("v", F.nullif("value", F.lit(6.55)))
-    # the rows of one table view; unnamed ones go to the bottom, missing values last whatever the direction
+    shown = table(spark, sf, "events").withColumn("v", F.nullif("value", F.lit(6.55)))
+    # one view for each user; unnamed ones go to the bottom, missing values last whatever the direction
     order = Window.partitionBy("user_id").orderBy(F.col("event_type") == "error", F.desc_nulls_last("v"), "event_id")
     return shown.select("event_id", F.row_number().over(order).alias("position"))
 

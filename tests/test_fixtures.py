@@ -184,3 +184,12 @@ def test_tokens_names_and_phrases(spark):
     assert values(text.proper_name_runs(rows, "d"), "name", "words") == [("The Elm Road", 3)]
     assert values(text.phrases_around(rows, "d", ["shall"]), "sentence", "subject", "predicate") == [(0, "", "be 1,500 feet within 3 days")]
     assert values(text.neighbourhood(rows, "d", ["within"]).orderBy("pos"), "token", "unit") == [("1,500", "feet"), ("3", "days")]
+
+
+def test_shared_members_and_categories(spark):
+    rows = [("a", 1, 10, 7), ("a", 2, 10, None), ("a", 3, 11, 7), ("a", 4, 12, 8), ("b", 1, 10, None), ("b", 5, 99, 8), ("b", 6, 99, None)]
+    df = spark.createDataFrame(rows, "cat string, item int, p int, s int")
+    got = {(r["cat"], r["item"]): r["label"] for r in graph.category_components(df, "cat", "item", ["p", "s"]).collect()}
+    assert got == {("a", 1): 1, ("a", 2): 1, ("a", 3): 1, ("a", 4): 4, ("b", 1): 1, ("b", 5): 5, ("b", 6): 5}
+    shared = {r["item"]: (r["component"], r["size"], r["linking"]) for r in graph.shared_member_components(df, "item", "p").collect()}
+    assert shared == {1: (1, 2, 1), 2: (1, 2, 1), 5: (5, 2, 1), 6: (5, 2, 1)}
