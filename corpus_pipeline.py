@@ -19,6 +19,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Calibrated probability of the predicted language below which a document goes.
 LEAST_SCORE = 0.5
 MARK = "[redacted]"
+#: Shingle similarity in percent from which two documents are near duplicates.
+NEAR_PERCENT = 80
 
 
 #: Rows that Spark hands to a Python worker at once; documents are large, and workers of several stages share a machine.
@@ -42,7 +44,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows with a null id stay; of rows that share an id, one stays.
     """
     _bound_batches(spark)
-    kept = near_duplicate_components(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = near_duplicate_components(docs, NEAR_PERCENT).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     stay = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*COLUMNS)
     if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count():
         stay = stay.dropDuplicates(["doc_id"])

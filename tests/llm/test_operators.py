@@ -121,6 +121,22 @@ def test_near_duplicates_equal_brute_force(spark):
     assert len({v[1] for v in got.values()}) < len(rows)
 
 
+def test_near_dedup_stage_links_from_four_fifths(spark):
+    import corpus_pipeline as C
+    from acrework.llm.near_dedup import ROWS, near_duplicate_components, tables_for
+
+    words = ["w%d" % i for i in range(104)]  # 100 shingles
+    near = [*words[:50], "changed", *words[51:54], "changed", *words[55:]]  # 9 shingles differ: 91 / 109
+    apart = [*words[:40], "other", *words[41:64], "other", *words[65:]]  # 10 shingles differ: 90 / 110, and 81 / 119 to the former
+    same = lambda a, b: len(a & b) / len(a | b)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, near, apart)]
+    assert 0.8 <= same(sets[0], sets[1]) < 0.85 and 0.8 <= same(sets[0], sets[2]) < 0.85
+    docs = frame(spark, [(i, " ".join(w), "en", "a") for i, w in enumerate((words, near, apart))] + [(9, "far from all of them", "en", "a")]).select(*C.COLUMNS)
+    assert sorted(r["doc_id"] for r in C.near_dedup_stage(spark, docs, "").collect()) == [0, 9]
+    assert [r["component_id"] for r in near_duplicate_components(docs).orderBy("doc_id").collect()] == [0, 1, 2, 9]
+    assert tables_for(85) == 10 and all(2 * (1 - (p / 100) ** ROWS) ** tables_for(p) < 0.00015 for p in range(50, 101))
+
+
 def test_repeats_equal_brute_force(spark):
     from acrework.llm.suffix_dedup import remove_repeats
 
