@@ -3,7 +3,8 @@
 A byte-level BPE pre-tokeniser always starts a new piece at a space that follows a visible character or precedes
 one.  A text can so be split at single spaces, each piece (with its space) encoded once by the library and its ids
 reused.  Texts in which a space stands between white space (or between white space and the end) have no such
-boundary and are encoded whole.
+boundary and are encoded whole; so are texts with the content of an added token, which the library finds before it
+splits and encodes as that token's id.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.limit = cache_pieces
         self.pieces: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.byte_len = self._byte_lengths()
 
     def _byte_lengths(self) -> np.ndarray | None:
@@ -42,6 +43,9 @@ class PieceEncoder:
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def holds_added(self, text: str) -> bool:
+        return any(content in text for content in self.added)
+
     def _encode_new(self, new: list[str]) -> dict[str, bytes]:
         """Encode new pieces, many in one call: ids are dealt back to the pieces by their bytes."""
         out: dict[str, bytes] = {}
@@ -51,7 +55,11 @@ class PieceEncoder:
                 out[p] = self.whole(" " + p)
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            joined = " " + " ".join(some)
+            if self.holds_added(joined):  # only by pieces of different texts side by side
+                out.update((p, self.whole(" " + p)) for p in some)
+                continue
+            ids = np.asarray(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             ends = np.cumsum([len(p.encode()) + 1 for p in some])
             cuts = np.searchsorted(np.cumsum(self.byte_len[ids]), ends, "left") + 1
             raw, last = ids.tobytes(), 0
@@ -65,7 +73,7 @@ class PieceEncoder:
         split: list[list[str] | None] = []
         new: set[str] = set()
         for text in texts:
-            if _UNSAFE.search(text) and _UNSAFE_EXACT.search(text):
+            if (_UNSAFE.search(text) and _UNSAFE_EXACT.search(text)) or self.holds_added(text):
                 split.append(None)
                 continue
             parts = text.split(" ")

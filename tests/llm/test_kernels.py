@@ -85,6 +85,26 @@ def test_cached_pieces_equal_whole_encoding(texts):
     assert encoder.encode_batch(texts) == [encoder.whole(t) for t in texts]
 
 
+def test_added_tokens_in_texts_as_by_library():
+    import public_tokenizers as P
+    from tokenizers import AddedToken, Tokenizer
+
+    from acrework.llm.library_bpe import PieceEncoder
+
+    library, encoder = Tokenizer.from_file(P.path("byte_bpe_50k.json")), PieceEncoder(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "one<|endoftext|>two three", "a  <|endoftext|>  b ", "<|endoftext| > a", "plain words a b"]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert expected[0] == [64, 220, 50256, 275]
+    assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode_batch(texts)] == expected
+    for t in (library, encoder.tokenizer):
+        t.add_tokens([AddedToken("two three", normalized=False)])
+    encoder.added.append("two three")
+    texts = ["zero two", "zero three four", "one two three four", *(f"x two{i}" for i in range(3))]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode_batch(texts)] == expected
+
+
+
 def test_trigram_queries_never_miss_and_hex_has_none():
     assert trigram_query(r"[0-9a-f]+") == TRUE
     assert trigram_query("abcd|x") == TRUE

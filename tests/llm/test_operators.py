@@ -183,6 +183,25 @@ def test_token_files_and_packing_hold_every_id_once(spark):
         assert total <= 256 and total & (total - 1) == 0
 
 
+def test_token_files_and_packing_encode_added_tokens(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from acrework.llm.packing import pack_documents
+
+    rows = [(0, "a <|endoftext|> b", "en", "a"), (1, "plain words", "en", "a"), (2, "x<|endoftext|>y z", "en", "a")]
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    plain = {i: library.encode(t, add_special_tokens=False).ids for i, t, *_ in rows}
+    at = 0
+    for r in sorted(operators()["files"](spark, frame(spark, rows)).collect(), key=lambda r: r["doc_id"]):
+        ids = plain[r["doc_id"]] + [0]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
+        at += len(ids)
+    for p in pack_documents(frame(spark, rows), P.path("byte_bpe_50k.json"), length=256).collect():
+        ids = (plain[p["doc_id"]] + [1])[p["start"] : p["start"] + p["length"]]
+        assert p["ids_crc32"] == zlib.crc32(np.asarray(ids, "<u4").tobytes())
+
+
 def test_round_trip_digests(spark):
     import public_tokenizers as P
 
