@@ -176,13 +176,14 @@ def _remove(batches: Iterator[pa.RecordBatch], threshold: int, as_text: bool) ->
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *result], [*carried, "n_bytes", "n_removed", "n_spans", "kept_bytes"])
 
 
-def _identified(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+def identified(docs: DataFrame, keep: tuple[str, ...], nulls_last: bool = False) -> DataFrame:
     """The kept columns, text and a unique uid in the order of the contract: doc_id where it is unique and never null."""
     docs = docs.select(*(docs[c] for c in keep), docs["text"].cast("string").alias("text"), docs["doc_id"].cast("long").alias("uid"))
     repeated = docs.groupBy("uid").count().filter((F.col("count") > 1) | F.col("uid").isNull()).limit(1).count()
     if not repeated:
         return docs
-    ordered = docs.repartitionByRange("uid", F.xxhash64("text")).sortWithinPartitions("uid", F.xxhash64("text"))
+    order = (F.col("uid").asc_nulls_last() if nulls_last else F.col("uid").asc(), F.xxhash64("text"))
+    ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order)
     place = ordered.columns.index("uid")
 
     def number(batches):
@@ -202,7 +203,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, keep: tuple[str,
     valid UTF-8), or kept_text (without parts of characters that a cut left).
     """
     spark = docs.sparkSession
-    docs = _identified(docs, keep)
+    docs = identified(docs, keep)
     texts = docs.select("uid", "text")
     runs = texts.mapInArrow(lambda it: _run_rows(it, threshold), "digit bigint, content int, uid bigint, start int, size int")
     digits = texts.select("text").mapInArrow(lambda it: _digit_rows(it, threshold), "digit bigint")

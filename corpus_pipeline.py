@@ -13,7 +13,7 @@ from acrework.llm.language_id import UNKNOWN, predict_languages, train
 from acrework.llm.near_dedup import near_duplicate_components
 from acrework.llm.packing import pack_documents
 from acrework.llm.secrets import redact_secrets
-from acrework.llm.suffix_dedup import remove_repeats
+from acrework.llm.suffix_dedup import identified, remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Calibrated probability of the predicted language below which a document goes.
@@ -39,16 +39,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays, that of the least id.
-
-    Rows with a null id stay; of rows that share an id, one stays.
-    """
+    """One row of each near-duplicate component stays, that of the least id (null last); ids may be null or shared."""
     _bound_batches(spark)
-    kept = near_duplicate_components(docs, NEAR_PERCENT).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    stay = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*COLUMNS)
-    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        stay = stay.dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
+    rows = identified(docs, tuple(c for c in COLUMNS if c != "text"), nulls_last=True)
+    found = near_duplicate_components(rows.select(F.col("uid").alias("doc_id"), "text"), NEAR_PERCENT)
+    kept = found.filter("kept").select(F.col("doc_id").alias("uid"))
+    return rows.join(kept, "uid", "left_semi").select(*COLUMNS)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,6 +137,17 @@ def test_near_dedup_stage_links_from_four_fifths(spark):
     assert tables_for(85) == 10 and all(2 * (1 - (p / 100) ** ROWS) ** tables_for(p) < 0.00015 for p in range(50, 101))
 
 
+def test_near_dedup_stage_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline as C
+
+    text = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (None, text("c")), (None, text("e")), (None, text("e")), (4, None), (4, "")]
+    docs = frame(spark, [(i, t, "en", "a") for i, t in rows]).select(*C.COLUMNS)
+    got = [(r["doc_id"], r["text"]) for r in C.near_dedup_stage(spark, docs, "").collect()]
+    expected = [(1, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (None, text("e")), (4, None), (4, "")]
+    assert sorted(map(repr, got)) == sorted(map(repr, expected))
+
+
 def test_repeats_equal_brute_force(spark):
     from acrework.llm.suffix_dedup import remove_repeats
 
