@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrework.functions.storage import shared_path
+from acrework.functions.storage import shared_path, written
 
 #: Bytes of text that the NumPy kernels take at once; bounds the memory of a Python worker.
 CHUNK_BYTES = 2_000_000
@@ -24,10 +22,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to shared storage and read it back, so that its lineage ends there and it is computed once."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name, codec)[0]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +54,23 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHU
             start = end
 
 
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray, at_once: int = 1_000_000) -> np.ndarray:
+    """Whether a[a_at : a_at + size] equals b[b_at : b_at + size], for each of many ranges of at least one byte."""
+    out = np.zeros(len(size), bool)
+    ends = np.cumsum(size)
+    low = 0
+    while low < len(size):
+        done = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + at_once, "right")))
+        some = slice(low, high)
+        first = ends[some] - size[some] - done
+        step = np.arange(int(ends[high - 1] - done))
+        equal = a[step + np.repeat(a_at[some] - first, size[some])] == b[step + np.repeat(b_at[some] - first, size[some])]
+        out[some] = np.logical_and.reduceat(equal, first)
+        low = high
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -77,13 +89,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(32)
     return x
 
-
-def free_finished(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished steps now, not when the driver next happens to collect garbage.
-
-    Handles are released by the cleaner's thread after a collection, and what they held only by the next one.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)

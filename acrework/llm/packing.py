@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acrework.llm.common import documents, materialise, text_slices
-from acrework.llm.library_bpe import CACHE_PIECES, worker_encoder
+from acrework.llm.library_bpe import with_end, worker_encoder
 
 LENGTH = 2048
 DIMS, BITS = 4, 15
@@ -64,17 +64,14 @@ def _directions(n: int) -> np.ndarray:
     return np.random.default_rng(31337).normal(0, 1, (n, DIMS)).astype(np.float32)
 
 
-def _tokenised(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, cache_pieces: int) -> Iterator[pa.RecordBatch]:
+def _tokenised(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
     import zstandard
 
-    encoder, pack = worker_encoder(tokenizer, cache_pieces), zstandard.ZstdCompressor(level=1)
+    encoder, pack = worker_encoder(tokenizer), zstandard.ZstdCompressor(level=1)
     directions = _directions(len(encoder.byte_len))
-    end = np.asarray([end_id], "<u4").tobytes()
     kind = "<u2" if len(directions) <= 65536 else "<u4"
     for batch in text_slices(batches, "text"):
-        raw = [r + end for r in encoder.encode_batch(["" if t is None else t for t in batch.column("text").to_pylist()])]
-        ids = np.frombuffer(b"".join(raw), "<u4")
-        count = np.asarray([len(r) // 4 for r in raw])
+        ids, count = with_end(*encoder.encode(batch.column("text")), end_id)
         first = np.cumsum(count) - count
         mean = np.stack([np.add.reduceat(directions[:, k][ids], first) for k in range(DIMS)], 1) / count[:, None]
         cells = np.clip((mean / REACH + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
@@ -132,13 +129,10 @@ def _fill(batches: Iterator[pa.RecordBatch], length: int, wide: bool) -> Iterato
     yield batch_of(rows)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH, cache_pieces: int = CACHE_PIECES) -> DataFrame:
-    """One row for each piece of a document: where it lies in its document and in its sequence.
-
-    ``cache_pieces`` bounds the encoded pieces that a worker keeps (about 300 bytes each); fewer cost time only.
-    """
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH) -> DataFrame:
+    """One row for each piece of a document: where it lies in its document and in its sequence."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = materialise(texts.mapInArrow(lambda it: _tokenised(it, tokenizer, end_id, cache_pieces), "doc_id bigint, place bigint, n bigint, ids binary"), "tokenised", codec="none")
+    tokens = materialise(texts.mapInArrow(lambda it: _tokenised(it, tokenizer, end_id), "doc_id bigint, place bigint, n bigint, ids binary"), "tokenised", codec="none")
     along = tokens.withColumn("tie", F.xxhash64("doc_id")).repartitionByRange("place", "tie").sortWithinPartitions("place", "tie", "n").select("doc_id", "ids")
     wide = _vocabulary_size(tokenizer) > 65536
     return along.mapInArrow(lambda it: _fill(it, length, wide), PIECES)

@@ -21,6 +21,37 @@ def _widths(values: np.ndarray) -> np.ndarray:
     return np.where(values > 0, np.floor(np.log2(np.maximum(values, 1).astype(np.float64))).astype(np.int64) + 1, 0)
 
 
+def _pack(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of values below 2**width as bytes, least bits first: every 8 values fill ``width`` bytes."""
+    rows, block = values.shape
+    eights = -(-block // 8)
+    if block % 8:
+        values = np.pad(values, ((0, 0), (0, 8 * eights - block)))
+    columns = np.ascontiguousarray(values.reshape(-1, 8).T)
+    out = np.zeros((width, rows * eights), np.uint8)
+    for i in range(8):
+        for byte in range(i * width // 8, (i * width + width - 1) // 8 + 1):
+            shift = 8 * byte - i * width
+            out[byte] |= (columns[i] >> shift if shift >= 0 else columns[i] << -shift).astype(np.uint8)
+    packed = np.ascontiguousarray(out.T).reshape(rows, -1)
+    return packed[:, : (block * width + 7) // 8]
+
+
+def _unpack(packed: np.ndarray, width: int, block: int) -> np.ndarray:
+    """The values of ``_pack``."""
+    rows, eights = len(packed), -(-block // 8)
+    if packed.shape[1] < eights * width:
+        packed = np.pad(packed, ((0, 0), (0, eights * width - packed.shape[1])))
+    columns = np.ascontiguousarray(packed.reshape(-1, width).T).astype(np.uint32)
+    out = np.zeros((8, rows * eights), np.uint32)
+    for i in range(8):
+        for byte in range(i * width // 8, (i * width + width - 1) // 8 + 1):
+            shift = 8 * byte - i * width
+            out[i] |= columns[byte] << shift if shift >= 0 else columns[byte] >> -shift
+    out &= np.uint32((1 << width) - 1)
+    return np.ascontiguousarray(out.T).reshape(rows, -1)[:, :block]
+
+
 def encode(ids: np.ndarray, block: int = 256, percentile: float = 95.0) -> bytes:
     """Encode unsigned 32-bit ids; no ids give a header alone."""
     ids = np.ascontiguousarray(ids, np.uint32)
@@ -35,20 +66,17 @@ def encode(ids: np.ndarray, block: int = 256, percentile: float = 95.0) -> bytes
     rest = grid - low[:, None]
     rank = min(block - 1, int(np.ceil(block * percentile / 100)) - 1)
     width = _widths(np.partition(rest, rank, axis=1)[:, rank])
-    big = rest >= (np.uint64(1) << width.astype(np.uint64))[:, None]
+    big = rest > ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     n_exc = big.sum(1)
     packed_bytes = (block * width + 7) // 8
     start = np.zeros(blocks + 1, np.int64)
     np.cumsum(packed_bytes + 6 * n_exc, out=start[1:])
     body = np.zeros(int(start[-1]), np.uint8)
-    unit = np.uint16 if rest.max() < 65536 else np.uint32
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         if w == 0:
             continue
         rows = np.flatnonzero(width == w)
-        kept = np.where(big[rows], 0, rest[rows]).astype(unit)
-        bits = np.unpackbits(kept.view(np.uint8).reshape(len(rows), block, -1), axis=2, bitorder="little", count=int(w))
-        packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+        packed = _pack(np.where(big[rows], 0, rest[rows]), w)
         body[start[rows][:, None] + np.arange(packed.shape[1])] = packed
     at_block, at = np.nonzero(big)
     if len(at):
@@ -89,16 +117,11 @@ def decode(data: bytes, first_block: int = 0, last_block: int | None = None) ->
     body = np.frombuffer(data, np.uint8, offset=at + 8 * blocks)
     packed_bytes = (block * width + 7) // 8
     rest = np.zeros((last - first_block, block), np.uint32)
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         if w == 0:
             continue
         rows = np.flatnonzero(width == w)
-        unit = np.uint16 if w <= 16 else np.uint32
-        size = int(packed_bytes[rows[0]])
-        bits = np.unpackbits(body[start[rows][:, None] + np.arange(size)], axis=1, bitorder="little", count=block * int(w))
-        wide = np.zeros((len(rows), block, 8 * unit().itemsize), np.uint8)
-        wide[:, :, : int(w)] = bits.reshape(len(rows), block, int(w))
-        rest[rows] = np.packbits(wide, axis=2, bitorder="little").reshape(len(rows), -1).view(unit)
+        rest[rows] = _unpack(body[start[rows][:, None] + np.arange(int(packed_bytes[rows[0]]))], w, block)
     if n_exc.any():
         owner = np.repeat(np.arange(len(n_exc)), n_exc)
         order = np.arange(len(owner)) - np.repeat(np.cumsum(n_exc) - n_exc, n_exc)

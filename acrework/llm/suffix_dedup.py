@@ -1,16 +1,21 @@
 """Exact removal of repeated byte passages by a depth-limited radix sort of suffixes.
 
-Suffixes are ordered only through the threshold (100 bytes), most significant digit first, and a group of one leaves
-the sort at once.  The digits are taken so that each pass shuffles little:
-
-1. *First digit*: of all 100-byte windows that share the place of their least 48-byte hash, one row goes out
-   (a run).  A window that occurs twice has the same least hash both times, so a digit seen once ends its whole run.
-2. *Run digit*: runs that are equal byte for byte (all their windows) form a group; all but its first are repeats.
-3. *Last digit*: of the first runs of groups whose first digit has other groups too, every window goes out with the hash of its 100 bytes;
-   equal groups are exactly the repeated windows.
-
-Repeats inside one document are found while its text is at hand.  Counts are aggregated before they are shuffled and
-joined back to the runs, so that a passage in a third of all documents is split by the adaptive skew join.
+Suffixes count only through the threshold (100 bytes).  They are dealt into groups by one digit after the other, each
+digit a string of their bytes; a group of one leaves the sort at once, and the groups that are equal through the
+threshold are exactly the repeated windows.  The order of different groups is never needed, so each pass groups by the
+digits instead of ordering them.  So that a pass need not move every suffix, neighbouring suffixes travel together:
+
+1. *First digit*: the 48 bytes that stand at the place of the least hash in a window (its anchor).  Windows that share an
+   anchor are one row (a run), and equal windows have equal anchors.  Runs are counted by a hash of this digit, and a
+   run whose hash is unique leaves.  The hash only lets runs leave; whatever is called equal is equal in bytes.
+2. The bytes of the runs that are left go out once.  Runs equal in all their bytes are repeats but for the first.
+3. *Following digits*: where a group still has different runs, the first of each is cut into stretches of ``WIDTHS``
+   windows (at equal distances from the anchor), and regrouped by the bytes that all windows of the stretch share
+   (91 of them, and then, for single windows, all 100).  In each pass groups of one leave, and equal rows are repeats
+   but for the first.
+
+Repeats inside one document are found while its text is at hand.  Counts are combined before they are shuffled and
+joined back to the rows, so that a passage in a third of all documents is split by the adaptive skew join.
 
 Defined results: null and short texts lose nothing; rows that share a doc_id (or have none, which comes first) stand in
 an order fixed by a hash of their text, and of equal rows all but one count as later; other columns are ignored.
@@ -18,7 +23,6 @@ an order fixed by a hash of their text, and of equal rows all but one count as l
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,133 +32,161 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from acrework.llm.common import documents, free_finished, materialise, mix64, text_slices, utf8
+from acrework.functions.storage import delete_written, written
+from acrework.llm.common import documents, materialise, same_bytes, text_slices, utf8
 from acrework.llm.rolling import Prefix, sliding_min
 
 THRESHOLD = 100
 DIGIT = 48
+#: Windows in a stretch of each later pass; the last must be single windows.
+WIDTHS = (9, 1)
 #: Bytes of text at once, so that the arrays stay in a core's cache.
 SLICE = 250_000
+#: Low bits of a hash that give way to its place, so that of equal hashes the leftmost is least; the same at any length.
+PLACE_BITS = 20
 
 
 class Runs:
-    """Runs of windows with one first digit, over concatenated texts."""
+    """Runs of windows with one anchor, over concatenated texts.
+
+    ``digit_bits`` keeps that many leading bits of the hashes; fewer make different digits collide, which costs work but
+    changes no result.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, threshold: int = THRESHOLD, digit: int = DIGIT, contents: bool = True):
-        self.threshold, self.prefix = threshold, Prefix(data)
-        lengths = np.diff(offsets)
-        windows = np.maximum(lengths - threshold + 1, 0)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, threshold: int = THRESHOLD, digit: int = DIGIT, digit_bits: int = 64):
+        self.threshold, self.data, self.prefix = threshold, data, Prefix(data)
+        windows = np.maximum(np.diff(offsets) - threshold + 1, 0)
         total = int(windows.sum())
-        self.doc = self.start = self.size = np.zeros(0, np.int64)
-        self.digit = self.content = np.zeros(0, np.uint64)
+        self.doc = self.start = self.size = self.left = np.zeros(0, np.int64)
+        self.digit = np.zeros(0, np.uint64)
         if not total:
             return
         has = np.flatnonzero(windows)
         before = np.cumsum(windows[has]) - windows[has]
-        hashes = self.prefix.windows(digit)
-        low = np.uint64((1 << len(hashes).bit_length()) - 1)  # low bits hold the place: of equal hashes the leftmost counts
-        least = sliding_min((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), threshold - digit + 1)
+        hashes = self.prefix.windows(digit) >> np.uint64(64 - digit_bits) << np.uint64(64 - digit_bits)
         at = np.arange(total) + np.repeat(offsets[:-1][has] - before, windows[has])
-        value = least[at]
+        anchor = _anchors(hashes, threshold - digit + 1)[at]
         head = np.ones(total, bool)
-        head[1:] = value[1:] != value[:-1]
+        head[1:] = anchor[1:] != anchor[:-1]
         head[before] = True
         first = np.flatnonzero(head)
         self.size = np.diff(first, append=total)
-        self.start, self.digit = at[first], hashes[(value[first] & low).astype(np.int64)]
+        self.start, self.digit = at[first], hashes[anchor[first]]
+        self.left = anchor[first] - self.start
         self.doc = np.repeat(has, np.diff(np.searchsorted(first, np.append(before, total))))
-        if contents:
-            self.content = self.prefix.ranges(self.start, self.start + self.size - 1 + threshold)
 
-    def starts_of(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All window starts in the chosen runs and, for each, its run."""
+    def _alike(self) -> tuple[np.ndarray, np.ndarray]:
+        """The runs in an order that puts equal digits of a document side by side, and which equal the one before."""
+        order = np.argsort(self.digit, kind="stable")
+        same = (self.digit[order][1:] == self.digit[order][:-1]) & (self.doc[order][1:] == self.doc[order][:-1])
+        return order, np.append(False, same) if len(order) else np.zeros(0, bool)
+
+    def digits(self) -> np.ndarray:
+        """The digits of each document, each once."""
+        order, same = self._alike()
+        return self.digit[order[~same]]
+
+    def different(self) -> np.ndarray:
+        """Ascending runs without those that equal an earlier one of their document byte for byte."""
+        order, same = self._alike()
+        shared = same.copy()
+        shared[:-1] |= same[1:]
+        some = np.sort(order[shared])
+        keep = np.ones(len(order), bool)
+        if len(some):
+            length = self.size[some] + self.threshold - 1
+            keep[some[self._later(self.start[some], length, self.doc[some])]] = False
+        return np.flatnonzero(keep)
+
+    def _later(self, start: np.ndarray, length: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Which ranges of bytes equal an earlier one of their document; hashes propose and bytes decide."""
+        value = self.prefix.ranges(start, start + length)
+        order = np.argsort(value, kind="stable")
+        head = np.append(True, (value[order][1:] != value[order][:-1]) | (doc[order][1:] != doc[order][:-1]))
+        group = np.cumsum(head) - 1
+        first = order[np.flatnonzero(head)][group]
+        rest = np.flatnonzero(~head)
+        a, b = order[rest], first[rest]
+        equal = length[a] == length[b]
+        equal[equal] = same_bytes(self.data, start[a[equal]], self.data, start[b[equal]], length[a[equal]])
+        later = np.zeros(len(start), bool)
+        later[a] = True
+        if not equal.all():  # different ranges with one hash
+            for g in np.unique(group[rest[~equal]]).tolist():
+                seen = set()
+                for i in np.sort(order[np.searchsorted(group, g) : np.searchsorted(group, g, "right")]).tolist():
+                    found = self.data[start[i] : start[i] + length[i]].tobytes()
+                    later[i] = found in seen
+                    seen.add(found)
+        return later
+
+    def repeated_inside(self) -> np.ndarray:
+        """Starts of windows that also start earlier in their own document."""
+        order, same = self._alike()
+        same[:-1] |= same[1:]
+        chosen = np.sort(order[same])
         size = self.size[chosen]
         run = np.repeat(chosen, size)
-        return np.arange(len(run)) + np.repeat(self.start[chosen] - (np.cumsum(size) - size), size), run
+        starts = np.arange(len(run)) + np.repeat(self.start[chosen] - (np.cumsum(size) - size), size)
+        return starts[self._later(starts, np.full(len(starts), self.threshold), self.doc[run])] if len(starts) else starts
 
-    def hashes(self, starts: np.ndarray) -> np.ndarray:
-        return self.prefix.ranges(starts, starts + self.threshold)
 
-    def repeated_inside(self) -> np.ndarray:
-        """Starts of windows that also start earlier in their own document."""
-        if not len(self.doc):
-            return np.zeros(0, np.int64)
-        key = mix64(self.digit + self.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
-        shared = np.zeros(len(order), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        chosen = np.sort(order[shared])
-        if not len(chosen):
-            return np.zeros(0, np.int64)
-        starts, run = self.starts_of(chosen)
-        value = mix64(self.hashes(starts) + self.doc[run].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        order = np.argsort(value, kind="stable")  # starts ascend, so of equal windows the first comes first
-        later = value[order][1:] == value[order][:-1]
-        return np.sort(starts[order[1:][later]])
-
-
-def _long(values: np.ndarray) -> pa.Array:
-    return pa.array(values.view(np.int64))
-
-
-def _first_of_equal(key: np.ndarray) -> np.ndarray:
-    """Ascending positions of the first of equal keys."""
-    order = np.argsort(key, kind="stable")
-    keep = np.ones(len(order), bool)
-    keep[1:] = key[order][1:] != key[order][:-1]
-    return np.sort(order[keep])
-
-
-def _digit_rows(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+def _anchors(hashes: np.ndarray, width: int) -> np.ndarray:
+    """For each ``width`` neighbouring hashes the place of the least, of equal ones the leftmost."""
+    low, step, out = np.uint64((1 << PLACE_BITS) - 1), (1 << PLACE_BITS) - width, []
+    for begin in range(0, max(1, len(hashes) - width + 1), step):
+        some = hashes[begin : begin + step + width - 1]
+        least = sliding_min(some & ~low | np.arange(len(some), dtype=np.uint64), width)
+        out.append((least & low).astype(np.int64) + begin)
+    return np.concatenate(out)
+
+
+def _digit_rows(batches: Iterator[pa.RecordBatch], threshold: int, digit_bits: int, at_once: int) -> Iterator[pa.RecordBatch]:
     """The first digits of each document, each once."""
-    for batch in text_slices(batches, "text", SLICE):
-        runs = Runs(*utf8(batch.column("text")), threshold, contents=False)
-        at = _first_of_equal(mix64(runs.digit + runs.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        yield pa.record_batch([_long(runs.digit[at])], ["digit"])
+    for batch in text_slices(batches, "text", at_once):
+        runs = Runs(*utf8(batch.column("text")), threshold, digit_bits=digit_bits)
+        yield pa.record_batch([pa.array(runs.digits().view(np.int64))], ["digit"])
 
 
-def _run_rows(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """Runs, one row for equal runs of a document."""
-    for batch in text_slices(batches, "text", SLICE):
+def _run_rows(batches: Iterator[pa.RecordBatch], threshold: int, digit_bits: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """Runs, one row for equal runs of a document: start in the text, number of windows, bytes before the anchor."""
+    for batch in text_slices(batches, "text", at_once):
         data, offsets = utf8(batch.column("text"))
-        runs = Runs(data, offsets, threshold)
+        runs = Runs(data, offsets, threshold, digit_bits=digit_bits)
         uid = batch.column("uid").to_numpy(zero_copy_only=False)
-        at = _first_of_equal(mix64(runs.digit + mix64(runs.content + runs.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+        at = runs.different()
+        doc = runs.doc[at]
         yield pa.record_batch(
-            [_long(runs.digit[at]), pa.array(runs.content[at].astype(np.uint32).view(np.int32)), pa.array(uid[runs.doc[at]]), pa.array((runs.start - offsets[:-1][runs.doc])[at].astype(np.int32)), pa.array(runs.size[at].astype(np.int32))],
-            ["digit", "content", "uid", "start", "size"],
+            [pa.array(runs.digit[at].view(np.int64)), pa.array(uid[doc]), pa.array((runs.start[at] - offsets[:-1][doc]).astype(np.int32)), pa.array(runs.size[at].astype(np.int16)), pa.array(runs.left[at].astype(np.int16))],
+            ["digit", "uid", "start", "size", "left"],
         )
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+def _with_bytes(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """The runs listed beside each text, with the bytes of all their windows."""
     for batch in text_slices(batches, "text", 1_000_000):
         data, offsets = utf8(batch.column("text"))
-        prefix, uid = Prefix(data), batch.column("uid").to_numpy(zero_copy_only=False)
         lists = batch.column("runs")
         owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-        flat = lists.flatten()
-        start, size = flat.field("start").to_numpy().astype(np.int64), flat.field("size").to_numpy().astype(np.int64)
-        digit = flat.field("digit").to_numpy()
-        run = np.repeat(np.arange(len(size)), size)
-        local = np.arange(len(run)) + np.repeat(start - (np.cumsum(size) - size), size)
-        doc = owner[run]
-        value = prefix.ranges(local + offsets[:-1][doc], local + offsets[:-1][doc] + threshold)
-        at = _first_of_equal(mix64(value + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        for a in range(0, len(at), 200_000):
-            some = at[a : a + 200_000]
-            yield pa.record_batch([pa.array(digit[run[some]]), _long(value[some]), pa.array(uid[doc[some]]), pa.array(local[some].astype(np.int32))], ["digit", "value", "uid", "start"])
+        flat, raw = lists.flatten(), data.tobytes()
+        begin = flat.field("start").to_numpy() + offsets[:-1][owner]
+        end = begin + flat.field("size").to_numpy() + threshold - 1
+        uid = batch.column("uid").take(pa.array(owner))
+        for a in range(0, len(owner), 20_000):
+            some = slice(a, a + 20_000)
+            found = [raw[i:j] for i, j in zip(begin[some].tolist(), end[some].tolist())]
+            cut = [flat.field(c).slice(a, 20_000) for c in ("digit", "start", "size", "left")]
+            yield pa.record_batch([uid.slice(a, 20_000), *cut, pa.array(found, pa.binary())], ["uid", "digit", "start", "size", "left", "data"])
 
 
 def _cover(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:-1] > 0
 
 
-def _remove(batches: Iterator[pa.RecordBatch], threshold: int, as_text: bool) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches, "text", SLICE):
+def _remove(batches: Iterator[pa.RecordBatch], threshold: int, as_text: bool, digit_bits: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    for batch in text_slices(batches, "text", at_once):
         data, offsets = utf8(batch.column("text"))
-        inside = Runs(data, offsets, threshold).repeated_inside()
+        inside = Runs(data, offsets, threshold, digit_bits=digit_bits).repeated_inside()
         lists = batch.column("spans").to_pylist()
         starts, ends = [inside], [inside + threshold]
         for i, spans in enumerate(lists):
@@ -196,44 +228,81 @@ def identified(docs: DataFrame, keep: tuple[str, ...], nulls_last: bool = False)
     return materialise(ordered.mapInArrow(number, ordered.schema), "numbered")
 
 
-def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, keep: tuple[str, ...] = ("doc_id",), as_text: bool = False) -> DataFrame:
+def _settled(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Rows with the least uid of equal data beside them; rows before it (there are none) aside, the first keep their data."""
+    rows = rows.withColumn("hash", F.xxhash64("data"))
+    firsts = rows.groupBy("hash", "data").agg(F.min("uid").alias("first"))  # equal in bytes; the hash only speeds up
+    placed = rows.join(firsts, ["hash", "data"]).withColumn("later", F.col("uid") > F.col("first"))
+    return written(placed.withColumn("data", F.when(~F.col("later"), F.col("data"))).drop("hash", "first"), name, "zstd")
+
+
+def _stretches(runs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Runs cut at every ``width`` distances from the anchor, with the bytes that all windows of a stretch share as key."""
+    most = threshold - DIGIT
+    cut = runs.withColumn("stretch", F.explode(F.expr(f"sequence((`left` - size + 1) div {width}, `left` div {width})")))
+    cut = cut.withColumns({"low": F.col("stretch") * width, "high": F.least(F.col("stretch") * width + width - 1, F.lit(most))})
+    cut = cut.withColumns({"top": F.least("left", "high"), "bottom": F.greatest(F.col("left") - F.col("size") + 1, "low")})
+    out = cut.select(
+        "uid",
+        (F.col("start") + F.col("left") - F.col("top")).cast("int").alias("start"),
+        (F.col("top") - F.col("bottom") + 1).cast("smallint").alias("size"),
+        F.col("top").cast("smallint").alias("left"),
+        F.expr(f"substring(data, `left` - top + 1, top - bottom + {threshold})").alias("data"),
+        "stretch",
+        F.expr(f"substring(data, `left` - low + 1, {threshold} - high + low)").alias("key"),
+    )
+    return out.withColumn("digit", F.xxhash64("stretch", "key"))
+
+
+def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, keep: tuple[str, ...] = ("doc_id",), as_text: bool = False, digit_bits: int = 64, at_once: int = SLICE) -> DataFrame:
     """Remove each byte covered by a passage of ``threshold`` bytes that also starts earlier in the corpus.
 
     Returns the ``keep`` columns, n_bytes, n_removed, n_spans and kept_bytes (the remaining bytes, which need not be
-    valid UTF-8), or kept_text (without parts of characters that a cut left).
+    valid UTF-8), or kept_text (without parts of characters that a cut left).  ``digit_bits`` and ``at_once`` (bytes of
+    text in one slice) change the work, never the result.
     """
+    if threshold <= DIGIT:
+        raise ValueError(f"threshold must be more than {DIGIT}")
     spark = docs.sparkSession
     docs = identified(docs, keep)
     texts = docs.select("uid", "text")
-    runs = texts.mapInArrow(lambda it: _run_rows(it, threshold), "digit bigint, content int, uid bigint, start int, size int")
-    digits = texts.select("text").mapInArrow(lambda it: _digit_rows(it, threshold), "digit bigint")
+    runs = texts.mapInArrow(lambda it: _run_rows(it, threshold, digit_bits, at_once), "digit bigint, uid bigint, start int, size smallint, left smallint")
+    digits = texts.select("text").mapInArrow(lambda it: _digit_rows(it, threshold, digit_bits, at_once), "digit bigint")
     shared_digits = digits.groupBy("digit").count().filter("count > 1").select("digit")
-    shared = materialise(runs.join(shared_digits, "digit"), "shared-runs")
-    free_finished(spark)
-    firsts = shared.groupBy("digit", "content").agg(F.min("uid").alias("first"))
-    variants = firsts.groupBy("digit").agg((F.count("first") > 1).alias("mixed"))
-    placed = shared.join(firsts, ["digit", "content"]).filter("uid >= first")
-    repeats = materialise(placed.filter("uid > first").select("uid", "start", "size"), "repeated-runs")
-    mixed = placed.filter("uid = first").join(variants.filter("mixed"), "digit")
-    alone = mixed.groupBy("uid").agg(F.collect_list(F.struct("digit", "start", "size")).alias("runs"))  # a document's own runs
-    windows = materialise(texts.join(alone, "uid").mapInArrow(lambda it: _window_rows(it, threshold), "digit bigint, value bigint, uid bigint, start int"), "windows")
-    free_finished(spark)
-    equal = windows.groupBy("digit", "value").agg(F.count("uid").alias("n"), F.min("uid").alias("first")).filter("n > 1").drop("n")
-    later = windows.join(equal, ["digit", "value"]).filter("uid > first").select("uid", "start", F.lit(1).alias("size"))
-    spans = repeats.unionByName(_side_by_side(later)).groupBy("uid").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    spans = materialise(spans, "repeat-spans")
-    free_finished(spark)
+    shared, places = written(runs.join(shared_digits, "digit"), "shared-runs", "zstd")
+    own = shared.groupBy("uid").agg(F.collect_list(F.struct("digit", "start", "size", "left")).alias("runs"))  # a document's own runs
+    schema = "uid bigint, digit bigint, start int, size smallint, left smallint, data binary"
+    rows, path = written(texts.join(own, "uid").mapInArrow(lambda it: _with_bytes(it, threshold), schema), "runs", "zstd")
+    delete_written(spark, places)
+    repeats, group = None, ["digit"]
+    for width in (*WIDTHS, None):
+        settled, _ = _settled(rows, "settled-suffixes")
+        if path:
+            delete_written(spark, path)
+            path = None
+        later = settled.filter("later").select("uid", "start", "size")
+        repeats = later if repeats is None else repeats.unionByName(later)
+        if width:
+            leaders = settled.filter("NOT later").drop("later")
+            mixed = leaders.groupBy(*group).count().filter("count > 1").drop("count")
+            rows = _stretches(leaders.join(mixed, group), width, threshold)
+            group = ["digit", "stretch", "key"]
+    spans = materialise(_side_by_side(repeats).groupBy("uid").agg(F.collect_list(F.struct("start", "size")).alias("spans")), "repeat-spans")
     cut = docs.join(spans, "uid", "left").select(*keep, "text", "spans")
     kept = StructField("kept_bytes", StringType() if as_text else BinaryType())
     schema = StructType([*(cut.schema[c] for c in keep), *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), kept])
-    out = cut.mapInArrow(lambda it: _remove(it, threshold, as_text), schema)
+    out = cut.mapInArrow(lambda it: _remove(it, threshold, as_text, digit_bits, at_once), schema)
     return out.withColumnRenamed("kept_bytes", "kept_text") if as_text else out
 
 
-def _side_by_side(windows: DataFrame) -> DataFrame:
-    """Neighbouring windows of a document as one span."""
-    island = F.col("start") - F.row_number().over(Window.partitionBy("uid").orderBy("start"))
-    return windows.withColumn("island", island).groupBy("uid", "island").agg(F.min("start").alias("start"), F.count("start").cast("int").alias("size")).drop("island")
+def _side_by_side(rows: DataFrame) -> DataFrame:
+    """Rows of a document that follow one another without a gap as one span of windows."""
+    order = Window.partitionBy("uid").orderBy("start")
+    reach = F.max(F.col("start") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("opens", F.when(F.col("start") <= reach, 0).otherwise(1))
+    marked = marked.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    span = marked.groupBy("uid", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"))
+    return span.select("uid", "start", (F.col("end") - F.col("start")).cast("int").alias("size"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from acrework.llm import pfor
 from acrework.llm.common import documents, scratch_path, text_slices
-from acrework.llm.library_bpe import worker_encoder
+from acrework.llm.library_bpe import with_end, worker_encoder
 
 SEGMENT = "part int, seq long, ids_before long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 RESULT = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -33,28 +33,26 @@ SEGMENT_IDS = 1_000_000
 def _segments(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, block: int, percentile: float) -> Iterator[pa.RecordBatch]:
     encoder, schema = worker_encoder(tokenizer), _arrow_segment()
     part, seq, before = TaskContext.get().partitionId(), 0, 0
-    end = np.asarray([end_id], "<u4").tobytes()
     ids, doc_ids, lengths, held = [], [], [], 0
 
     def flush():
         nonlocal seq, before, ids, doc_ids, lengths, held
-        payload = pfor.encode(np.frombuffer(b"".join(ids), "<u4"), block, percentile)
+        payload = pfor.encode(np.concatenate(ids), block, percentile)
         row = pa.RecordBatch.from_pylist(
-            [{"part": part, "seq": seq, "ids_before": before, "n_ids": held, "doc_ids": doc_ids, "lengths": lengths, "payload": payload}], schema
+            [{"part": part, "seq": seq, "ids_before": before, "n_ids": held, "doc_ids": doc_ids, "lengths": np.concatenate(lengths), "payload": payload}], schema
         )
         seq, before = seq + 1, before + held
         ids, doc_ids, lengths, held = [], [], [], 0
         return row
 
     for batch in text_slices(batches, "text"):
-        texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-        for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encoder.encode_batch(texts)):
-            ids += (raw, end)
-            doc_ids.append(doc_id)
-            lengths.append(len(raw) // 4 + 1)
-            held += lengths[-1]
-            if held >= SEGMENT_IDS:
-                yield flush()
+        found, count = with_end(*encoder.encode(batch.column("text")), end_id)
+        ids.append(found)
+        doc_ids += batch.column("doc_id").to_pylist()
+        lengths.append(count)
+        held += len(found)
+        if held >= SEGMENT_IDS:
+            yield flush()
     if doc_ids:
         yield flush()
 

@@ -2,6 +2,7 @@
 
 import base64
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,15 +75,61 @@ def test_byte_bpe_long_pieces(merger, reference_bpe):
         assert ids == reference_bpe.encode_ordinary(text)
 
 
+def ids_of(encoder, texts):
+    import pyarrow as pa
+
+    ids, offsets = encoder.encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+
+
+@cache
+def library():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
+def by_library(texts):
+    return [library().encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.lists(TEXT, max_size=4))
-def test_cached_pieces_equal_whole_encoding(texts):
+@given(st.lists(st.one_of(TEXT, st.text(st.sampled_from(list("abE1é.,;'-% \n\t漢ß²×\u00a0_")), max_size=40)), max_size=6))
+def test_pieces_equal_the_library(texts):
     import public_tokenizers as P
 
     from acrework.llm.library_bpe import worker_encoder
 
-    encoder = worker_encoder(P.path("byte_bpe_50k.json"))
-    assert encoder.encode_batch(texts) == [encoder.whole(t) for t in texts]
+    assert ids_of(worker_encoder(P.path("byte_bpe_50k.json"), 400_000), texts) == by_library(texts)
+
+
+def test_pieces_equal_the_library_on_runs_long_pieces_and_nulls():
+    import public_tokenizers as P
+
+    from acrework.llm.library_bpe import PieceEncoder
+
+    rng = np.random.default_rng(9)
+    long = "".join(rng.choice(list("abcdefghij0123+/"), 4000))
+    texts = [None, "", "a", " ", "\n", " " * 50 + "x", "x" + " " * 50, "a\n\n\nb \n c\r\nd", long, long + " " + long, "word." * 400, "漢字かな交じり文" * 60, "don't 'quote' it's'", "naïve café.\nÉté; voilà\u00a0: «ok»"]
+    texts += [" ".join(rng.choice(["alpha", "beta,", "gamma.\nDelta", "42", "%%%", "l'été"], 60)) for _ in range(40)]
+    small = PieceEncoder(P.path("byte_bpe_50k.json"), 60_000)
+    for _ in range(2):  # the second time from the table
+        assert ids_of(small, texts) == by_library(texts)
+    assert small.table.n and small.table.room >= 0 and ids_of(small, []) == []
+
+
+def test_pieces_with_equal_hashes_are_told_apart(monkeypatch):
+    import public_tokenizers as P
+
+    from acrework.llm import library_bpe
+
+    whole = library_bpe.Prefix.ranges
+    monkeypatch.setattr(library_bpe.Prefix, "ranges", lambda self, a, b: whole(self, a, b) & np.uint64(7))
+    texts = ["the cat saw a dog and the dog saw a cat.", "a dog saw the other dog, twice the cat"] * 3
+    encoder = library_bpe.PieceEncoder(P.path("byte_bpe_50k.json"))
+    for _ in range(2):
+        assert ids_of(encoder, texts) == by_library(texts)
 
 
 def test_added_tokens_in_texts_as_by_library():
@@ -91,18 +138,16 @@ def test_added_tokens_in_texts_as_by_library():
 
     from acrework.llm.library_bpe import PieceEncoder
 
-    library, encoder = Tokenizer.from_file(P.path("byte_bpe_50k.json")), PieceEncoder(P.path("byte_bpe_50k.json"))
+    own, encoder = Tokenizer.from_file(P.path("byte_bpe_50k.json")), PieceEncoder(P.path("byte_bpe_50k.json"))
     texts = ["a <|endoftext|> b", "<|endoftext|>", "one<|endoftext|>two three", "a  <|endoftext|>  b ", "<|endoftext| > a", "plain words a b"]
-    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    expected = [own.encode(t, add_special_tokens=False).ids for t in texts]
     assert expected[0] == [64, 220, 50256, 275]
-    assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode_batch(texts)] == expected
-    for t in (library, encoder.tokenizer):
+    assert ids_of(encoder, texts) == expected
+    for t in (own, encoder.tokenizer):
         t.add_tokens([AddedToken("two three", normalized=False)])
     encoder.added.append("two three")
     texts = ["zero two", "zero three four", "one two three four", *(f"x two{i}" for i in range(3))]
-    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode_batch(texts)] == expected
-
+    assert ids_of(encoder, texts) == [own.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_trigram_queries_never_miss_and_hex_has_none():
@@ -249,3 +294,39 @@ def test_network_gradients_and_learning():
     fitted = T.fit_network(rows, steps=150)
     s = fitted.scores(["alpha beta " * 200 + "blorked gamma", "alpha beta gamma " * 30, "", None])
     assert s[0] > 0.5 > s[1] and s[2] == s[3] and 0 <= s[2] <= 1
+
+
+def test_repeats_inside_a_text_whatever_the_hashes(monkeypatch):
+    from acrework.llm import suffix_dedup
+
+    rng = np.random.default_rng(12)
+    part = "".join(rng.choice(list("abcd"), 150))
+    texts = [part + "x" + part[:130] + "y" + part[20:], "ab" * 200, part, "z" * 130]
+    data, offsets = utf8(pa.array(texts))
+    expected, at = [], 0
+    for t in texts:
+        seen = set()
+        for i in range(len(t) - 99):
+            expected += [at + i] if t[i : i + 100] in seen else []
+            seen.add(t[i : i + 100])
+        at += len(t)
+    assert sorted(suffix_dedup.Runs(data, offsets).repeated_inside().tolist()) == expected
+    whole = suffix_dedup.Prefix.ranges
+    monkeypatch.setattr(suffix_dedup.Prefix, "ranges", lambda self, a, b: whole(self, a, b) & np.uint64(3))
+    assert sorted(suffix_dedup.Runs(data, offsets, digit_bits=4).repeated_inside().tolist()) == expected
+
+
+def test_anchors_do_not_depend_on_the_slice():
+    from acrework.llm import suffix_dedup
+
+    text = np.random.default_rng(3).integers(97, 100, 5000).astype(np.uint8).tobytes().decode() + "q" * 900
+    alone = suffix_dedup.Runs(*utf8(pa.array([text])))
+    among = suffix_dedup.Runs(*utf8(pa.array(["other text " * 40_000, text, "more"])))
+    own = among.doc == 1
+    assert (among.digit[own] == alone.digit).all() and (among.left[own] == alone.left).all() and (among.size[own] == alone.size).all()
+    place, suffix_dedup.PLACE_BITS = suffix_dedup.PLACE_BITS, 10  # many blocks of one text
+    try:
+        blocks = suffix_dedup.Runs(*utf8(pa.array([text])))
+    finally:
+        suffix_dedup.PLACE_BITS = place
+    assert (blocks.start[1:] > blocks.start[:-1]).all() and blocks.size.sum() == alone.size.sum()

@@ -148,10 +148,16 @@ def test_near_dedup_stage_keeps_one_row_of_each_component(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, expected))
 
 
-def test_repeats_equal_brute_force(spark):
+@pytest.mark.parametrize("digit_bits, at_once", [(64, 250_000), (64, 700), (5, 250_000), (5, 700)])
+def test_repeats_equal_brute_force(spark, digit_bits, at_once):
+    """Also with first digits that collide, and with other slices of text: neither may change a result."""
     from acrework.llm.suffix_dedup import remove_repeats
 
     rows = [*texts_with_copies(), (100, "abc" * 90, "en", "a"), (101, "é" * 120, "en", "a"), (102, "abc" * 60, "en", "a")]
+    rng = np.random.default_rng(8)
+    line = "".join(rng.choice(list("abcdef "), 60))
+    rows += [(200 + i, "".join(rng.choice(list("abcdef "), 45)) + line + "".join(rng.choice(list("abcdef "), 45)), "en", "a") for i in range(40)]
+    rows += [(300 + i, rows[-1 - i][1][i : 120 + i] + line * 3, "en", "a") for i in range(4)]
     seen, expected = set(), {}
     for i, t, *_ in rows:
         raw = t.encode()
@@ -162,7 +168,7 @@ def test_repeats_equal_brute_force(spark):
             seen.add(raw[k : k + 100])
         spans = int((gone & ~np.append(False, gone[:-1])).sum()) if len(raw) else 0
         expected[i] = (len(raw), int(gone.sum()), spans, bytes(c for c, g in zip(raw, gone) if not g))
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept_bytes"])) for r in remove_repeats(frame(spark, rows)).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept_bytes"])) for r in remove_repeats(frame(spark, rows), digit_bits=digit_bits, at_once=at_once).collect()}
     assert got == expected
 
 
