@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acrework.functions.storage import shared_path, written
@@ -80,6 +80,23 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def bounded_sample(rows: DataFrame, by: str, share: dict, most: dict, most_bytes: int) -> DataFrame:
+    """At most ``most[v]`` different rows of each value v of ``by``, and ``most_bytes`` bytes of their texts (one text
+    at least), by the least ``draw`` (0 to 1).
+
+    ``share[v]`` is the part of v's rows that is looked at: what it lets through should be a little more than wanted.
+    Equal rows (of one draw) count once.
+    """
+    value = F.col(by).cast("string")
+    limit = F.create_map(*(F.lit(x) for v, part in share.items() for x in (str(v), float(part))))
+    looked_at = rows.filter(F.col("draw") < limit[value]).dropDuplicates([by, "draw"])
+    order = Window.partitionBy(by).orderBy("draw")
+    first = looked_at.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(most.values()))
+    upto = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    own = F.create_map(*(F.lit(x) for v, n in most.items() for x in (str(v), n)))
+    return first.withColumn("upto", upto).filter((F.col("place") <= own[value]) & ((F.col("place") == 1) | (F.col("upto") <= most_bytes))).drop("upto")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads the bits of unsigned 64-bit values."""
     x = x ^ (x >> np.uint64(31))

@@ -7,7 +7,8 @@ follow-the-regularised-leader (per-coordinate steps, elastic-net penalties, so m
 sample, ``SAMPLE_PER_LANG`` whole texts of each language; a part of it, not used for fitting, sets the temperature.
 
 Defined results: null text, or one without a letter, gives ``und`` with score 0; with no training rows every text does;
-rows with null language are predicted but not learnt from; repeated rows count each time; other columns are ignored.
+rows with null language are predicted but not learnt from; repeated rows count each time in the document frequencies and
+once in the sample; other columns are ignored.  There is no limit on languages; the driver needs about 1.5 MB for each.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrework.llm.common import documents, held_out, text_slices
+from acrework.llm.common import bounded_sample, documents, held_out, text_slices
 
 BUCKETS = 1 << 16
 MOST = 3
-#: Bound of the sample that the classifier is fitted on: whole texts for each language, and languages in all.
+#: Bounds of the sample that the classifier is fitted on: whole texts and their bytes for each language.  With very many
+#: languages each has fewer, so that ``SAMPLE_IN_ALL`` texts are not exceeded (one text of each language always stays).
 SAMPLE_PER_LANG = 500
-MOST_LANGS = 200
+SAMPLE_BYTES = 8_000_000
+SAMPLE_IN_ALL = 100_000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 SCALE = 30.0
@@ -184,19 +187,15 @@ def train(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> LanguageMo
             n_docs = n
         else:
             frequency[bucket] = n
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
-    # an expected 1.2 times the bound of each language, by a hash of the id; then cut to the bound in hash order
-    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id", "text"), F.lit(1_000_003)) / 1_000_003.0
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, (1.2 * sample_per_lang + 20) / r["count"]))).otherwise(share)
-    drawn = rows.withColumn("draw", draw).filter(F.col("draw") < share).select("draw", "lang", "text").collect()
-    taken: dict[str, int] = {}
-    sample = []
-    for r in sorted(drawn, key=lambda r: (r["draw"], r["lang"], r["text"])):
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= sample_per_lang:
-            sample.append((r["text"], r["lang"]))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
+    if not sizes:
+        return fit_model([], frequency, n_docs)
+    each = max(1, min(sample_per_lang, SAMPLE_IN_ALL // len(sizes)))
+    # an expected 1.2 times the bound of each language, by a hash of id and text; then cut to the bound in hash order
+    draw = F.xxhash64(F.lit("language"), "doc_id", "text") / 2.0**64 + 0.5
+    share = {lang: min(2.0, (1.2 * each + 20) / n) for lang, n in sizes.items()}
+    drawn = bounded_sample(rows.withColumn("draw", draw).select("draw", "lang", "text"), "lang", share, dict.fromkeys(sizes, each), SAMPLE_BYTES)
+    sample = [(r["text"], r["lang"]) for r in sorted(drawn.collect(), key=lambda r: (r["draw"], r["lang"], r["text"]))]
     return fit_model(sample, frequency, n_docs)
 
 

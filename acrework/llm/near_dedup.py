@@ -8,8 +8,9 @@
    (10 at 0.85, 14 at 0.80).
 3. Table keys, those of ``ROUND_TABLES`` tables at a time, are counted before they are shuffled; classes that share a key are tied to the least of them.  The
    components of these ties are *families*: no link leaves a family.
-4. Families are dealt to groups of bounded size (pairs of blocks, where a family is too large for one), in which pairs
-   that share a table and whose sizes allow it are compared on full sets, most similar first.  Pairs already connected
+4. Families are cut into bands of sizes that can link, and dealt to groups of bounded size (pairs of blocks, where a band
+   is too large for one), in which pairs that share a table and whose sizes allow it are compared on full sets, most
+   similar first.  Pairs already connected
    are skipped, since they cannot change a component; a group gives the links of a spanning forest only.
 5. Components of the links give the result.
 
@@ -22,6 +23,7 @@ where all ids of its component are null; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +47,7 @@ ROUND_TABLES = 100
 BLOCK_SHINGLES, BLOCK_CLASSES = 300_000, 1_500
 #: Bytes of text at once, so that the arrays stay small.
 SLICE = 500_000
-SIGNATURE = "doc_id bigint, n_shingles bigint, node bigint, a array<int>, b array<int>"
+SIGNATURE = "doc_id bigint, digest bigint, n_shingles bigint, node bigint, a array<int>, b array<int>"
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -93,14 +95,17 @@ def _signatures(batches: Iterator[pa.RecordBatch], tables: int) -> Iterator[pa.R
     for batch in text_slices(batches, "text", SLICE):
         key, bounds = shingle_sets(*utf8(batch.column("text")), SHINGLE)
         a, b = table_keys(key, bounds, tables)
-        yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(fingerprints(key, bounds).view(np.int64)), _lists(a), _lists(b)], ["doc_id", "n_shingles", "node", "a", "b"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("digest"), pa.array(np.diff(bounds)), pa.array(fingerprints(key, bounds).view(np.int64)), _lists(a), _lists(b)], ["doc_id", "digest", "n_shingles", "node", "a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The full set of each wanted class, from the text of its representative."""
+    """The full set of each wanted class, from the text of its representative; once in a task, though equal rows come."""
+    seen: set[int] = set()
     for batch in text_slices(batches, "text", SLICE):
         key, bounds = shingle_sets(*utf8(batch.column("text")), SHINGLE)
         same = np.flatnonzero(fingerprints(key, bounds).view(np.int64) == batch.column("node").to_numpy())
+        nodes = batch.column("node").to_pylist()
+        same = np.asarray([i for i in same.tolist() if nodes[i] not in seen and not seen.add(nodes[i])], np.int64)
         sets = [key[bounds[i] : bounds[i + 1]].tobytes() for i in same.tolist()]
         yield pa.record_batch([batch.column("node").take(pa.array(same)), pa.array(sets, pa.binary())], ["node", "members"])
 
@@ -108,7 +113,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links_of_group(table: pa.Table, percent: int) -> pa.Table:
     """Links of a spanning forest among one group's classes (between its two blocks only, if it has two)."""
     node = table.column("node").to_numpy()
-    block = table.column("block").to_numpy()
+    block, own = table.column("block").to_numpy(), np.asarray(table.column("own").to_pylist(), bool)
     sets = [np.frombuffer(m, np.uint64) for m in table.column("members").to_pylist()]
     size = np.asarray([len(s) for s in sets])
     keys = [np.asarray(table.column(c).to_pylist(), np.int32).reshape(len(node), -1) for c in ("a", "b")]
@@ -126,6 +131,8 @@ def _links_of_group(table: pa.Table, percent: int) -> pa.Table:
         rest = np.arange(i + 1, len(node))
         if two:
             rest = rest[block[rest] != block[i]]
+        if not own[i]:
+            rest = rest[own[rest]]  # visitors meet one another in their own band
         same = [keys[k][rest] == keys[k][i] for k in range(2)]
         fits = 100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])
         hit = fits & same[0].any(1) & same[1].any(1)
@@ -159,8 +166,9 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT) -> DataFr
     """doc_id, n_shingles, component_id and kept for every document; links need a similarity of ``percent`` or more."""
     spark, tables = docs.sparkSession, tables_for(percent)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.withColumn("digest", F.xxhash64("text"))
     signed = materialise(texts.mapInArrow(lambda it: _signatures(it, tables), SIGNATURE), "signatures")
-    classes = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min_by("a", F.coalesce("doc_id", F.lit(0))).alias("a"), F.min_by("b", F.coalesce("doc_id", F.lit(0))).alias("b"), F.min("n_shingles").alias("n_shingles"))
+    classes = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min_by("a", F.coalesce("doc_id", F.lit(0))).alias("a"), F.min_by("b", F.coalesce("doc_id", F.lit(0))).alias("b"), F.min_by("digest", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("digest"), F.min("n_shingles").alias("n_shingles"))
     classes = materialise(classes, "classes")
     step = max(1, ROUND_TABLES // tables)
     ties = None
@@ -169,14 +177,21 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT) -> DataFr
         ties = found if ties is None else ties.unionByName(found)
     families = connected_components(ties, "node", "least").withColumnRenamed("component", "family")
     members = materialise(families.join(classes, "node"), "family-members")
-    wanted = members.select("node", F.coalesce("doc_id", F.lit(-(2**63))).alias("place"))
-    full = texts.withColumn("place", F.coalesce("doc_id", F.lit(-(2**63)))).join(wanted, "place").select("node", "text")
+    # a class is fetched by the id and the text's hash of one of its rows, so rows without id or with a shared one do not
+    # meet each other's classes; of rows equal in both one stays
+    place = F.coalesce("doc_id", F.lit(-(2**63))).alias("place")
+    wanted = members.select("node", place, "digest")
+    full = texts.select(place, "digest", "text").join(wanted, ["place", "digest"]).select("node", "text")
     full = materialise(full.mapInArrow(_sets, "node bigint, members binary"), "shingle-sets")
-    blocks = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("node") / BLOCK_CLASSES)).cast("int").alias("blocks"))
-    placed = members.drop("doc_id", "n_shingles").join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # only sizes of neighbouring bands can link, so a class stays in its band and visits the next one
+    width = math.log(100 / percent) * (1 + 1e-9)
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / width) if percent < 100 else F.col("n_shingles")
+    banded = members.withColumn("at", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own"))))).select("node", "a", "b", "n_shingles", "family", "at.band", "at.own")
+    blocks = banded.groupBy("family", "band").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("node") / BLOCK_CLASSES)).cast("int").alias("blocks"), F.max("own").alias("any"), F.count("node").alias("n"))
+    placed = banded.drop("n_shingles").join(blocks.filter("any AND n > 1").drop("any", "n"), ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     partner = F.explode(F.expr("CASE WHEN blocks = 1 THEN array(0) ELSE sequence(0, blocks - 1) END")).alias("partner")
     dealt = placed.select("*", partner).withColumns({"low": F.least("block", "partner"), "high": F.greatest("block", "partner")}).drop("partner", "blocks")
-    groups = dealt.join(full, "node").groupBy("family", "low", "high")
+    groups = dealt.join(full, "node").groupBy("family", "band", "low", "high")
     links = materialise(groups.applyInArrow(lambda t: _links_of_group(t, percent), "src bigint, dst bigint"), "links")
     joined = connected_components(links).join(classes.select("node", "doc_id"), "node")
     least = joined.groupBy("component").agg(F.min("doc_id").alias("least"))

@@ -7,7 +7,7 @@ nearer than d is still unseen with probability of at most 1 - chi2(r**2 / d**2);
 
 The index is a kd-tree in two levels.  Its upper splits come from a bounded sample (``SAMPLE`` projected rows) and cut
 the space into cells of about ``CELL_ROWS`` rows; every row is indexed.  A query first searches its own cell, which
-bounds d, and is then sent only to cells whose box the stopping radius reaches.  In a cell, leaves are verified in
+bounds d, and then descends the tree to the cells whose box the stopping radius reaches.  In a cell, leaves are verified in
 order of projected distance until the test holds.  A cell with many rows is dealt to several parts by a hash.
 
 Equal vectors are indexed once, with their smallest ids, so a vector that a third of the rows share costs one entry.
@@ -35,8 +35,9 @@ CONFIDENCE = 0.95
 CELL_ROWS, LEAF_ROWS = 20_000, 64
 #: Leaves that are verified together at most.
 STEP = 16
-#: Rows whose projections choose the upper splits.
-SAMPLE = 20_000
+#: Rows whose projections choose the upper splits, and the most levels of these: the splits and the boxes of all cells
+#: (under 1.2 MB) go to every task.  Where rows are so many that cells grow, a cell is dealt to more parts.
+SAMPLE, MOST_DEPTH = 20_000, 12
 QUERY_EVERY = 50
 FOUND = "query_id bigint, vec_id bigint, score double"
 
@@ -77,6 +78,15 @@ class Splits:
             node = 2 * node + 1 + right
         return node - ((1 << self.depth) - 1)
 
+    def reached(self, points: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a point's position and a cell that its ball may reach, by descent from the root."""
+        who, node = np.arange(len(points)), np.zeros(len(points), np.int64)
+        for _ in range(self.depth):
+            at, value = points[who, self.axis[node]], self.value[node]
+            left, right = at - radius[who] <= value, at + radius[who] >= value
+            who, node = np.concatenate((who[left], who[right])), np.concatenate((2 * node[left] + 1, 2 * node[right] + 2))
+        return who, node - ((1 << self.depth) - 1)
+
 
 class Leaves:
     """The lower levels: leaves of few rows with their boxes."""
@@ -187,7 +197,7 @@ def nearest_neighbours(vectors: DataFrame, queries: F.Column, k: int = 5, confid
 
     draw = F.pmod(F.xxhash64("ids"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, SAMPLE / n))
     sample = np.asarray([r["proj"] for r in index.filter(draw).select("proj").limit(2 * SAMPLE).collect()]).reshape(-1, DIMS)
-    splits = Splits(sample, int(np.ceil(np.log2(max(1, n / CELL_ROWS)))))
+    splits = Splits(sample, min(MOST_DEPTH, int(np.ceil(np.log2(max(1, n / CELL_ROWS))))))
 
     def celled(schema: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,10 +224,25 @@ def nearest_neighbours(vectors: DataFrame, queries: F.Column, k: int = 5, confid
 
     near = materialise(_best(search(asked.withColumn("bound", F.lit(2.0))), k), "own-cell")
     bound = near.filter(F.col("rank") == k).select("query_id", F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))).alias("bound"))
-    bounded = asked.join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(2.0))).withColumnRenamed("cell", "own")
-    gap = sum((F.pow(F.greatest(F.col(f"low{i}") - F.element_at("proj", i + 1), F.element_at("proj", i + 1) - F.col(f"high{i}"), F.lit(0.0)), 2) for i in range(DIMS)), F.lit(0.0))
-    # queries against the few cells' boxes (one row for each CELL_ROWS rows), never against rows
-    reached = bounded.join(F.broadcast(boxes.drop("parts")), (F.col("cell") != F.col("own")) & (F.sqrt(gap) <= ratio * F.col("bound") + 1e-9)).select("cell", "query_id", "vec", "proj", "bound")
+    bounded = asked.join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(2.0)))
+    lows, highs = np.full((1 << splits.depth, DIMS), np.inf), np.full((1 << splits.depth, DIMS), -np.inf)
+    for r in boxes.collect():  # at most 2**MOST_DEPTH cells
+        lows[r["cell"]], highs[r["cell"]] = [r[f"low{i}"] for i in range(DIMS)], [r[f"high{i}"] for i in range(DIMS)]
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            points, radius = _matrix(batch.column("proj")), ratio * batch.column("bound").to_numpy() + 1e-9
+            for a in range(0, len(points), 256):
+                who, cell = splits.reached(points[a : a + 256], radius[a : a + 256])
+                who += a
+                gap = np.maximum(np.maximum(lows[cell] - points[who], points[who] - highs[cell]), 0)
+                near_enough = (np.sqrt((gap * gap).sum(1)) <= radius[who]) & (cell != batch.column("cell").to_numpy()[who])
+                rows = batch.select(["query_id", "vec", "proj", "bound"]).take(pa.array(who[near_enough]))
+                yield pa.RecordBatch.from_arrays([pa.array(cell[near_enough]), *rows.columns], ["cell", *rows.schema.names])
+
+    reached = bounded.mapInArrow(descend, "cell bigint, query_id bigint, vec array<double>, proj array<double>, bound double")
     every = near.select("query_id", "vec_id", "score").unionByName(search(reached))
     return _best(every, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

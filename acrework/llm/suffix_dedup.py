@@ -7,12 +7,14 @@ digits instead of ordering them.  So that a pass need not move every suffix, nei
 
 1. *First digit*: the 48 bytes that stand at the place of the least hash in a window (its anchor).  Windows that share an
    anchor are one row (a run), and equal windows have equal anchors.  Runs are counted by a hash of this digit, and a
-   run whose hash is unique leaves.  The hash only lets runs leave; whatever is called equal is equal in bytes.
-2. The bytes of the runs that are left go out once.  Runs equal in all their bytes are repeats but for the first.
-3. *Following digits*: where a group still has different runs, the first of each is cut into stretches of ``WIDTHS``
-   windows (at equal distances from the anchor), and regrouped by the bytes that all windows of the stretch share
-   (91 of them, and then, for single windows, all 100).  In each pass groups of one leave, and equal rows are repeats
-   but for the first.
+   run whose hash is unique leaves.
+2. Of the runs that are left, those equal in all their bytes (by their SHA-256) are repeats but for the first.
+3. *Following digits*: where a first digit still has different runs, the bytes of the first of each go out, cut into
+   stretches of ``WIDTHS`` windows (at equal distances from the anchor).  The digit is now what all windows of the stretch
+   share: 91 bytes, and then, for single windows, all 100.  In each pass rows whose digit is unique leave, and of rows
+   with equal bytes all but the first are repeats.
+
+Hashes of digits only let rows leave, and only where no other row has the same; collisions cost work and change nothing.
 
 Repeats inside one document are found while its text is at hand.  Counts are combined before they are shuffled and
 joined back to the rows, so that a passage in a third of all documents is split by the adaptive skew join.
@@ -23,6 +25,7 @@ an order fixed by a hash of their text, and of equal rows all but one count as l
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,8 +165,8 @@ def _run_rows(batches: Iterator[pa.RecordBatch], threshold: int, digit_bits: int
         )
 
 
-def _with_bytes(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """The runs listed beside each text, with the bytes of all their windows."""
+def _listed(batches: Iterator[pa.RecordBatch], threshold: int, digest: bool) -> Iterator[pa.RecordBatch]:
+    """The runs listed beside each text, with the bytes of all their windows or the SHA-256 of these bytes."""
     for batch in text_slices(batches, "text", 1_000_000):
         data, offsets = utf8(batch.column("text"))
         lists = batch.column("runs")
@@ -175,6 +178,8 @@ def _with_bytes(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[p
         for a in range(0, len(owner), 20_000):
             some = slice(a, a + 20_000)
             found = [raw[i:j] for i, j in zip(begin[some].tolist(), end[some].tolist())]
+            if digest:
+                found = [hashlib.sha256(f).digest() for f in found]
             cut = [flat.field(c).slice(a, 20_000) for c in ("digit", "start", "size", "left")]
             yield pa.record_batch([uid.slice(a, 20_000), *cut, pa.array(found, pa.binary())], ["uid", "digit", "start", "size", "left", "data"])
 
@@ -228,30 +233,42 @@ def identified(docs: DataFrame, keep: tuple[str, ...], nulls_last: bool = False)
     return materialise(ordered.mapInArrow(number, ordered.schema), "numbered")
 
 
+PLACE = "uid bigint, digit bigint, start int, size smallint, left smallint"
+
+
 def _settled(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Rows with the least uid of equal data beside them; rows before it (there are none) aside, the first keep their data."""
+    """The rows, ``later`` where a document with a smaller uid has a row with equal data (null then)."""
     rows = rows.withColumn("hash", F.xxhash64("data"))
     firsts = rows.groupBy("hash", "data").agg(F.min("uid").alias("first"))  # equal in bytes; the hash only speeds up
     placed = rows.join(firsts, ["hash", "data"]).withColumn("later", F.col("uid") > F.col("first"))
     return written(placed.withColumn("data", F.when(~F.col("later"), F.col("data"))).drop("hash", "first"), name, "zstd")
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows whose digit other rows have too."""
+    return rows.join(rows.groupBy("digit").count().filter("count > 1").select("digit"), "digit")
+
+
+def _bytes_of(texts: DataFrame, runs: DataFrame, threshold: int, digest: bool, name: str) -> tuple[DataFrame, str]:
+    """The runs with their bytes, fetched from the texts of their documents."""
+    own = runs.groupBy("uid").agg(F.collect_list(F.struct("digit", "start", "size", "left")).alias("runs"))  # a document's own runs
+    return written(texts.join(own, "uid").mapInArrow(lambda it: _listed(it, threshold, digest), f"{PLACE}, data binary"), name, "zstd")
+
+
 def _stretches(runs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Runs cut at every ``width`` distances from the anchor, with the bytes that all windows of a stretch share as key."""
+    """Rows cut at every ``width`` distances from the anchor; the digit is what all windows of a stretch share."""
     most = threshold - DIGIT
     cut = runs.withColumn("stretch", F.explode(F.expr(f"sequence((`left` - size + 1) div {width}, `left` div {width})")))
     cut = cut.withColumns({"low": F.col("stretch") * width, "high": F.least(F.col("stretch") * width + width - 1, F.lit(most))})
     cut = cut.withColumns({"top": F.least("left", "high"), "bottom": F.greatest(F.col("left") - F.col("size") + 1, "low")})
-    out = cut.select(
+    return cut.select(
         "uid",
         (F.col("start") + F.col("left") - F.col("top")).cast("int").alias("start"),
         (F.col("top") - F.col("bottom") + 1).cast("smallint").alias("size"),
         F.col("top").cast("smallint").alias("left"),
         F.expr(f"substring(data, `left` - top + 1, top - bottom + {threshold})").alias("data"),
-        "stretch",
-        F.expr(f"substring(data, `left` - low + 1, {threshold} - high + low)").alias("key"),
+        F.xxhash64("stretch", F.expr(f"substring(data, `left` - low + 1, {threshold} - high + low)")).alias("digit"),
     )
-    return out.withColumn("digit", F.xxhash64("stretch", "key"))
 
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, keep: tuple[str, ...] = ("doc_id",), as_text: bool = False, digit_bits: int = 64, at_once: int = SLICE) -> DataFrame:
@@ -270,23 +287,18 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, keep: tuple[str,
     digits = texts.select("text").mapInArrow(lambda it: _digit_rows(it, threshold, digit_bits, at_once), "digit bigint")
     shared_digits = digits.groupBy("digit").count().filter("count > 1").select("digit")
     shared, places = written(runs.join(shared_digits, "digit"), "shared-runs", "zstd")
-    own = shared.groupBy("uid").agg(F.collect_list(F.struct("digit", "start", "size", "left")).alias("runs"))  # a document's own runs
-    schema = "uid bigint, digit bigint, start int, size smallint, left smallint, data binary"
-    rows, path = written(texts.join(own, "uid").mapInArrow(lambda it: _with_bytes(it, threshold), schema), "runs", "zstd")
-    delete_written(spark, places)
-    repeats, group = None, ["digit"]
-    for width in (*WIDTHS, None):
-        settled, _ = _settled(rows, "settled-suffixes")
-        if path:
-            delete_written(spark, path)
-            path = None
-        later = settled.filter("later").select("uid", "start", "size")
-        repeats = later if repeats is None else repeats.unionByName(later)
-        if width:
-            leaders = settled.filter("NOT later").drop("later")
-            mixed = leaders.groupBy(*group).count().filter("count > 1").drop("count")
-            rows = _stretches(leaders.join(mixed, group), width, threshold)
-            group = ["digit", "stretch", "key"]
+    hashed, digests = _bytes_of(texts, shared, threshold, True, "run-digests")
+    settled, _ = _settled(hashed, "settled-runs")
+    repeats = settled.filter("later").select("uid", "start", "size")
+    rows, path = _bytes_of(texts, _shared(settled.filter("NOT later")), threshold, False, "runs")
+    delete_written(spark, places, digests)
+    for width in WIDTHS:
+        cut, stretches = written(_shared(_stretches(rows, width, threshold)), "stretches", "zstd")
+        settled, _ = _settled(cut, "settled-stretches")
+        delete_written(spark, stretches)
+        repeats = repeats.unionByName(settled.filter("later").select("uid", "start", "size"))
+        rows = _shared(settled.filter("NOT later"))
+    delete_written(spark, path)
     spans = materialise(_side_by_side(repeats).groupBy("uid").agg(F.collect_list(F.struct("start", "size")).alias("spans")), "repeat-spans")
     cut = docs.join(spans, "uid", "left").select(*keep, "text", "spans")
     kept = StructField("kept_bytes", StringType() if as_text else BinaryType())

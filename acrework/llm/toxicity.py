@@ -8,8 +8,8 @@ themselves, so that one bad window decides.  All windows of all texts are scored
 The network is trained on the driver on a bounded sample, ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled whole texts.
 Vectors start from smoothed log odds of the sample, everything else from fixed random numbers.
 
-Defined results: null and empty texts are scored as a window without words; with labels of one class only, or none, every score is
-that of the bias; labels, language, source and id are never inputs; repeated rows get equal scores; other columns are
+Defined results: null and empty texts are scored as a window without words; with labels of one class only, every score is the
+bias of that class, and with none it is below 0.5; labels, language, source and id are never inputs; repeated rows get equal scores; other columns are
 ignored.  A label with several rows counts as toxic if any of them is.
 """
 
@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrework.llm.common import documents, held_out, text_slices
+from acrework.llm.common import bounded_sample, documents, held_out, text_slices
 
 WINDOW, STRIDE = 32, 16
 #: Bound of the training sample: labelled whole texts of the toxic and of the other class.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 3000
+#: Bound of the bytes of text of each class in the sample.
+SAMPLE_BYTES = 40_000_000
 WORDS, GRAMS = 1 << 12, 1 << 15
 DIM, HIDDEN = 8, 8
 STEPS, BATCH, RATE = 500, 16, 0.01
@@ -226,7 +228,9 @@ def fit_network(rows: list[tuple[str, int]], steps: int = STEPS) -> Network:
     # words that tell the classes apart come first
     telling = sorted(frequent, key=lambda w: -abs(float(_log_odds(*in_docs[w][::-1, None], max(n_toxic, 1), max(n_clean, 1))[0])) * in_docs[w].sum())
     net = Network({w: i + 1 for i, w in enumerate(telling[: WORDS - 1])})
-    if not n_toxic or not n_clean:
+    if not n_toxic or not n_clean:  # nothing tells the classes apart: the score is that of the bias
+        net.p["out"][:] = 0
+        net.p["base"][0] = np.log((n_toxic + 0.5) / (n_clean + 1))
         return net
     for w, i in net.vocabulary.items():
         net.p["word"][i, 0] = _log_odds(*in_docs[w][::-1, None], n_toxic, n_clean)[0] / 3
@@ -254,17 +258,15 @@ def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (SAMPLE_CL
     """Learn from labelled rows that are not held out; at most ``most`` texts of class 0 and 1 reach the driver."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_003))
-    share = F.lit(-1)
-    for y, n in sizes.items():
-        share = F.when(F.col("toxic") == y, F.lit(int(1_000_003 * min(1.0, (1.2 * most[y] + 20) / n)))).otherwise(share)
-    drawn = known.withColumn("draw", draw).filter(F.col("draw") < share)  # about 1.2 times the bound: small at any input
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id").select("draw", "doc_id", "toxic", "text").collect()
-    taken, sample = {0: 0, 1: 0}, []
-    for r in sorted(rows, key=lambda r: (r["draw"], r["doc_id"], r["text"])):
-        taken[r["toxic"]] += 1
-        if taken[r["toxic"]] <= most[r["toxic"]]:
-            sample.append((r["text"], int(r["toxic"])))
+    if not sizes:
+        return fit_network([])
+    draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_003)) / 1_000_003.0
+    share = {y: min(1.0, (1.2 * most[y] + 20) / n) for y, n in sizes.items()}
+    limit = F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0))
+    drawn = known.withColumn("draw", draw).filter(F.col("draw") < limit)  # about 1.2 times the bound: small at any input
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id")
+    sample = bounded_sample(rows.withColumn("draw", F.xxhash64("draw", "text") / 2.0**64 + 0.5), "toxic", dict.fromkeys(sizes, 2.0), {y: most[y] for y in sizes}, SAMPLE_BYTES)
+    sample = [(r["text"], int(r["toxic"])) for r in sorted(sample.collect(), key=lambda r: (r["draw"], r["text"]))]
     return fit_network(sample)
 
 

@@ -121,6 +121,20 @@ def test_near_duplicates_equal_brute_force(spark):
     assert len({v[1] for v in got.values()}) < len(rows)
 
 
+def test_near_duplicates_without_ids_and_of_many_sizes(spark):
+    """Many rows without id meet only their own classes; chains over sizes and case variants link as in brute force."""
+    from acrework.llm.near_dedup import near_duplicate_components
+
+    base = ["w%d" % i for i in range(220)]
+    rows = [(i, " ".join(base[: 60 + 5 * i]), "en", "a") for i in range(30)]  # each near to its neighbours in size alone
+    rows += [(None, " ".join(base[: 60 + 5 * i]).upper() if i % 2 else f"n{i} " * 9, "en", "a") for i in range(30)] * 3
+    rows += [(7, "quite another text under an id that is taken " * 2, "en", "a")]
+    found = near_duplicate_components(frame(spark, rows)).collect()
+    assert len(found) == len(rows)
+    assert {r["component_id"] for r in found if r["doc_id"] not in (None, 7)} == {0}
+    assert sum(r["component_id"] == 0 for r in found) == 30 + 45 and sum(r["kept"] for r in found) == 1 + 45 + 1
+
+
 def test_near_dedup_stage_links_from_four_fifths(spark):
     import corpus_pipeline as C
     from acrework.llm.near_dedup import ROWS, near_duplicate_components, tables_for
@@ -292,3 +306,36 @@ def test_pipeline_stages(spark, tmp_path):
     assert counts[1] < counts[0] and counts[2] < counts[1] and counts[4] == counts[3]
     assert docs.filter("text like '%hunter2%'").count() == 0 and docs.filter(F.col("text").contains(C.MARK)).count() == 1
     assert C.run(spark, str(tmp_path)).select("doc_id").distinct().count() == counts[4]
+
+
+def test_toxicity_with_one_class_or_none_is_the_bias(spark):
+    from acrework.llm import toxicity
+
+    docs = frame(spark, [(i, f"a polite text number {i}", "en", "a") for i in range(20)])
+    labels = lambda y: spark.createDataFrame([(i, 1, y) for i in range(20) if y is not None], "doc_id bigint, quality int, toxic int")
+    for y, above in ((None, False), (0, False), (1, True)):
+        scores = {r["score"] for r in toxicity.score_toxicity(docs, toxicity.train(docs, labels(y))).collect()}
+        assert len(scores) == 1 and (scores.pop() >= 0.5) == above
+
+
+def test_samples_are_bounded_and_take_equal_rows_once(spark):
+    from acrework.llm.common import bounded_sample
+
+    rows = spark.createDataFrame([(0.25, "a", "x" * 10)] * 50 + [(0.3 + i / 100, "a", "y" * 10) for i in range(20)] + [(0.1, "b", "z" * 500)] + [(0.9, "c", "never")], "draw double, lang string, text string")
+    got = bounded_sample(rows, "lang", {"a": 1.0, "b": 1.0, "c": 0.5}, {"a": 5, "b": 9, "c": 9}, 40).collect()
+    assert sorted((r["lang"], r["draw"]) for r in got) == [("a", 0.25), ("a", 0.3), ("a", 0.31), ("a", 0.32), ("b", 0.1)]
+
+
+def test_tree_descent_reaches_every_cell_that_the_ball_meets():
+    from acrework.llm.neighbours import DIMS, Splits
+
+    rng = np.random.default_rng(5)
+    points, splits = rng.normal(0, 1, (3000, DIMS)), None
+    splits = Splits(points, 5)
+    cell, radius = splits.cells(points), np.full(40, 0.9)
+    who, reached = splits.reached(points[:40], radius)
+    got = set(zip(who.tolist(), reached.tolist()))
+    for i in range(40):
+        near = np.unique(cell[((points - points[i]) ** 2).sum(1) <= 0.81])
+        assert all((i, c) in got for c in near.tolist())
+    assert len(got) == len(who) < 40 * 32
