@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from acrework.llm.common import documents, text_slices
 from acrework.llm.pretokenise import piece_starts
 
-#: Pieces that a worker keeps (about 300 bytes each); the cache starts anew when it is full.
-CACHE_PIECES = 800_000
+#: Bytes that a worker's cache of pieces takes, what the interpreter adds to each piece included; it starts anew when full.
+CACHE_BYTES, ENTRY_BYTES = 180_000_000, 230
+#: A longer piece (base64, a script without spaces) is not kept.
+LONGEST_KEPT = 64
 #: Longer pieces are merged one by one with a heap, in n log n steps.
 MATRIX_BYTES = 48
 NONE = np.int64(1) << 40
@@ -71,7 +73,7 @@ class PairTable:
 class Merger:
     """Ranks, their pair table, and the cache of encoded pieces."""
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.size = max(self.ranks.values()) + 1
@@ -89,7 +91,7 @@ class Merger:
         self.pairs = PairTable(np.asarray(keys, np.int64), np.asarray(ids, np.int64))
         self.pair_ids = dict(zip(keys, ids))
         self.cache: dict[str, tuple[bytes, str]] = {}
-        self.limit = cache_pieces
+        self.limit = self.room = cache_bytes
 
     def merge_one(self, piece: bytes) -> list[int]:
         """Merge a long piece over a linked list, least rank first, leftmost among equals."""
@@ -189,15 +191,22 @@ class Merger:
         bounds = starts.tolist() + [len(joined)]
         pieces = [joined[a:b] for a, b in zip(bounds, bounds[1:])]
         cache = self.cache
-        new = list({p for p in pieces if p not in cache})
-        if len(cache) + len(new) > self.limit:
-            cache.clear()
-            new = list(set(pieces))
-        cache.update(self.encode_new(new))
-        found = [cache[p] for p in pieces]
+        fresh = self.encode_new(list({p for p in pieces if p not in cache}))
+        found = [fresh[p] if p in fresh else cache[p] for p in pieces] if fresh else [cache[p] for p in pieces]
+        self._keep(fresh)
         cuts = np.searchsorted(starts, ends, "left").tolist()
         return [found[a:b] for a, b in zip([0, *cuts], cuts)]
 
+    def _keep(self, fresh: dict[str, tuple[bytes, str]]) -> None:
+        kept = {p: found for p, found in fresh.items() if len(p) <= LONGEST_KEPT}
+        cost = sum(len(p) + len(ids) + len(text) + ENTRY_BYTES for p, (ids, text) in kept.items())
+        if cost > self.room:
+            self.cache.clear()
+            self.room = self.limit
+        if cost <= self.room:
+            self.cache.update(kept)
+            self.room -= cost
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
