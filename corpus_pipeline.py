@@ -23,24 +23,14 @@ MARK = "[redacted]"
 NEAR_PERCENT = 80
 
 
-#: Rows that Spark hands to a Python worker at once; documents are large, and workers of several stages share a machine.
-BATCH_ROWS = "1000"
-
-
-def _bound_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or whose language stays uncertain, go."""
-    _bound_batches(spark)
     scored = predict_languages(docs, train(docs), keep=COLUMNS)
     return scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate component stays, that of the least id (null last); ids may be null or shared."""
-    _bound_batches(spark)
     rows = identified(docs, tuple(c for c in COLUMNS if c != "text"), nulls_last=True)
     found = near_duplicate_components(rows.select(F.col("uid").alias("doc_id"), "text"), NEAR_PERCENT)
     kept = found.filter("kept").select(F.col("doc_id").alias("uid"))
@@ -49,7 +39,6 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages of 100 bytes and more are cut out; a document of which nothing is left goes."""
-    _bound_batches(spark)
     cut = remove_repeats(docs, keep=("doc_id", "lang", "source"), as_text=True)
     left = cut.filter((F.col("n_removed") == 0) | (F.length("kept_text") > 0))
     return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
@@ -57,7 +46,6 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced by a mark; all documents stay."""
-    _bound_batches(spark)
     return redact_secrets(docs.select(*COLUMNS), MARK).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -65,7 +53,6 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """What is left is packed into training sequences."""
     import public_tokenizers
 
-    _bound_batches(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
