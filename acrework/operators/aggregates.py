@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def support_median(df: DataFrame, key: str, value: str, least: int) -> DataFrame:
-    """Median and count of each key with at least ``least`` values; rows with a null key count for none."""
+def support_median(df: DataFrame, key: str, value: str, least: int, large: bool = False) -> DataFrame:
+    """Median and count of each key with at least ``least`` values; rows with a null key count for none.
+
+    ``large``: few keys with very many values each, whose medians come from ``exact_quantiles``.
+    """
     known = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
+    if large:
+        return exact_quantiles(known, [key], value, [0.5]).select(key, F.col("quantiles")[0].alias("median"), "n").filter(F.col("n") >= least)
     return known.groupBy(key).agg(F.median(value).alias("median"), F.count(value).alias("n")).filter(F.col("n") >= least)
 
 
@@ -43,15 +48,15 @@ def ratio_of_sums(top: Column, bottom: Column) -> Column:
 
 def quantile_trim(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows whose value lies within two quantiles (linear interpolation), bounds included."""
-    bounds = df.agg(F.percentile(value, [low, high]).alias("_b"))
+    bounds = exact_quantiles(df, [], value, [low, high]).select(F.col("quantiles").alias("_b"))
     return df.crossJoin(bounds).filter(F.col(value).between(F.col("_b")[0], F.col("_b")[1])).drop("_b")
 
 
 def agreement(df: DataFrame, left: str, right: str, within: Sequence[float]) -> DataFrame:
     """How well two measures agree where both are positive: n, median absolute difference, shares within limits."""
-    gap = F.abs(F.col(left) - F.col(right))
-    shares = [F.avg((gap <= limit).cast("double")).alias(f"within_{limit:g}".replace(".", "_")) for limit in within]
-    return df.filter((F.col(left) > 0) & (F.col(right) > 0)).agg(F.count("*").alias("n"), F.median(gap).alias("median_gap"), *shares)
+    gaps = df.filter((F.col(left) > 0) & (F.col(right) > 0)).select(F.abs(F.col(left) - F.col(right)).alias("_gap"))
+    shares = [F.avg((F.col("_gap") <= limit).cast("double")).alias(f"within_{limit:g}".replace(".", "_")) for limit in within]
+    return with_median(gaps.agg(F.count("*").alias("n"), *shares), gaps, "_gap", "median_gap")
 
 
 def explicit_histogram(df: DataFrame, value: str, edges: Sequence[float]) -> DataFrame:
@@ -84,6 +89,34 @@ def ordered_breaks(df: DataFrame, value: str, classes: int) -> DataFrame:
     return upto.join(F.broadcast(wanted), (F.col("_at") >= F.col("_upto") - F.col("_c")) & (F.col("_at") < F.col("_upto"))).select("i", F.col(value).alias("break"))
 
 
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+    """Of each key n, the number of values, and ``quantiles`` (linear interpolation), for groups of any size.
+
+    Equal values share a row; their counts are summed over a global order in two passes, so no group is held in one
+    task.  Rows without a value count for none; a null key is a key of its own.
+    """
+    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    upto = prefix_sums(known.groupBy(*keys, "_v").agg(F.count("*").alias("_c")), [*keys, "_v"], "_c", "_upto")
+    sizes = upto.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_c")).alias("_from"), F.sum("_c").alias("n"))
+    at = sizes.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_from", "n", F.posexplode(F.array(*map(F.lit, map(float, probabilities)))).alias("_i", "_p"))
+    at = at.withColumn("_at", F.col("_p") * (F.col("n") - 1)).withColumns({"_low": F.col("_from") + F.floor("_at"), "_high": F.col("_from") + F.ceil("_at")})
+    holds = lambda place: (F.col(place) >= F.col("_upto") - F.col("_c")) & (F.col(place) < F.col("_upto"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    met = upto.join(at if keys else F.broadcast(at), same & (holds("_low") | holds("_high")))  # without keys one row for each probability
+    ends = met.groupBy(*keys, "n", "_i", "_at").agg(F.max(F.when(holds("_low"), F.col("_v"))).alias("_a"), F.max(F.when(holds("_high"), F.col("_v"))).alias("_b"))
+    part = F.col("_at") - F.floor("_at")
+    found = F.struct("_i", (F.col("_a") * (1 - part) + F.col("_b") * part).alias("q"))
+    return ends.groupBy(*keys, "n").agg(F.transform(F.array_sort(F.collect_list(found)), lambda e: e["q"]).alias("quantiles"))
+
+
+def with_median(summary: DataFrame, df: DataFrame, value: str, name: str) -> DataFrame:
+    """A summary of one row with the exact median of a column of ``df`` (null without values)."""
+    middle = exact_quantiles(df, [], value, [0.5]).select(F.col("quantiles")[0].alias(name))
+    return summary.join(middle, how="left")
+
+
 def prefix_sums(df: DataFrame, order: Sequence[Column | str], value: str, name: str) -> DataFrame:
     """Running sum over a global order in two passes: range-partitioned sums, then sums within each partition.
 

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from acrework.functions.storage import cut_lineage
 
-#: The steps needed grow with the logarithm of the node count; this many are never reached in practice.
-MOST_ROUNDS = 60
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link each node's larger neighbours to the least node of its neighbourhood."""
@@ -37,15 +34,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     alone = known.filter("u = v").select(F.col("u").alias("node"))
     now = cut_lineage(known.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "component-edges")
     mark = None
-    for _ in range(MOST_ROUNDS):
+    while True:  # the steps needed grow with the logarithm of the node count
         now = cut_lineage(_small_star(_large_star(now)).filter("u <> v").distinct(), "component-edges")
         # a star forest is a fixed point of both steps, so an unchanged set of edges is the result
         seen = now.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
-    else:
-        raise RuntimeError("components did not settle")
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = found.select(F.col("component").alias("node")).distinct().select("node", F.col("node").alias("component"))
     lone = alone.distinct().join(found.select("node").union(roots.select("node")), "node", "left_anti").select("node", F.col("node").alias("component"))

@@ -101,12 +101,17 @@ def box_pairs(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
 
 
 def points_within(points: DataFrame, x: str, y: str, polygons: DataFrame, ring: str, cell: float) -> DataFrame:
-    """Left join of points to the polygons that contain them; polygon columns get the prefix ``r_``."""
-    located = points.withColumns(dict(zip(BOX, (F.col(x), F.col(y), F.col(x), F.col(y)))))
-    found = box_pairs(located, with_box(polygons, ring), cell).filter(contains_point(F.col(f"r_{ring}"), F.col(x), F.col(y)))
-    keys = points.columns
-    inside = found.select(*keys, *(f"r_{c}" for c in polygons.columns))
-    return points.join(inside, keys, "left")
+    """Left join of points to the polygons that contain them; polygon columns get the prefix ``r_``.
+
+    Equal rows stay rows of their own; a point with a null coordinate, or in no polygon, has nulls beside it.
+    """
+    boxed = with_box(polygons, ring)
+    there = in_cells(boxed.select(*(F.col(c).alias(c if c in BOX else f"r_{c}") for c in boxed.columns)), cell).withColumnsRenamed({"cx": "_px", "cy": "_py"})
+    there = there.withColumnsRenamed({c: f"_p_{c}" for c in BOX})
+    # a point lies in one cell, so the outer join itself keeps every point row as often as it should be
+    here = (F.floor(F.col(x) / cell) == F.col("_px")) & (F.floor(F.col(y) / cell) == F.col("_py"))
+    inside = F.col(x).between(F.col("_p_xmin"), F.col("_p_xmax")) & F.col(y).between(F.col("_p_ymin"), F.col("_p_ymax")) & contains_point(F.col(f"r_{ring}"), F.col(x), F.col(y))
+    return points.join(there, here & inside, "left").select(*points.columns, *(f"r_{c}" for c in polygons.columns))
 
 
 def box_overlap() -> Column:
@@ -115,13 +120,50 @@ def box_overlap() -> Column:
     return side("x") * side("y")
 
 
-def material_overlaps(left: DataFrame, right: DataFrame, cell: float, least_area: float = 10.0, least_share: float = 0.02) -> DataFrame:
-    """Overlaps of boxes with enough area and enough share of the left box."""
-    own = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))
+def material_overlaps(left: DataFrame, right: DataFrame, cell: float, least_area: float = 10.0, least_share: float = 0.02, ring: str | None = None) -> DataFrame:
+    """Overlaps with enough area and enough share of the left shape: of the polygons ``ring``, or of boxes without it."""
     pairs = box_pairs(left, right, cell).withColumn("overlap", box_overlap())
+    own = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))
+    if ring:  # polygons never share more than their boxes, so few pairs reach the kernel
+        pairs = pairs.filter(F.col("overlap") >= least_area).withColumn("overlap", overlap_area(F.col(ring), F.col(f"r_{ring}")))
+        own = area(F.col(ring))
     return pairs.withColumn("share", F.col("overlap") / F.nullif(own, F.lit(0.0))).filter((F.col("overlap") >= least_area) & (F.col("share") >= least_share))
 
 
+def _fan(ring: list[tuple[float, float]]) -> list[tuple[float, list[tuple[float, float]]]]:
+    """Triangles from the first point, counter-clockwise, with the sign of their turn; with it they add up to the polygon."""
+    out, (x0, y0) = [], ring[0]
+    for (x1, y1), (x2, y2) in zip(ring[1:], ring[2:]):
+        turn = (x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)
+        if turn:
+            out.append((math.copysign(1.0, turn), [(x0, y0), (x1, y1), (x2, y2)] if turn > 0 else [(x0, y0), (x2, y2), (x1, y1)]))
+    return out
+
+
+def common_area(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> float:
+    """Area common to two simple polygons (without the closing point), convex or not."""
+    total = 0.0
+    fan = _fan(b)
+    for s, t in _fan(a):
+        low, high = (min(p[0] for p in t), min(p[1] for p in t)), (max(p[0] for p in t), max(p[1] for p in t))
+        for r, u in fan:
+            if any(max(p[k] for p in u) <= low[k] or min(p[k] for p in u) >= high[k] for k in (0, 1)):
+                continue
+            part = clip_convex(t, u)
+            total += s * r * abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(part, part[1:] + part[:1]))) / 2
+    return abs(total)
+
+
+def overlap_area(left: Column, right: Column) -> Column:
+    """Area common to two simple polygons (kernel: no closed form); null if either is null."""
+    @F.pandas_udf("double")
+    def kernel(a: pd.Series, b: pd.Series) -> pd.Series:
+        pts = lambda g: [(p["x"], p["y"]) for p in g][:-1]
+        return pd.Series([None if r is None or c is None else common_area(pts(r), pts(c)) for r, c in zip(a, b)], dtype="float64")
+
+    return kernel(left, right)
+
+
 def clip_convex(subject: list[tuple[float, float]], clip: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """The part of a polygon inside a convex counter-clockwise one (both without the closing point)."""
     out = subject
@@ -286,11 +328,11 @@ def simplify(df: DataFrame, ring: str, tolerance: float) -> DataFrame:
     return df.mapInPandas(run, df.schema)
 
 
-def hull_area(points: np.ndarray) -> float:
-    """Area of the convex hull (monotone chain)."""
+def hull(points: np.ndarray) -> list[tuple[float, float]]:
+    """The convex hull (monotone chain), counter-clockwise; all different points where there are fewer than three."""
     pts = sorted(set(map(tuple, points.tolist())))
     if len(pts) < 3:
-        return 0.0
+        return pts
 
     def half(seq):
         out = []
@@ -300,8 +342,26 @@ def hull_area(points: np.ndarray) -> float:
             out.append(p)
         return out[:-1]
 
-    hull = half(pts) + half(pts[::-1])
-    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(hull, hull[1:] + hull[:1]))) / 2
+    return half(pts) + half(pts[::-1])
+
+
+def hull_area(points: np.ndarray) -> float:
+    """Area of the convex hull."""
+    found = hull(points)
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(found, found[1:] + found[:1]))) / 2
+
+
+def hull_areas(points: DataFrame, key: str) -> DataFrame:
+    """Area of the convex hull of each key's points (x, y), as ``hull``: hulls of batches first, then hulls of hulls."""
+    kind = points.schema[key].dataType.simpleString()
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for value, own in pdf.groupby(key, dropna=False):
+                yield pd.DataFrame(hull(own[["x", "y"]].to_numpy()), columns=["x", "y"]).assign(**{key: value})[[key, "x", "y"]]
+
+    reduced = points.select(key, "x", "y").mapInPandas(parts, f"{key} {kind}, x double, y double")
+    return reduced.groupBy(key).applyInPandas(lambda p: p.iloc[:1][[key]].assign(hull=hull_area(p[["x", "y"]].to_numpy())), f"{key} {kind}, hull double")
 
 
 #: Radius of the sphere of web maps, and its half circumference.

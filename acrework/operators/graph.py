@@ -49,18 +49,20 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return reached
 
 
-def closure(edges: DataFrame, most_levels: int = 64) -> DataFrame:
-    """All (src, dst) with a path of one edge or more.  Path lengths double, so few rounds reach any depth."""
+def closure(edges: DataFrame) -> DataFrame:
+    """All (src, dst) with a path of one edge or more.  Path lengths double, so few rounds reach any depth.
+
+    The result itself is large where many nodes reach many others; forests of bounded depth are what it is for.
+    """
     known = cut_lineage(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct(), "closure")
     n = known.count()
-    for _ in range(most_levels):
+    while True:
         steps = known.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
         wider = cut_lineage(known.union(steps).distinct(), "closure")
         m = wider.count()
         if m == n:
-            break
+            return known
         known, n = wider, m
-    return known
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:
@@ -77,11 +79,14 @@ def in_force(applicable: DataFrame, stronger: DataFrame, subject: str, rule: str
     return held.join(by, [subject, rule], "left")
 
 
-def reachable_within(edges: DataFrame, sources: DataFrame, limit: float, most_rounds: int = 200) -> DataFrame:
-    """Least cost from any source (column node) to each node within a limit; edges have src, dst, cost >= 0."""
+def reachable_within(edges: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
+    """Least cost from any source (column node) to each node within a limit; edges have src, dst, cost >= 0.
+
+    Each round settles paths of one more edge, until no cost falls.
+    """
     best = cut_lineage(sources.select("node").distinct().withColumn("cost", F.lit(0.0)), "reach")
     frontier = best
-    for _ in range(most_rounds):
+    while True:
         offers = frontier.select("node", F.col("cost").alias("_c")).join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("_c") + F.col("cost")).alias("cost")).filter(F.col("cost") <= limit)
         offers = offers.groupBy("node").agg(F.min("cost").alias("cost"))
         known = best.select("node", F.col("cost").alias("_known"))
@@ -89,7 +94,6 @@ def reachable_within(edges: DataFrame, sources: DataFrame, limit: float, most_ro
         if frontier.isEmpty():
             return best
         best = cut_lineage(best.union(frontier).groupBy("node").agg(F.min("cost").alias("cost")), "reach")
-    raise RuntimeError("costs did not settle")
 
 
 def references(edges: DataFrame, node: Column) -> DataFrame:

@@ -144,7 +144,7 @@ def estimates(spark, sf):
     """Unit prices with the estimate of a model learnt on the training folds."""
     u = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_suppkey") % 7).alias("region"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("v"), (A.fold(F.col("l_orderkey")) < 80).alias("train"))
     known = u.filter("train")
-    return A.hierarchical_estimate(u, A.support_median(known, "l_partkey", "v", 5), A.support_median(known, "region", "v", 20), known.agg(F.median("v").alias("median")), "l_partkey", "region")
+    return A.hierarchical_estimate(u, A.support_median(known, "l_partkey", "v", 5), A.support_median(known, "region", "v", 20, large=True), A.exact_quantiles(known, [], "v", [0.5]).select(F.col("quantiles")[0].alias("median")), "l_partkey", "region")
 
 
 @query("j06_hierarchical_lookup", HOLDOUT_SQL + "SELECT method, count(*) AS n, round(sum(estimate), 2) AS total FROM e GROUP BY 1")
@@ -155,7 +155,9 @@ def j06(spark, sf):
 @query("a18_holdout_validation", HOLDOUT_SQL + "SELECT count(*) AS n, round(median(abs(estimate - v) / v), 6) AS mdape, round(avg(CASE WHEN estimate / v BETWEEN 0.5 AND 2 THEN 1.0 ELSE 0 END), 6) AS within_factor_two FROM e WHERE NOT train")
 def a18(spark, sf):
     ratio = F.col("estimate") / F.col("v")
-    return estimates(spark, sf).filter("NOT train").agg(F.count("*").alias("n"), F.round(F.median(F.abs(F.col("estimate") - F.col("v")) / F.col("v")), 6).alias("mdape"), F.round(F.avg(ratio.between(0.5, 2).cast("double")), 6).alias("within_factor_two"))
+    held = estimates(spark, sf).filter("NOT train").select((F.abs(F.col("estimate") - F.col("v")) / F.col("v")).alias("error"), ratio.between(0.5, 2).cast("double").alias("close"))
+    summary = held.agg(F.count("*").alias("n"), F.round(F.avg("close"), 6).alias("within_factor_two"))
+    return A.with_median(summary, held, "error", "mdape").withColumn("mdape", F.round("mdape", 6))
 
 
 SERIES_SQL = """
@@ -205,7 +207,8 @@ SELECT round(median(l_extendedprice / (p_retailprice * l_quantity)), 6) AS ratio
 def a23(spark, sf):
     joined = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     recorded = F.col("p_retailprice") * F.col("l_quantity")
-    return joined.filter((F.col("l_extendedprice") > 0) & (recorded > 0)).agg(F.round(F.median(F.col("l_extendedprice") / recorded), 6).alias("ratio"))
+    ratios = joined.filter((F.col("l_extendedprice") > 0) & (recorded > 0)).select((F.col("l_extendedprice") / recorded).alias("ratio"))
+    return A.exact_quantiles(ratios, [], "ratio", [0.5]).select(F.round(F.col("quantiles")[0], 6).alias("ratio"))
 
 
 @query("a24_group_sets", """

@@ -79,15 +79,17 @@ AUDIT = "SELECT o_orderstatus AS outcome, count(*) AS n, round(median({0}), 6) A
 
 @query("d08_spacing_audit", AUDIT.format("o_totalprice / 500000", 1000))
 def d08(spark, sf):
-    share = F.col("o_totalprice") / 500_000
-    return table(spark, sf, "orders").filter("o_totalprice > 1000").groupBy(F.col("o_orderstatus").alias("outcome")).agg(F.count("*").alias("n"), F.round(F.median(share), 6).alias("median"), F.count_if(share > 0.5).alias("over_half"))
+    shares = table(spark, sf, "orders").filter("o_totalprice > 1000").select(F.col("o_orderstatus").alias("outcome"), (F.col("o_totalprice") / 500_000).alias("share"))
+    middle = A.exact_quantiles(shares, ["outcome"], "share", [0.5]).select("outcome", F.round(F.col("quantiles")[0], 6).alias("median"))
+    return shares.groupBy("outcome").agg(F.count("*").alias("n"), F.count_if(F.col("share") > 0.5).alias("over_half")).join(middle, "outcome")
 
 
 @query("d09_height_audit", """
 SELECT outcome, count(*) AS n, round(median(x), 6) AS median_excess FROM (SELECT o_orderstatus AS outcome, o_totalprice / 200000 - 1 AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1 AND x > 0 GROUP BY 1""")
 def d09(spark, sf):
     latest = W.dedupe(table(spark, sf, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).withColumn("x", F.col("o_totalprice") / 200_000 - 1)
-    return latest.filter("x > 0").groupBy(F.col("o_orderstatus").alias("outcome")).agg(F.count("*").alias("n"), F.round(F.median("x"), 6).alias("median_excess"))
+    found = A.exact_quantiles(latest.filter("x > 0").select(F.col("o_orderstatus").alias("outcome"), "x"), ["outcome"], "x", [0.5])
+    return found.select("outcome", "n", F.round(F.col("quantiles")[0], 6).alias("median_excess"))
 
 
 @query("d10_repeat_sites", """

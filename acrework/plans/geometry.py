@@ -102,12 +102,12 @@ def g12(spark, sf):
     return timed.filter(F.hypot("x", "y") <= F.col("threshold")).groupBy("threshold").agg(F.count("*").alias("cells"))
 
 
-NEAREST = f"WITH {B}, {P}, c AS (SELECT id, k, sqrt((x - x1) ** 2 + (y - y1) ** 2) AS d FROM p, b WHERE k % 3 = 0) SELECT id, arg_min(k, d * 1e9 + k / 1e6) AS k, round(min(d), 6) AS distance FROM c GROUP BY 1"
+NEAREST = f"WITH {B}, {P}, c AS (SELECT id, k, sqrt((x - x1) ** 2 + (y - y1) ** 2) AS d FROM p, b) SELECT id, arg_min(k, d * 1e9 + k / 1e6) AS k, round(min(d), 6) AS distance FROM c GROUP BY 1"
 
 
 @query("g13_distance_field", NEAREST)
 def g13(spark, sf):
-    roads = boxes(spark, sf).filter("k % 3 = 0").select("k", F.col("xmin").alias("x"), F.col("ymin").alias("y"))
+    roads = boxes(spark, sf).select("k", F.col("xmin").alias("x"), F.col("ymin").alias("y"))
     return G.nearest(points(spark, sf), roads, "id", "k", 60.0, 1500.0).select("id", "k", F.round("distance", 6).alias("distance"))
 
 
@@ -156,18 +156,17 @@ def g20(spark, sf):
 
 @query("g21_hull_comparison")
 def g21(spark, sf):
-    """Hull and raster areas of each region's points; compared with brute force in the tests."""
-    import numpy as np
-
+    """Hull and raster areas of each region's points; the tests compare them with brute force over the table."""
     rows = points(spark, sf).withColumn("g", F.col("id") % 4)
-    hulls = rows.groupBy("g").applyInPandas(lambda p: p.iloc[:1][["g"]].assign(hull=G.hull_area(np.unique(p[["x", "y"]].to_numpy(), axis=0))), "g bigint, hull double")
+    hulls = G.hull_areas(rows, "g")
     cells = rows.groupBy("g").agg((F.count_distinct(F.floor(F.col("x") / 20), F.floor(F.col("y") / 20)) * 400.0).alias("raster"))
     return hulls.join(cells, "g")
 
 
-@query("g22_threshold_completeness", "SELECT user_id, list_sort(list_filter(['click', 'error', 'view'], lambda t: NOT list_contains(l, t))) AS missing, list_sort(list_filter(l, lambda t: t NOT IN ('click', 'error', 'view'))) AS extra FROM (SELECT user_id, list_distinct(list(event_type)) AS l FROM events WHERE event_id % 9 = 0 GROUP BY 1) WHERE len(missing) > 0 OR len(extra) > 0")
+@query("g22_threshold_completeness", "SELECT mode, list_sort(list_filter(['click', 'error', 'view'], lambda t: NOT list_contains(l, t))) AS missing, list_sort(list_filter(l, lambda t: t NOT IN ('click', 'error', 'view'))) AS extra FROM (SELECT user_id || '/' || dayofmonth(ts) AS mode, list_distinct(list(event_type)) AS l FROM events GROUP BY 1) WHERE len(missing) > 0 OR len(extra) > 0")
 def g22(spark, sf):
-    return G.missing_thresholds(table(spark, sf, "events").filter("event_id % 9 = 0"), "user_id", "event_type", ["click", "error", "view"])
+    days = table(spark, sf, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), F.dayofmonth("ts").cast("string")).alias("mode"), "event_type")
+    return G.missing_thresholds(days, "mode", "event_type", ["click", "error", "view"])
 
 
 @query("g23_dissolve", f"WITH {B} SELECT k % 7 AS grp, count(*) AS n, min(x1) AS xmin, max(y2) AS ymax FROM b GROUP BY 1")
@@ -187,31 +186,47 @@ def j08(spark, sf):
     return G.points_within(points(spark, sf), "x", "y", boxes(spark, sf).select("k", "ring"), "ring", 40.0).select("id", F.col("r_k").alias("k"))
 
 
-OVERLAP = f"WITH {B.replace('b AS', 'b0 AS', 1)}, b AS (SELECT k, x1, y1, x2 + 30 AS x2, y2 + 30 AS y2 FROM b0), o AS (SELECT a.k, c.k AS r_k, (least(a.x2, c.x2) - greatest(a.x1, c.x1)) * (least(a.y2, c.y2) - greatest(a.y1, c.y1)) AS overlap, (a.x2 - a.x1) * (a.y2 - a.y1) AS own FROM b a JOIN b c ON a.k % 2 = 0 AND c.k % 2 = 1 AND least(a.x2, c.x2) > greatest(a.x1, c.x1) AND least(a.y2, c.y2) > greatest(a.y1, c.y1))"
+def _common(x1: str, y1: str) -> str:
+    """SQL of the area that box a shares with the part of box c from (x1, y1) up."""
+    return f"greatest(least(a.x2, c.x2) - greatest(a.x1, {x1}), 0) * greatest(least(a.y2, c.y2) - greatest(a.y1, {y1}), 0)"
+
+
+#: Right shapes are L-shaped: their boxes without the upper right quarter.
+OVERLAP = f"WITH {B.replace('b AS', 'b0 AS', 1)}, b AS (SELECT k, x1, y1, x2 + 30 AS x2, y2 + 30 AS y2 FROM b0), o AS (SELECT a.k, c.k AS r_k, {_common('c.x1', 'c.y1')} - {_common('(c.x1 + c.x2) / 2', '(c.y1 + c.y2) / 2')} AS overlap, (a.x2 - a.x1) * (a.y2 - a.y1) AS own FROM b a JOIN b c ON a.k % 2 = 0 AND c.k % 2 = 1 AND least(a.x2, c.x2) > greatest(a.x1, c.x1) AND least(a.y2, c.y2) > greatest(a.y1, c.y1))"
 
 
 def overlaps(spark, sf, least_share=0.02):
-    shapes = boxes(spark, sf).drop("ring").withColumns({"xmax": F.col("xmax") + 30, "ymax": F.col("ymax") + 30})
-    return G.material_overlaps(shapes.filter("k % 2 = 0"), shapes.filter("k % 2 = 1"), 40.0, 10.0, least_share)
+    shapes = boxes(spark, sf).withColumns({"xmax": F.col("xmax") + 30, "ymax": F.col("ymax") + 30})
+    x1, y1, x2, y2 = map(F.col, G.BOX)
+    xm, ym = (x1 + x2) / 2, (y1 + y2) / 2
+    whole = shapes.filter("k % 2 = 0").withColumn("ring", G.rectangle(x1, y1, x2, y2))
+    corners = F.array(G.point(x1, y1), G.point(x2, y1), G.point(x2, ym), G.point(xm, ym), G.point(xm, y2), G.point(x1, y2), G.point(x1, y1))
+    return G.material_overlaps(whole, shapes.filter("k % 2 = 1").withColumn("ring", corners), 40.0, 10.0, least_share, "ring")
 
 
-@query("j09_overlap_join", OVERLAP + " SELECT k, r_k, overlap, round(overlap / own, 6) AS share FROM o WHERE overlap >= 10 AND overlap / own >= 0.02")
+@query("j09_overlap_join", OVERLAP + " SELECT k, r_k, round(overlap, 6) AS overlap, round(overlap / own, 6) AS share FROM o WHERE overlap >= 10 AND overlap / own >= 0.02")
 def j09(spark, sf):
-    return overlaps(spark, sf).select("k", "r_k", "overlap", F.round("share", 6).alias("share"))
+    return overlaps(spark, sf).select("k", "r_k", F.round("overlap", 6).alias("overlap"), F.round("share", 6).alias("share"))
 
 
-@query("j10_nearest_join", NEAREST.replace("k % 3 = 0", "k % 5 = 0"))
+@query("j10_nearest_join", NEAREST.replace("x - x1", "x - x2").replace("y - y1", "y - y2"))
 def j10(spark, sf):
-    targets = boxes(spark, sf).filter("k % 5 = 0").select("k", F.col("xmin").alias("x"), F.col("ymin").alias("y"))
+    targets = boxes(spark, sf).select("k", F.col("xmax").alias("x"), F.col("ymax").alias("y"))
     return G.nearest(points(spark, sf), targets, "id", "k", 80.0, 1500.0).select("id", "k", F.round("distance", 6).alias("distance"))
 
 
-@query("j11_largest_overlap", OVERLAP + " SELECT b.k, coalesce(CASE WHEN b.k % 100 = 0 THEN -1 END, m) AS assigned, CASE WHEN b.k % 100 = 0 THEN 'override' WHEN m IS NOT NULL THEN 'overlap' ELSE 'none' END AS source FROM b LEFT JOIN (SELECT k, arg_max(r_k, overlap * 1e6 - r_k) AS m FROM o WHERE overlap >= 10 AND overlap / own >= 0.02 GROUP BY 1) x USING (k) WHERE b.k % 2 = 0")
+@query("j11_largest_overlap", OVERLAP + """, best AS (SELECT k, arg_max(r_k, round(overlap, 6) * 1e6 - r_k) AS m FROM o WHERE overlap >= 10 AND overlap / own >= 0.02 GROUP BY 1),
+near AS (SELECT a.k, arg_min(c.k, sqrt((a.x1 - c.x1) ** 2 + (a.y1 - c.y1) ** 2) * 1e9 + c.k / 1e6) AS n FROM b a, b c WHERE a.k % 2 = 0 AND c.k % 2 = 1 AND a.k NOT IN (SELECT k FROM best) GROUP BY 1)
+SELECT b.k, CASE WHEN b.k % 100 = 0 THEN -1 ELSE coalesce(m, n) END AS assigned, CASE WHEN b.k % 100 = 0 THEN 'override' WHEN m IS NOT NULL THEN 'overlap' WHEN n IS NOT NULL THEN 'near ' || n ELSE 'none' END AS source FROM b LEFT JOIN best USING (k) LEFT JOIN near USING (k) WHERE b.k % 2 = 0""")
 def j11(spark, sf):
-    best = dedupe(overlaps(spark, sf), ["k"], [F.desc("overlap"), "r_k"]).select("k", F.col("r_k").alias("m"))
-    rows = boxes(spark, sf).filter("k % 2 = 0").select("k").join(best, "k", "left")
+    best = dedupe(overlaps(spark, sf).withColumn("overlap", F.round("overlap", 6)), ["k"], [F.desc("overlap"), "r_k"]).select("k", F.col("r_k").alias("m"))
+    corner = lambda df: df.select("k", F.col("xmin").alias("x"), F.col("ymin").alias("y"))
+    rows = corner(boxes(spark, sf).filter("k % 2 = 0")).join(best, "k", "left")
+    others = corner(boxes(spark, sf).filter("k % 2 = 1")).withColumnRenamed("k", "n")
+    near = G.nearest(rows.filter("m IS NULL"), others, "k", "n", 60.0, 1500.0).select("k", "n")
     manual = F.when(F.col("k") % 100 == 0, F.lit(-1))
-    return rows.select("k", F.coalesce(manual, "m").alias("assigned"), F.when(manual.isNotNull(), "override").when(F.col("m").isNotNull(), "overlap").otherwise("none").alias("source"))
+    source = F.when(manual.isNotNull(), "override").when(F.col("m").isNotNull(), "overlap").when(F.col("n").isNotNull(), F.concat(F.lit("near "), F.col("n").cast("string"))).otherwise("none")
+    return rows.join(near, "k", "left").select("k", F.coalesce(manual, "m", "n").alias("assigned"), source.alias("source"))
 
 
 @query("j12_area_fraction", OVERLAP + " SELECT DISTINCT k FROM o WHERE overlap >= 10 AND overlap / own >= 0.3 AND k % 7 <> 0")

@@ -41,13 +41,13 @@ def j04(spark, sf):
 
 @query("j05_fallback_join", """
 WITH r AS (SELECT p_brand AS brand, p_type AS kind, p_size % 10 AS slot, p_partkey AS found FROM part WHERE p_partkey % 3 = 0),
-l AS (SELECT p_partkey, p_brand AS brand, p_type AS kind, p_size % 10 AS slot FROM part WHERE p_partkey % 3 = 1),
+l AS (SELECT p_partkey, p_brand AS brand, p_type AS kind, p_size % 10 AS slot FROM part WHERE p_partkey % 3 <> 0),
 e AS (SELECT brand, kind, slot, min(found) AS x FROM r GROUP BY ALL), u AS (SELECT brand, slot, min(found) AS y FROM r GROUP BY ALL HAVING count(*) = 1)
 SELECT p_partkey, coalesce(x, y) AS found, CASE WHEN x IS NOT NULL THEN 'exact' WHEN y IS NOT NULL THEN 'loose' ELSE 'none' END AS matched FROM l LEFT JOIN e USING (brand, kind, slot) LEFT JOIN u USING (brand, slot)""")
 def j05(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), (F.col("p_size") % 10).alias("slot"))
     right = parts.filter("p_partkey % 3 = 0").withColumnRenamed("p_partkey", "found")
-    return J.fallback_join(parts.filter("p_partkey % 3 = 1"), right, ["brand", "kind", "slot"], ["brand", "slot"], "found").select("p_partkey", "found", "matched")
+    return J.fallback_join(parts.filter("p_partkey % 3 <> 0"), right, ["brand", "kind", "slot"], ["brand", "slot"], "found").select("p_partkey", "found", "matched")
 
 
 @query("j07_band_join", """

@@ -34,9 +34,9 @@ def s03(spark, sf):
     return T.cached(spark, path, build).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("s04_crosswalk", "SELECT p_brand, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) END AS p_type FROM part WHERE p_size > 47 GROUP BY 1")
+@query("s04_crosswalk", "SELECT p_brand || '/' || p_size AS code, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) END AS p_type FROM part GROUP BY 1")
 def s04(spark, sf):
-    return T.crosswalk(table(spark, sf, "part").filter("p_size > 47"), "p_brand", "p_type")
+    return T.crosswalk(table(spark, sf, "part").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("code"), "p_type"), "code", "p_type")
 
 
 @query("s05_ledger_scan", "SELECT p_partkey::VARCHAR AS span, p_name AS proposition FROM part")
