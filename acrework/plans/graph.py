@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from acrework.operators import graph as G
 from acrework.plans.registry import query, table
 
+
 @query("n01_shared_member_components")
 def n01(spark, sf):
     """Orders that share a part; SQL would list all pairs of a component, so tests compare it with brute force."""
@@ -18,7 +19,7 @@ def n01(spark, sf):
 def n02(spark, sf):
     """Orders of one return flag that share a part, or supplier and line; tests compare it with brute force."""
     rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("cat"), F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("p"), (F.col("l_suppkey") * 1000 + F.col("l_linenumber")).alias("s"))
-    return G.category_components(rows, "cat", "item", ["p", "s"]).groupBy("cat", "label").agg(F.count_distinct("item").alias("cases"))
+    return G.category_components(rows, "cat", "item", ["p", "s"]).groupBy("cat", "label").agg(F.count_distinct("item").alias("cases"), F.count_distinct("p").alias("places"))
 
 
 @query("n03_bounded_neighbourhood", """
