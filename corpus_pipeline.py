@@ -5,6 +5,10 @@ Every stage takes (spark, docs, sf_dir); all but the last return the columns of
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +26,40 @@ MARK = "[redacted]"
 #: Shingle similarity in percent from which two documents are near duplicates.
 NEAR_PERCENT = 80
 
+#: Rows that Spark hands to a Python worker at once; documents are large, and workers of several stages share a machine.
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Fewer rows at once for what runs inside; the session's setting is then as before."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def written_stage(stage: Callable) -> Callable:
+    """A stage whose result is written while batches are small, and read back."""
+
+    @wraps(stage)
+    def run_and_write(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with small_batches(spark):
+            return materialise(stage(spark, docs, sf_dir), stage.__name__.replace("_", "-"))
+
+    return run_and_write
+
 
+@written_stage
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or whose language stays uncertain, go."""
     scored = predict_languages(docs, train(docs), keep=COLUMNS)
     return scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
+@written_stage
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate component stays, that of the least id (null last); ids may be null or shared."""
     rows = identified(docs, tuple(c for c in COLUMNS if c != "text"), nulls_last=True)
@@ -37,6 +68,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rows.join(kept, "uid", "left_semi").select(*COLUMNS)
 
 
+@written_stage
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages of 100 bytes and more are cut out; a document of which nothing is left goes."""
     cut = remove_repeats(docs, keep=("doc_id", "lang", "source"), as_text=True)
@@ -44,6 +76,7 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
+@written_stage
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced by a mark; all documents stay."""
     return redact_secrets(docs.select(*COLUMNS), MARK).withColumn("n_chars", F.length("text").cast("long"))
@@ -53,7 +86,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """What is left is packed into training sequences."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    with small_batches(spark):
+        return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
@@ -69,8 +103,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; what a stage returns is written before the next one reads it."""
+    """Apply all stages to ``documents``; what a stage returns is a written table, from which the next one reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
