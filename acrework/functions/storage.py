@@ -52,6 +52,16 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)[0]
 
 
+def written_alone(df_of, spark: SparkSession, name: str, codec: str = "zstd") -> DataFrame:
+    """Write what ``df_of()`` returns and delete all tables that were written to compute it."""
+    known = set(_WRITTEN)
+    out, path = written(df_of(), name, codec)
+    delete = [p for p in _WRITTEN if p not in known and p != path]
+    if delete:
+        delete_written(spark, *delete)
+    return out
+
+
 def delete_written(spark: SparkSession, *paths: str) -> None:
     """Delete written tables that nothing reads any more; without paths, all that this process wrote.
 
