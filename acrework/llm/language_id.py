@@ -34,6 +34,8 @@ EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 SCALE = 30.0
 UNKNOWN = "und"
+#: Bytes of text at once; arrays of n-grams take some sixty times as much.
+SLICE = 500_000
 
 
 def ngram_buckets(points: np.ndarray, doc_of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -162,7 +164,7 @@ def _count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     """Document frequencies of a partition: one row for each bucket that occurs; bucket -1 counts documents."""
     total, n = np.zeros(BUCKETS, np.int64), 0
     seen = np.zeros(BUCKETS, bool)
-    for batch in text_slices(batches, "text"):
+    for batch in text_slices(batches, "text", SLICE):
         texts = batch.column("text").to_pylist()
         points, doc = as_points(texts)
         per_n = [(b, doc[at]) for b, at in ngram_buckets(points, doc)]
@@ -209,7 +211,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, keep: tuple[str, ..
     schema = StructType([*source.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text", 1_000_000):
+        for batch in text_slices(batches, "text", SLICE):
             label, score = shared.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
