@@ -12,6 +12,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from acrework.functions.storage import written_alone
 from acrework.llm.common import materialise
 from acrework.llm.language_id import UNKNOWN, predict_languages, train
 from acrework.llm.near_dedup import near_duplicate_components
@@ -42,12 +43,12 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 
 
 def written_stage(stage: Callable) -> Callable:
-    """A stage whose result is written while batches are small, and read back."""
+    """A stage whose result is written while batches are small, and read back; tables that led to it are deleted."""
 
     @wraps(stage)
     def run_and_write(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         with small_batches(spark):
-            return materialise(stage(spark, docs, sf_dir), stage.__name__.replace("_", "-"))
+            return written_alone(lambda: stage(spark, docs, sf_dir), spark, stage.__name__.replace("_", "-"))
 
     return run_and_write
 
@@ -59,11 +60,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
-@written_stage
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate component stays, that of the least id (null last); ids may be null or shared."""
     rows = identified(docs, tuple(c for c in COLUMNS if c != "text"), nulls_last=True)
-    found = near_duplicate_components(rows.select(F.col("uid").alias("doc_id"), "text"), NEAR_PERCENT)
+    with small_batches(spark):
+        found = near_duplicate_components(rows.select(F.col("uid").alias("doc_id"), "text"), NEAR_PERCENT)
     kept = found.filter("kept").select(F.col("doc_id").alias("uid"))
     return rows.join(kept, "uid", "left_semi").select(*COLUMNS)
 
@@ -76,7 +77,6 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
-@written_stage
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced by a mark; all documents stay."""
     return redact_secrets(docs.select(*COLUMNS), MARK).withColumn("n_chars", F.length("text").cast("long"))
@@ -103,8 +103,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; what a stage returns is a written table, from which the next one reads."""
+    """Apply all stages to ``documents``; what a stage returns is written before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
-    return docs
+        if stage in (near_dedup_stage, secrets_stage):  # the others write their results themselves
+            docs = materialise(docs, name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
