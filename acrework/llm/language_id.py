@@ -35,7 +35,7 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 SCALE = 30.0
 UNKNOWN = "und"
 #: Bytes of text at once; arrays of n-grams take some sixty times as much.
-SLICE = 500_000
+SLICE = 250_000
 
 
 def ngram_buckets(points: np.ndarray, doc_of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

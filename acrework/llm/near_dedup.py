@@ -46,7 +46,7 @@ ROUND_TABLES = 100
 #: Bounds of a block: shingles and classes.
 BLOCK_SHINGLES, BLOCK_CLASSES = 300_000, 1_500
 #: Bytes of text at once, so that the arrays stay small.
-SLICE = 500_000
+SLICE = 250_000
 SIGNATURE = "doc_id bigint, digest bigint, n_shingles bigint, node bigint, a array<int>, b array<int>"
 
 
