@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,6 +133,21 @@ def prefix_sums(df: DataFrame, order: Sequence[Column | str], value: str, name:
     return ranged.withColumn(name, F.sum(value).over(inside)).join(base, "_part").withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_base")
 
 
+def district_profile(df: DataFrame, selected: DataFrame, key: str, sums: Sequence[str], ratios: Mapping[str, tuple[str, str]], means: Sequence[str], weight: str, by: Sequence[str] = ()) -> DataFrame:
+    """Sums, percentages of two sums and weighted means of the selected rows, or of all rows where none is selected.
+
+    ``ratios`` names each percentage with its upper and lower column.  Null values add nothing (a sum without values is
+    0); a ratio without a positive lower sum and a mean without positive weight are null; a row with a null key is never
+    selected, and repeated keys in ``selected`` count once.
+    """
+    marked = df.join(selected.select(key).distinct().withColumn("_in", F.lit(True)), key, "left")
+    chosen = marked.crossJoin(marked.agg(F.bool_or("_in").alias("_some"))).filter("_in OR _some IS NULL")  # one row
+    total = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]
+    share = [ratio_of_sums(F.col(top), F.col(bottom)).alias(name) for name, (top, bottom) in ratios.items()]
+    mean = [weighted_mean(F.col(c), F.col(weight)).alias(c) for c in means]
+    return chosen.groupBy(*by).agg(F.count("*").alias("n"), *total, *share, *mean)
+
+
 def present_value(amount: Column, period: Column, rate: float) -> Column:
     """Sum of amounts discounted by their period."""
     return F.sum(amount / F.pow(F.lit(1 + rate), period))

@@ -128,12 +128,13 @@ def d13(spark, sf):
 
 
 @query("d14_district_profile", """
-SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS total, CASE WHEN sum(w) > 0 THEN round(sum(c_acctbal * w) FILTER (w > 0) / nullif(sum(w) FILTER (w > 0), 0), 4) END AS weighted FROM (SELECT *, c_custkey % 4 + 0.0 AS w FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 2)) GROUP BY 1""")
+WITH r AS (SELECT *, c_custkey % 4 + 0.0 AS w, greatest(c_acctbal, 0) AS paid, abs(c_acctbal) AS moved FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 2))
+SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS total, CASE WHEN sum(moved) > 0 THEN round(sum(paid) / sum(moved) * 100, 4) END AS paid_pct, CASE WHEN sum(w) > 0 THEN round(sum(c_acctbal * w) FILTER (w > 0) / nullif(sum(w) FILTER (w > 0), 0), 4) END AS weighted FROM r GROUP BY 1""")
 def d14(spark, sf):
     chosen = table(spark, sf, "nation").filter("n_regionkey < 2").select(F.col("n_nationkey").alias("c_nationkey"))
-    rows = table(spark, sf, "customer").join(chosen, "c_nationkey", "left_semi")
-    mean = A.weighted_mean(F.col("c_acctbal"), (F.col("c_custkey") % 4).cast("double"))
-    return rows.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"), F.round(mean, 4).alias("weighted"))
+    rows = table(spark, sf, "customer").select("c_nationkey", "c_mktsegment", F.col("c_acctbal").alias("total"), F.greatest("c_acctbal", F.lit(0)).alias("paid"), F.abs("c_acctbal").alias("moved"), F.col("c_acctbal").alias("weighted"), (F.col("c_custkey") % 4).cast("double").alias("w"))
+    found = A.district_profile(rows, chosen, "c_nationkey", ["total"], {"paid_pct": ("paid", "moved")}, ["weighted"], "w", by=["c_mktsegment"])
+    return found.select("c_mktsegment", "n", F.round("total", 2).alias("total"), F.round("paid_pct", 4).alias("paid_pct"), F.round("weighted", 4).alias("weighted"))
 
 
 @query("d15_margin_and_turnout", """

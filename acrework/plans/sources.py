@@ -123,7 +123,7 @@ def s14(spark, sf):
     return spark.sql("SELECT r_name, count(*) AS n FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
 
 
-@query("s15_feed_check", "SELECT ['calendar'] AS missing, min(ts)::DATE AS first, max(ts)::DATE AS last, DATE '2024-01-15' BETWEEN min(ts)::DATE AND max(ts)::DATE AS served FROM events")
+@query("s15_feed_check", "SELECT (SELECT list(r ORDER BY r) FROM (VALUES ('click'), ('view'), ('calendar')) v(r) WHERE r NOT IN (SELECT event_type FROM events)) AS missing, min(ts)::DATE AS first, max(ts)::DATE AS last, DATE '2024-01-15' BETWEEN min(ts)::DATE AND max(ts)::DATE AS served FROM events")
 def s15(spark, sf):
     events = table(spark, sf, "events")
     return T.feed_check(events.select(F.col("event_type").alias("name")), ["click", "view", "calendar"], events.select(F.to_date("ts").alias("day")), "2024-01-15")

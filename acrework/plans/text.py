@@ -178,11 +178,12 @@ def x25(spark, sf):
 
 
 @query("x06_minutes_cases", """
-SELECT o_custkey, o_orderkey::VARCHAR AS case_number, c_name AS petitioner, CASE o_orderstatus WHEN 'F' THEN 'GRANTED' ELSE 'DENIED' END AS decision, 2 AS votes_for, 0 AS votes_against FROM orders JOIN customer ON o_custkey = c_custkey""")
+SELECT o_custkey, o_orderkey::VARCHAR AS case_number, c_name AS petitioner, CASE o_orderstatus WHEN 'F' THEN 'GRANTED' ELSE 'DENIED' END AS decision, (o_orderkey % 3 + 1)::INT AS votes_for, (o_orderkey % 2)::INT AS votes_against FROM orders JOIN customer ON o_custkey = c_custkey""")
 def x06(spark, sf):
     orders = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     label = F.when(F.col("o_orderkey") % 2 == 0, "BZA PETITIONER: ").otherwise("APPLICANT: ")
-    case = F.concat(F.lit("CASE NO: "), F.col("o_orderkey").cast("string"), F.lit("\n"), label, F.col("c_name"), F.lit("\nAffirmative: Ms. A, Mr. B\nNegative:\nDENIED at first, then "), F.when(F.col("o_orderstatus") == "F", "granted").otherwise("denied"), F.lit("\n"))
+    names = lambda n: F.array_join(F.array_repeat(F.lit("Ms. A"), n.cast("int")), ", ")
+    case = F.concat(F.lit("CASE NO: "), F.col("o_orderkey").cast("string"), F.lit("\n"), label, F.col("c_name"), F.lit("\nAffirmative: "), names(F.col("o_orderkey") % 3 + 1), F.lit("\nNegative: "), names(F.col("o_orderkey") % 2), F.lit("\nDENIED at first, then "), F.when(F.col("o_orderstatus") == "F", "granted").otherwise("denied"), F.lit("\n"))
     minutes = orders.withColumn("case", case).groupBy("o_custkey").agg(F.concat(F.lit("Roll call\n"), F.array_join(F.collect_list("case"), "")).alias("text"))
     return X.minutes_cases(minutes, "o_custkey", "text").select("o_custkey", "case_number", "petitioner", "decision", "votes_for", "votes_against")
 

@@ -27,6 +27,19 @@ def test_value_per_area_and_concentration(spark):
     assert values(shares, "base_share", "amount_share") == [(0.2, 0.5), (1.0, 1.0)]
 
 
+def test_district_profile_of_selection_or_all(spark):
+    rows = [("a", 10.0, 1.0, 4.0, 100.0), ("b", 30.0, None, 4.0, 200.0), ("b", 0.0, 2.0, 2.0, 900.0), (None, 5.0, 1.0, 0.0, None), ("c", None, 0.0, 0.0, 7.0)]
+    df = spark.createDataFrame(rows, "k string, w double, top double, bottom double, v double")
+
+    def profile(*keys):
+        chosen = spark.createDataFrame([(k,) for k in keys], "k string")
+        return values(aggregates.district_profile(df, chosen, "k", ["w"], {"pct": ("top", "bottom")}, ["v"], "w"), "n", "w", "pct", "v")
+
+    assert profile("a", "b", "b", None) == [(3, 40.0, 30.0, 175.0)]
+    assert profile("c") == [(1, 0.0, None, None)]
+    assert profile() == profile("unknown", None) == [(5, 45.0, 40.0, 175.0)]
+
+
 def test_area_screen(spark):
     df = spark.createDataFrame([("R2", 4949.0), ("R2", 4950.0), ("R2", None), ("B4", 1000.0)], "d string, a double")
     out = df.select(*(c.alias(n) for n, c in rules.screen(F.col("d") == "R2", [(F.col("a"), 5000)]).items()))
