@@ -131,10 +131,12 @@ def g16(spark, sf):
     return points(spark, sf).withColumn("c", part).filter("c IS NOT NULL").select("id", F.round((F.col("c.t1") - F.col("c.t0")) * 100, 6).alias("length"))
 
 
-@query("g17_simplification", "SELECT s_suppkey, 3 AS kept FROM supplier")
+@query("g17_simplification", "SELECT s_suppkey, (2 + s_suppkey % 3)::INT AS kept FROM supplier")
 def g17(spark, sf):
-    bend = F.array(*(G.point(F.lit(float(i)), F.when(F.lit(i) <= 5, F.lit(0.0)).otherwise(F.lit(float(i - 5))) + F.pmod(F.col("s_suppkey"), F.lit(2)) * 0.001 * (i % 2)) for i in range(11)))
-    return G.simplify(table(spark, sf, "supplier").select("s_suppkey", bend.alias("line")), "line", 0.05).select("s_suppkey", F.size("line").alias("kept"))
+    bends, key = F.col("s_suppkey") % 3, F.col("s_suppkey")
+    height = lambda i: F.when(bends == 0, 0.0).when(bends == 1, float(max(0, i - 5))).otherwise(float(min(max(0, i - 3), 4)))
+    line = F.array(*(G.point(F.lit(float(i)), height(i) + F.pmod(key, F.lit(2)) * 0.001 * (i % 2)) for i in range(11)))
+    return G.simplify(table(spark, sf, "supplier").select("s_suppkey", line.alias("line")), "line", 0.05).select("s_suppkey", F.size("line").alias("kept"))
 
 
 @query("g18_web_mercator", f"WITH {P} SELECT id, round(lon / 180 * pi() * 6378137, 3) AS x, round(ln(tan((90 + lat) * pi() / 360)) * 6378137, 3) AS y, round(lat, 6) AS back FROM (SELECT id, x / 10 - 90 AS lon, y / 20 AS lat FROM p)")

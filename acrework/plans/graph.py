@@ -40,10 +40,13 @@ def n04(spark, sf):
 
 
 @query("n05_cycles", """
-SELECT n_nationkey AS node FROM nation WHERE n_nationkey IN (3, 4, 5, 9)""")
+WITH RECURSIVE e AS (SELECT c_custkey AS s, c_custkey + 1 AS d FROM customer WHERE c_custkey % 5 <> 4 UNION ALL SELECT c_custkey, c_custkey - 4 FROM customer WHERE c_custkey % 15 = 4 UNION ALL SELECT c_custkey, c_custkey FROM customer WHERE c_custkey % 50 = 2),
+p AS (SELECT s, d FROM e UNION SELECT p.s, e.d FROM p JOIN e ON p.d = e.s)
+SELECT DISTINCT s AS node FROM p WHERE s = d""")
 def n05(spark, sf):
-    chain = table(spark, sf, "nation").select(F.col("n_nationkey").alias("src"), (F.col("n_nationkey") + 1).alias("dst"))
-    return G.cycle_nodes(chain.union(spark.createDataFrame([(5, 3), (9, 9)], "src int, dst int")))
+    key = F.col("c_custkey")
+    to = F.array_compact(F.array(F.when(key % 5 != 4, key + 1), F.when(key % 15 == 4, key - 4), F.when(key % 50 == 2, key)))
+    return G.cycle_nodes(table(spark, sf, "customer").select(key.alias("src"), F.explode(to).alias("dst")))
 
 
 @query("n06_rule_conflicts", """
