@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acrework.functions.storage import cut_lineage
+from acrework.operators.components import connected_components
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 RING = "array<struct<x:double,y:double>>"
@@ -205,6 +206,73 @@ def clip_area(ring: Column, convex: Column) -> Column:
     return kernel(ring, convex)
 
 
+def _apart(x: str, y: str, u: str, v: str) -> Column:
+    """Distance of two points; equal sums of squares give equal distances, so that ties are ties."""
+    dx, dy = F.col(x) - F.col(u), F.col(y) - F.col(v)
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def densify(df: DataFrame, x1: str, y1: str, x2: str, y2: str, step: float) -> DataFrame:
+    """Points (x, y) along each segment, its ends among them, evenly spaced and no more than ``step`` apart."""
+    dx, dy = F.col(x2) - F.col(x1), F.col(y2) - F.col(y1)
+    pieces = F.greatest(F.ceil(F.hypot(dx, dy) / step), F.lit(1))
+    rows = df.withColumns({"_n": pieces, "_dx": dx, "_dy": dy}).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces)))
+    at = {"x": F.col(x1) + F.col("_dx") * F.col("_i") / F.col("_n"), "y": F.col(y1) + F.col("_dy") * F.col("_i") / F.col("_n")}
+    return rows.withColumns(at).drop("_n", "_dx", "_dy", "_i")
+
+
+def widest_lines(df: DataFrame, line: str, width: str, ties: Sequence[str]) -> DataFrame:
+    """One row for each line of points, whichever way it runs: the widest, then the least by ``ties``."""
+    same = F.least(F.col(line), F.reverse(F.col(line)))
+    order = Window.partitionBy("_same").orderBy(F.desc_nulls_last(width), *ties)
+    return df.withColumn("_same", same).withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_same", "_r")
+
+
+def _segment_distance(p: Column, a: Column, b: Column) -> Column:
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    t = F.coalesce(((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    ex, ey = p["x"] - a["x"] - t * dx, p["y"] - a["y"] - t * dy
+    return F.sqrt(ex * ex + ey * ey)
+
+
+def ring_distance(left: Column, right: Column) -> Column:
+    """Distance of two polygons; zero where their edges cross or one lies in the other."""
+    turn = lambda a, b, p: F.signum((b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"]))
+    crosses = lambda e, f: (turn(e["a"], e["b"], f["a"]) * turn(e["a"], e["b"], f["b"]) < 0) & (turn(f["a"], f["b"], e["a"]) * turn(f["a"], f["b"], e["b"]) < 0)
+    gap = lambda points, ring: F.array_min(F.flatten(F.transform(points, lambda p: F.transform(_pairs(ring), lambda e: _segment_distance(p, e["a"], e["b"])))))
+    cross = F.exists(_pairs(left), lambda e: F.exists(_pairs(right), lambda f: crosses(e, f)))
+    first = lambda ring: F.element_at(ring, 1)
+    inside = contains_point(left, first(right)["x"], first(right)["y"]) | contains_point(right, first(left)["x"], first(left)["y"])
+    return F.when(cross | inside, 0.0).otherwise(F.least(gap(left, right), gap(right, left)))
+
+
+def contiguous_blocks(shapes: DataFrame, key: str, ring: str, tolerance: float, cell: float) -> DataFrame:
+    """One row for each block of shapes that touch when each is grown by ``tolerance``.
+
+    Columns: ``block`` (the least key), ``parts``, ``area`` (the sum of its shapes), ``x`` and ``y`` (its centroid, by
+    area).  A shape that touches none is a block of its own; keys must be unique and not null.
+    """
+    boxed = with_box(shapes.select(F.col(key).alias("_id"), F.col(ring).alias("_ring")), "_ring").select("_id", "_ring", *((F.col(c) + (tolerance if c.endswith("max") else -tolerance)).alias(c) for c in BOX))
+    near = box_pairs(boxed, boxed, cell).filter("_id <= r__id").filter(ring_distance(F.col("_ring"), F.col("r__ring")) <= 2 * tolerance)
+    blocks = connected_components(near.select(F.col("_id").alias("src"), F.col("r__id").alias("dst")))
+    own, middle = area(F.col(ring)), centroid(F.col(ring))
+    parts = shapes.select(F.col(key).alias("node"), own.alias("_a"), (own * middle["x"]).alias("_x"), (own * middle["y"]).alias("_y")).join(blocks, "node")
+    return parts.groupBy(F.col("component").alias("block")).agg(F.count("*").alias("parts"), F.sum("_a").alias("area"), (F.sum("_x") / F.sum("_a")).alias("x"), (F.sum("_y") / F.sum("_a")).alias("y"))
+
+
+def size_table(blocks: DataFrame, size: str, parts: str, member: str, limits: Sequence[float]) -> DataFrame:
+    """For each least size: blocks of it or more, those of them that are members, and the median of their parts (0 for none)."""
+    from acrework.operators.aggregates import exact_quantiles
+
+    least = F.array(*(F.lit(float(v)) for v in limits))
+    rows = blocks.withColumn("least", F.explode(F.filter(least, lambda v: F.col(size) >= v)))
+    counted = rows.groupBy("least").agg(F.count("*").alias("blocks"), F.count_if(F.col(member)).alias("members"))
+    medians = exact_quantiles(rows, ["least"], parts, [0.5]).select("least", F.get("quantiles", 0).alias("median_parts"))
+    every = blocks.sparkSession.createDataFrame([(float(v),) for v in limits], "least double")
+    return every.join(counted, "least", "left").join(medians, "least", "left").fillna(0)
+
+
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float, most: float) -> DataFrame:
     """The nearest right point (x, y) of each left point within ``most``, by growing rings of cells; ties to the least id."""
     place = lambda df: df.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
@@ -213,7 +281,7 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell
     while True:
         ring = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)))
         near = waiting.withColumn("_o", F.explode(ring)).withColumns({"cx": F.col("cx") + F.col("_o.i"), "cy": F.col("cy") + F.col("_o.j")}).join(targets, ["cx", "cy"])
-        best = near.groupBy(left_id).agg(F.min(F.struct(F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")).alias("distance"), F.col(right_id))).alias("_b")).select(left_id, "_b.distance", f"_b.{right_id}")
+        best = near.groupBy(left_id).agg(F.min(F.struct(_apart("x", "y", "_x", "_y").alias("distance"), F.col(right_id))).alias("_b")).select(left_id, "_b.distance", f"_b.{right_id}")
         sure = best.filter((F.col("distance") <= reach * cell) & (F.col("distance") <= most))  # no nearer one lies beyond the ring
         sure = cut_lineage(sure, "nearest")
         found = sure if found is None else found.unionByName(sure)
@@ -262,27 +330,6 @@ def majority_cells(cells: DataFrame, polygons: DataFrame, ring: str, n: int, cel
     return covered.filter(F.col("cover") >= n // 2 + 1)
 
 
-def _shift(cells: DataFrame, radius: int) -> DataFrame:
-    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius))
-    return cells.withColumn("_o", F.explode(offsets)).select((F.col("cx") + F.col("_o.i")).alias("cx"), (F.col("cy") + F.col("_o.j")).alias("cy"))
-
-
-def dilate(cells: DataFrame, radius: int) -> DataFrame:
-    """Cells (cx, cy) within a radius of the set."""
-    return _shift(cells, radius).distinct()
-
-
-def erode(cells: DataFrame, radius: int) -> DataFrame:
-    """Cells all of whose neighbours within a radius belong to the set."""
-    full = sum(1 for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius)
-    return _shift(cells.distinct(), radius).groupBy("cx", "cy").count().filter(F.col("count") == full).select("cx", "cy")
-
-
-def close_gaps(cells: DataFrame, grow: int, shrink: int) -> DataFrame:
-    """Morphological closing (opening with the steps the other way round)."""
-    return erode(dilate(cells, grow), shrink)
-
-
 def line_box_clip(x1: Column, y1: Column, x2: Column, y2: Column, box: dict[str, float]) -> Column:
     """(t0, t1) of the part of a segment inside a box; null if nothing but a point is left."""
     low, high, valid = F.lit(0.0), F.lit(1.0), F.lit(True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from acrework.operators import geometry as G
-from acrework.operators.components import connected_components
+from acrework.operators import raster as Ra
 from acrework.operators.windows import dedupe
 from acrework.plans.registry import query, table
 
@@ -96,39 +96,89 @@ def g11(spark, sf):
     return G.majority_cells(cells, wide, "ring", wide.count() // 10, 100).join(cells, "cell_id").select("x", "y", "cover")
 
 
-@query("g12_threshold_bands", f"WITH {P} SELECT t AS threshold, count(*) AS cells FROM p, (SELECT unnest([200, 400, 800]) AS t) WHERE sqrt(x * x + y * y) <= t GROUP BY 1")
+def _grown(src: str, by: str = "") -> str:
+    """SQL of the cells within one step of a set."""
+    return f"SELECT DISTINCT {by}cx + i AS cx, cy + j AS cy FROM {src}, o"
+
+
+def _shrunk(src: str, by: str = "") -> str:
+    """SQL of the cells whose four neighbours all belong to a set."""
+    return f"SELECT {by}cx + i AS cx, cy + j AS cy FROM {src}, o GROUP BY ALL HAVING count(*) = 5"
+
+
+#: The steps of a disc of radius one.
+O = "o AS (SELECT i, j FROM range(-1, 2) a(i), range(-1, 2) b(j) WHERE i * i + j * j <= 1)"
+
+
+def cells_of(df, step: int, *by):
+    return df.select(*by, F.floor(F.col("x") / step).alias("cx"), F.floor(F.col("y") / step).alias("cy")).distinct()
+
+
+@query("g12_threshold_bands", f"WITH {P}, {O}, c AS (SELECT DISTINCT t, floor(x / 40)::BIGINT AS cx, floor(y / 40)::BIGINT AS cy FROM p, (SELECT unnest([200, 400, 800]) AS t) WHERE sqrt(x * x + y * y) <= t), d AS ({_grown('c', 't, ')}), e AS ({_shrunk('d', 't, ')}) SELECT t AS threshold, count(*) AS cells FROM e GROUP BY 1")
 def g12(spark, sf):
     timed = points(spark, sf).withColumn("threshold", F.explode(F.array(F.lit(200), F.lit(400), F.lit(800))))
-    return timed.filter(F.hypot("x", "y") <= F.col("threshold")).groupBy("threshold").agg(F.count("*").alias("cells"))
+    bands = cells_of(timed.filter(F.hypot("x", "y") <= F.col("threshold")), 40, "threshold")
+    return Ra.close_gaps(bands, 1, 1, ["threshold"]).groupBy("threshold").agg(F.count("*").alias("cells"))
 
 
 NEAREST = f"WITH {B}, {P}, c AS (SELECT id, k, sqrt((x - x1) ** 2 + (y - y1) ** 2) AS d FROM p, b) SELECT id, arg_min(k, d * 1e9 + k / 1e6) AS k, round(min(d), 6) AS distance FROM c GROUP BY 1"
 
 
-@query("g13_distance_field", NEAREST)
+@query("g13_distance_field", f"""
+WITH {B}, {P}, s AS (SELECT k, x1 + n * i / ceil(n / 20) AS x1, y1 FROM (SELECT k, x1, y1, 15.0 * (1 + k % 4) AS n FROM b), range(0, 5) t(i) WHERE i <= ceil(n / 20))
+SELECT id, k, round(sqrt((x - x1) ** 2 + (y - y1) ** 2), 6) AS distance FROM p, s QUALIFY row_number() OVER (PARTITION BY id ORDER BY (x - x1) ** 2 + (y - y1) ** 2, k) = 1""")
 def g13(spark, sf):
-    roads = boxes(spark, sf).select("k", F.col("xmin").alias("x"), F.col("ymin").alias("y"))
-    return G.nearest(points(spark, sf), roads, "id", "k", 60.0, 1500.0).select("id", "k", F.round("distance", 6).alias("distance"))
+    roads = boxes(spark, sf).select("k", "xmin", "ymin", (F.col("xmin") + 15.0 * (1 + F.col("k") % 4)).alias("to"))
+    return G.nearest(points(spark, sf), G.densify(roads, "xmin", "ymin", "to", "ymin", 20.0), "id", "k", 60.0, 1500.0).select("id", "k", F.round("distance", 6).alias("distance"))
+
 
+#: Closing of grown cells; holes under 0.3 of the largest part filled; opening; parts from 0.5 of the largest one kept.
+CLOSED = f"""WITH RECURSIVE {P}, {O}, n AS (SELECT * FROM o WHERE i <> 0 OR j <> 0),
+c AS (SELECT DISTINCT floor(x / 25)::BIGINT AS cx, floor(y / 25)::BIGINT AS cy FROM p), d1 AS ({_grown('c')}), d2 AS ({_grown('d1')}), e AS ({_shrunk('d2')}),
+m AS (SELECT cx AS a, cy AS b, cx, cy FROM e UNION SELECT a, b, e.cx, e.cy FROM m, n, e WHERE e.cx = m.cx + i AND e.cy = m.cy + j),
+g AS (SELECT x AS cx, y AS cy FROM range(-3, 50) t(x), range(-3, 50) u(y) WHERE (x, y) NOT IN (SELECT (cx, cy) FROM e)),
+f AS (SELECT -3::BIGINT AS cx, -3::BIGINT AS cy UNION SELECT g.cx, g.cy FROM f, n, g WHERE g.cx = f.cx + i AND g.cy = f.cy + j),
+h AS (SELECT * FROM g WHERE (cx, cy) NOT IN (SELECT (cx, cy) FROM f)),
+k AS (SELECT cx AS a, cy AS b, cx, cy FROM h UNION SELECT a, b, h.cx, h.cy FROM k, n, h WHERE h.cx = k.cx + i AND h.cy = k.cy + j),
+w AS (SELECT * FROM e UNION ALL SELECT a, b FROM k GROUP BY 1, 2 HAVING count(*) < 0.3 * (SELECT max(s) FROM (SELECT count(*) AS s FROM m GROUP BY a, b))),
+s1 AS ({_shrunk('w')}), z AS ({_grown('s1')}), q AS (SELECT cx AS a, cy AS b, cx, cy FROM z UNION SELECT a, b, z.cx, z.cy FROM q, n, z WHERE z.cx = q.cx + i AND z.cy = q.cy + j),
+v AS (SELECT a AS cx, b AS cy, count(*) AS s FROM q GROUP BY 1, 2)"""
 
-@query("g14_morphological_closing", f"WITH {P}, c AS (SELECT DISTINCT floor(x / 20)::BIGINT AS cx, floor(y / 20)::BIGINT AS cy FROM p), o AS (SELECT i, j FROM range(-1, 2) a(i), range(-1, 2) b(j) WHERE i * i + j * j <= 1), d AS (SELECT DISTINCT cx + i AS cx, cy + j AS cy FROM c, o), e AS (SELECT cx + i AS cx, cy + j AS cy FROM d, o) SELECT cx, cy FROM e GROUP BY 1, 2 HAVING count(*) = 5")
+
+@query("g14_morphological_closing", CLOSED + " SELECT cx, cy FROM v WHERE s >= 0.5 * (SELECT max(s) FROM v)")
 def g14(spark, sf):
-    cells = points(spark, sf).select(F.floor(F.col("x") / 20).alias("cx"), F.floor(F.col("y") / 20).alias("cy")).distinct()
-    return G.close_gaps(cells, 1, 1)
+    closed = Ra.close_gaps(Ra.dilate(cells_of(points(spark, sf), 25), 1), 1, 1)
+    return Ra.drop_islands(Ra.open_cells(Ra.fill_holes(closed, 0.3), 1), 0.5)
+
+
+BLOCKS = f"""WITH RECURSIVE {B}, s AS (SELECT * FROM b), e AS (SELECT a.k AS u, c.k AS v FROM s a JOIN s c ON a.x1 <= c.x2 + 1 AND c.x1 <= a.x2 + 1 AND a.y1 <= c.y2 + 1 AND c.y1 <= a.y2 + 1), r(u, v) AS (SELECT * FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u), m AS (SELECT u AS k, min(v) AS block FROM r GROUP BY 1),
+t AS (SELECT block, count(*) AS parts, sum(a) AS area, sum(a * (x1 + x2) / 2) / sum(a) < 512.3 AND sum(a * (y1 + y2) / 2) / sum(a) < 512.3 AS in_region FROM (SELECT *, (x2 - x1) * (y2 - y1) AS a FROM m JOIN s USING (k)) GROUP BY 1)"""
+
 
+def assembled(spark, sf):
+    region = spark.createDataFrame([(1,)], "region int").select("region", G.rectangle(*map(F.lit, (0.0, 0.0, 512.3, 512.3))).alias("outline"))
+    blocks = G.contiguous_blocks(boxes(spark, sf), "k", "ring", 0.75, 50.0)
+    return G.points_within(blocks, "x", "y", region, "outline", 600.0).select("block", "parts", "area", F.col("r_region").isNotNull().alias("in_region"))
 
-@query("g15_contiguity_dissolve", f"WITH RECURSIVE {B}, s AS (SELECT * FROM b), e AS (SELECT a.k AS u, c.k AS v FROM s a JOIN s c ON a.x1 <= c.x2 AND c.x1 <= a.x2 AND a.y1 <= c.y2 AND c.y1 <= a.y2), r(u, v) AS (SELECT * FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u), m AS (SELECT u AS k, min(v) AS block FROM r GROUP BY 1) SELECT block, count(*) AS parts, sum((x2 - x1) * (y2 - y1)) AS area FROM m JOIN s USING (k) GROUP BY 1")
+
+@query("g15_contiguity_dissolve", BLOCKS + " SELECT * FROM t")
 def g15(spark, sf):
-    shapes = boxes(spark, sf)
-    touching = G.box_pairs(shapes.select("k", *G.BOX), shapes.select("k", *G.BOX), 50.0)
-    blocks = connected_components(touching.select(F.col("k").alias("src"), F.col("r_k").alias("dst")))
-    return shapes.join(blocks, shapes.k == blocks.node).groupBy(F.col("component").alias("block")).agg(F.count("*").alias("parts"), F.sum(G.area(F.col("ring"))).alias("area"))
+    return assembled(spark, sf)
+
 
+@query("g15_size_table", BLOCKS + " SELECT least, count(block) AS blocks, count(block) FILTER (in_region) AS members, coalesce(median(parts) FILTER (block IS NOT NULL), 0) AS median_parts FROM (SELECT unnest([50.0, 200.0, 400.0, 1000.0, 1e9])::DOUBLE AS least) LEFT JOIN t ON area >= least GROUP BY 1")
+def g15_sizes(spark, sf):
+    return G.size_table(assembled(spark, sf), "area", "parts", "in_region", [50, 200, 400, 1000, 1e9])
 
-@query("g16_clip_lines", f"WITH {P} SELECT id, round(greatest(0, least(x + 100, 600) - greatest(x, 200)), 6) AS length FROM p WHERE y BETWEEN 100 AND 700 AND least(x + 100, 600) > greatest(x, 200)")
+
+@query("g16_clip_lines", f"WITH {P} SELECT id, round(greatest(0, least(x + 100, 600) - greatest(x, 200)), 6) AS length, CASE WHEN id % 5 > id % 7 THEN 'back' ELSE 'along' END AS way FROM p WHERE y BETWEEN 100 AND 700 AND least(x + 100, 600) > greatest(x, 200)")
 def g16(spark, sf):
-    part = G.line_box_clip(F.col("x"), F.col("y"), F.col("x") + 100, F.col("y"), {"xmin": 200.0, "xmax": 600.0, "ymin": 100.0, "ymax": 700.0})
-    return points(spark, sf).withColumn("c", part).filter("c IS NOT NULL").select("id", F.round((F.col("c.t1") - F.col("c.t0")) * 100, 6).alias("length"))
+    along = points(spark, sf).select("id", F.col("x").alias("x1"), (F.col("x") + 100).alias("x2"), "y", (F.col("id") % 7).alias("width"), F.lit("along").alias("way"))
+    back = along.select("id", F.col("x2").alias("x1"), F.col("x1").alias("x2"), "y", (F.col("id") % 5).alias("width"), F.lit("back").alias("way"))
+    lines = along.union(back).withColumn("c", G.line_box_clip(F.col("x1"), F.col("y"), F.col("x2"), F.col("y"), {"xmin": 200.0, "xmax": 600.0, "ymin": 100.0, "ymax": 700.0})).filter("c IS NOT NULL")
+    end = lambda t: G.point(F.round(F.col("x1") + F.col(t) * (F.col("x2") - F.col("x1")), 6), F.col("y"))
+    kept = G.widest_lines(lines.withColumn("line", F.array(end("c.t0"), end("c.t1"))), "line", "width", ["way", "id"])
+    return kept.select("id", F.round((F.col("c.t1") - F.col("c.t0")) * 100, 6).alias("length"), "way")
 
 
 @query("g17_simplification", "SELECT s_suppkey, (2 + s_suppkey % 3)::INT AS kept FROM supplier")
@@ -158,11 +208,15 @@ def g20(spark, sf):
 
 @query("g21_hull_comparison")
 def g21(spark, sf):
-    """Hull and raster areas of each region's points; the tests compare them with brute force over the table."""
+    """Areas of each region's points: hull, cells, cells grown by one (buffer) and closed (morph), and two ratios.
+
+    The tests compare them with brute force over the table.
+    """
     rows = points(spark, sf).withColumn("g", F.col("id") % 4)
-    hulls = G.hull_areas(rows, "g")
-    cells = rows.groupBy("g").agg((F.count_distinct(F.floor(F.col("x") / 20), F.floor(F.col("y") / 20)) * 400.0).alias("raster"))
-    return hulls.join(cells, "g")
+    cells = cells_of(rows, 20, "g")
+    size = lambda df, name: df.groupBy("g").agg((F.count("*") * 400.0).alias(name))
+    out = G.hull_areas(rows, "g").join(size(cells, "raster"), "g").join(size(Ra.dilate(cells, 1, ["g"]), "buffer"), "g").join(size(Ra.close_gaps(cells, 1, 1, ["g"]), "morph"), "g")
+    return out.withColumns({"morph_to_buffer": F.col("morph") / F.col("buffer"), "morph_to_hull": F.col("morph") / F.nullif("hull", F.lit(0.0))})
 
 
 @query("g22_threshold_completeness", "SELECT mode, list_sort(list_filter(['click', 'error', 'view'], lambda t: NOT list_contains(l, t))) AS missing, list_sort(list_filter(l, lambda t: t NOT IN ('click', 'error', 'view'))) AS extra FROM (SELECT user_id || '/' || dayofmonth(ts) AS mode, list_distinct(list(event_type)) AS l FROM events GROUP BY 1) WHERE len(missing) > 0 OR len(extra) > 0")

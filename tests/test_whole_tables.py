@@ -131,6 +131,11 @@ def test_hulls_over_the_table(spark):
         own = [(x, y) for x, y, g in points if g == r["g"]]
         cells = {(x // 20, y // 20) for x, y in own}
         assert r["raster"] == 400 * len(cells)
+        disc = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
+        grown = {(x + i, y + j) for x, y in cells for i, j in disc}
+        closed = {c for c in grown if all((c[0] + i, c[1] + j) in grown for i, j in disc)}
+        assert r["buffer"] == 400 * len(grown) and r["morph"] == 400 * len(closed)
+        assert math.isclose(r["morph_to_buffer"], len(closed) / len(grown)) and (r["morph_to_hull"] is None) == (r["hull"] == 0)
         # an edge of the hull has all points on one side; the edges' triangles with any point add up to its area
         area = 0.0
         if len(own) >= 3:
