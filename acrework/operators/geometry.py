@@ -303,20 +303,6 @@ def street_facing(edge_rows: DataFrame, key: str, street_angle: Column, distance
     return front.withColumn("confidence", confidence)
 
 
-def setback_options(width: Column, depth: Column, front: float = 20, rear: float = 30, side: float = 4, both_sides: float = 14) -> Column:
-    """Building envelopes of a rectangular lot (front edge on y = 0): the narrow side yard on the left or on the right."""
-    inner, deep = width - both_sides, depth - front - rear
-    option = lambda left: F.struct(F.lit(float(left)).alias("xmin"), F.lit(float(front)).alias("ymin"), (F.lit(float(left)) + inner).alias("xmax"), (depth - rear).alias("ymax"))
-    return F.when((inner > 0) & (deep > 0), F.array(option(side), option(both_sides - side))).otherwise(F.expr("CAST(array() AS array<struct<xmin:double,ymin:double,xmax:double,ymax:double>>)"))
-
-
-def outside_area(options: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
-    """Least area of a box outside one of the envelopes; its whole area if there is none."""
-    own = (xmax - xmin) * (ymax - ymin)
-    inside = lambda o: F.greatest(F.least(xmax, o["xmax"]) - F.greatest(xmin, o["xmin"]), F.lit(0.0)) * F.greatest(F.least(ymax, o["ymax"]) - F.greatest(ymin, o["ymin"]), F.lit(0.0))
-    return F.coalesce(F.array_min(F.transform(options, lambda o: own - inside(o))), own)
-
-
 def grid(spark, xmin: int, ymin: int, xmax: int, ymax: int, step: int) -> DataFrame:
     """Cell centres of a regular grid with ids."""
     columns, rows = -(-(xmax - xmin) // step), -(-(ymax - ymin) // step)

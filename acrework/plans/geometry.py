@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from acrework.operators import geometry as G
+from acrework.operators import lots as L
 from acrework.operators import raster as Ra
+from acrework.operators.projections import MICHIGAN_SOUTH_FEET, UTM_17N
 from acrework.operators.windows import dedupe
 from acrework.plans.registry import query, table
 
@@ -65,17 +67,40 @@ def g06(spark, sf):
     return agreement(front, "edge_length", "recorded", [2]).select("n", F.round("median_gap", 6).alias("median_gap"), F.round("within_2", 6).alias("within_2"))
 
 
-@query("g07_setback_envelopes", "SELECT p_partkey, CASE WHEN w > 14 AND d > 50 THEN 2 ELSE 0 END AS options, CASE WHEN w > 14 AND d > 50 THEN (w - 14) * (d - 50) END AS area FROM (SELECT p_partkey, p_size + 10.0 AS w, p_partkey % 120 + 30.0 AS d FROM part)")
+def lot_rows(spark, sf, depth):
+    """Lots of parts, turned by a 3-4-5 triangle; every fifth is a triangle, every seventh has no building."""
+    width = F.col("p_size") + 10.0
+    at = lambda x, y: G.point(100 + 0.6 * x - 0.8 * y, 50 + 0.8 * x + 0.6 * y)
+    shape = lambda *corners: F.array(*(at(*c) for c in (*corners, corners[0])))
+    zero, d = F.lit(0.0), F.lit(0.0) + depth
+    building = shape(*((F.lit(x), F.lit(y)) for x, y in ((4.0, 30.0), (24.0, 30.0), (24.0, 50.0), (4.0, 50.0))))
+    rows = table(spark, sf, "part").withColumn("ring", F.when(F.col("p_partkey") % 5 == 0, shape((zero, zero), (width, zero), (zero, d))).otherwise(shape((zero, zero), (width, zero), (width, d), (zero, d))))
+    first, second = at(zero, zero), at(width, zero)
+    return rows.withColumns({"x1": first["x"], "y1": first["y"], "x2": second["x"], "y2": second["y"], "building": F.when(F.col("p_partkey") % 7 > 0, building)})
+
+
+@query("g07_setback_envelopes", "SELECT p_partkey, w AS width, d AS depth, CASE WHEN p_partkey % 5 = 0 THEN 0.5 ELSE 1 END::DOUBLE AS rectangularity, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN w > 14 AND d > 50 THEN (w - 14) * (d - 50) ELSE 0 END AS available FROM (SELECT p_partkey, p_size + 10.0 AS w, p_partkey % 120 + 30.0 AS d FROM part)")
 def g07(spark, sf):
-    lots = table(spark, sf, "part").select("p_partkey", (F.col("p_size") + 10.0).alias("w"), (F.col("p_partkey") % 120 + 30.0).alias("d")).withColumn("o", G.setback_options(F.col("w"), F.col("d")))
-    first = F.get("o", 0)
-    return lots.select("p_partkey", F.size("o").alias("options"), ((first["xmax"] - first["xmin"]) * (first["ymax"] - first["ymin"])).alias("area"))
+    out = L.setback_envelopes(lot_rows(spark, sf, F.col("p_partkey") % 120 + 30.0), "ring", "building")
+    return out.select("p_partkey", *(F.round(c, 6).alias(c) for c in ("width", "depth", "rectangularity", "available")))
+
 
+#: SQL of the area of a building outside the better envelope of a lot 100 deep.
+OUTSIDE = "CASE WHEN w > 14 THEN 400 - greatest(least(4 + 20, w - 10) - greatest(4, 4), least(24, w - 4) - greatest(4, 10), 0) * 20 ELSE 400 END"
 
-@query("g08_outside_area", "SELECT p_partkey, CASE WHEN w > 14 THEN 400 - greatest(least(4 + 20, w - 10) - greatest(4, 4), least(24, w - 4) - greatest(4, 10), 0) * 20 ELSE 400 END AS outside FROM (SELECT p_partkey, p_size + 10.0 AS w FROM part)")
+
+@query("g08_outside_area", f"SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 AND p_partkey % 7 > 0 THEN {OUTSIDE} END AS outside FROM (SELECT p_partkey, p_size + 10.0 AS w FROM part)")
 def g08(spark, sf):
-    lots = table(spark, sf, "part").withColumn("o", G.setback_options(F.col("p_size") + 10.0, F.lit(100.0)))
-    return lots.select("p_partkey", G.outside_area(F.col("o"), F.lit(4.0), F.lit(30.0), F.lit(24.0), F.lit(50.0)).alias("outside"))
+    return L.setback_envelopes(lot_rows(spark, sf, F.lit(100.0)), "ring", "building").select("p_partkey", F.round("outside", 6).alias("outside"))
+
+
+@query("r07_ordered_reasons", f"""
+SELECT reason, count(*) AS n, count(*) FILTER (reason = 'evaluated' AND outside > 10) AS crossing FROM (SELECT CASE WHEN p_type = 'PROMO' THEN 'other_building_type' WHEN p_partkey % 11 = 0 THEN 'possible_multi_parcel_site' WHEN p_size > 40 THEN 'outside_debug_sample' WHEN p_retailprice < 905 THEN 'no_confident_front_edge' WHEN p_partkey % 7 = 0 THEN 'no_principal_footprint' WHEN p_partkey % 5 = 0 THEN 'irregular_geometry' ELSE 'evaluated' END AS reason, {OUTSIDE} AS outside FROM (SELECT *, p_size + 10.0 AS w FROM part)) GROUP BY 1""")
+def r07(spark, sf):
+    rows = lot_rows(spark, sf, F.lit(100.0)).withColumns({"in_scope": F.col("p_type") != "PROMO", "several": F.col("p_partkey") % 11 == 0, "sampled": F.col("p_size") <= 40})
+    parcels, fronts = rows.drop("x1", "y1", "x2", "y2", "building"), rows.filter("p_retailprice >= 905")
+    out = L.setback_evaluation(parcels, fronts, rows.filter("building IS NOT NULL"), "p_partkey", "ring", "in_scope", "several", "sampled")
+    return out.groupBy("reason").agg(F.count("*").alias("n"), F.count_if("crosses").alias("crossing"))
 
 
 @query("g09_principal_building", "SELECT l_orderkey, max(l_quantity) AS footprint FROM lineitem GROUP BY 1")
@@ -195,6 +220,24 @@ def g18(spark, sf):
     return df.select("id", F.round("m.x", 3).alias("x"), F.round("m.y", 3).alias("y"), F.round(G.from_web_mercator(F.col("m.x"), F.col("m.y"))["lat"], 6).alias("back"))
 
 
+#: Textbook forms of both projections: powers of the longitude for the cylinder, ratios of tangents for the cone.
+PROJECTED = f"""WITH {P}, q AS (SELECT id, x / 250 - 84 AS lon, y / 400 + 41.5 AS lat FROM p), c AS (SELECT 6378137.0::DOUBLE AS a, (2 - 1 / 298.257222101::DOUBLE) / 298.257222101::DOUBLE AS e2, (2 - 1 / 298.257223563::DOUBLE) / 298.257223563::DOUBLE AS w2),
+t AS (SELECT *, radians(42.1) AS p1, radians(43 + 40 / 60::DOUBLE) AS p2, radians(41.5) AS p0, radians(lat) AS phi FROM q, c),
+u AS (SELECT *, cos(p1) / sqrt(1 - e2 * sin(p1) ** 2) AS m1, cos(p2) / sqrt(1 - e2 * sin(p2) ** 2) AS m2, {", ".join(f"tan(pi() / 4 - {v} / 2) / ((1 - sqrt(e2) * sin({v})) / (1 + sqrt(e2) * sin({v}))) ** (sqrt(e2) / 2) AS t{n}" for n, v in (("1", "p1"), ("2", "p2"), ("0", "p0"), ("p", "phi")))} FROM t),
+v AS (SELECT *, ln(m1 / m2) / ln(t1 / t2) AS n, w2 / (1 - w2) AS ep, radians(lon + 81) * cos(phi) AS aa, tan(phi) ** 2 AS tt, w2 / (1 - w2) * cos(phi) ** 2 AS cc, a / sqrt(1 - w2 * sin(phi) ** 2) AS nn, a * ((1 - w2 / 4 - 3 * w2 ** 2 / 64 - 5 * w2 ** 3 / 256) * phi - (3 * w2 / 8 + 3 * w2 ** 2 / 32 + 45 * w2 ** 3 / 1024) * sin(2 * phi) + (15 * w2 ** 2 / 256 + 45 * w2 ** 3 / 1024) * sin(4 * phi) - 35 * w2 ** 3 / 3072 * sin(6 * phi)) AS mm FROM u),
+z AS (SELECT *, m1 / (n * t1 ** n) * a AS f, radians(lon + 84 + 22 / 60::DOUBLE) * n AS theta FROM v)
+SELECT id, round((f * tp ** n * sin(theta) + 4000000) / 0.3048, 2) AS feet_x, round((f * t0 ** n - f * tp ** n * cos(theta)) / 0.3048, 2) AS feet_y, round(0.9996 * nn * (aa + (1 - tt + cc) * aa ** 3 / 6 + (5 - 18 * tt + tt ** 2 + 72 * cc - 58 * ep) * aa ** 5 / 120) + 500000, 0) AS utm_x,
+round(0.9996 * (mm + nn * tan(phi) * (aa ** 2 / 2 + (5 - tt + 9 * cc + 4 * cc ** 2) * aa ** 4 / 24 + (61 - 58 * tt + tt ** 2 + 600 * cc - 330 * ep) * aa ** 6 / 720)), 0) AS utm_y, round(lon, 6) AS lon, round(lat, 6) AS lat FROM z"""
+
+
+@query("g18_projected", PROJECTED)
+def g18_projected(spark, sf):
+    lon, lat = F.col("x") / 250 - 84, F.col("y") / 400 + 41.5
+    df = points(spark, sf).select("id", MICHIGAN_SOUTH_FEET.forward(lon, lat).alias("f"), UTM_17N.forward(lon, lat).alias("u"))
+    back = df.withColumns({"a": MICHIGAN_SOUTH_FEET.inverse(F.col("f.x"), F.col("f.y")), "b": UTM_17N.inverse(F.col("u.x"), F.col("u.y"))})
+    return back.select("id", F.round("f.x", 2).alias("feet_x"), F.round("f.y", 2).alias("feet_y"), F.round("u.x", 0).alias("utm_x"), F.round("u.y", 0).alias("utm_y"), F.round("a.lon", 6).alias("lon"), F.round("b.lat", 6).alias("lat"))
+
+
 @query("g19_srid_guard", f"WITH {P} SELECT count(*) AS n, 2898 AS srid FROM p")
 def g19(spark, sf):
     df = points(spark, sf).withColumn("srid", F.lit(2898))

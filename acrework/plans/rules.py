@@ -59,13 +59,6 @@ def r06(spark, sf):
     return table(spark, sf, "orders").join(sums, "o_orderkey", "left").select("o_orderkey", state.alias("state"))
 
 
-@query("r07_ordered_reasons", """
-SELECT reason, count(*) AS n FROM (SELECT CASE WHEN p_type = 'PROMO' THEN 'other type' WHEN p_size > 40 THEN 'outside sample' WHEN p_retailprice < 905 THEN 'no front edge' ELSE 'evaluated' END AS reason FROM part) GROUP BY 1""")
-def r07(spark, sf):
-    reason = R.ordered_reason([("other type", F.col("p_type") == "PROMO"), ("outside sample", F.col("p_size") > 40), ("no front edge", F.col("p_retailprice") < 905)], "evaluated")
-    return table(spark, sf, "part").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
 @query("r08_principal_ambiguity", """
 SELECT l_partkey, count(*) AS parts, round(max(q) / sum(q), 6) AS share, count(*) > 1 AND max(q) / sum(q) < 0.9 AS ambiguous FROM (SELECT l_partkey, l_suppkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
 def r08(spark, sf):

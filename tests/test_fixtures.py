@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from acrework.functions import scalars as S
-from acrework.operators import aggregates, audits, domain, geometry, graph, joins, rules, temporal, text, windows
+from acrework.operators import aggregates, audits, domain, geometry, graph, joins, lots, rules, temporal, text, windows
 from acrework.sources import tables
 
 
@@ -59,8 +59,32 @@ def test_maximum_coverage(spark):
 
 
 def test_setback_envelopes(spark):
-    options, none = one(spark, geometry.setback_options(F.lit(30.0), F.lit(100.0)), geometry.setback_options(F.lit(30.0), F.lit(45.0)))
-    assert [(o["xmax"] - o["xmin"], o["ymax"] - o["ymin"]) for o in options] == [(16, 50), (16, 50)] and none == []
+    turn = lambda pts, c, q: [(7 + c * x - q * y, -3 + q * x + c * y) for x, y in pts]
+    box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+    rows = []
+    for c, q in ((1.0, 0.0), (0.6, 0.8), (-0.8, 0.6)):
+        for lot, building in ((box(0, 0, 30, 100), box(4, 20, 20, 70)), (box(0, 0, 30, 100), box(0, 20, 16, 70)), (box(0, 0, 30, 45), box(5, 5, 15, 15)), ([(0, 0), (30, 0), (0, 100), (0, 0)], box(4, 20, 20, 70)), (box(0, 0, 30, 100), None)):
+            lot, front = turn(lot, c, q), turn([(0, 0), (30, 0)], c, q)
+            rows.append((lot[::-1], building and turn(building, c, q), *front[1], *front[0]))
+    rows += [(None, None, 0.0, 0.0, 1.0, 0.0), (rows[0][0], None, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, f"ring {geometry.RING}, building {geometry.RING}, x1 double, y1 double, x2 double, y2 double")
+    got = [tuple(None if v is None else round(v, 6) for v in r) for r in values(lots.setback_envelopes(df, "ring", "building"), "width", "depth", "rectangularity", "available", "outside")]
+    each = [(30, 100, 1, 800, 0), (30, 100, 1, 800, 200), (30, 45, 1, 0, 100), (30, 100, 0.5, None, None), (30, 100, 1, 800, None)]
+    assert got == each * 3 + [(None,) * 5] * 2
+
+
+def test_ring_distance_and_blocks(spark):
+    square = lambda x, y, s=10.0: [(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]
+    ell = [(0.0, 30.0), (40.0, 30.0), (40.0, 34.0), (4.0, 34.0), (4.0, 70.0), (0.0, 70.0), (0.0, 30.0)]
+    rings = {1: square(0.0, 0.0), 2: square(11.0, 11.0), 3: square(22.0, 11.0), 4: square(34.0, 11.0), 5: ell, 6: square(20.0, 50.0), 7: square(21.0, 51.0, 2.0), 8: square(5.3, 35.0, 3.0)}
+    df = spark.createDataFrame(list(rings.items()), f"k int, ring {geometry.RING}")
+    pairs = df.crossJoin(df.select(F.col("k").alias("j"), F.col("ring").alias("other"))).filter("k < j")
+    apart = {(r["k"], r["j"]): round(r["d"], 6) for r in pairs.select("k", "j", geometry.ring_distance(F.col("ring"), F.col("other")).alias("d")).collect()}
+    assert apart[1, 2] == round(2**0.5, 6) and apart[2, 3] == 1 and apart[3, 4] == 2 and apart[6, 7] == 0 and apart[5, 8] == 1 and apart[5, 6] == 16 and apart[1, 5] == 20
+    blocks = geometry.contiguous_blocks(df, "k", "ring", 0.75, 15.0).orderBy("block")
+    assert values(blocks, "block", "parts", "area") == [(1, 3, 300.0), (4, 1, 100.0), (5, 2, 160.0 + 144.0 + 9.0), (6, 2, 104.0)]
+    table = geometry.size_table(blocks.withColumn("m", F.col("x") < 20), "area", "parts", "m", [100, 200, 500]).orderBy("least")
+    assert values(table, "least", "blocks", "members", "median_parts") == [(100.0, 4, 2, 2.0), (200.0, 2, 2, 2.5), (500.0, 0, 0, 0.0)]
 
 
 def test_instants(spark):
