@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acrework.functions.scalars import holds
+from acrework.operators.audits import contract_faults
 
 STATES = ("meets", "fails", "unknown", "not_applicable")
 
@@ -159,3 +160,56 @@ def overlay_prohibitions(subjects: DataFrame, rules: DataFrame, district: str) -
     own = subjects.join(rules.filter("scope <> '*'"), F.col(district) == F.col("scope"))
     everywhere = subjects.withColumn("_all", F.lit("*")).join(rules.filter("scope = '*'"), F.col("_all") == F.col("scope")).drop("_all")
     return own.unionByName(everywhere)
+
+
+def chapter_applies(in_city: Column, exempt: Column) -> Column:
+    """Land in the city, unless it is known to be exempt from local zoning."""
+    return holds(in_city) & ~holds(exempt)
+
+
+def controlling_rule(own_stricter: Column, table_against_list: Column, other: str) -> Column:
+    """Which rule controls: in a conflict of a use table with a use list the list, else the stricter one.
+
+    An unknown comparison is ``unknown``; ``other`` names the rule the chapter is compared with.
+    """
+    return F.when(holds(table_against_list), "use list").when(own_stricter.isNull(), "unknown").when(own_stricter, "chapter").otherwise(other)
+
+
+def nonconformity_continues(was_legal: Column, situation_continues: Column, conforms_now: Column) -> Column:
+    """A legal nonconformity goes on while its situation does and until it conforms."""
+    return holds(was_legal) & holds(situation_continues) & ~holds(conforms_now)
+
+
+def may_extend(original_body: Column, findings_valid: Column, earlier: Column, months: Column, most_months: int = 12) -> Column:
+    """A prior approval may be extended once, by the body that gave it, on valid findings, for a year at most."""
+    return holds(original_body) & holds(findings_valid) & holds(earlier == 0) & holds(months <= most_months)
+
+
+def may_choose_prior_rules(submitted: Column, effective: Column, decided: Column, complete: Column) -> Column:
+    """Complete before the effective date and still pending on it (decided on it or later, or not at all)."""
+    return holds(submitted < effective) & holds(complete) & holds(F.coalesce(decided >= effective, F.lit(True)))
+
+
+def ledger_faults(ledger: DataFrame, manifest: DataFrame, key: str, section: str, disposition: str, allowed: Sequence[str], filled: Sequence[str], columns: Sequence[str], digest: str = "digest") -> DataFrame:
+    """Faults of a ledger against its manifest as rows (at, fault); a clean ledger gives none.
+
+    Rows: a blank ``filled`` column, ``disposition`` (not allowed), ``repeated`` ids.  Sections: ``uncovered`` (only in
+    the manifest), ``unlisted`` (only in the ledger), ``digest`` (not 64 lower-case hexadecimal digits).  The whole
+    ledger: ``columns``, if its columns are not those expected.
+    """
+    at = lambda c: F.col(c).cast("string").alias("at")
+    rows = contract_faults(ledger, key, list(filled), {"disposition": F.col(disposition).isin(*allowed)}).select(at(key), "fault")
+    there, listed = ledger.select(section).distinct(), manifest.select(section).distinct()
+    uncovered = listed.join(there, section, "left_anti").select(at(section), F.lit("uncovered").alias("fault"))
+    unlisted = there.join(listed, section, "left_anti").select(at(section), F.lit("unlisted").alias("fault"))
+    bad = manifest.filter(~holds(F.col(digest).rlike("^[0-9a-f]{64}$"))).select(at(section), F.lit("digest").alias("fault"))
+    out = rows.union(uncovered).union(unlisted).union(bad)
+    if list(ledger.columns) != list(columns):
+        out = out.union(ledger.sparkSession.createDataFrame([(None, "columns")], "at string, fault string"))
+    return out
+
+
+def resolve_uses(entries: DataFrame, groups: DataFrame, district: str, entry: str, group: str, use: str) -> DataFrame:
+    """District and specific use, each pair once: an entry that names a broad group stands for all its uses."""
+    named = groups.select(F.col(group).alias("_group"), F.col(use).alias("_use")).distinct()
+    return entries.join(named, F.col(entry) == F.col("_group"), "left").select(district, F.coalesce("_use", entry).alias(use)).distinct()

@@ -119,12 +119,24 @@ def rule_effects(df: DataFrame, key: str, text: str, rules: dict[str, str]) -> D
     return df.select(key, F.explode(found).alias("effect"))
 
 
+def _bytes_at(text: str, start: Column, end: Column) -> Column:
+    """The bytes from start to end, if they are some and whole characters of the text; else null."""
+    piece = F.substr(F.col(text).cast("binary"), (start + 1).cast("int"), (end - start).cast("int"))
+    there = (end > start) & (start >= 0) & (end <= F.octet_length(text))
+    return F.when(there & F.is_valid_utf8(piece.cast("string")), piece)
+
+
 def span_citation(df: DataFrame, text: str, start: Column, end: Column) -> DataFrame:
-    """Quote and digest of a byte range; an empty or outlying range is invalid and has neither."""
-    raw = F.col(text).cast("binary")
-    valid = F.coalesce((end > start) & (start >= 0) & (end <= F.octet_length(text)), F.lit(False))
-    quote = F.when(valid, F.substr(raw, (start + 1).cast("int"), (end - start).cast("int")))
-    return df.withColumns({"valid": valid, "quote_sha256": F.sha2(quote, 256)})
+    """Quote digest of a byte range; a range that is empty, outlying or cuts a character is invalid and has none."""
+    quote = _bytes_at(text, start, end)
+    return df.withColumns({"valid": quote.isNotNull(), "quote_sha256": F.sha2(quote, 256)})
+
+
+def span_state(text: str, start: Column, end: Column, quote_sha256: Column) -> Column:
+    """``verified`` if the cited range still reads the same, ``changed`` if it reads otherwise, ``occluded`` if it is
+    there no more, ``invalid`` if there is no citation (null digest)."""
+    now = F.sha2(_bytes_at(text, start, end), 256)
+    return F.when(quote_sha256.isNull(), "invalid").when(now.isNull(), "occluded").when(now == quote_sha256, "verified").otherwise("changed")
 
 
 def decode_matrix(df: DataFrame, keys: Sequence[str], columns: Sequence[str], codes: dict[str, str]) -> DataFrame:
@@ -142,11 +154,27 @@ def cell_kind(cell: Column) -> Column:
     plain = F.trim(cell)
     return (
         F.when(plain.isNull() | (plain == ""), "blank").when(plain.rlike(r"(?i)^(none|no minimum)$"), "no minimum").when(plain.rlike(r"(?i)^(n/?a|not applicable)$"), "inapplicable")
-        .when(plain.rlike(r"(?i)\b(see|sec(tion)?\.?)\s"), "cross reference").when(plain.rlike(r"(?i)formula"), "formula").when(plain.rlike(r"^[\d.,]+\s*(/|;| or )\s*[\d.,]+"), "compound")
+        .when(plain.rlike(r"(?i)\b(see|sec(tion)?\.?)\s"), "cross reference").when(plain.rlike(r"(?i)formula"), "formula").when(plain.rlike(r"^[\d.,]+[^\d/;]*(/|;| or )\s*[\d.,]+"), "compound")
         .when(plain.rlike(r"^\d+(\.\d+)?\s*:\s*\d+"), "ratio").when(plain.rlike(r"^[\d.,]+\s*(%|ft|feet|sq\.? ?ft)?\.?$"), "number").otherwise("text")
     )
 
 
+def dimensional_rules(df: DataFrame, cell: str) -> DataFrame:
+    """One row for each rule of a cell: ``rule``, ``amount``; cells of other kinds keep one row without an amount.
+
+    A number is one rule, ``single``; a compound cell gives two, ``individual`` and ``combined`` where it says the
+    second is combined, else ``first`` and ``second``.
+    """
+    plain = F.trim(F.col(cell))
+    amounts = F.transform(F.regexp_extract_all(plain, F.lit(r"(\d[\d,]*(?:\.\d+)?)"), F.lit(1)), lambda v: F.regexp_replace(v, ",", "").cast("double"))
+    rule = lambda name, i: F.struct(F.lit(name).alias("rule"), F.get(amounts, F.lit(i)).alias("amount"))
+    none = F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("double").alias("amount"))
+    kind = cell_kind(F.col(cell))
+    pair = F.when(F.lower(plain).contains("combined"), F.array(rule("individual", 0), rule("combined", 1))).otherwise(F.array(rule("first", 0), rule("second", 1)))
+    rules = F.when(kind == "compound", pair).when(kind == "number", F.array(rule("single", 0))).otherwise(F.array(none))
+    return df.withColumn("kind", kind).select("*", F.explode(rules).alias("_r")).select(*df.columns, "kind", "_r.rule", "_r.amount")
+
+
 def date_in_name(name: Column) -> Column:
     """Date in a file name: year first, then month first, then undelimited forms; seven digits are tried both ways."""
     at = lambda pattern, form: F.try_to_date(F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")), form)

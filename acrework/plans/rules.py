@@ -151,21 +151,32 @@ def r20(spark, sf):
 
 
 @query("r21_applicability", """
-SELECT o_orderkey, o_orderstatus = 'F' AND year(o_orderdate) <= 1996 AND day(o_orderdate) <= 12 AS extension, least(o_totalprice, 150000) AS stricter FROM orders""")
+SELECT o_orderkey, o_orderstatus <> 'P' AND NOT o_orderpriority LIKE '5%' AS applies, CASE WHEN o_orderkey % 10 = 0 THEN 'use list' WHEN k = 7 THEN 'unknown' WHEN o_totalprice > 150000 THEN 'chapter' ELSE 'agreement' END AS control,
+o_orderstatus = 'F' AND k <> 3 AND k < 5 AS continues, o_orderstatus = 'F' AND year(o_orderdate) <= 1996 AND o_orderkey % 3 = 0 AND day(o_orderdate) <= 12 AS extension,
+o_orderdate::DATE < DATE '1996-01-01' AND k <> 1 AND (k = 2 OR o_orderdate::DATE + k * 100 >= DATE '1996-01-01') AS prior FROM (SELECT *, (o_orderkey % 8)::INT AS k FROM orders)""")
 def r21(spark, sf):
-    day = F.col("o_orderdate")
-    return table(spark, sf, "orders").select("o_orderkey", ((F.col("o_orderstatus") == "F") & (F.year(day) <= 1996) & (F.dayofmonth(day) <= 12)).alias("extension"), F.least("o_totalprice", F.lit(150_000.0)).alias("stricter"))
+    day, k, status = F.to_date("o_orderdate"), (F.col("o_orderkey") % 8).cast("int"), F.col("o_orderstatus")
+    return table(spark, sf, "orders").select(
+        "o_orderkey", R.chapter_applies(status != "P", F.col("o_orderpriority").startswith("5")).alias("applies"), R.controlling_rule(F.when(k != 7, F.col("o_totalprice") > 150_000), F.col("o_orderkey") % 10 == 0, "agreement").alias("control"),
+        R.nonconformity_continues(status == "F", k != 3, k >= 5).alias("continues"), R.may_extend(status == "F", F.year(day) <= 1996, F.col("o_orderkey") % 3, F.dayofmonth(day)).alias("extension"),
+        R.may_choose_prior_rules(day, F.lit("1996-01-01").cast("date"), F.when(k != 2, F.date_add(day, k * 100)), k != 1).alias("prior"),
+    )
 
 
 @query("r22_ledger_audit", """
-SELECT CASE WHEN NOT regexp_matches(h, '^[0-9a-f]{64}$') THEN 'digest' WHEN d NOT IN ('STANDARD', 'ECONOMY', 'PROMO', 'LARGE', 'MEDIUM', 'SMALL') THEN 'disposition' END AS fault, count(*) AS n FROM (SELECT p_type AS d, CASE WHEN p_partkey % 9 = 0 THEN upper(sha256(p_name)) ELSE sha256(p_name) END AS h FROM part) WHERE NOT regexp_matches(h, '^[0-9a-f]{64}$') OR d NOT IN ('STANDARD', 'ECONOMY', 'PROMO', 'LARGE', 'MEDIUM', 'SMALL') GROUP BY 1""")
+WITH l AS (SELECT CASE WHEN p_partkey % 97 = 0 THEN p_partkey - 1 ELSE p_partkey END AS id, p_brand AS section, p_type AS d, CASE WHEN p_partkey % 31 = 0 THEN ' ' ELSE p_name END AS note FROM part),
+m AS (SELECT DISTINCT p_brand AS section, CASE WHEN p_brand LIKE '%1' THEN upper(sha256(p_brand)) ELSE sha256(p_brand) END AS digest FROM part WHERE p_brand NOT LIKE '%2' UNION ALL SELECT 'Missing', sha256('Missing')),
+f AS (SELECT CASE WHEN trim(note) = '' THEN 'note' WHEN d NOT IN ('STANDARD', 'ECONOMY', 'PROMO', 'LARGE') THEN 'disposition' WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'repeated' END AS fault FROM l
+UNION ALL SELECT 'digest' FROM m WHERE NOT regexp_matches(digest, '^[0-9a-f]{64}$') UNION ALL SELECT 'uncovered' FROM m WHERE section NOT IN (SELECT section FROM l) UNION ALL SELECT 'unlisted' FROM (SELECT DISTINCT section FROM l) WHERE section NOT IN (SELECT section FROM m))
+SELECT fault, count(*) AS n FROM f WHERE fault IS NOT NULL GROUP BY 1""")
 def r22(spark, sf):
-    from acrework.operators.audits import contract_faults
-
-    digest = F.sha2("p_name", 256)
-    ledger = table(spark, sf, "part").withColumn("digest", F.when(F.col("p_partkey") % 9 == 0, F.upper(digest)).otherwise(digest))
-    checks = {"digest": F.col("digest").rlike("^[0-9a-f]{64}$"), "disposition": F.col("p_type").isin("STANDARD", "ECONOMY", "PROMO", "LARGE", "MEDIUM", "SMALL")}
-    return contract_faults(ledger, "p_partkey", ["p_name"], checks).groupBy("fault").agg(F.count("*").alias("n"))
+    parts, k = table(spark, sf, "part"), F.col("p_partkey")
+    ledger = parts.select(F.when(k % 97 == 0, k - 1).otherwise(k).alias("id"), F.col("p_brand").alias("section"), F.col("p_type").alias("disposition"), F.when(k % 31 == 0, " ").otherwise(F.col("p_name")).alias("note"))
+    digest = F.sha2("section", 256)
+    sections = ledger.filter("section NOT LIKE '%2'").select("section").distinct().withColumn("digest", F.when(F.col("section").endswith("1"), F.upper(digest)).otherwise(digest))
+    manifest = sections.union(spark.createDataFrame([("Missing",)], "section string").withColumn("digest", digest))
+    faults = R.ledger_faults(ledger, manifest, "id", "section", "disposition", ["STANDARD", "ECONOMY", "PROMO", "LARGE"], ["note"], ["id", "section", "disposition", "note"])
+    return faults.groupBy("fault").agg(F.count("*").alias("n"))
 
 
 @query("r23_current_and_proposed", """
@@ -186,11 +197,13 @@ def r24(spark, sf):
 
 
 @query("r25_use_resolution", """
-WITH d AS (SELECT p_brand, list_distinct(list(p_type) FILTER (p_size <= 10)) AS allowed FROM part GROUP BY 1) SELECT p_partkey, coalesce(list_contains(allowed, p_type), false) AS conforms FROM part JOIN d USING (p_brand)""")
+WITH e AS (SELECT DISTINCT p_brand, p_type, p_size <= 3 AS broad FROM part WHERE p_size <= 10)
+SELECT p_partkey, EXISTS (SELECT 1 FROM e WHERE e.p_brand = part.p_brand AND (e.p_type = part.p_type OR broad AND left(e.p_type, 1) = left(part.p_type, 1))) AS conforms FROM part""")
 def r25(spark, sf):
-    parts = table(spark, sf, "part")
-    allowed = parts.groupBy("p_brand").agg(F.collect_set(F.when(F.col("p_size") <= 10, F.col("p_type"))).alias("allowed"))
-    return parts.join(allowed, "p_brand").select("p_partkey", F.array_contains("allowed", F.col("p_type")).alias("conforms"))
+    parts, initial = table(spark, sf, "part"), F.concat(F.lit("all of "), F.substring("p_type", 1, 1))
+    entries = parts.filter("p_size <= 10").select("p_brand", F.when(F.col("p_size") <= 3, initial).otherwise(F.col("p_type")).alias("entry"))
+    allowed = R.resolve_uses(entries, parts.select(initial.alias("broad"), "p_type"), "p_brand", "entry", "broad", "p_type").withColumn("conforms", F.lit(True))
+    return parts.join(allowed, ["p_brand", "p_type"], "left").select("p_partkey", F.coalesce("conforms", F.lit(False)).alias("conforms"))
 
 
 @query("r26_formula_requirements", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN q IS NOT NULL THEN round(greatest(5.0, (q + l_linenumber) / 6), 6) END AS setback FROM (SELECT *, nullif(l_quantity, 7) AS q FROM lineitem)")

@@ -98,11 +98,19 @@ def x15(spark, sf):
     return rows.groupBy("doc_id").agg(F.count_if((F.col("kind") == "word") & F.lower("token").isin(*words)).alias("linked"), F.count_if(F.col("kind") == "word").alias("words"))
 
 
-@query("x16_span_verification", """
-SELECT doc_id, n >= 30 AS valid, CASE WHEN n >= 30 THEN sha256(encode(text)[11:30]) END AS quote_sha256 FROM (SELECT doc_id, text, strlen(text) AS n FROM documents)""")
+#: SQL: bytes 10 to 30 of a text hold whole characters.
+WHOLE = "n >= 30 AND NOT hex(encode(text)[11:11]) BETWEEN '80' AND 'BF' AND (n = 30 OR NOT hex(encode(text)[31:31]) BETWEEN '80' AND 'BF')"
+
+
+@query("x16_span_verification", f"""
+SELECT doc_id, {WHOLE} AS valid, CASE WHEN {WHOLE} THEN sha256(encode(text)[11:30]) END AS quote_sha256,
+CASE WHEN NOT ({WHOLE}) THEN 'invalid' WHEN doc_id % 3 = 0 THEN 'changed' WHEN doc_id % 3 = 1 THEN 'occluded' ELSE 'verified' END AS state FROM (SELECT doc_id, text, strlen(text) AS n FROM documents)""")
 def x16(spark, sf):
-    docs = table(spark, sf, "documents")
-    return X.span_citation(docs, "text", F.lit(10), F.lit(30)).select("doc_id", "valid", "quote_sha256")
+    """Spans cited in the documents and looked up in later versions: some begin with another line, some are cut short."""
+    start, end, k = F.lit(10), F.lit(30), F.col("doc_id") % 3
+    later = F.when(k == 0, F.concat(F.repeat(F.lit("_"), 40), "text")).when(k == 1, F.substring("text", 1, 5)).otherwise(F.col("text"))
+    cited = X.span_citation(table(spark, sf, "documents"), "text", start, end).withColumn("later", later)
+    return cited.select("doc_id", "valid", "quote_sha256", X.span_state("later", start, end, F.col("quote_sha256")).alias("state"))
 
 
 @query("x17_use_matrix", """
@@ -115,12 +123,13 @@ def x17(spark, sf):
 
 
 @query("x18_cell_kinds", """
-SELECT k AS kind, count(*) AS n FROM (SELECT CASE p_partkey % 6 WHEN 0 THEN 'number' WHEN 1 THEN 'compound' WHEN 2 THEN 'ratio' WHEN 3 THEN 'cross reference' WHEN 4 THEN 'no minimum' ELSE 'text' END AS k FROM part) GROUP BY 1""")
+SELECT kind, rule, count(*) AS n, sum(amount) AS amount FROM (SELECT CASE m WHEN 0 THEN 'number' WHEN 1 THEN 'compound' WHEN 2 THEN 'ratio' WHEN 3 THEN 'cross reference' WHEN 4 THEN 'no minimum' WHEN 5 THEN 'compound' ELSE 'text' END AS kind,
+unnest(CASE m WHEN 0 THEN ['single'] WHEN 1 THEN ['individual', 'combined'] WHEN 5 THEN ['first', 'second'] ELSE [NULL] END) AS rule, unnest(CASE m WHEN 0 THEN [p_size] WHEN 1 THEN [p_size, p_size + 10] WHEN 5 THEN [p_size, 30] ELSE [NULL] END)::DOUBLE AS amount FROM (SELECT *, p_partkey % 7 AS m FROM part)) GROUP BY 1, 2""")
 def x18(spark, sf):
-    size = F.col("p_size").cast("string")
-    m = F.col("p_partkey") % 6
-    cell = F.when(m == 0, F.concat(size, F.lit(" ft"))).when(m == 1, F.concat(size, F.lit(" or 30"))).when(m == 2, F.concat(size, F.lit(":1"))).when(m == 3, F.concat(F.lit("See "), size)).when(m == 4, "None").otherwise(F.col("p_name"))
-    return table(spark, sf, "part").groupBy(X.cell_kind(cell).alias("kind")).agg(F.count("*").alias("n"))
+    size, m = F.col("p_size").cast("string"), F.col("p_partkey") % 7
+    both = F.concat(size, F.lit(" ft. minimum / "), (F.col("p_size") + 10).cast("string"), F.lit(" ft. combined"))
+    cell = F.when(m == 0, F.concat(size, F.lit(" ft"))).when(m == 1, both).when(m == 2, F.concat(size, F.lit(":1"))).when(m == 3, F.concat(F.lit("See "), size)).when(m == 4, "None").when(m == 5, F.concat(size, F.lit(" or 30"))).otherwise(F.col("p_name"))
+    return X.dimensional_rules(table(spark, sf, "part").select(cell.alias("cell")), "cell").groupBy("kind", "rule").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
 
 
 @query("x19_citations", """
