@@ -40,6 +40,25 @@ def d03(spark, sf):
     return sites.groupBy("limit_at").agg(F.count_if(meets).alias("sites"), F.coalesce(F.sum(F.when(meets, F.col("p_size"))), F.lit(0)).alias("total"))
 
 
+#: The gates of a site: big enough, not protected, cheap, disposable.
+GATES = "p_size >= 15", "NOT regexp_matches(p_name, '(?i)red|blue')", "p_retailprice < 1000", "regexp_matches(p_name, '(?i)widget|ring')"
+
+
+def site_gates():
+    owner = X.keyword_class(F.col("p_name"), ["red", "blue"], ["widget", "ring"])
+    return [("size", F.col("p_size") >= 15), ("open", owner != "protected"), ("price", F.col("p_retailprice") < 1000), ("disposable", owner == "disposable")]
+
+
+@query("d03_funnel", "WITH c AS (SELECT count(*) AS g0, " + ", ".join(f"count(*) FILTER ({' AND '.join(GATES[:i])}) AS g{i}" for i in range(1, 5)) + " FROM part) " + " UNION ALL ".join(f"SELECT '{n}' AS gate, g{i} AS remaining, round(g{i} / g0, 6) AS share, g{max(i - 1, 0)} - g{i} AS cut FROM c" for i, n in enumerate(("all", "size", "open", "price", "disposable"))))
+def d03_funnel(spark, sf):
+    return W.funnel(table(spark, sf, "part"), site_gates()).select("gate", "remaining", F.round("share", 6).alias("share"), "cut")
+
+
+@query("d03_candidates", f"SELECT p_partkey, p_size FROM part WHERE {' AND '.join(GATES)}")
+def d03_candidates(spark, sf):
+    return D.ranked_candidates(table(spark, sf, "part"), site_gates(), "p_size", "p_partkey").select("p_partkey", "p_size")
+
+
 @query("d04_land_value_model", HOLDOUT_SQL + "SELECT l_partkey, method, round(avg(estimate), 8) AS estimate, count(*) AS n FROM e WHERE NOT train GROUP BY 1, 2")
 def d04(spark, sf):
     return estimates(spark, sf).filter("NOT train").groupBy("l_partkey", "method").agg(F.round(F.avg("estimate"), 8).alias("estimate"), F.count("*").alias("n"))
@@ -74,14 +93,29 @@ def d07(spark, sf):
     return rows.groupBy(F.col("o_orderpriority").alias("type")).agg(F.count("*").alias("cases"), F.count("q").alias("numeric_cases"), short.alias("short"), F.round(short * 300 / 43560, 4).alias("acres"))
 
 
-AUDIT = "SELECT o_orderstatus AS outcome, count(*) AS n, round(median({0}), 6) AS median, count(*) FILTER ({0} > 0.5) AS over_half FROM orders WHERE o_totalprice > {1} GROUP BY 1"
+SPACING = """WITH v AS (SELECT l_orderkey AS k, sum(l_quantity) AS actual, 50.0 * count(*) AS required, CASE WHEN min(l_linenumber) % 2 = 0 THEN 'church' ELSE 'school' END AS context FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1),
+c AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Granted' WHEN 'O' THEN 'Denied' ELSE 'Other' END AS outcome, context, actual / required AS share, CASE WHEN o_totalprice < 50000 THEN 'not_spacing_case' WHEN k IS NOT NULL THEN 'explicit_pair' ELSE 'not_stated' END AS status FROM orders LEFT JOIN v ON k = o_orderkey)
+"""
+
+
+def spacing(spark, sf):
+    orders = table(spark, sf, "orders")
+    context = F.when(F.min("l_linenumber") % 2 == 0, "church").otherwise("school")
+    pairs = table(spark, sf, "lineitem").filter("l_returnflag <> 'N'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("actual"), (50.0 * F.count("*")).alias("required"), context.alias("context"))
+    return D.spacing_audit(orders, pairs, orders.filter("o_totalprice < 50000"), "o_orderkey", "o_orderstatus", "F", "O")
 
 
-@query("d08_spacing_audit", AUDIT.format("o_totalprice / 500000", 1000))
+@query("d08_spacing_audit", SPACING + "SELECT status, outcome, count(*) AS n, round(median(share) FILTER (status = 'explicit_pair'), 6) AS median FROM c GROUP BY 1, 2")
 def d08(spark, sf):
-    shares = table(spark, sf, "orders").filter("o_totalprice > 1000").select(F.col("o_orderstatus").alias("outcome"), (F.col("o_totalprice") / 500_000).alias("share"))
-    middle = A.exact_quantiles(shares, ["outcome"], "share", [0.5]).select("outcome", F.round(F.col("quantiles")[0], 6).alias("median"))
-    return shares.groupBy("outcome").agg(F.count("*").alias("n"), F.count_if(F.col("share") > 0.5).alias("over_half")).join(middle, "outcome")
+    cases = spacing(spark, sf).select(F.col("audit_status").alias("status"), F.col("outcome_label").alias("outcome"), F.when(F.col("audit_status") == "explicit_pair", F.col("distance_share")).alias("share"))
+    middle = A.exact_quantiles(cases, ["status", "outcome"], "share", [0.5]).select("status", "outcome", F.round(F.col("quantiles")[0], 6).alias("median"))
+    return cases.groupBy("status", "outcome").agg(F.count("*").alias("n")).join(middle, ["status", "outcome"], "left")
+
+
+@query("d08_context_outcomes", SPACING + "SELECT context, count(*) FILTER (outcome = 'Granted') AS granted, count(*) FILTER (outcome = 'Denied') AS denied, count(*) FILTER (outcome = 'Other') AS other, count(*) AS total FROM c WHERE status = 'explicit_pair' GROUP BY 1")
+def d08_contexts(spark, sf):
+    found = A.pivot_counts(spacing(spark, sf).filter("audit_status = 'explicit_pair'"), "context", "outcome_label", ["Granted", "Denied", "Other"])
+    return found.withColumnsRenamed({"Granted": "granted", "Denied": "denied", "Other": "other"})
 
 
 @query("d09_height_audit", """
@@ -92,14 +126,31 @@ def d09(spark, sf):
     return found.select("outcome", "n", F.round(F.col("quantiles")[0], 6).alias("median_excess"))
 
 
-@query("d10_repeat_sites", """
-SELECT p_name || ' ' || (p_size % 9) AS street_key, count(*) AS cases, min(p_partkey) AS first_case, CASE WHEN count(*) > 1 THEN 'repeat' ELSE 'single' END AS kind FROM part GROUP BY 1""")
+SITES = """WITH r AS (SELECT p_partkey AS rec, (p_partkey % 100)::VARCHAR AS number, upper(p_name) AS bare, CASE p_size % 3 WHEN 0 THEN 'N ' WHEN 1 THEN 'S ' ELSE '' END || upper(p_name) AS street FROM part),
+c AS (SELECT o_orderkey, o_orderdate::DATE AS day, number, bare, CASE WHEN o_orderkey % 2 = 0 THEN street ELSE bare END AS street FROM orders JOIN r ON rec = o_custkey),
+e AS (SELECT number, street, min(rec) AS exact FROM r GROUP BY 1, 2), l AS (SELECT number, bare, min(rec) AS loose FROM r GROUP BY 1, 2 HAVING count(*) = 1),
+s AS (SELECT number, street, min(coalesce(exact, loose)) AS record, count(DISTINCT day) AS appearances, count(DISTINCT o_orderkey) AS cases, min(day) AS first_seen, max(day) AS last_seen FROM c LEFT JOIN e USING (number, street) LEFT JOIN l USING (number, bare) WHERE coalesce(exact, loose) IS NOT NULL GROUP BY 1, 2)
+"""
+
+
+def sites(spark, sf):
+    parts, direction = table(spark, sf, "part"), F.expr("CASE p_size % 3 WHEN 0 THEN 'N ' WHEN 1 THEN 'S ' ELSE '' END")
+    number = (F.col("p_partkey") % 100).cast("string")
+    records = parts.select(F.col("p_partkey").alias("rec"), number.alias("number"), F.concat(direction, F.upper("p_name")).alias("street"))
+    place = F.concat(number, F.lit(" "), F.when(F.col("o_orderkey") % 2 == 0, direction).otherwise(""), F.col("p_name"), F.lit(" Street near park"))
+    told = table(spark, sf, "orders").join(parts, F.col("o_custkey") == F.col("p_partkey")).select("o_orderkey", F.to_date("o_orderdate").alias("day"), place.alias("place"))
+    cases = X.address_keys(told, "place", ["near"]).withColumn("street", X.normal_street(F.col("street"), ["STREET"]))
+    return D.repeat_sites(cases, records, "o_orderkey", "day", "rec")
+
+
+@query("d10_repeat_sites", SITES + "SELECT * FROM s")
 def d10(spark, sf):
-    parts = table(spark, sf, "part")
-    text = F.concat((F.col("p_size") % 9).cast("string"), F.lit(" "), F.col("p_name"), F.lit(" Street near park"))
-    keyed = X.address_keys(parts.withColumn("t", text), "t", ["near"]).withColumn("street", X.normal_street(F.col("street"), ["STREET"]))
-    sites = keyed.groupBy("street", "number").agg(F.count("*").alias("cases"), F.min("p_partkey").alias("first_case"))
-    return sites.select(F.concat_ws(" ", F.lower("street"), "number").alias("street_key"), "cases", "first_case", F.when(F.col("cases") > 1, "repeat").otherwise("single").alias("kind"))
+    return sites(spark, sf)
+
+
+@query("d10_most_repeated", SITES + "SELECT * FROM s WHERE appearances > 1 ORDER BY appearances DESC, cases DESC, street, number LIMIT 10")
+def d10_ranking(spark, sf):
+    return D.most_repeated(sites(spark, sf))
 
 
 @query("d11_public_case_file", """
@@ -166,11 +217,15 @@ def d17(spark, sf):
 
 
 @query("d18_request_outcomes", """
-SELECT o_orderpriority AS request, count(*) FILTER (o_orderstatus = 'F') AS granted, count(*) FILTER (o_orderstatus = 'O') AS denied, count(*) AS total, round(count(*) FILTER (o_orderstatus = 'F') / nullif(count(*) FILTER (o_orderstatus IN ('F', 'O')), 0), 6) AS grant_share FROM orders GROUP BY 1""")
+WITH h AS (SELECT l_orderkey AS k, bool_or(l_returnflag = 'A') AS a, bool_or(l_returnflag = 'N') AS n, bool_or(l_returnflag = 'R') AS r FROM lineitem GROUP BY 1),
+p AS (SELECT o_orderstatus AS s, CASE WHEN m = 0 AND a THEN 'A' WHEN m = 0 AND n THEN 'N' WHEN m = 1 AND r THEN 'R' WHEN m = 1 AND a THEN 'A' WHEN r THEN 'R' WHEN n THEN 'N' WHEN a THEN 'A' ELSE 'unspecified' END AS request FROM (SELECT *, o_orderkey % 3 AS m FROM orders) LEFT JOIN h ON k = o_orderkey)
+SELECT request, count(*) FILTER (s = 'F') AS granted, count(*) FILTER (s = 'O') AS denied, count(*) AS total, round(count(*) FILTER (s = 'F') / count(*), 6) AS grant_share FROM p WHERE s IN ('F', 'O') GROUP BY 1""")
 def d18(spark, sf):
-    counts = A.pivot_counts(table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O"])
-    share = F.col("F") / F.nullif(F.col("F") + F.col("O"), F.lit(0))
-    return counts.select(F.col("o_orderpriority").alias("request"), F.col("F").alias("granted"), F.col("O").alias("denied"), "total", F.round(share, 6).alias("grant_share"))
+    listing = F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'A|N' WHEN 1 THEN 'R|A' ELSE 'X' END")
+    cases = table(spark, sf, "orders").withColumn("listing", listing)
+    listed = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("category"))
+    found = D.request_outcomes(cases, listed, "o_orderkey", "listing", "category", "o_orderstatus", "F", "O", {"R": 1, "N": 2, "A": 3})
+    return found.withColumn("grant_share", F.round("grant_share", 6))
 
 
 @query("d19_case_histories", """
@@ -182,11 +237,15 @@ def d19(spark, sf):
 
 
 @query("d20_provision_ledger", """
-SELECT doc_id, coalesce(CASE quality WHEN 1 THEN 'reviewed' WHEN 0 THEN 'draft' END, 'unreviewed') AS state, len(regexp_extract_all(text, 'tion')) AS mentions FROM documents LEFT JOIN labels USING (doc_id)""")
+WITH n AS (SELECT source, count(*) AS rules FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND doc_id % 7 = 0 GROUP BY 1),
+m AS (SELECT doc_id, count(*) AS cited, sum(times) AS mentions FROM (SELECT doc_id, c, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([a-z]+)tion', 1)) AS c FROM documents) GROUP BY 1, 2) GROUP BY 1)
+SELECT doc_id, list_filter(['measure', 'permission', 'prohibition'], lambda e: CASE e WHEN 'permission' THEN regexp_matches(text, '(?i)with') WHEN 'prohibition' THEN regexp_matches(text, '(?i)not') ELSE regexp_matches(text, '(?i)tion') END) AS classes, coalesce(cited, 0) AS cited, coalesce(mentions, 0)::BIGINT AS mentions, coalesce(rules, 0) AS rules, CASE WHEN rules > 0 THEN 'partially_reviewed_executable' ELSE 'source_encoded' END AS state FROM documents LEFT JOIN m USING (doc_id) LEFT JOIN n USING (source)""")
 def d20(spark, sf):
-    state = F.when(F.col("quality") == 1, "reviewed").when(F.col("quality") == 0, "draft").otherwise("unreviewed")
-    mentions = F.size(F.regexp_extract_all("text", F.lit("tion"), 0))
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select("doc_id", state.alias("state"), mentions.alias("mentions"))
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    effects = X.rule_effects(docs, "doc_id", "text", {"permission": "with", "prohibition": "not", "measure": "tion"})
+    cited = X.citations(docs, "doc_id", "text", "([a-z]+)tion", table(spark, sf, "nation"), "n_nationkey")
+    rules = docs.select("doc_id", "source").join(labels.filter("quality = 1 AND doc_id % 7 = 0"), "doc_id").select("source")
+    return D.provision_ledger(docs, effects, cited, rules, "doc_id", "source").select("doc_id", "classes", "cited", "mentions", "rules", "state")
 
 
 TRIPLES = """WITH t AS (SELECT 'c' || c_custkey AS s, 'in' AS p, 'n' || c_nationkey AS o FROM customer UNION ALL SELECT 'n' || n_nationkey, 'in', r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'c' || c_custkey, 'kind', c_mktsegment FROM customer)
