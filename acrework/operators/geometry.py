@@ -86,19 +86,43 @@ def angle_difference(a: Column, b: Column) -> Column:
     return F.least(d, 180 - d)
 
 
-def in_cells(df: DataFrame, cell: float) -> DataFrame:
-    """One row for each grid cell that a box touches (columns cx, cy)."""
-    spread = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    return df.withColumn("cx", F.explode(spread("xmin", "xmax"))).withColumn("cy", F.explode(spread("ymin", "ymax")))
+#: Cells along one side of a box beyond which it is kept in a coarser grid.
+MOST_SPAN = 4
+
+
+def _level(cell: float) -> Column:
+    """The grid of a box: each level doubles the cell, so that no box touches more than (MOST_SPAN + 1)² cells of its own."""
+    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    return F.greatest(F.lit(0), F.ceil(F.log2(side / (MOST_SPAN * cell))).cast("int"))
+
+
+def _levels(cell: float, *boxed: DataFrame) -> list[int]:
+    """Grids in use: one for each doubling of size between the shapes, mostly a single one."""
+    return sorted({r[0] for df in boxed for r in df.select(_level(cell).alias("l")).distinct().collect()}) or [0]
+
+
+def in_cells(df: DataFrame, cell: float, levels: Sequence[int]) -> DataFrame:
+    """One row for each cell (level, cx, cy) that a box touches, in its own grid (column ``own``) and in coarser ones."""
+    rows = df.withColumn("own", _level(cell)).withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda v: v >= F.col("own"))))
+    spread = lambda lo, hi: F.sequence(_cell(F.col(lo), cell), _cell(F.col(hi), cell))
+    return rows.withColumn("cx", F.explode(spread("xmin", "xmax"))).withColumn("cy", F.explode(spread("ymin", "ymax")))
+
+
+def _cell(at: Column, cell: float) -> Column:
+    return F.floor(at / (F.pow(F.lit(2.0), F.col("level")) * cell))
 
 
 def box_pairs(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
-    """Pairs of rows whose boxes meet, each once; right columns get the prefix ``r_``."""
-    other = in_cells(right.select(*(F.col(c).alias(c if c in BOX else f"r_{c}") for c in right.columns)), cell).withColumnsRenamed({c: f"r_{c}" for c in BOX})
-    joined = in_cells(left, cell).join(other, ["cx", "cy"])
+    """Pairs of rows whose boxes meet, each once; right columns get the prefix ``r_``.
+
+    Two boxes meet in the coarser of their grids, so ``cell`` should suit the small shapes; large ones cost no more.
+    """
+    levels = _levels(cell, left, right)
+    other = in_cells(right, cell, levels).select("level", "cx", "cy", F.col("own").alias("_r_own"), *(F.col(c).alias(f"r_{c}") for c in right.columns))
+    joined = in_cells(left, cell, levels).join(other, ["level", "cx", "cy"]).filter(F.col("level") == F.greatest("own", "_r_own"))
     low_x, low_y = F.greatest("xmin", "r_xmin"), F.greatest("ymin", "r_ymin")
     meets = (F.col("xmin") <= F.col("r_xmax")) & (F.col("r_xmin") <= F.col("xmax")) & (F.col("ymin") <= F.col("r_ymax")) & (F.col("r_ymin") <= F.col("ymax"))
-    return joined.filter(meets & (F.floor(low_x / cell) == F.col("cx")) & (F.floor(low_y / cell) == F.col("cy"))).drop("cx", "cy")
+    return joined.filter(meets & (_cell(low_x, cell) == F.col("cx")) & (_cell(low_y, cell) == F.col("cy"))).select(*left.columns, *(f"r_{c}" for c in right.columns))
 
 
 def points_within(points: DataFrame, x: str, y: str, polygons: DataFrame, ring: str, cell: float) -> DataFrame:
@@ -107,12 +131,25 @@ def points_within(points: DataFrame, x: str, y: str, polygons: DataFrame, ring:
     Equal rows stay rows of their own; a point with a null coordinate, or in no polygon, has nulls beside it.
     """
     boxed = with_box(polygons, ring)
-    there = in_cells(boxed.select(*(F.col(c).alias(c if c in BOX else f"r_{c}") for c in boxed.columns)), cell).withColumnsRenamed({"cx": "_px", "cy": "_py"})
-    there = there.withColumnsRenamed({c: f"_p_{c}" for c in BOX})
-    # a point lies in one cell, so the outer join itself keeps every point row as often as it should be
-    here = (F.floor(F.col(x) / cell) == F.col("_px")) & (F.floor(F.col(y) / cell) == F.col("_py"))
+    levels = _levels(cell, boxed)
+    mine = in_cells(boxed, cell, levels).filter("level = own")
+    there = mine.select(F.col("level").alias("_pl"), F.col("cx").alias("_px"), F.col("cy").alias("_py"), *(F.col(c).alias(f"_p_{c}") for c in BOX), *(F.col(c).alias(f"r_{c}") for c in polygons.columns))
     inside = F.col(x).between(F.col("_p_xmin"), F.col("_p_xmax")) & F.col(y).between(F.col("_p_ymin"), F.col("_p_ymax")) & contains_point(F.col(f"r_{ring}"), F.col(x), F.col(y))
-    return points.join(there, here & inside, "left").select(*points.columns, *(f"r_{c}" for c in polygons.columns))
+    columns = [*points.columns, *(f"r_{c}" for c in polygons.columns)]
+
+    def met(rows: DataFrame, level: int, how: str) -> DataFrame:
+        size = cell * 2.0**level
+        here = (F.col("_pl") == level) & (F.floor(F.col(x) / size) == F.col("_px")) & (F.floor(F.col(y) / size) == F.col("_py"))
+        return rows.join(there, here & inside, how).select(*columns)
+
+    if len(levels) == 1:  # a point lies in one cell, so the outer join itself keeps every row as often as it should be
+        return met(points, levels[0], "left")
+    found = met(points, levels[0], "inner")
+    for level in levels[1:]:
+        found = found.union(met(points, level, "inner"))
+    seen = found.select(F.col(x).alias("_sx"), F.col(y).alias("_sy")).distinct()
+    alone = points.join(seen, (F.col(x) == F.col("_sx")) & (F.col(y) == F.col("_sy")), "left_anti")
+    return found.unionByName(alone, allowMissingColumns=True)
 
 
 def box_overlap() -> Column:
@@ -293,6 +330,17 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell
         reach *= 2
 
 
+def link_streets(parcels: DataFrame, links: DataFrame, streets: DataFrame, key: str, street: str, cell: float, most: float) -> DataFrame:
+    """The street of each parcel point (x, y) and its ``source``: ``address`` by ``links``, else ``nearest`` street point within ``most``.
+
+    Parcels without either are left out.
+    """
+    by_address = parcels.select(key, "x", "y").join(links.select(key, street), key, "left")
+    first = by_address.filter(F.col(street).isNotNull()).select(key, street, F.lit("address").alias("source"))
+    rest = nearest(by_address.filter(F.col(street).isNull()).select(key, "x", "y"), streets.select(street, "x", "y"), key, street, cell, most)
+    return first.union(rest.select(key, street, F.lit("nearest").alias("source")))
+
+
 def street_facing(edge_rows: DataFrame, key: str, street_angle: Column, distance: Column) -> DataFrame:
     """One front edge for each key: nearly parallel to the street (35 degrees), then nearest, then longest; with confidence."""
     off = angle_difference(F.col("angle"), street_angle)

@@ -58,13 +58,22 @@ def g05(spark, sf):
     return G.street_facing(rows, "k", F.lit(0.0), (F.col("y1") + F.col("y2")) / 2).select("k", "pos", "confidence")
 
 
-@query("g06_frontage_comparison", f"WITH {B} SELECT count(*) AS n, round(median(abs(x2 - x1 - 10)), 6) AS median_gap, round(avg(CASE WHEN abs(x2 - x1 - 10) <= 2 THEN 1.0 ELSE 0 END), 6) AS within_2 FROM b")
+@query("g06_frontage_comparison", f"""
+WITH {B}, {P}, l AS (SELECT k, k % 10 AS id, 'address' AS source FROM b WHERE k % 3 = 0 UNION ALL SELECT * FROM (SELECT k, id, 'nearest' FROM b, p WHERE k % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY (x - x1) ** 2 + (y - y1) ** 2, id) = 1)),
+f AS (SELECT source, abs(CASE WHEN id % 2 = 0 THEN x2 - x1 ELSE y2 + 5 - y1 END - (1 + k % 17)) AS gap FROM l JOIN b USING (k))
+SELECT source, count(*) AS n, round(median(gap), 6) AS median_gap, round(avg(CASE WHEN gap <= 2 THEN 1.0 ELSE 0 END), 6) AS within_2 FROM f GROUP BY 1""")
 def g06(spark, sf):
     from acrework.operators.aggregates import agreement
 
-    rows = G.edges(boxes(spark, sf).select("k", "ring"), "ring")
-    front = G.street_facing(rows, "k", F.lit(0.0), (F.col("y1") + F.col("y2")) / 2).withColumn("recorded", F.lit(10.0))
-    return agreement(front, "edge_length", "recorded", [2]).select("n", F.round("median_gap", 6).alias("median_gap"), F.round("within_2", 6).alias("within_2"))
+    lots = boxes(spark, sf).withColumn("ring", G.rectangle(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax") + 5))
+    links = lots.filter("k % 3 = 0").select("k", (F.col("k") % 10).alias("id"))
+    streets = points(spark, sf)
+    linked = G.link_streets(lots.select("k", F.col("xmin").alias("x"), F.col("ymin").alias("y")), links, streets, "k", "id", 80.0, 1500.0)
+    rows = G.edges(lots.select("k", "ring"), "ring").join(linked, "k").join(streets, "id")
+    distance = F.hypot((F.col("x1") + F.col("x2")) / 2 - F.col("x"), (F.col("y1") + F.col("y2")) / 2 - F.col("y"))
+    front = G.street_facing(rows, "k", F.when(F.col("id") % 2 == 0, 0.0).otherwise(90.0), distance).withColumn("recorded", (1 + F.col("k") % 17).cast("double"))
+    each = [agreement(front.filter(F.col("source") == name), "edge_length", "recorded", [2]).withColumn("source", F.lit(name)) for name in ("address", "nearest")]
+    return each[0].union(each[1]).select("source", "n", F.round("median_gap", 6).alias("median_gap"), F.round("within_2", 6).alias("within_2"))
 
 
 def lot_rows(spark, sf, depth):

@@ -230,3 +230,40 @@ def test_shared_members_and_categories(spark):
     assert got == {("a", 1): 1, ("a", 2): 1, ("a", 3): 1, ("a", 4): 4, ("b", 1): 1, ("b", 5): 5, ("b", 6): 5}
     shared = {r["item"]: (r["component"], r["size"], r["linking"]) for r in graph.shared_member_components(df, "item", "p").collect()}
     assert shared == {1: (1, 2, 1), 2: (1, 2, 1), 5: (5, 2, 1), 6: (5, 2, 1)}
+
+
+def test_shapes_of_very_different_sizes(spark):
+    """Pairs and points of boxes from a hundredth of a cell to a hundred thousand cells, against all comparisons."""
+    rng = np.random.default_rng(3)
+    made = [(i, *rng.uniform(-2000, 2000, 2).tolist(), float(10.0 ** rng.uniform(-1, 4.5)), float(10.0 ** rng.uniform(-1, 4.5))) for i in range(70)]
+    made += [(70, 0.0, 0.0, 1e6, 1e6), (71, 5.0, 5.0, 0.0, 0.0)]
+    shapes = spark.createDataFrame([(i, x, y, x + w, y + h) for i, x, y, w, h in made], "k int, xmin double, ymin double, xmax double, ymax double")
+    touch = lambda a, b: a[1] <= b[1] + b[3] and b[1] <= a[1] + a[3] and a[2] <= b[2] + b[4] and b[2] <= a[2] + a[4]
+    got = sorted(values(geometry.box_pairs(shapes, shapes, 10.0), "k", "r_k"))
+    assert got == sorted((a[0], b[0]) for a in made for b in made if touch(a, b))
+    spots = [(i, *rng.uniform(-3000, 3000, 2).tolist()) for i in range(60)] + [(60, None, 1.0), (61, 3.0, None), (62, -9e6, 0.0), (62, -9e6, 0.0), (63, 5e5, 5e5), (63, 5e5, 5e5)]
+    points = spark.createDataFrame(spots, "id int, x double, y double")
+    polygons = shapes.select("k", geometry.rectangle(*map(F.col, geometry.BOX)).alias("ring"))
+    expected = []
+    for i, x, y in spots:
+        inside = [k for k, a, b, w, h in made if x is not None and y is not None and a <= x < a + w and b <= y < b + h]
+        expected += [(i, k) for k in inside] or [(i, -1)]
+    found = geometry.points_within(points, "x", "y", polygons, "ring", 10.0).select("id", F.coalesce("r_k", F.lit(-1)).alias("k"))
+    assert sorted(values(found, "id", "k")) == sorted(expected)
+
+
+def test_span_states_and_ledger(spark):
+    df = spark.createDataFrame([("0123456789é", "0123456789é"), ("0123456789é", "0123x56789é"), ("0123456789é", "012"), ("é" * 5, "é" * 5), (None, "a"), ("0123456789é", None)], "text string, later string")
+    cited = text.span_citation(df, "text", F.lit(3), F.lit(8))
+    states = cited.select(text.span_state("later", F.lit(3), F.lit(8), F.col("quote_sha256")).alias("s"))
+    assert values(states, "s") == ["verified", "changed", "occluded", "invalid", "invalid", "occluded"]
+    ledger = spark.createDataFrame([(1, "a", "x", "n"), (1, "a", "x", "n"), (2, "b", "y", "n"), (3, "c", "x", None)], "id int, section string, d string, note string")
+    manifest = spark.createDataFrame([("a", "0" * 64), ("b", "A" * 64), ("z", "1" * 64)], "section string, digest string")
+    faults = rules.ledger_faults(ledger, manifest, "id", "section", "d", ["x"], ["note"], ["id", "section", "d"])
+    assert sorted((a or "", f) for a, f in values(faults, "at", "fault")) == sorted([("", "columns"), ("1", "repeated"), ("1", "repeated"), ("2", "disposition"), ("3", "note"), ("z", "uncovered"), ("c", "unlisted"), ("b", "digest")])
+
+
+def test_compound_cells(spark):
+    df = spark.createDataFrame([("4 ft. minimum / 14 ft. combined",), ("1,200 or 30",), ("35 ft",), ("see 50-13",), (None,)], "cell string")
+    found = values(text.dimensional_rules(df, "cell"), "kind", "rule", "amount")
+    assert found == [("compound", "individual", 4.0), ("compound", "combined", 14.0), ("compound", "first", 1200.0), ("compound", "second", 30.0), ("number", "single", 35.0), ("cross reference", None, None), ("blank", None, None)]
