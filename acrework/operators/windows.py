@@ -57,8 +57,10 @@ def funnel(df: DataFrame, gates: Sequence[tuple[str, Column]]) -> DataFrame:
 
 
 def impute_group_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Missing values take the median of their group's measured ones; ``source`` tells which."""
-    medians = df.groupBy(*keys).agg(F.median(value).alias("_m"))
+    """Missing values take the median of their group's measured ones; ``source`` tells which.  Groups may have any size."""
+    from acrework.operators.aggregates import exact_quantiles
+
+    medians = exact_quantiles(df, keys, value, [0.5]).select(*keys, F.get("quantiles", 0).alias("_m"))
     filled = df.join(medians, list(keys), "left")
     source = F.when(F.col(value).isNotNull(), "measured").when(F.col("_m").isNotNull(), "group median").otherwise("missing")
     return filled.withColumns({"source": source, value: F.coalesce(value, "_m")}).drop("_m")
