@@ -9,6 +9,7 @@ from acrework.llm.neighbours import op5_nearest_neighbours
 from acrework.llm.packing import op6_packing
 from acrework.llm.quality_rules import op10_quality_rules
 from acrework.llm.secrets import op2_secret_scan
+from acrework.llm.spelling_variants import op11_spelling_variants
 from acrework.llm.suffix_dedup import op9_suffix_dedup
 from acrework.llm.token_files import op7_token_files
 from acrework.llm.toxicity import op1_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 #: None of these has its exact meaning in SQL; tests compare them with brute force, round trips or held-out rows.
