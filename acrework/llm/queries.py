@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from acrework.llm.byte_bpe import op8_byte_bpe
+from acrework.llm.importance import op12_importance_resampling
 from acrework.llm.language_id import op3_language_id
 from acrework.llm.near_dedup import op4_near_dedup
 from acrework.llm.neighbours import op5_nearest_neighbours
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 #: None of these has its exact meaning in SQL; tests compare them with brute force, round trips or held-out rows.
