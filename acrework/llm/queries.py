@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from acrework.llm.byte_bpe import op8_byte_bpe
+from acrework.llm.html_extraction import OP13_SQL, op13_html_extraction
 from acrework.llm.importance import op12_importance_resampling
 from acrework.llm.language_id import op3_language_id
 from acrework.llm.near_dedup import op4_near_dedup
@@ -28,7 +29,8 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_html_extraction": op13_html_extraction,
 }
 
-#: None of these has its exact meaning in SQL; tests compare them with brute force, round trips or held-out rows.
-ORACLE_SQL: dict[str, str] = {}
+#: The others have no exact meaning in SQL; tests compare them with brute force, round trips or held-out rows.
+ORACLE_SQL: dict[str, str] = {"op13_html_extraction": OP13_SQL}
