@@ -98,14 +98,19 @@ class _Side:
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
 
 
+def _points(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all words (letters up to U+00FF), one after the other, and their offsets."""
+    letters, offsets = utf8(words)
+    lead = np.concatenate([[0], np.cumsum((letters & 0xC0) != 0x80)])
+    return np.frombuffer(letters.tobytes().decode().encode("latin-1"), np.uint8), lead[offsets]
+
+
 def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[_Side]:
     for batch in text_slices(batches, "word", _SLICE):
-        letters, offsets = utf8(batch.column("word"))
-        points = np.frombuffer(letters.tobytes().decode().encode("latin-1"), np.uint8)  # the letters end at U+00FF
-        lead = np.concatenate([[0], np.cumsum((letters & 0xC0) != 0x80)])
+        points, offsets = _points(batch.column("word"))
         ids = batch.column("id").to_numpy(zero_copy_only=False)
         for side in (0, 1):
-            yield _Side(points, lead[offsets], ids, side)
+            yield _Side(points, offsets, ids, side)
 
 
 def _state_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,6 +147,25 @@ def _end_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(s.node(np.arange(len(s.ids)), s.end)), pa.array(s.ids)], ["node", "near_id"])
 
 
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that really are one edit apart: what follows their common beginning and the edit is equal."""
+    for batch in text_slices(batches, "word", _SLICE):
+        a, a_off = _points(batch.column("word"))
+        b, b_off = _points(batch.column("near"))
+        a_len, b_len = np.diff(a_off), np.diff(b_off)
+        pair, at = _spread(np.zeros(len(a_len), np.int64), np.minimum(a_len, b_len))
+        differ = np.flatnonzero(a[a_off[:-1][pair] + at] != b[b_off[:-1][pair] + at])
+        same = np.minimum(a_len, b_len)  # length of the common beginning
+        owner, first = np.unique(pair[differ], return_index=True)
+        same[owner] = at[differ[first]]
+        left = np.maximum(a_len, b_len) - same - 1  # characters after the edit
+        good = (np.abs(a_len - b_len) <= 1) & (left >= 0)
+        good &= left <= np.minimum(a_len, b_len)
+        pair, at = _spread(np.zeros(len(a_len), np.int64), np.where(good, left, 0))
+        good[pair[a[a_off[1:][pair] - 1 - at] != b[b_off[1:][pair] - 1 - at]]] = False
+        yield pa.record_batch([batch.column(c).filter(pa.array(good)) for c in ("id", "near_id")], ["id", "near_id"])
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """``id`` and ``near_id`` of all different words one edit apart, both ways round; words has unique ``id`` and ``word``.
 
@@ -169,7 +193,7 @@ def near_words(words: DataFrame) -> DataFrame:
     pairs = found.select("id", "near_id").unionByName(found.filter("inserts").select(F.col("near_id").alias("id"), F.col("id").alias("near_id"))).distinct()
     near = words.select(F.col("id").alias("near_id"), F.col("word").alias("near"))
     both = pairs.join(words, "id").join(near, "near_id")
-    return both.filter(F.levenshtein("word", "near", 1) == 1).select("id", "near_id")
+    return both.select("id", "near_id", "word", "near").mapInArrow(_confirmed, "id long, near_id long")
 
 
 def _rooted(forms: DataFrame) -> DataFrame:
