@@ -152,6 +152,16 @@ def points_within(points: DataFrame, x: str, y: str, polygons: DataFrame, ring:
     return found.unionByName(alone, allowMissingColumns=True)
 
 
+#: Pairs that a task measures; they are few bytes and much work, so that file sizes would not deal them out.
+PAIRS_EACH = 4_000
+
+
+def spread(pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs, written and dealt to tasks by their number."""
+    found = cut_lineage(pairs, name)
+    return found.repartition(max(1, -(-found.count() // PAIRS_EACH)))
+
+
 def box_overlap() -> Column:
     """Area common to the two boxes of a pair."""
     side = lambda a: F.greatest(F.least(f"{a}max", f"r_{a}max") - F.greatest(f"{a}min", f"r_{a}min"), F.lit(0.0))
@@ -163,86 +173,13 @@ def material_overlaps(left: DataFrame, right: DataFrame, cell: float, least_area
     pairs = box_pairs(left, right, cell).withColumn("overlap", box_overlap())
     own = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))
     if ring:  # polygons never share more than their boxes, so few pairs reach the kernel
-        pairs = pairs.filter(F.col("overlap") >= least_area).withColumn("overlap", overlap_area(F.col(ring), F.col(f"r_{ring}")))
+        from acrework.operators.polygons import common_area
+
+        pairs = spread(pairs.filter(F.col("overlap") >= least_area), "box-pairs").withColumn("overlap", common_area(F.col(ring), F.col(f"r_{ring}")))
         own = area(F.col(ring))
     return pairs.withColumn("share", F.col("overlap") / F.nullif(own, F.lit(0.0))).filter((F.col("overlap") >= least_area) & (F.col("share") >= least_share))
 
 
-def _fan(ring: list[tuple[float, float]]) -> list[tuple[float, list[tuple[float, float]]]]:
-    """Triangles from the first point, counter-clockwise, with the sign of their turn; with it they add up to the polygon."""
-    out, (x0, y0) = [], ring[0]
-    for (x1, y1), (x2, y2) in zip(ring[1:], ring[2:]):
-        turn = (x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)
-        if turn:
-            out.append((math.copysign(1.0, turn), [(x0, y0), (x1, y1), (x2, y2)] if turn > 0 else [(x0, y0), (x2, y2), (x1, y1)]))
-    return out
-
-
-def common_area(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> float:
-    """Area common to two simple polygons (without the closing point), convex or not."""
-    total = 0.0
-    fan = _fan(b)
-    for s, t in _fan(a):
-        low, high = (min(p[0] for p in t), min(p[1] for p in t)), (max(p[0] for p in t), max(p[1] for p in t))
-        for r, u in fan:
-            if any(max(p[k] for p in u) <= low[k] or min(p[k] for p in u) >= high[k] for k in (0, 1)):
-                continue
-            part = clip_convex(t, u)
-            total += s * r * abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(part, part[1:] + part[:1]))) / 2
-    return abs(total)
-
-
-def overlap_area(left: Column, right: Column) -> Column:
-    """Area common to two simple polygons (kernel: no closed form); null if either is null."""
-    @F.pandas_udf("double")
-    def kernel(a: pd.Series, b: pd.Series) -> pd.Series:
-        pts = lambda g: [(p["x"], p["y"]) for p in g][:-1]
-        return pd.Series([None if r is None or c is None else common_area(pts(r), pts(c)) for r, c in zip(a, b)], dtype="float64")
-
-    return kernel(left, right)
-
-
-def clip_convex(subject: list[tuple[float, float]], clip: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """The part of a polygon inside a convex counter-clockwise one (both without the closing point)."""
-    out = subject
-    for (ax, ay), (bx, by) in zip(clip, clip[1:] + clip[:1]):
-        side = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in out]
-        kept = []
-        for i, (p, s) in enumerate(zip(out, side)):
-            q, t = out[i - 1], side[i - 1]
-            if (s >= 0) != (t >= 0):
-                k = t / (t - s)
-                kept.append((q[0] + k * (p[0] - q[0]), q[1] + k * (p[1] - q[1])))
-            if s >= 0:
-                kept.append(p)
-        out = kept
-        if not out:
-            break
-    return out
-
-
-def clip_area(ring: Column, convex: Column) -> Column:
-    """Area of a polygon inside a convex one (NumPy kernel: no closed form)."""
-    @F.pandas_udf("double")
-    def kernel(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(r, c):
-            if r is None or c is None:
-                return None
-            pts = lambda g: [(p["x"], p["y"]) for p in g][:-1]
-            c = pts(c)
-            if sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(c, c[1:] + c[:1])) < 0:
-                c = c[::-1]
-            inside = np.asarray(clip_convex(pts(r), c))
-            if len(inside) < 3:
-                return 0.0
-            x, y = inside[:, 0], inside[:, 1]
-            return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
-
-        return pd.Series([one(r, c) for r, c in zip(a, b)], dtype="float64")
-
-    return kernel(ring, convex)
-
-
 def _apart(x: str, y: str, u: str, v: str) -> Column:
     """Distance of two points; equal sums of squares give equal distances, so that ties are ties."""
     dx, dy = F.col(x) - F.col(u), F.col(y) - F.col(v)
@@ -290,14 +227,27 @@ def contiguous_blocks(shapes: DataFrame, key: str, ring: str, tolerance: float,
     Columns: ``block`` (the least key), ``parts``, ``area`` (the sum of its shapes), ``x`` and ``y`` (its centroid, by
     area).  A shape that touches none is a block of its own; keys must be unique and not null.
     """
-    boxed = with_box(shapes.select(F.col(key).alias("_id"), F.col(ring).alias("_ring")), "_ring").select("_id", "_ring", *((F.col(c) + (tolerance if c.endswith("max") else -tolerance)).alias(c) for c in BOX))
-    near = box_pairs(boxed, boxed, cell).filter("_id <= r__id").filter(ring_distance(F.col("_ring"), F.col("r__ring")) <= 2 * tolerance)
-    blocks = connected_components(near.select(F.col("_id").alias("src"), F.col("r__id").alias("dst")))
+    blocks = block_members(shapes, key, ring, tolerance, cell)
     own, middle = area(F.col(ring)), centroid(F.col(ring))
     parts = shapes.select(F.col(key).alias("node"), own.alias("_a"), (own * middle["x"]).alias("_x"), (own * middle["y"]).alias("_y")).join(blocks, "node")
     return parts.groupBy(F.col("component").alias("block")).agg(F.count("*").alias("parts"), F.sum("_a").alias("area"), (F.sum("_x") / F.sum("_a")).alias("x"), (F.sum("_y") / F.sum("_a")).alias("y"))
 
 
+def block_members(shapes: DataFrame, key: str, ring: str, tolerance: float, cell: float) -> DataFrame:
+    """``node`` and ``component``: each shape's key, and the least key of its block (see ``contiguous_blocks``).
+
+    Equal shapes count once among the pairs; pairs are written and dealt out by number before they are measured.
+    """
+    known = shapes.select(F.col(key).alias("_id"), F.col(ring).alias("_ring"))
+    equal = Window.partitionBy("_ring")
+    first = cut_lineage(known.withColumn("_first", F.min("_id").over(equal)), "equal-shapes")
+    boxed = with_box(first.filter("_id = _first").select("_id", "_ring"), "_ring").select("_id", "_ring", *((F.col(c) + (tolerance if c.endswith("max") else -tolerance)).alias(c) for c in BOX))
+    pairs = spread(box_pairs(boxed, boxed, cell).filter("_id < r__id").select("_id", "_ring", "r__id", "r__ring"), "box-pairs")
+    near = pairs.filter(ring_distance(F.col("_ring"), F.col("r__ring")) <= 2 * tolerance).select(F.col("_id").alias("src"), F.col("r__id").alias("dst"))
+    ties = cut_lineage(near.union(first.select("_id", "_first")), "near-shapes")  # each with itself, or its first equal
+    return connected_components(ties)
+
+
 def size_table(blocks: DataFrame, size: str, parts: str, member: str, limits: Sequence[float]) -> DataFrame:
     """For each least size: blocks of it or more, those of them that are members, and the median of their parts (0 for none)."""
     from acrework.operators.aggregates import exact_quantiles
@@ -341,13 +291,23 @@ def link_streets(parcels: DataFrame, links: DataFrame, streets: DataFrame, key:
     return first.union(rest.select(key, street, F.lit("nearest").alias("source")))
 
 
-def street_facing(edge_rows: DataFrame, key: str, street_angle: Column, distance: Column) -> DataFrame:
-    """One front edge for each key: nearly parallel to the street (35 degrees), then nearest, then longest; with confidence."""
+#: A parallel edge within so many feet of its street, and so many degrees, is sure.
+PARALLEL, SURE_FEET, SURE_DEGREES = 35.0, 80.0, 15.0
+
+
+def street_facing(edge_rows: DataFrame, key: str, street_angle: Column, distance: Column, keys: DataFrame | None = None) -> DataFrame:
+    """One front edge for each key: nearly parallel to the street, then nearest, then longest; with confidence.
+
+    ``high``: parallel, near and nearly straight; ``medium``: any other parallel edge; ``low``: no edge is parallel, so
+    the nearest; ``not_evaluated``: no street, or for a key of ``keys`` no edge (all else is null then).
+    """
     off = angle_difference(F.col("angle"), street_angle)
-    rows = edge_rows.withColumns({"off": off, "distance": distance})
-    order = Window.partitionBy(key).orderBy(F.desc(F.col("off") <= 35), "distance", F.desc("edge_length"), "pos")
+    rows = edge_rows.withColumns({"off": off, "distance": distance}).filter("off IS NOT NULL AND distance IS NOT NULL")
+    order = Window.partitionBy(key).orderBy(F.desc(F.col("off") <= PARALLEL), "distance", F.desc("edge_length"), "pos")
     front = rows.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
-    confidence = F.when(F.col("off") > 35, "not evaluated").when((F.col("distance") <= 80) & (F.col("off") <= 15), "high").when(F.col("distance") <= 160, "medium").otherwise("low")
+    if keys is not None:
+        front = keys.select(key).distinct().join(front, key, "left")
+    confidence = F.when(F.col("off").isNull(), "not_evaluated").when(F.col("off") > PARALLEL, "low").when((F.col("distance") <= SURE_FEET) & (F.col("off") <= SURE_DEGREES), "high").otherwise("medium")
     return front.withColumn("confidence", confidence)
 
 
@@ -470,36 +430,8 @@ def within(distance: Column, limit: Column, inclusive: Column) -> Column:
     return F.when(inclusive, distance <= limit).otherwise(distance < limit)
 
 
-def representative_y_midpoint(ring: list[tuple[float, float]]) -> tuple[float, float]:
-    """A point inside a polygon: the middle of the widest inner stretch at half height."""
-    ys = sorted({y for _, y in ring})
-    mid = (ys[0] + ys[-1]) / 2
-    if mid in ys:
-        above = min(y for y in ys if y > mid)
-        mid = (mid + above) / 2
-    xs = sorted(ax + (mid - ay) / (by - ay) * (bx - ax) for (ax, ay), (bx, by) in zip(ring, ring[1:]) if (ay > mid) != (by > mid))
-    a, b = max(zip(xs[::2], xs[1::2]), key=lambda s: s[1] - s[0])
-    return (a + b) / 2, mid
-
-
-def representative_point(ring: Column) -> Column:
-    """An inner point of each ring (NumPy kernel)."""
-    @F.pandas_udf("struct<x:double,y:double>")
-    def kernel(rings: pd.Series) -> pd.DataFrame:
-        found = [representative_y_midpoint([(p["x"], p["y"]) for p in r]) for r in rings]
-        return pd.DataFrame(found, columns=["x", "y"])
-
-    return kernel(ring)
-
-
 def missing_thresholds(df: DataFrame, mode: str, threshold: str, expected: Sequence) -> DataFrame:
     """Per mode the expected thresholds it lacks and those it should not have; complete modes give no row."""
     want = F.array(*map(F.lit, expected))
     found = df.groupBy(mode).agg(F.collect_set(threshold).alias("_f"))
     return found.select(mode, F.array_sort(F.array_except(want, "_f")).alias("missing"), F.array_sort(F.array_except("_f", want)).alias("extra")).filter((F.size("missing") > 0) | (F.size("extra") > 0))
-
-
-def dissolve(df: DataFrame, key: str, ring: str) -> DataFrame:
-    """Parts of each group as one multi-geometry with its box and part count."""
-    boxed = with_box(df, ring)
-    return boxed.groupBy(key).agg(F.collect_list(ring).alias("parts"), F.count("*").alias("n"), F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))

@@ -65,9 +65,71 @@ def closure(edges: DataFrame) -> DataFrame:
         known, n = wider, m
 
 
+def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+    """The edges whose ends both have edges in and out; what ends or begins a path lies on no cycle."""
+    n = edges.count()
+    while n:
+        into, out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        fewer = cut_lineage(edges.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"), "trimmed-edges")
+        m = fewer.count()
+        edges = fewer
+        if m == n:
+            break
+        n = m
+    return edges, n
+
+
+def _least_upstream(edges: DataFrame) -> DataFrame:
+    """``node`` and ``colour``, the least node from which it can be reached (itself included); only changes travel on."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    now = changed = cut_lineage(nodes.withColumn("colour", F.col("node")), "colours")
+    while True:
+        offers = changed.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("offer"))
+        changed = cut_lineage(now.join(offers, "node").filter("offer < colour").select("node", F.col("offer").alias("colour")), "recoloured")
+        if changed.isEmpty():
+            return now
+        now = cut_lineage(now.join(changed.select("node"), "node", "left_anti").union(changed), "colours")
+
+
+def strongly_connected(edges: DataFrame) -> DataFrame:
+    """``node`` and ``component``: a node of the set of nodes that all reach each other, the same for all of them.
+
+    Every round trims what lies on no cycle, colours each node with the least one upstream, and walks back from each
+    colour's own node inside its colour: what it meets is that node's component.  No table of a round is larger than the
+    edges; a round takes as many steps as its longest shortest path.  Edges with a null end add nothing; self-edges only
+    their node.
+    """
+    known = cut_lineage(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct(), "directed-edges")
+    nodes = known.select(F.col("src").alias("node")).union(known.select("dst")).distinct()
+    live, found = known.filter("src <> dst"), None
+    while True:
+        live, n = _trimmed(live)
+        if not n:
+            break
+        colours = _least_upstream(live)
+        of = lambda end: colours.select(F.col("node").alias(end), F.col("colour").alias(f"_{end}"))
+        inside = cut_lineage(live.join(of("src"), "src").join(of("dst"), "dst").filter("_src = _dst").select("src", "dst"), "inside-colours")
+        reached = frontier = cut_lineage(colours.filter("node = colour").select("node", F.col("colour").alias("component")), "component-nodes")
+        while True:
+            back = inside.join(frontier, F.col("dst") == F.col("node")).select(F.col("src").alias("node"), "component").distinct()
+            frontier = cut_lineage(back.join(reached, "node", "left_anti"), "walked-back")
+            if frontier.isEmpty():
+                break
+            reached = cut_lineage(reached.union(frontier), "component-nodes")
+        found = reached if found is None else found.union(reached)
+        gone = reached.select("node")
+        live = cut_lineage(live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "directed-edges")
+    if found is None:
+        return nodes.withColumn("component", F.col("node"))
+    return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def cycle_nodes(edges: DataFrame) -> DataFrame:
     """Nodes on a cycle, self-edges included."""
-    return closure(edges).filter("src = dst").select(F.col("src").alias("node")).distinct()
+    placed = strongly_connected(edges)
+    larger = placed.groupBy("component").agg(F.count("*").alias("_n")).filter("_n > 1").select("component")
+    loops = edges.filter("src = dst").select(F.col("src").alias("node"))
+    return placed.join(larger, "component", "left_semi").select("node").union(loops).distinct()
 
 
 def in_force(applicable: DataFrame, stronger: DataFrame, subject: str, rule: str) -> DataFrame:
@@ -79,21 +141,39 @@ def in_force(applicable: DataFrame, stronger: DataFrame, subject: str, rule: str
     return held.join(by, [subject, rule], "left")
 
 
-def reachable_within(edges: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
+def reachable_within(edges: DataFrame, sources: DataFrame, limit: float, width: float | None = None) -> DataFrame:
     """Least cost from any source (column node) to each node within a limit; edges have src, dst, cost >= 0.
 
-    Each round settles paths of one more edge, until no cost falls.
+    Costs are settled in bands of ``width`` (an eighth of the limit), least first.  Inside a band edges are followed until
+    no cost in it falls, and only the nodes that changed go on; then its nodes are settled and never looked at again,
+    and what they offer beyond the band joins the open nodes.  Empty bands are skipped.  Edges with a null end or cost
+    add nothing.
     """
-    best = cut_lineage(sources.select("node").distinct().withColumn("cost", F.lit(0.0)), "reach")
-    frontier = best
-    while True:
-        offers = frontier.select("node", F.col("cost").alias("_c")).join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("_c") + F.col("cost")).alias("cost")).filter(F.col("cost") <= limit)
-        offers = offers.groupBy("node").agg(F.min("cost").alias("cost"))
-        known = best.select("node", F.col("cost").alias("_known"))
-        frontier = cut_lineage(offers.join(known, "node", "left").filter("_known IS NULL OR cost < _known").drop("_known"), "frontier")
-        if frontier.isEmpty():
-            return best
-        best = cut_lineage(best.union(frontier).groupBy("node").agg(F.min("cost").alias("cost")), "reach")
+    width = width or max(limit / 8, 1e-300)
+    known = cut_lineage(edges.select("src", "dst", "cost").filter(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("cost") <= limit)), "cost-edges")
+    light = known.filter(F.col("cost") <= width)
+    none = sources.select("node").limit(0).withColumn("cost", F.lit(0.0))
+    waiting, settled = cut_lineage(sources.select("node").filter("node IS NOT NULL").distinct().withColumn("cost", F.lit(0.0)), "reach-open"), none
+
+    def offered(rows: DataFrame, along: DataFrame, kept: Column) -> DataFrame:
+        ahead = rows.select("node", F.col("cost").alias("_c")).join(along, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("_c") + F.col("cost")).alias("cost"))
+        return ahead.filter((F.col("cost") <= limit) & kept).groupBy("node").agg(F.min("cost").alias("cost"))
+
+    while (least := waiting.agg(F.min("cost")).first()[0]) is not None:
+        end = (least // width + 1) * width
+        band = changed = waiting.filter(F.col("cost") < end)
+        while True:
+            mine = band.select("node", F.col("cost").alias("_known"))
+            offers = offered(changed, light, F.col("cost") < end).join(settled, "node", "left_anti")
+            changed = cut_lineage(offers.join(mine, "node", "left").filter("_known IS NULL OR cost < _known").drop("_known"), "reach-changed")
+            if changed.isEmpty():
+                break
+            band = cut_lineage(band.join(changed.select("node"), "node", "left_anti").union(changed), "reach-band")
+        settled = settled.union(band)
+        beyond = offered(band, known, F.col("cost") >= end)
+        later = waiting.filter(F.col("cost") >= end).union(beyond).groupBy("node").agg(F.min("cost").alias("cost"))
+        waiting = cut_lineage(later.join(settled.select("node"), "node", "left_anti"), "reach-open")
+    return settled
 
 
 def references(edges: DataFrame, node: Column) -> DataFrame:

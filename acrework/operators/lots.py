@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acrework.operators.geometry import area, centroid, clip_convex, common_area
+from acrework.operators.geometry import area, centroid, rectangle
+from acrework.operators.polygons import common_area
 from acrework.operators.rules import ordered_reason
 
 #: Fixed values, in feet: yards of a single-family lot, and how well a rectangle must fill its lot.
@@ -28,34 +28,11 @@ def in_edge_frame(shape: Column, ring: Column, x1: Column, y1: Column, x2: Colum
     return F.when(size.isNotNull(), turned)
 
 
-def _plain_area(points) -> float:
-    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(points, points[1:] + points[:1]))) / 2
-
-
-def _fit(lots: pd.Series, buildings: pd.Series, low: pd.Series, high: pd.Series, near: pd.Series, far: pd.Series) -> pd.DataFrame:
-    """Area of the larger of two envelopes, and the smaller area of a building outside one of them."""
-    points = lambda g: [(p["x"], p["y"]) for p in g][:-1]
-    out = []
-    for lot, building, x0, x1, y0, y1 in zip(lots, buildings, low, high, near, far):
-        if lot is None:
-            out.append((None, None))
-            continue
-        lot = points(lot)
-        building = None if building is None or len(building) < 4 else points(building)
-        own = None if building is None else _plain_area(building)
-        available, outside = 0.0, own
-        front, rear = y0 + FRONT, y1 - REAR
-        for left, right in ((x0 + SIDE, x1 - BOTH_SIDES + SIDE), (x0 + BOTH_SIDES - SIDE, x1 - SIDE)):
-            if rear <= front or right <= left:
-                continue
-            envelope = clip_convex(lot, [(left, front), (right, front), (right, rear), (left, rear)])
-            if len(envelope) < 3:
-                continue
-            available = max(available, _plain_area(envelope))
-            if building is not None:
-                outside = min(outside, max(0.0, own - common_area(building, envelope)))
-        out.append((available, outside))
-    return pd.DataFrame(out, columns=["available", "outside"], dtype="float64")
+def _envelopes() -> list[tuple[Column, Column]]:
+    """Two rectangles of the frame, by which side has the wider yard, and whether the yards leave them any room."""
+    x0, x1, front, rear = F.col("_x0"), F.col("_x1"), F.col("_y0") + FRONT, F.col("_y1") - REAR
+    sides = ((x0 + SIDE, x1 - BOTH_SIDES + SIDE), (x0 + BOTH_SIDES - SIDE, x1 - SIDE))
+    return [(rectangle(left, front, right, rear), (rear > front) & (right > left)) for left, right in sides]
 
 
 def setback_envelopes(lots: DataFrame, ring: str, building: str, edge: tuple[str, str, str, str] = ("x1", "y1", "x2", "y2")) -> DataFrame:
@@ -69,8 +46,13 @@ def setback_envelopes(lots: DataFrame, ring: str, building: str, edge: tuple[str
     ends = {f"_{a}{n}": f(f"_lot.{a}") for a in "xy" for n, f in (("0", F.array_min), ("1", F.array_max))}
     sized = turned.withColumns(ends).withColumns({"width": F.col("_x1") - F.col("_x0"), "depth": F.col("_y1") - F.col("_y0")})
     sized = sized.withColumn("rectangularity", area(F.col("_lot")) / F.nullif(F.col("width") * F.col("depth"), F.lit(0.0)))
-    fit = F.pandas_udf(_fit, "struct<available:double,outside:double>")(F.when(F.col("rectangularity") >= LEAST_RECTANGULARITY, F.col("_lot")), "_building", "_x0", "_x1", "_y0", "_y1")
-    return sized.withColumn("_fit", fit).withColumns({"available": F.col("_fit.available"), "outside": F.col("_fit.outside")}).drop("_lot", "_building", "_fit", *ends)
+    lot, building = F.col("_lot"), F.when(F.size("_building") >= 4, F.col("_building"))
+    own = area(building)
+    room = [F.when(fits, common_area(lot, box)) for box, fits in _envelopes()]
+    rest = [F.when(fits, F.greatest(F.lit(0.0), own - common_area(building, lot, box))) for box, fits in _envelopes()]
+    regular = F.col("rectangularity") >= LEAST_RECTANGULARITY
+    fitted = {"available": F.when(regular, F.greatest(F.lit(0.0), *room)), "outside": F.when(regular & own.isNotNull(), F.least(own, *rest))}
+    return sized.withColumns(fitted).drop("_lot", "_building", *ends)
 
 
 def setback_evaluation(parcels: DataFrame, fronts: DataFrame, buildings: DataFrame, key: str, ring: str, in_scope: str, several: str, sampled: str) -> DataFrame:

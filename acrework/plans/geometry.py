@@ -6,23 +6,46 @@ from pyspark.sql import functions as F
 
 from acrework.operators import geometry as G
 from acrework.operators import lots as L
+from acrework.operators import polygons as Po
 from acrework.operators import raster as Ra
 from acrework.operators.projections import MICHIGAN_SOUTH_FEET, UTM_17N
 from acrework.operators.windows import dedupe
 from acrework.plans.registry import query, table
 
-#: Boxes and points in SQL, as the functions below build them.
-B = "b AS (SELECT p_partkey AS k, (p_partkey * 37 % 1000)::DOUBLE AS x1, (p_partkey * 91 % 1000)::DOUBLE AS y1, (p_partkey * 37 % 1000 + 1 + p_partkey % 20)::DOUBLE AS x2, (p_partkey * 91 % 1000 + 1 + p_partkey % 20)::DOUBLE AS y2 FROM part)"
+#: Boxes and points in SQL, as the functions below build them.  The area over which boxes lie grows with their number.
+B = """b AS (SELECT k, x::DOUBLE AS x1, y::DOUBLE AS y1, (x + 1 + k % 20)::DOUBLE AS x2, (y + 1 + k % 20)::DOUBLE AS y2 FROM (SELECT p_partkey AS k, p_partkey * 37 % e AS x, (p_partkey * 91 + p_partkey // e * 17) % e AS y
+FROM part, (SELECT 1000 * greatest(1, ceil(sqrt(count(*) / 2000)))::BIGINT AS e FROM part)))"""
 P = "p AS (SELECT s_suppkey AS id, (s_suppkey * 53 % 997)::DOUBLE AS x, (s_suppkey * 71 % 991)::DOUBLE AS y FROM supplier)"
 
 
 def boxes(spark, sf):
-    k = F.col("p_partkey")
-    x, y, s = F.pmod(k * 37, F.lit(1000)), F.pmod(k * 91, F.lit(1000)), 1 + F.pmod(k, F.lit(20))
-    df = table(spark, sf, "part").select(k.alias("k"), *(c.cast("double").alias(n) for c, n in zip((x, y, x + s, y + s), G.BOX)))
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("k"))
+    extent = parts.agg((1000 * F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*") / 2000)))).cast("long").alias("e"))  # one row
+    k, e = F.col("k"), F.col("e")
+    x, y, s = k * 37 % e, (k * 91 + F.floor(k / e) * 17) % e, 1 + k % 20
+    df = parts.crossJoin(extent).select("k", *(c.cast("double").alias(n) for c, n in zip((x, y, x + s, y + s), G.BOX)))
     return df.withColumn("ring", G.rectangle(*map(F.col, G.BOX)))
 
 
+#: Tiles of 10 by 10 side by side, every other column shifted by half a tile, in SQL; each is two cells (i, h) of 10 by 5.
+T = """t AS (SELECT p_partkey AS k, p_partkey * p_partkey % 7 AS g, p_partkey % w AS i, p_partkey // w AS j FROM part, (SELECT ceil(sqrt(count(*)))::BIGINT AS w FROM part)), c AS (SELECT k, g, i, 2 * j + i % 2 + u AS h FROM t, (SELECT unnest([0, 1]) AS u))"""
+
+
+def _measures(cells: str, by: str) -> str:
+    """SQL of the outlines of cells: shared sides vanish, and a corner bends where one, three or two opposite cells meet."""
+    return f"""m AS (SELECT {by}, count(*) AS n, 50.0 * count(*) AS area, 30.0 * count(*) - 10 * coalesce(sum((SELECT count(*) FROM {cells} o WHERE o.{by} = a.{by} AND o.i = a.i + 1 AND o.h = a.h)), 0) - 20 * coalesce(sum((SELECT count(*) FROM {cells} o WHERE o.{by} = a.{by} AND o.i = a.i AND o.h = a.h + 1)), 0) AS perimeter FROM {cells} a GROUP BY 1),
+v AS (SELECT {by}, i + di AS x, h + dh AS y, count(*) AS n, sum((di + dh) % 2) AS odd FROM {cells}, (SELECT unnest([0, 1]) AS di), (SELECT unnest([0, 1]) AS dh) GROUP BY 1, 2, 3),
+z AS (SELECT {by}, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND odd IN (0, 2) THEN 2 ELSE 0 END) AS corners, sum(CASE WHEN n = 1 THEN 1 WHEN n = 3 THEN -1 WHEN n = 2 AND odd IN (0, 2) THEN 2 ELSE 0 END) // 4 AS net FROM v GROUP BY 1)"""
+
+
+def tiles(spark, sf):
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("k"))
+    width = parts.agg(F.ceil(F.sqrt(F.count("*"))).cast("long").alias("w"))  # one row
+    k, w = F.col("k"), F.col("w")
+    x, y = 10 * (k % w), 10 * F.floor(k / w) + 5 * (k % w % 2)
+    return parts.crossJoin(width).select("k", (k * k % 7).alias("g"), G.rectangle(x, y, x + 10, y + 10).alias("ring"))
+
+
 def points(spark, sf):
     k = F.col("s_suppkey")
     return table(spark, sf, "supplier").select(k.alias("id"), F.pmod(k * 53, F.lit(997)).cast("double").alias("x"), F.pmod(k * 71, F.lit(991)).cast("double").alias("y"))
@@ -37,7 +60,7 @@ def g01(spark, sf):
 
 @query("g02_representative_points", f"WITH {B} SELECT k, (x1 + x2) / 2 AS x, true AS inside FROM b")
 def g02(spark, sf):
-    df = boxes(spark, sf).withColumn("at", G.representative_point(F.col("ring")))
+    df = boxes(spark, sf).withColumn("at", Po.inner_point(F.col("ring")))
     return df.select("k", "at.x", G.contains_point(F.col("ring"), F.col("at.x"), F.col("at.y")).alias("inside"))
 
 
@@ -52,10 +75,10 @@ def g04(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(G.angle_difference(angle, F.lit(30.0)), 6).alias("difference"))
 
 
-@query("g05_street_facing_edge", f"WITH {B} SELECT k, 0 AS pos, CASE WHEN y1 <= 80 THEN 'high' WHEN y1 <= 160 THEN 'medium' ELSE 'low' END AS confidence FROM b")
+@query("g05_street_facing_edge", f"WITH {B} SELECT k, CASE WHEN k % 4 < 3 THEN 0 END AS pos, CASE k % 4 WHEN 0 THEN CASE WHEN y1 <= 80 THEN 'high' ELSE 'medium' END WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'not_evaluated' END AS confidence FROM b")
 def g05(spark, sf):
-    rows = G.edges(boxes(spark, sf).select("k", "ring"), "ring")
-    return G.street_facing(rows, "k", F.lit(0.0), (F.col("y1") + F.col("y2")) / 2).select("k", "pos", "confidence")
+    shapes = boxes(spark, sf).select("k", "ring", F.get(F.array(*map(F.lit, (0.0, 20.0, 45.0))), (F.col("k") % 4).cast("int")).alias("street"))
+    return G.street_facing(G.edges(shapes, "ring"), "k", F.col("street"), (F.col("y1") + F.col("y2")) / 2, shapes).select("k", "pos", "confidence")
 
 
 @query("g06_frontage_comparison", f"""
@@ -205,6 +228,14 @@ def g15_sizes(spark, sf):
     return G.size_table(assembled(spark, sf), "area", "parts", "in_region", [50, 200, 400, 1000, 1e9])
 
 
+@query("g15_block_outlines", f"""
+WITH RECURSIVE {T}, s AS (SELECT k, 10 * i AS x, 10 * j + 5 * (i % 2) AS y FROM t WHERE g IN (0, 3)), e AS (SELECT a.k AS u, b.k AS v FROM s a JOIN s b ON abs(a.x - b.x) <= 10 AND abs(a.y - b.y) <= 10), r(u, v) AS (SELECT * FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u), p AS (SELECT u AS k, min(v) AS block FROM r GROUP BY 1),
+d AS (SELECT block, i, h FROM p JOIN c USING (k)), {_measures('d', 'block')} SELECT block, n // 2 AS n, area, perimeter, corners, net FROM m JOIN z USING (block)""")
+def g15_outlines(spark, sf):
+    found = Po.block_outlines(tiles(spark, sf).filter("g IN (0, 3)"), "k", "ring", 0.5, 20.0)
+    return found.groupBy("block").agg(F.max("parts").alias("n"), F.sum("area").alias("area"), F.sum("perimeter").alias("perimeter"), F.sum(F.size("outline") - 1).alias("corners"), F.sum(F.signum("area")).cast("long").alias("net"))
+
+
 @query("g16_clip_lines", f"WITH {P} SELECT id, round(greatest(0, least(x + 100, 600) - greatest(x, 200)), 6) AS length, CASE WHEN id % 5 > id % 7 THEN 'back' ELSE 'along' END AS way FROM p WHERE y BETWEEN 100 AND 700 AND least(x + 100, 600) > greatest(x, 200)")
 def g16(spark, sf):
     along = points(spark, sf).select("id", F.col("x").alias("x1"), (F.col("x") + 100).alias("x2"), "y", (F.col("id") % 7).alias("width"), F.lit("along").alias("way"))
@@ -277,16 +308,18 @@ def g22(spark, sf):
     return G.missing_thresholds(days, "mode", "event_type", ["click", "error", "view"])
 
 
-@query("g23_dissolve", f"WITH {B} SELECT k % 7 AS grp, count(*) AS n, min(x1) AS xmin, max(y2) AS ymax FROM b GROUP BY 1")
+@query("g23_dissolve", f"WITH {T}, {_measures('c', 'g')} SELECT g, n // 2 AS n, area, perimeter, corners, net FROM m JOIN z USING (g)")
 def g23(spark, sf):
-    return G.dissolve(boxes(spark, sf).select((F.col("k") % 7).alias("grp"), "ring"), "grp", "ring").select("grp", "n", "xmin", "ymax")
+    parts = tiles(spark, sf)
+    counts = parts.groupBy("g").agg(F.count("*").alias("n"))
+    return Po.dissolve(parts, "g", "ring", 10.0).join(counts, "g").select("g", "n", "area", "perimeter", "corners", (F.col("outer") - F.col("holes")).alias("net"))
 
 
 @query("g24_clip_polygons", f"WITH {B} SELECT k, (least(x2, 700) - greatest(x1, 100)) * (least(y2, 600) - greatest(y1, 200)) AS inside FROM b WHERE least(x2, 700) > greatest(x1, 100) AND least(y2, 600) > greatest(y1, 200)")
 def g24(spark, sf):
     region = G.rectangle(F.lit(100.0), F.lit(200.0), F.lit(700.0), F.lit(600.0))
     near = boxes(spark, sf).filter("xmin < 700 AND xmax > 100 AND ymin < 600 AND ymax > 200")
-    return near.select("k", F.round(G.clip_area(F.col("ring"), region), 6).alias("inside")).filter("inside > 0")
+    return near.select("k", F.round(Po.common_area(F.col("ring"), region), 6).alias("inside")).filter("inside > 0")
 
 
 @query("j08_point_in_polygon", f"WITH {B}, {P} SELECT id, k FROM p LEFT JOIN b ON x >= x1 AND x < x2 AND y >= y1 AND y < y2")

@@ -197,11 +197,7 @@ def test_refusals(spark):
 def test_kernels():
     line = np.array([[0, 0], [1, 0.01], [2, 0], [3, 2], [4, 4]], float)
     assert geometry.simplify_line(line, 0.1).tolist() == [[0, 0], [2, 0], [4, 4]]
-    square = [(0, 0), (4, 0), (4, 4), (0, 4)]
-    assert len(geometry.clip_convex([(2, 2), (6, 2), (6, 6), (2, 6)], square)) == 4
     assert geometry.hull_area(np.array([[0, 0], [4, 0], [4, 4], [0, 4], [2, 2], [1, 0]])) == 16
-    x, y = geometry.representative_y_midpoint([(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)])
-    assert (x, y) == (2, 2)
 
 
 def test_minutes_with_either_petitioner_label(spark):

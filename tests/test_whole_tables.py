@@ -157,30 +157,6 @@ def test_points_within_keeps_nulls_and_equal_rows(spark):
     assert got == [(1, "L", None), (2, None, "x"), (3, "L", "x"), (3, "L", "x"), (4, None, None)]
 
 
-def test_common_area_of_rotated_and_hollow_shapes():
-    square = [(0, 0), (10, 0), (10, 10), (0, 10)]
-    diamond = [(10, 5), (15, 10), (10, 15), (5, 10)]
-    ell = [(0, 0), (10, 0), (10, 4), (4, 4), (4, 10), (0, 10)]
-    assert G.common_area(square, diamond) == pytest.approx(12.5)
-    assert G.common_area(ell, [(x + 5, y + 5) for x, y in square]) == 0
-    assert G.common_area(ell, [(2, 2), (6, 2), (6, 6), (2, 6)]) == pytest.approx(16 - 4)
-    assert G.common_area(ell[::-1], ell) == pytest.approx(64)
-    rng = np.random.default_rng(2)
-    for _ in range(20):  # a star and a star, against a fine raster
-        star = lambda: [(5 + r * math.cos(t), 5 + r * math.sin(t)) for r, t in zip(rng.uniform(1, 5, 9), np.linspace(0, 2 * math.pi, 10)[:9])]
-        a, b = star(), star()
-        x, y = (g.ravel() for g in np.meshgrid(np.arange(0.01, 10, 0.02), np.arange(0.01, 10, 0.02)))
-
-        def inside(ring):
-            odd = np.zeros(len(x), bool)
-            for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
-                if ay != by:
-                    odd ^= ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
-            return odd
-
-        assert G.common_area(a, b) == pytest.approx((inside(a) & inside(b)).sum() * 0.0004, abs=0.15)
-
-
 def test_exact_quantiles(spark):
     rng = np.random.default_rng(3)
     groups = {"a": rng.normal(0, 1, 501).round(1), "b": np.array([4.0]), None: rng.integers(0, 3, 40).astype(float), "c": np.array([1.0, 2.0])}
