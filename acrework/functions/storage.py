@@ -6,16 +6,19 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's own setting: shuffle files of a statement go when it ends, not when the driver next collects garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths written by this process, and those written while the innermost ``written_alone`` of this thread runs.
 _WRITTEN: list[str] = []
+_OWN: ContextVar[list[str] | None] = ContextVar("own", default=None)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; on a local master a temporary folder is set there if it is unset."""
+    """A new path under ``spark.checkpoint.dir``, known to ``delete_written``; on a local master a temporary folder is set there if it is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
@@ -23,7 +26,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="acrework-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    if (own := _OWN.get()) is not None:
+        own.append(path)
+    return path
 
 
 @contextmanager
@@ -43,7 +50,6 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame,
     path = shared_path(spark, name)
     with shuffles_end(spark):
         df.write.option("compression", codec).parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -53,10 +59,19 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
 
 
 def written_alone(df_of, spark: SparkSession, name: str, codec: str = "zstd") -> DataFrame:
-    """Write what ``df_of()`` returns and delete all tables that were written to compute it."""
-    known = set(_WRITTEN)
-    out, path = written(df_of(), name, codec)
-    delete = [p for p in _WRITTEN if p not in known and p != path]
+    """Write what ``df_of()`` returns and delete all tables that it wrote to compute it.
+
+    What other threads write meanwhile is theirs and stays.
+    """
+    outer, own = _OWN.get(), []
+    token = _OWN.set(own)
+    try:
+        out, path = written(df_of(), name, codec)
+    finally:
+        _OWN.reset(token)
+    if outer is not None:
+        outer.append(path)
+    delete = [p for p in own if p != path]
     if delete:
         delete_written(spark, *delete)
     return out

@@ -181,3 +181,31 @@ def test_written_tables_are_deleted(spark):
     delete_written(spark, path)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
         spark.read.parquet(path).count()
+
+
+def test_written_alone_leaves_tables_of_other_threads(spark):
+    from threading import Event, Thread
+
+    from acrework.functions.storage import written, written_alone
+
+    begun, done, theirs, own = Event(), Event(), [], []
+
+    def other():
+        begun.wait(60)
+        theirs.append(written(spark.range(5), "theirs"))
+        done.set()
+
+    def stage():
+        own.append(written(spark.range(7), "own"))
+        inner = written_alone(lambda: written(own[0][0].filter("id < 6"), "inner")[0], spark, "inner-result")
+        begun.set()
+        done.wait(60)
+        return inner.filter("id > 1")
+
+    thread = Thread(target=other)
+    thread.start()
+    result = written_alone(stage, spark, "result")
+    thread.join()
+    assert result.count() == 4 and theirs[0][0].count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
+        spark.read.parquet(own[0][1]).count()
