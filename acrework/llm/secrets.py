@@ -46,7 +46,8 @@ RULES = (
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("maps_key", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("payment_key", r"[sr]k_live_[0-9A-Za-z]{16,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # what follows the first part is optional only so that a run without it is passed over once; such matches are dropped
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}(\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})?", 1, 1),
     Rule("url_login", r"://[A-Za-z0-9._~-]+:[^\s/@:]{3,}@"),
 )
 _WORKER: dict[tuple[Rule, ...], "Scanner"] = {}
