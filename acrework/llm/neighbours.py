@@ -10,7 +10,9 @@ the space into cells of about ``CELL_ROWS`` rows; every row is indexed.  A query
 bounds d, and then descends the tree to the cells whose box the stopping radius reaches.  In a cell, leaves are verified in
 order of projected distance until the test holds.  A cell with many rows is dealt to several parts by a hash.
 
-Equal vectors are indexed once, with their smallest ids, so a vector that a third of the rows share costs one entry.
+Equal vectors are indexed once, with their smallest ids, and asked once, so a vector that a third of the rows share costs
+one entry and one search.  Both sides of a cell are bounded: its rows are dealt to parts, the queries that reach it to
+blocks.  Vectors are scaled by a power of two before anything is squared, which changes no cosine.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component (or have another length than most)
 take no part, neither do null ids; of rows with one id and one vector a single one counts; with fewer candidates than k
@@ -33,6 +35,8 @@ DIMS = 8
 #: The test stops when a nearer vector would have been seen with this probability.
 CONFIDENCE = 0.95
 CELL_ROWS, LEAF_ROWS = 20_000, 64
+#: Queries that meet a part of a cell in one task.
+BLOCK_QUERIES = 5_000
 #: Leaves that are verified together at most.
 STEP = 16
 #: Rows whose projections choose the upper splits, and the most levels of these: the splits and the boxes of all cells
@@ -46,6 +50,11 @@ def projection(width: int) -> np.ndarray:
     return np.random.default_rng(271828).normal(0, 1, (width, DIMS))
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two, so that its largest component is from a half to one; without any rounding."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of a list column as a matrix of doubles."""
     if isinstance(column, pa.ChunkedArray):
@@ -117,7 +126,7 @@ def _stop_radius(confidence: float) -> float:
 
 
 def _search_cell(data: pa.Table, queries: pa.Table, k: int, ratio: float) -> list[tuple[int, int, float]]:
-    """The k best ids in this part of a cell for each query, no further than the stopping test asks.
+    """The k best ids in this part of a cell for each query (its own among them), no further than the stopping test asks.
 
     Leaves are verified in order of projected distance, in steps of one, two, four and up to ``STEP`` leaves; only rows
     that reach the k-th best score so far are looked at one by one.
@@ -141,10 +150,10 @@ def _search_cell(data: pa.Table, queries: pa.Table, k: int, ratio: float) -> lis
             score = (vectors[rows] @ q) / (norms[rows] * q_norm)
             least = -best[-1][0] if len(best) == k else -np.inf
             close = np.flatnonzero(score >= least)
-            if len(close) > 4 * k:  # an entry may be the query's own, so one more than k entries can be needed
-                close = close[score[close] >= np.partition(score[close], -(k + 1))[-(k + 1)]]
+            if len(close) > 4 * k:
+                close = close[score[close] >= np.partition(score[close], -k)[-k]]
             for r in close.tolist():
-                best += [(-float(score[r]), i) for i in ids[rows[r]] if i != query_id]
+                best += [(-float(score[r]), i) for i in ids[rows[r]]]
             best.sort()
             del best[k:]
             if len(best) == k:
@@ -179,12 +188,11 @@ def nearest_neighbours(vectors: DataFrame, queries: F.Column, k: int = 5, confid
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                v = _matrix(batch.column("vec"))
-                largest = np.abs(v).max(1, keepdims=True)
-                unit = v / largest
-                unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
-                p = unit @ matrix
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(p), pa.list_(pa.float64()))], [*batch.schema.names, "proj"])
+                v = scaled(_matrix(batch.column("vec")))
+                unit = v / np.sqrt((v * v).sum(1, keepdims=True))
+                lists = [pa.array(list(m), pa.list_(pa.float64())) for m in (v, unit @ matrix)]
+                others = [c for c in batch.schema.names if c != "vec"]
+                yield pa.RecordBatch.from_arrays([lists[0], *(batch.column(c) for c in others), lists[1]], ["vec", *others, "proj"])
 
     rows = usable.filter(F.size("vec") == width).distinct()
     # of equal vectors the k + 1 smallest ids can ever be asked for (one may be the query's own)
@@ -192,7 +200,10 @@ def nearest_neighbours(vectors: DataFrame, queries: F.Column, k: int = 5, confid
     ranked = rows.withColumn("r", F.row_number().over(smallest)).filter(F.col("r") <= k + 1)
     distinct = ranked.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     index = distinct.mapInArrow(project, "vec array<double>, ids array<bigint>, proj array<double>")
-    asked = rows.filter(queries).select(F.col("vec_id").alias("query_id"), "vec").mapInArrow(project, "query_id bigint, vec array<double>, proj array<double>")
+    wanted = rows.filter(queries)
+    first = materialise(wanted.groupBy("vec").agg(F.min("vec_id").alias("query_id")), "different-queries")
+    members = wanted.withColumnRenamed("vec_id", "member").join(first, "vec").select("member", "query_id")
+    asked = first.mapInArrow(project, "vec array<double>, query_id bigint, proj array<double>")
     index, asked = materialise(index, "projected"), materialise(asked, "queries")
 
     draw = F.pmod(F.xxhash64("ids"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, SAMPLE / n))
@@ -208,7 +219,7 @@ def nearest_neighbours(vectors: DataFrame, queries: F.Column, k: int = 5, confid
         return lambda df: df.mapInArrow(run, f"{schema}, cell bigint")
 
     index = celled("vec array<double>, ids array<bigint>, proj array<double>")(index)
-    asked = celled("query_id bigint, vec array<double>, proj array<double>")(asked)
+    asked = celled("vec array<double>, query_id bigint, proj array<double>")(asked)
     sizes = index.groupBy("cell").agg(
         F.ceil(F.count("cell") / (2 * CELL_ROWS)).cast("int").alias("parts"), *(F.min(F.element_at("proj", i + 1)).alias(f"low{i}") for i in range(DIMS)), *(F.max(F.element_at("proj", i + 1)).alias(f"high{i}") for i in range(DIMS))
     )
@@ -218,12 +229,17 @@ def nearest_neighbours(vectors: DataFrame, queries: F.Column, k: int = 5, confid
     ratio = _stop_radius(confidence)
 
     def search(to_cells: DataFrame) -> DataFrame:
-        every_part = to_cells.join(F.broadcast(boxes.select("cell", "parts")), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        sides = parted.groupBy("cell", "part").cogroup(every_part.select("cell", "part", "query_id", "vec", "proj", "bound").groupBy("cell", "part"))
-        return sides.applyInArrow(lambda a, b: _found(_search_cell(a, b, k, ratio) if a.num_rows and b.num_rows else []), FOUND)
-
-    near = materialise(_best(search(asked.withColumn("bound", F.lit(2.0))), k), "own-cell")
-    bound = near.filter(F.col("rank") == k).select("query_id", F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))).alias("bound"))
+        blocks = materialise(to_cells.groupBy("cell").agg(F.ceil(F.count("cell") / BLOCK_QUERIES).cast("int").alias("blocks")), "query-blocks")  # one row for each cell
+        dealt = to_cells.join(F.broadcast(boxes.select("cell", "parts")), "cell").join(F.broadcast(blocks), "cell")
+        dealt = dealt.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "block": F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")})
+        there = parted.join(F.broadcast(blocks), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        key = ("cell", "part", "block")
+        sides = there.groupBy(*key).cogroup(dealt.select(*key, "query_id", "vec", "proj", "bound").groupBy(*key))
+        return sides.applyInArrow(lambda a, b: _found(_search_cell(a, b, k + 1, ratio) if a.num_rows and b.num_rows else []), FOUND)
+
+    # one more than k, since a query's own row is among them
+    near = materialise(_best(search(asked.withColumn("bound", F.lit(2.0))), k + 1), "own-cell")
+    bound = near.filter(F.col("rank") == k + 1).select("query_id", F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))).alias("bound"))
     bounded = asked.join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(2.0)))
     lows, highs = np.full((1 << splits.depth, DIMS), np.inf), np.full((1 << splits.depth, DIMS), -np.inf)
     for r in boxes.collect():  # at most 2**MOST_DEPTH cells
@@ -244,7 +260,8 @@ def nearest_neighbours(vectors: DataFrame, queries: F.Column, k: int = 5, confid
 
     reached = bounded.mapInArrow(descend, "cell bigint, query_id bigint, vec array<double>, proj array<double>, bound double")
     every = near.select("query_id", "vec_id", "score").unionByName(search(reached))
-    return _best(every, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = _best(every, k + 1).drop("rank").join(members, "query_id").filter(F.col("vec_id") != F.col("member"))
+    return _best(found.select(F.col("member").alias("query_id"), "vec_id", "score"), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,3 +233,37 @@ def test_many_expressions_of_one_host(spark):
     (wrapper,) = H.infer_wrappers(df).collect()
     assert wrapper["host"] == "h"
     assert all(-1 not in H.slots_of(n, wrapper["wrapper"]) for n in nested[::7])
+
+
+def test_neighbours_of_extreme_vectors_and_many_equal_queries(spark):
+    from acrework.llm.neighbours import nearest_neighbours
+
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e199]), (2, [1e-200, 2e-201]), (3, [0.0, 5e-324]), (4, [-1.0, 0.0]), (5, [3.0, 1e-308])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = [(r["rank"], r["vec_id"], r["score"]) for r in nearest_neighbours(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    close = 1 / math.sqrt(1.01)
+    assert [f[:2] for f in found] == [(1, 5), (2, 1), (3, 2), (4, 3), (5, 4)]
+    assert [f[2] for f in found] == pytest.approx([1, close, 1 / math.sqrt(1.04), 0, -1], abs=1e-15)
+    hot = spark.range(100_000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    few = spark.createDataFrame([(200_000 + i, [1.0, float(i)]) for i in range(9)], "vec_id bigint, embedding array<double>")
+    got = nearest_neighbours(hot.union(few), F.col("vec_id") >= 0)
+    counted = got.groupBy("query_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    assert counted.count() == 100_009 and counted.filter("n <> 5").isEmpty()
+    ids = {r["query_id"]: r["ids"] for r in counted.filter("query_id in (0, 3, 99999)").collect()}
+    assert ids == {0: [1, 2, 3, 4, 5], 3: [0, 1, 2, 4, 5], 99999: [0, 1, 2, 3, 4]}
+
+
+def test_secret_rules_take_linear_time():
+    import time
+
+    import pyarrow as pa
+
+    from acrework.llm.secrets import RULES, Scanner
+
+    part = "A" * 9
+    texts = ["eyJ" * 200_000, f"eyJ{part}.eyJ{part}.{part}", f"xeyJ{part}.eyJ{part}", f"eyJ{part}.eyJ{part}.eyJ{part}.{part}", "eyJ" + "a." * 100_000, "gho_" * 100_000, "://a:" * 100_000, "-----BEGIN " + "A" * 300_000]
+    began = time.perf_counter()
+    found = [[(RULES[k].kind, a, b) for a, k, b in spans] for spans in Scanner(RULES).scan(pa.array(texts))]
+    assert time.perf_counter() - began < 10
+    assert found[1] == [("web_token", 0, len(texts[1]))] and found[3] == [("web_token", 0, 38)]
+    assert not any(found[i] for i in (0, 2, 4, 5, 6, 7))
