@@ -71,12 +71,31 @@ def explicit_histogram(df: DataFrame, value: str, edges: Sequence[float]) -> Dat
     return labels.join(counts, "bin", "left").fillna(0, ["n"])
 
 
-def equal_width_histogram(df: DataFrame, value: str, identity: str, bins: int, selected: Column) -> DataFrame:
-    """Counts in equal bins from least to largest value (the last edge counts to the last bin); no rows if they are equal."""
+def equal_width_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
+    """Each row with its ``bin`` of equal width from least to largest value (the last edge counts to the last bin).
+
+    Rows without a value have no row here, nor has any if all values are equal.  The members of a bin are its rows; they
+    are never gathered in one place.
+    """
     known = df.filter(F.col(value).isNotNull())
     ends = known.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")).filter("_hi > _lo")
     place = F.least(F.floor((F.col(value) - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / bins)), F.lit(bins - 1)).cast("int")
-    return known.crossJoin(ends).withColumn("bin", place).groupBy("bin").agg(F.count("*").alias("n"), F.count_if(selected).alias("selected"), F.min(identity).alias("first_id"))
+    return known.crossJoin(ends).withColumn("bin", place).drop("_lo", "_hi")  # one row
+
+
+def equal_width_histogram(df: DataFrame, value: str, identity: str, bins: int, selected: Column) -> DataFrame:
+    """Counts in equal bins from least to largest value (the last edge counts to the last bin); no rows if they are equal."""
+    return equal_width_bins(df, value, bins).groupBy("bin").agg(F.count("*").alias("n"), F.count_if(selected).alias("selected"), F.min(identity).alias("first_id"))
+
+
+def assign_classes(df: DataFrame, value: str, breaks: DataFrame, name: str = "class") -> DataFrame:
+    """Each row's class, from 0: the number of breaks (rows of ``break``, one for each class but the last) below its value.
+
+    A value that equals a break belongs to the class that ends there; a row without a value has none.
+    """
+    ordered = breaks.agg(F.array_sort(F.collect_list("break")).alias("_breaks"))  # one row, of as many values as classes
+    place = F.when(F.col(value).isNotNull(), F.size(F.filter("_breaks", lambda b: b < F.col(value))))
+    return df.crossJoin(ordered).withColumn(name, place).drop("_breaks")
 
 
 def ordered_breaks(df: DataFrame, value: str, classes: int) -> DataFrame:

@@ -210,15 +210,29 @@ def _segment_distance(p: Column, a: Column, b: Column) -> Column:
     return F.sqrt(ex * ex + ey * ey)
 
 
-def ring_distance(left: Column, right: Column) -> Column:
-    """Distance of two polygons; zero where their edges cross or one lies in the other."""
+def rings_cross(left: Column, right: Column) -> Column:
+    """Whether any two edges of two rings cross (touching does not count)."""
     turn = lambda a, b, p: F.signum((b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"]))
     crosses = lambda e, f: (turn(e["a"], e["b"], f["a"]) * turn(e["a"], e["b"], f["b"]) < 0) & (turn(f["a"], f["b"], e["a"]) * turn(f["a"], f["b"], e["b"]) < 0)
-    gap = lambda points, ring: F.array_min(F.flatten(F.transform(points, lambda p: F.transform(_pairs(ring), lambda e: _segment_distance(p, e["a"], e["b"])))))
-    cross = F.exists(_pairs(left), lambda e: F.exists(_pairs(right), lambda f: crosses(e, f)))
+    return F.exists(_pairs(left), lambda e: F.exists(_pairs(right), lambda f: crosses(e, f)))
+
+
+def point_gap(point: Column, ring: Column) -> Column:
+    """Distance of a point and the nearest edge of a ring."""
+    return F.array_min(F.transform(_pairs(ring), lambda e: _segment_distance(point, e["a"], e["b"])))
+
+
+def boundary_gap(left: Column, right: Column) -> Column:
+    """Distance of the boundaries of two rings that do not cross."""
+    gap = lambda points, ring: F.array_min(F.transform(points, lambda p: point_gap(p, ring)))
+    return F.least(gap(left, right), gap(right, left))
+
+
+def ring_distance(left: Column, right: Column) -> Column:
+    """Distance of two polygons; zero where their edges cross or one lies in the other."""
     first = lambda ring: F.element_at(ring, 1)
     inside = contains_point(left, first(right)["x"], first(right)["y"]) | contains_point(right, first(left)["x"], first(left)["y"])
-    return F.when(cross | inside, 0.0).otherwise(F.least(gap(left, right), gap(right, left)))
+    return F.when(rings_cross(left, right) | inside, 0.0).otherwise(boundary_gap(left, right))
 
 
 def contiguous_blocks(shapes: DataFrame, key: str, ring: str, tolerance: float, cell: float) -> DataFrame:
@@ -261,23 +275,37 @@ def size_table(blocks: DataFrame, size: str, parts: str, member: str, limits: Se
 
 
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float, most: float) -> DataFrame:
-    """The nearest right point (x, y) of each left point within ``most``, by growing rings of cells; ties to the least id."""
-    place = lambda df: df.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    targets = place(right.select(F.col(right_id), F.col("x"), F.col("y"))).select(right_id, F.col("x").alias("_x"), F.col("y").alias("_y"), "cx", "cy")
-    waiting, found, reach = place(left.select(left_id, "x", "y")), None, 1
-    while True:
-        ring = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)))
-        near = waiting.withColumn("_o", F.explode(ring)).withColumns({"cx": F.col("cx") + F.col("_o.i"), "cy": F.col("cy") + F.col("_o.j")}).join(targets, ["cx", "cy"])
-        best = near.groupBy(left_id).agg(F.min(F.struct(_apart("x", "y", "_x", "_y").alias("distance"), F.col(right_id))).alias("_b")).select(left_id, "_b.distance", f"_b.{right_id}")
-        sure = best.filter((F.col("distance") <= reach * cell) & (F.col("distance") <= most))  # no nearer one lies beyond the ring
-        sure = cut_lineage(sure, "nearest")
-        found = sure if found is None else found.unionByName(sure)
-        if reach * cell >= most:
-            return found
-        waiting = cut_lineage(waiting.join(sure.select(left_id), left_id, "left_anti"), "waiting")
-        if waiting.isEmpty():
-            return found
-        reach *= 2
+    """The nearest right point (x, y) of each left point within ``most``, with ``distance``; ties to the least id.
+
+    The right points' cells form a pyramid, each level twice as coarse, up to ``most``.  A left point begins with the
+    nine cells around it on the top level and goes down: of the cells that hold points, those stay whose nearest corner
+    is no further than the farthest corner of another.  So few cells of each level are looked at, however far the
+    nearest point is, and all levels are one plan.  Left ids must be unique; points without coordinates find nothing.
+    """
+    targets = right.filter("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.min(right_id).alias(right_id)).select(right_id, F.col("x").alias("_x"), F.col("y").alias("_y"))
+    top = max(0, math.ceil(math.log2(max(most / cell, 1.0))))
+    place = lambda v, level: F.floor(v / (cell * 2.0**level))
+    low = targets.select(right_id, "_x", "_y", place(F.col("_x"), 0).alias("cx"), place(F.col("_y"), 0).alias("cy"))
+    held = [low.select("cx", "cy").distinct()]
+    for _ in range(top):
+        held.append(held[-1].select(F.shiftright("cx", 1).alias("cx"), F.shiftright("cy", 1).alias("cy")).distinct())
+
+    def closest(rows: DataFrame, level: int) -> DataFrame:
+        size = cell * 2.0**level
+        beyond = lambda v, c: F.greatest(F.col(c) * size - F.col(v), F.col(v) - (F.col(c) + 1) * size, F.lit(0.0))
+        within = lambda v, c: F.greatest(F.abs(F.col(v) - F.col(c) * size), F.abs((F.col(c) + 1) * size - F.col(v)))
+        bounded = rows.withColumns({"_least": F.hypot(beyond("x", "cx"), beyond("y", "cy")), "_most": F.hypot(within("x", "cx"), within("y", "cy"))})
+        best = F.least(F.min("_most").over(Window.partitionBy(left_id)), F.lit(most))
+        return bounded.withColumn("_best", best).filter(F.col("_least") <= F.col("_best") * (1 + 1e-9)).select(left_id, "x", "y", "cx", "cy")
+
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    rows = left.filter("x IS NOT NULL AND y IS NOT NULL").select(left_id, "x", "y", around.alias("_o")).select(left_id, "x", "y", (place(F.col("x"), top) + F.col("_o.i")).alias("cx"), (place(F.col("y"), top) + F.col("_o.j")).alias("cy"))
+    rows = closest(rows.join(held[top], ["cx", "cy"]), top)
+    for level in range(top - 1, -1, -1):
+        inner = held[level].select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.shiftright("cx", 1).alias("cx"), F.shiftright("cy", 1).alias("cy"))
+        rows = closest(rows.join(inner, ["cx", "cy"]).select(left_id, "x", "y", F.col("_cx").alias("cx"), F.col("_cy").alias("cy")), level)
+    met = rows.join(low, ["cx", "cy"]).select(left_id, right_id, _apart("x", "y", "_x", "_y").alias("distance")).filter(F.col("distance") <= most)
+    return met.groupBy(left_id).agg(F.min(F.struct("distance", right_id)).alias("_b")).select(left_id, "_b.distance", f"_b.{right_id}")
 
 
 def link_streets(parcels: DataFrame, links: DataFrame, streets: DataFrame, key: str, street: str, cell: float, most: float) -> DataFrame:

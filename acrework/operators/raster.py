@@ -6,6 +6,7 @@ result does not hold: the ground between cells is kept as runs of a row, whose n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,24 +19,47 @@ from acrework.operators.components import connected_components
 FAR = 1 << 40
 
 
-def _disc(radius: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
+def _chords(radius: int) -> Column:
+    """The rows of a disc: how far each lies from its middle, and how far it reaches to both sides."""
+    return F.array(*(F.struct(F.lit(j).cast("long").alias("j"), F.lit(math.isqrt(radius * radius - j * j)).cast("long").alias("h")) for j in range(-radius, radius + 1)))
 
 
-def _shift(cells: DataFrame, radius: int, by: Sequence[str]) -> DataFrame:
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _disc(radius)))
-    return cells.withColumn("_o", F.explode(steps)).select(*by, (F.col("cx") + F.col("_o.i")).alias("cx"), (F.col("cy") + F.col("_o.j")).alias("cy"))
+def runs(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Neighbouring cells of a row as one run: ``cy``, ``a`` and ``b`` (its first and last cx)."""
+    row = Window.partitionBy(*by, "cy").orderBy("cx")
+    heads = cells.select(*by, "cy", "cx").distinct().withColumn("_run", F.col("cx") - F.row_number().over(row))
+    return heads.groupBy(*by, "cy", "_run").agg(F.min("cx").alias("a"), F.max("cx").alias("b")).drop("_run")
+
+
+def _cells(spans: DataFrame, by: Sequence[str]) -> DataFrame:
+    return spans.select(*by, F.explode(F.sequence("a", "b")).alias("cx"), "cy")
+
+
+def _covered(spans: DataFrame, times: int, by: Sequence[str]) -> DataFrame:
+    """Where at least ``times`` of the spans (cy, a, b) of a row lie over each other, as runs."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("change")), F.struct((F.col("b") + 1).alias("at"), F.lit(-1).alias("change"))))
+    steps = spans.select(*by, "cy", ends.alias("_e")).groupBy(*by, "cy", F.col("_e.at").alias("at")).agg(F.sum("_e.change").alias("change")).filter("change <> 0")
+    row = Window.partitionBy(*by, "cy").orderBy("at")
+    depth = steps.withColumn("over", F.sum("change").over(row) >= times)
+    turns = depth.withColumn("before", F.coalesce(F.lag("over").over(row), F.lit(False))).filter("over <> before")
+    return turns.select(*by, "cy", F.col("at").alias("a"), (F.lead("at").over(row) - 1).alias("b"), "over").filter("over").drop("over")
 
 
 def dilate(cells: DataFrame, radius: int, by: Sequence[str] = ()) -> DataFrame:
-    """Cells within a radius of the set."""
-    return _shift(cells, radius, by).distinct()
+    """Cells within a radius of the set.  Runs are widened by the disc's chord for each row they reach, and united."""
+    reach = runs(cells, by).withColumn("_c", F.explode(_chords(radius)))
+    wide = reach.select(*by, (F.col("cy") + F.col("_c.j")).alias("cy"), (F.col("a") - F.col("_c.h")).alias("a"), (F.col("b") + F.col("_c.h")).alias("b"))
+    return _cells(_covered(wide, 1, by), by)
 
 
 def erode(cells: DataFrame, radius: int, by: Sequence[str] = ()) -> DataFrame:
-    """Cells all of whose neighbours within a radius belong to the set."""
-    met = _shift(cells.select(*by, "cx", "cy").distinct(), radius, by).groupBy(*by, "cx", "cy").count()
-    return met.filter(F.col("count") == len(_disc(radius))).drop("count")
+    """Cells all of whose neighbours within a radius belong to the set.
+
+    A cell is left where the runs of all rows of the disc, each narrowed by its chord, lie over it.
+    """
+    reach = runs(cells, by).withColumn("_c", F.explode(_chords(radius)))
+    narrow = reach.select(*by, (F.col("cy") - F.col("_c.j")).alias("cy"), (F.col("a") + F.col("_c.h")).alias("a"), (F.col("b") - F.col("_c.h")).alias("b")).filter("a <= b")
+    return _cells(_covered(narrow, 2 * radius + 1, by), by)
 
 
 def close_gaps(cells: DataFrame, grow: int, shrink: int, by: Sequence[str] = ()) -> DataFrame:

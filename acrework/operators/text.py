@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acrework.functions.storage import cut_lineage
+
 
 def normal_street(street: Column, suffixes: Sequence[str], fixes: dict[str, str] | None = None, directions: Sequence[str] = ()) -> Column:
     """Upper case, punctuation to single spaces, spelling fixes, suffix words (and, if given, directions) dropped."""
@@ -205,6 +207,38 @@ def section_path(df: DataFrame, partition: str, order: Sequence[str], level: str
     return out.withColumn("path", F.concat_ws("/", *parts)).drop(*parts, *(f"_s{i}" for i in range(levels + 1)))
 
 
+def sections(df: DataFrame, partition: str, order: Sequence[str], level: str, heading: str) -> DataFrame:
+    """The headings among a document's blocks (rows with a level), each with ``path``, ``depth`` and ``below``.
+
+    A heading belongs to the last one before it of a lower level; levels may be skipped.  ``below`` counts the blocks that
+    a depth-first walk meets under it.  Paths of any depth are put together by pointer jumping.  The distinct levels are
+    few (a window column each); documents are the values of ``partition``.
+    """
+    levels = [r[0] for r in df.filter(F.col(level).isNotNull()).select(level).distinct().orderBy(level).collect()]
+    before = Window.partitionBy(partition).orderBy(*order)
+    after = Window.partitionBy(partition).orderBy(F.desc("_pos"))
+    placed = df.withColumn("_pos", F.row_number().over(before)).withColumn("_left", F.row_number().over(after) - 1)
+    pick = lambda f: F.coalesce(*(F.when(F.col(level) == v, f(v)) for v in levels)) if levels else F.lit(None).cast("int")
+    up = pick(lambda v: F.last(F.when(F.col(level) < v, F.col("_pos")), ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    end = pick(lambda v: F.last(F.when(F.col(level) <= v, F.col("_pos")), ignorenulls=True).over(after.rowsBetween(Window.unboundedPreceding, -1)))
+    heads = placed.withColumns({"_up": up, "_end": end}).filter(F.col(level).isNotNull())
+    heads = heads.withColumns({"below": (F.coalesce(F.col("_end") - 1, F.col("_pos") + F.col("_left")) - F.col("_pos")).cast("long"), "path": F.col(heading).cast("string"), "depth": F.lit(1)}).drop("_end", "_left")
+    heads = cut_lineage(heads, "headings")
+    while not heads.filter("_up IS NOT NULL").isEmpty():
+        above = heads.select(F.col(partition).alias("_p"), F.col("_pos").alias("_at"), F.col("path").alias("_path"), F.col("depth").alias("_depth"), F.col("_up").alias("_further"))
+        met = heads.join(above, F.col(partition).eqNullSafe(F.col("_p")) & (F.col("_up") == F.col("_at")), "left")
+        known = F.col("_at").isNotNull()
+        met = met.withColumns({"path": F.when(known, F.concat_ws("/", "_path", "path")).otherwise(F.col("path")), "depth": F.col("depth") + F.coalesce("_depth", F.lit(0)), "_up": F.col("_further")})
+        heads = cut_lineage(met.drop("_p", "_at", "_path", "_depth", "_further"), "headings")
+    return heads.drop("_up", "_pos")
+
+
+def nested_relations(df: DataFrame, key: str, lists: Sequence[str]) -> DataFrame:
+    """The different relations in nested lists of entries (structs with ``relation``), sorted, for each key that has any."""
+    found = df.select(key, F.explode(F.concat(*lists)).alias("_e")).select(key, F.col("_e.relation").alias("relation")).distinct()
+    return found.groupBy(key).agg(F.array_sort(F.collect_list("relation")).alias("relations"))  # distinct before, so as many as there are relations
+
+
 def html_blocks(df: DataFrame, key: str, html: str) -> DataFrame:
     """Paragraph and table blocks in order, markup kept (well-formed, unnested blocks)."""
     blocks = F.regexp_extract_all(html, F.lit(r"(?s)(<p[ >].*?</p>|<table[ >].*?</table>)"), 1)

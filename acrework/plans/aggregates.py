@@ -102,6 +102,21 @@ def a13(spark, sf):
     return A.equal_width_histogram(table(spark, sf, "customer"), "c_acctbal", "c_custkey", 10, F.col("c_mktsegment") == "BUILDING")
 
 
+@query("a13_members", """
+SELECT c_custkey, least(floor((c_acctbal - lo) / ((hi - lo) / 10)), 9)::INT AS bin, c_mktsegment = 'BUILDING' AS selected
+FROM customer, (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer) WHERE hi > lo AND c_acctbal IS NOT NULL""")
+def a13_members(spark, sf):
+    return A.equal_width_bins(table(spark, sf, "customer"), "c_acctbal", 10).select("c_custkey", "bin", (F.col("c_mktsegment") == "BUILDING").alias("selected"))
+
+
+@query("a14_classes", """
+WITH s AS (SELECT c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal) - 1 AS pos, count(*) OVER () AS n FROM customer), b AS (SELECT v FROM s, range(1, 5) t(i) WHERE pos = n * i // 5)
+SELECT c_custkey, (SELECT count(*) FROM b WHERE v < c_acctbal)::INT AS class FROM customer""")
+def a14_classes(spark, sf):
+    customers = table(spark, sf, "customer")
+    return A.assign_classes(customers, "c_acctbal", A.ordered_breaks(customers, "c_acctbal", 5)).select("c_custkey", "class")
+
+
 @query("a14_ordered_breaks", """
 WITH s AS (SELECT c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal) - 1 AS pos, count(*) OVER () AS n FROM customer) SELECT i::INT AS i, v AS "break" FROM s, range(1, 5) t(i) WHERE pos = n * i // 5""")
 def a14(spark, sf):

@@ -146,6 +146,11 @@ def g10(spark, sf):
     return G.grid(spark, 0, 0, int(top[0]), int(top[1]), 50).agg(F.count("*").alias("cells"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
 
 
+@query("g10_region_cells", f"WITH {B}, c AS (SELECT k, unnest(range(floor(x1 / 7)::BIGINT, floor(x2 / 7)::BIGINT + 1)) AS cx, y1, y2 FROM b), d AS (SELECT k, cx, unnest(range(floor(y1 / 7)::BIGINT, floor(y2 / 7)::BIGINT + 1)) AS cy FROM c) SELECT k, count(*) AS cells, sum(cx)::BIGINT AS sx, sum(cy)::BIGINT AS sy FROM d GROUP BY 1")
+def g10_cells(spark, sf):
+    return Po.region_cells(boxes(spark, sf), "k", "ring", 7.0).groupBy("k").agg(F.count("*").alias("cells"), F.sum("cx").alias("sx"), F.sum("cy").alias("sy"))
+
+
 @query("g11_majority_coverage", f"WITH {B}, q AS (SELECT x1 - 150 AS x1, y1 - 150 AS y1, x1 + 150 AS x2, y1 + 150 AS y2 FROM b), c AS (SELECT (i + 0.5) * 50 AS x, (j + 0.5) * 50 AS y FROM range(0, 20) a(i), range(0, 20) b(j)) SELECT x, y, count(*) AS cover FROM c JOIN q ON x >= x1 AND x < x2 AND y >= y1 AND y < y2 GROUP BY 1, 2 HAVING count(*) >= (SELECT count(*) FROM b) // 10 // 2 + 1")
 def g11(spark, sf):
     wide = boxes(spark, sf).select("k", G.rectangle(F.col("xmin") - 150, F.col("ymin") - 150, F.col("xmin") + 150, F.col("ymin") + 150).alias("ring"))
@@ -289,6 +294,22 @@ def g20(spark, sf):
     return points(spark, sf).select("id", G.within(F.col("x"), F.lit(500.0), F.col("id") % 2 == 0).alias("near"))
 
 
+@query("g20_targets", """
+WITH b AS (SELECT p_partkey AS k, 1.0 + p_partkey % 20 AS s, 2.0 + p_partkey % 5 AS m FROM part),
+d AS (SELECT k, CASE k % 4 WHEN 0 THEN CASE k % 3 WHEN 0 THEN sqrt((30 - s) ** 2 + (40 - s) ** 2) WHEN 1 THEN 0 ELSE m END WHEN 1 THEN CASE k % 3 WHEN 0 THEN sqrt((30 - s) ** 2 + (40 - s) ** 2) ELSE 0 END
+WHEN 2 THEN CASE k % 3 WHEN 0 THEN 50 WHEN 1 THEN sqrt(s * s / 2) ELSE 0 END ELSE CASE k % 3 WHEN 0 THEN sqrt((30 - s / 2) ** 2 + (40 - s / 2) ** 2) ELSE 0 END END AS d FROM b)
+SELECT k, round(d, 6) AS distance, CASE WHEN k % 2 = 0 THEN d <= 50 ELSE d < 50 END AS inside FROM d""")
+def g20_targets(spark, sf):
+    k = F.col("k")
+    sizes = boxes(spark, sf).withColumns({"s": F.col("xmax") - F.col("xmin"), "m": (2 + k % 5).cast("double")})
+    x, y, s, m = (F.col(c) for c in ("xmin", "ymin", "s", "m"))
+    moved = lambda dx, dy, grown=F.lit(0.0): G.rectangle(x + dx - grown, y + dy - grown, x + s + dx + grown, y + s + dy + grown)
+    feature = F.when(k % 3 == 0, moved(30, 40)).when(k % 3 == 1, moved(s / 2, s / 2)).otherwise(moved(0, 0, m))
+    target = F.get(F.array(*map(F.lit, Po.TARGETS)), (k % 4).cast("int"))
+    measured = sizes.withColumn("distance", Po.measured_distance(target, F.col("ring"), feature))
+    return measured.select("k", F.round("distance", 6).alias("distance"), G.within(F.round("distance", 9), F.lit(50.0), k % 2 == 0).alias("inside"))
+
+
 @query("g21_hull_comparison")
 def g21(spark, sf):
     """Areas of each region's points: hull, cells, cells grown by one (buffer) and closed (morph), and two ratios.

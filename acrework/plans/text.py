@@ -159,10 +159,9 @@ def x21(spark, sf):
 @query("x22_gap_listing", """
 SELECT p_brand AS rule, list_sort(list_distinct(list(p_type))) AS relations FROM part WHERE p_size > 30 OR p_retailprice > 910 GROUP BY 1""")
 def x22(spark, sf):
-    entry = F.struct(F.col("p_type").alias("relation"))
-    nested = table(spark, sf, "part").groupBy("p_brand").agg(F.collect_list(F.when(F.col("p_size") > 30, entry)).alias("propositions"), F.collect_list(F.when(F.col("p_retailprice") > 910, entry)).alias("consequents"))
-    flat = nested.select(F.col("p_brand").alias("rule"), F.explode(F.concat("propositions", "consequents")).alias("x"))
-    return flat.groupBy("rule").agg(F.array_sort(F.collect_set("x.relation")).alias("relations"))
+    entries = lambda test: F.array_compact(F.array(F.when(test, F.struct(F.col("p_type").alias("relation")))))
+    nested = table(spark, sf, "part").select(F.col("p_brand").alias("rule"), entries(F.col("p_size") > 30).alias("propositions"), entries(F.col("p_retailprice") > 910).alias("consequents"))
+    return X.nested_relations(nested, "rule", ["propositions", "consequents"])
 
 
 @query("x23_latest_heading", """
@@ -180,6 +179,17 @@ def x24(spark, sf):
     return X.section_path(events, "user_id", ["ts", "event_id"], "level", "head", 2).select("event_id", "path")
 
 
+@query("x24_depth_first", """
+WITH e AS (SELECT *, CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 WHEN 'click' THEN 3 END AS l, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
+w AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, last_value(CASE WHEN l = 1 THEN event_id END IGNORE NULLS) OVER b AS h1, last_value(CASE WHEN l = 2 THEN event_id END IGNORE NULLS) OVER b AS h2, coalesce(last_value(CASE WHEN l = 1 THEN pos END IGNORE NULLS) OVER b, 0) AS p1, coalesce(last_value(CASE WHEN l = 2 THEN pos END IGNORE NULLS) OVER b, 0) AS p2,
+min(CASE WHEN l <= 1 THEN pos END) OVER a AS n1, min(CASE WHEN l <= 2 THEN pos END) OVER a AS n2, min(CASE WHEN l <= 3 THEN pos END) OVER a AS n3
+FROM e WINDOW b AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+SELECT event_id, concat_ws('/', CASE WHEN l > 1 THEN h1 END, CASE WHEN l > 2 AND p2 > p1 THEN h2 END, event_id) AS path, coalesce(CASE l WHEN 1 THEN n1 WHEN 2 THEN n2 ELSE n3 END, n + 1) - pos - 1 AS below FROM w WHERE l IS NOT NULL AND event_id % 10 IN (3, 7)""")
+def x24_depth_first(spark, sf):
+    events = table(spark, sf, "events").withColumns({"level": F.expr("CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 WHEN 'click' THEN 3 END"), "head": F.col("event_id").cast("string")})
+    return X.sections(events, "user_id", ["ts", "event_id"], "level", "head").filter(F.col("head").rlike("[37]$")).select("event_id", "path", "below")
+
+
 @query("x25_html_blocks", """
 SELECT page_id, len(regexp_extract_all(html, '(?s)(<p[ >].*?</p>|<table[ >].*?</table>)')) AS blocks FROM pages WHERE len(regexp_extract_all(html, '(?s)(<p[ >].*?</p>|<table[ >].*?</table>)')) > 0""")
 def x25(spark, sf):
