@@ -53,21 +53,11 @@ def matching_tier(score: Column) -> Column:
     return F.when(score >= 0.75, "high").when(score >= 0.60, "medium").otherwise("low")
 
 
-def similarity_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str, k: int, blocks: int = 16) -> DataFrame:
-    """The k right rows of largest cosine for each left row, with tier and auto_accept.
+def similarity_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str, k: int) -> DataFrame:
+    """The k right rows of largest cosine for each left row (see ``nearest_by_cosine``), with tier and auto_accept."""
+    from acrework.operators.similarity import nearest_by_cosine
 
-    The left side is a stated set of queries; it is dealt to blocks, each block meets the right rows once, and the best
-    k of a pair of blocks are kept before anything is shuffled further.
-    """
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    l = left.select(F.col(left_id), F.col(vector).cast("array<double>").alias("_v")).withColumn("_n", norm("_v"))
-    r = right.select(F.col(right_id), F.col(vector).cast("array<double>").alias("_w")).withColumn("_m", norm("_w"))
-    dealt = l.withColumn("_block", F.pmod(F.xxhash64(left_id), F.lit(blocks)))
-    meets = r.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    dot = F.aggregate(F.zip_with("_v", "_w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = dealt.join(meets, "_block").filter(F.col(left_id) != F.col(right_id)).select(left_id, right_id, (dot / (F.col("_n") * F.col("_m"))).alias("score"))
-    best = Window.partitionBy(left_id).orderBy(F.desc("score"), right_id)
-    ranked = pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = nearest_by_cosine(left, right, left_id, right_id, vector, k)
     return ranked.withColumns({"tier": matching_tier(F.col("score")), "auto_accept": F.col("score") >= 0.75})
 
 
@@ -78,3 +68,36 @@ def cohort(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
         clean = assert_single_value(df.filter(F.col(key).isNotNull()), key, value).groupBy(key).agg(F.first(value).alias(name))
         sides.append(clean.filter((F.col(name) > 0) & (F.col(name) < float("inf"))))
     return sides[0].join(sides[1], key)
+
+
+#: Least width of an interval's level, as a power of two; narrower ones share it.
+LEAST_LEVEL = -30
+
+
+def interval_join(df: DataFrame, value: str, intervals: DataFrame, low: str = "low", high: str = "high", low_open: str | None = None, high_open: str | None = None) -> DataFrame:
+    """Inner join of each row with all intervals that hold its value, by equality of level and bin.
+
+    An interval lies on the level of the power of two from its width up, where it meets two bins or one; a value meets one
+    bin of each level in use (a few dozen at most).  So neither side is compared with all of the other.  An end that is
+    null is open-ended (such intervals reach to the data's ends); ends count as inside unless a flag column (``low_open``,
+    ``high_open``) is true.  Values that are null or NaN, and intervals that hold nothing, meet nothing.  Interval columns
+    get the prefix ``r_``.
+    """
+    known = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    ends = known.agg(F.min(value).cast("double").alias("_min"), F.max(value).cast("double").alias("_max"))  # one row
+    a, b = F.coalesce(F.greatest(F.col(low).cast("double"), "_min"), "_min"), F.coalesce(F.least(F.col(high).cast("double"), "_max"), "_max")
+    placed = intervals.crossJoin(ends).withColumns({"_a": a, "_b": b}).filter("_a <= _b")
+    level = F.greatest(F.lit(LEAST_LEVEL), F.ceil(F.log2(F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0))))).cast("int")
+    placed = placed.withColumn("_level", F.coalesce(level, F.lit(LEAST_LEVEL)))
+    bin_ = lambda at: F.floor(at / F.pow(F.lit(2.0), F.col("_level")))
+    right = placed.withColumn("_bin", F.explode(F.sequence(bin_(F.col("_a")), bin_(F.col("_b"))))).select("_level", "_bin", *(F.col(c).alias(f"r_{c}") for c in intervals.columns))
+    levels = [r[0] for r in placed.select("_level").distinct().collect()]
+    left = known.withColumn("_level", F.explode(F.array(*map(F.lit, levels or [LEAST_LEVEL])))).withColumn("_bin", bin_(F.col(value).cast("double")))
+
+    def beyond(end: str, flag: str | None, strict: Column, loose: Column) -> Column:
+        inside = loose if flag is None else F.when(F.coalesce(F.col(f"r_{flag}"), F.lit(False)), strict).otherwise(loose)
+        return F.col(f"r_{end}").isNull() | inside
+
+    v, lo, hi = F.col(value), F.col(f"r_{low}"), F.col(f"r_{high}")
+    met = left.join(right, ["_level", "_bin"]).filter(beyond(low, low_open, v > lo, v >= lo) & beyond(high, high_open, v < hi, v <= hi))
+    return met.select(*df.columns, *(f"r_{c}" for c in intervals.columns))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from acrework.functions.storage import cut_lineage
 
@@ -277,3 +281,57 @@ def reconcile(parsed: DataFrame, anchors: DataFrame, key: str, value: str) -> Da
         raise ValueError(f"parsed values differ from verified ones: {[r[0] for r in wrong]}")
     state = F.when(F.col(value).isNull(), "gap").when(F.col("_anchor").isNull(), "unverified").otherwise("verified")
     return joined.withColumns({"state": state, "conflict": F.coalesce("conflict", F.lit(False))}).drop("_anchor")
+
+
+#: Bytes of a rule table's literals and expressions that one automaton takes; larger tables take several passes.
+RULE_BYTES = 32_000_000
+
+
+def rule_hits(df: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
+    """``key`` and ``rule`` of each text that a rule's expression matches; rules have ``rule``, ``literal``, ``expression``.
+
+    A literal is a string that every match holds (null where there is none).  All literals form one automaton, which reads
+    each text once however many rules there are; expressions (in the syntax that Java and Python share, letters and word
+    edges as in ASCII) are tried only where their literal occurs, or on every text without one.  An expression that is
+    null means the literal itself.  Null texts match nothing; equal rows stay rows of their own.
+    """
+    size = rules.agg(F.count("*"), F.sum(F.coalesce(F.octet_length("literal"), F.lit(0)) + F.coalesce(F.octet_length("expression"), F.lit(0)))).first()
+    passes = max(1, -(-(size[1] or 0) // RULE_BYTES))
+    numbered = rules.select("rule", "literal", "expression", F.pmod(F.xxhash64("rule"), F.lit(passes)).alias("_pass"))
+    source = df.select(key, F.col(text).cast("string").alias("_text")).filter("_text IS NOT NULL")
+    schema = StructType([source.schema[key], rules.schema["rule"]])
+    kind = to_arrow_type(rules.schema["rule"].dataType)
+    out = None
+    for i in range(passes):
+        table = [tuple(r) for r in numbered.filter(F.col("_pass") == i).select("rule", "literal", "expression").collect()]  # bounded by RULE_BYTES
+        found = source.mapInArrow(lambda it, table=table: _matched(it, table, key, kind), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _matched(batches: Iterator[pa.RecordBatch], table: list[tuple], key: str, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    import ahocorasick
+
+    automaton, by_literal, always = ahocorasick.Automaton(), {}, []
+    for i, (_, literal, expression) in enumerate(table):
+        if literal:
+            by_literal.setdefault(literal, []).append(i)
+        elif expression is not None:
+            always.append(i)
+    for literal, own in by_literal.items():
+        automaton.add_word(literal, own)
+    if by_literal:
+        automaton.make_automaton()
+    compiled: dict[int, re.Pattern] = {}
+    for batch in batches:
+        rows, rules = [], []
+        for row, text in enumerate(batch.column("_text").to_pylist()):
+            tried = {i for _, own in automaton.iter(text) for i in own} if by_literal else set()
+            for i in sorted(tried.union(always)):
+                expression = table[i][2]
+                if expression is not None and i not in compiled:
+                    compiled[i] = re.compile(expression, re.ASCII)
+                if expression is None or compiled[i].search(text):
+                    rows.append(row)
+                    rules.append(table[i][0])
+        yield pa.record_batch([batch.column(key).take(pa.array(rows, pa.int64())), pa.array(rules, kind)], [key, "rule"])

@@ -45,6 +45,22 @@ def version_ledger(df: DataFrame, key: str, order: Sequence[str], fingerprint: C
     return marked.filter("_new").withColumn("version", F.concat(F.lit("v"), F.row_number().over(w).cast("string"))).drop("_fp", "_new")
 
 
+def ledger_additions(ledger: DataFrame, batch: DataFrame, key: str, order: Sequence[str], fingerprint: Column) -> DataFrame:
+    """The versions that a batch adds to a ledger: its rows at which a key's fingerprint differs from the one before.
+
+    Rows of a batch count as later than the ledger's.  Only the last version of keys in the batch is read from the ledger
+    (columns of the key, ``number`` and ``fingerprint``); the rows returned are to be appended, with both columns and
+    ``version``.  Nothing already in the ledger changes.
+    """
+    last = ledger.join(batch.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.max(F.struct("number", "fingerprint")).alias("_last"))
+    w = Window.partitionBy(key).orderBy(*order)
+    rows = batch.withColumn("fingerprint", fingerprint).join(last, key, "left")
+    before = F.coalesce(F.lag("fingerprint").over(w), "_last.fingerprint")
+    changed = rows.withColumn("_new", F.coalesce(F.col("fingerprint") != before, F.lit(True))).filter("_new")
+    number = F.coalesce(F.col("_last.number"), F.lit(0).cast("long")) + F.row_number().over(w)
+    return changed.withColumn("number", number).withColumn("version", F.concat(F.lit("v"), F.col("number").cast("string"))).drop("_last", "_new")
+
+
 def funnel(df: DataFrame, gates: Sequence[tuple[str, Column]]) -> DataFrame:
     """Rows left after each gate in turn, their share of all, and the cut against the gate before; one pass."""
     passed, aggs = F.lit(True), [F.count("*").alias("g0")]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from acrework.operators import rules as R
 from acrework.operators.audits import crosswalk_faults
+from acrework.operators.joins import interval_join
 from acrework.plans.registry import query, table
 
 
@@ -100,6 +101,17 @@ def r14(spark, sf):
     return table(spark, sf, "part").filter(R.constraint(spec, F.col("p_size"))).select("p_partkey")
 
 
+@query("r14_interval_list", """
+WITH i AS (SELECT s_suppkey AS rule, CASE WHEN s_suppkey % 10 > 0 THEN 900.0 + s_suppkey * 7 % 200 END AS low, CASE WHEN s_suppkey % 11 > 0 THEN 900.0 + s_suppkey * 7 % 200 + s_suppkey % 13 * 0.7 END AS high, s_suppkey % 2 = 0 AS high_open FROM supplier)
+SELECT p_partkey, count(*) AS rules, min(rule) AS first FROM part JOIN i ON (low IS NULL OR p_retailprice >= low) AND (high IS NULL OR p_retailprice < high OR p_retailprice = high AND NOT high_open) GROUP BY 1""")
+def r14_intervals(spark, sf):
+    k = F.col("s_suppkey")
+    low = 900.0 + k * 7 % 200
+    intervals = table(spark, sf, "supplier").select(k.alias("rule"), F.when(k % 10 > 0, low).alias("low"), F.when(k % 11 > 0, low + k % 13 * 0.7).alias("high"), (k % 2 == 0).alias("high_open"))
+    met = interval_join(table(spark, sf, "part"), "p_retailprice", intervals, high_open="high_open")
+    return met.groupBy("p_partkey").agg(F.count("*").alias("rules"), F.min("r_rule").alias("first"))
+
+
 @query("r15_interval_faults", "SELECT p_partkey, CASE WHEN lo > hi THEN 'inverted' WHEN lo = hi AND p_partkey % 2 = 0 THEN 'empty' END AS fault FROM (SELECT p_partkey, p_size % 5 AS lo, p_partkey % 5 AS hi FROM part)")
 def r15(spark, sf):
     low, high = (F.col("p_size") % 5).cast("double"), (F.col("p_partkey") % 5).cast("double")

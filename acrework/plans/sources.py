@@ -100,14 +100,15 @@ def s11(spark, sf):
     return spark.read.text(path)
 
 
-@query("s12_content_addressed", "SELECT n_nationkey, sha256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}') AS digest FROM nation")
+@query("s12_content_addressed", "SELECT p_partkey, sha256('{\"p_brand\":\"' || p_brand || '\",\"p_partkey\":' || p_partkey || '}') AS digest FROM part")
 def s12(spark, sf):
-    nations, root = table(spark, sf, "nation"), shared_path(spark, "published")
-    name = T.publish(nations, root)
-    if T.publish(nations.orderBy(F.desc("n_nationkey")), root) != name:
+    parts, root = table(spark, sf, "part").select("p_partkey", "p_brand"), shared_path(spark, "published")
+    T.publish_latest(parts.filter("p_partkey < 9"), root)
+    name = T.publish_latest(parts, root)
+    if T.publish_latest(parts.orderBy(F.desc("p_partkey")), root) != name or T.latest(spark, root) != [name]:
         raise ValueError("the same contents have two addresses")
-    back = spark.read.parquet(f"{root}/{name}")
-    return back.select("n_nationkey", T.canonical_digest(back.columns).alias("digest"))
+    back = T.read_latest(spark, root, parts.schema)
+    return back.select("p_partkey", T.canonical_digest(back.columns).alias("digest"))
 
 
 @query("s13_slices_and_merge", "SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1")

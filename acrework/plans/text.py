@@ -156,6 +156,17 @@ def x21(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", X.date_in_name(name).alias("day"))
 
 
+@query("x20_rule_table", """
+WITH r AS (SELECT DISTINCT w AS rule FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM benchmark) WHERE length(w) >= 6),
+d AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM documents))
+SELECT doc_id, count(*) AS rules, min(rule) AS first FROM d JOIN r ON w = rule GROUP BY 1""")
+def x20_rule_table(spark, sf):
+    """Which of some thousand rules each document meets: the long words of ``benchmark``, as whole words."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("rule")).distinct().filter(F.char_length("rule") >= 6)
+    rules = words.select("rule", F.col("rule").alias("literal"), F.concat(F.lit("\\b"), "rule", F.lit("\\b")).alias("expression"))
+    return X.rule_hits(table(spark, sf, "documents"), "doc_id", "text", rules).groupBy("doc_id").agg(F.count("*").alias("rules"), F.min("rule").alias("first"))
+
+
 @query("x22_gap_listing", """
 SELECT p_brand AS rule, list_sort(list_distinct(list(p_type))) AS relations FROM part WHERE p_size > 30 OR p_retailprice > 910 GROUP BY 1""")
 def x22(spark, sf):

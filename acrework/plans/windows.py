@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from acrework.functions.storage import shared_path
 from acrework.operators import windows as W
 from acrework.operators.audits import set_differences
 from acrework.plans.aggregates import SERIES_SQL, yearly
 from acrework.plans.registry import query, table
+from acrework.sources import tables as T
 
 DEDUPE_SQL = "SELECT l_orderkey, min(l_partkey) AS part FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {0}) AS r FROM lineitem) WHERE r = 1 GROUP BY 1"
 
@@ -59,6 +61,23 @@ def w05(spark, sf):
     return W.version_ledger(table(spark, sf, "events"), "user_id", ["ts", "event_id"], fingerprint).select("user_id", "event_id", "version")
 
 
+@query("w05_ledger_merge", """
+WITH m AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
+SELECT user_id, event_id, 'v' || row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version FROM m WHERE p IS NULL OR p <> event_type""")
+def w05_merge(spark, sf):
+    """The ledger of all events, built from three batches that are published one after the other."""
+    events, root = table(spark, sf, "events"), shared_path(spark, "version-ledger")
+    fingerprint = F.sha2(F.to_json(F.struct("event_type")), 256)
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [first + (last - first) / 3, first + (last - first) * 2 / 3] if first is not None else []
+    schema = f"user_id {events.schema['user_id'].dataType.simpleString()}, event_id {events.schema['event_id'].dataType.simpleString()}, number long, fingerprint string, version string"
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        batch = events.filter((F.lit(low is None) | (F.col("ts") >= F.lit(low))) & (F.lit(high is None) | (F.col("ts") < F.lit(high))))
+        added = W.ledger_additions(T.read_latest(spark, root, schema), batch, "user_id", ["ts", "event_id"], fingerprint)
+        T.append_published(added.select("user_id", "event_id", "number", "fingerprint", "version"), root)
+    return T.read_latest(spark, root, schema).select("user_id", "event_id", "version")
+
+
 @query("w06_funnel", """
 WITH c AS (SELECT count(*) AS a, count(*) FILTER (l_quantity > 10) AS b, count(*) FILTER (l_quantity > 10 AND l_discount > 0.02) AS c, count(*) FILTER (l_quantity > 10 AND l_discount > 0.02 AND l_returnflag = 'N') AS d FROM lineitem)
 SELECT 0 AS step, 'all' AS gate, a AS remaining, 1.0 AS share, 0 AS cut FROM c UNION ALL SELECT 1, 'quantity', b, round(b / a, 6), a - b FROM c UNION ALL SELECT 2, 'discount', c, round(c / a, 6), b - c FROM c UNION ALL SELECT 3, 'flag', d, round(d / a, 6), c - d FROM c""")

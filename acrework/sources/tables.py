@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,21 +89,74 @@ def canonical_digest(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
+def _contents(df: DataFrame) -> tuple:
+    """Number of rows and sums of their digests: the same for the same rows, in any order and layout."""
+    digest = canonical_digest(df.columns)
+    part = lambda k: F.sum(F.conv(F.substring(digest, 1 + 12 * k, 12), 16, 10).cast("decimal(38,0)"))
+    return tuple(df.agg(F.count("*"), *(part(k) for k in range(5))).first())
+
+
 def publish(df: DataFrame, root: str) -> str:
     """Write rows under the digest of their contents and return it; the same contents go to the same place.
 
     The digest of the set is that of its sums of row digests, so it needs neither an order nor all rows in one place.
+    What is there is read back: other contents under the same name are refused.
     """
-    digest = canonical_digest(df.columns)
-    part = lambda k: F.sum(F.conv(F.substring(digest, 1 + 12 * k, 12), 16, 10).cast("decimal(38,0)"))
-    row = df.agg(F.count("*"), *(part(k) for k in range(5))).first()
-    name = df.sparkSession.range(1).select(F.sha2(F.lit("|".join(map(str, row))), 256)).first()[0]
+    contents = _contents(df)
+    name = df.sparkSession.range(1).select(F.sha2(F.lit("|".join(map(str, contents))), 256)).first()[0]
     df.write.mode("ignore").parquet(f"{root.rstrip('/')}/{name}")
-    if df.sparkSession.read.parquet(f"{root.rstrip('/')}/{name}").count() != row[0]:
+    if _contents(df.sparkSession.read.schema(df.schema).parquet(f"{root.rstrip('/')}/{name}")) != contents:
         raise ValueError(f"{name} holds other contents")
     return name
 
 
+def _latest_file(root: str) -> str:
+    return f"{root.rstrip('/')}/latest"
+
+
+def latest(spark: SparkSession, root: str) -> list[str]:
+    """The names that the pointer of ``root`` lists, in order; none if nothing was published."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_latest_file(root))
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return []
+    return [r["value"] for r in spark.read.text(_latest_file(root)).collect()]  # as many as were published one after the other
+
+
+def _point(spark: SparkSession, root: str, names: Sequence[str]) -> None:
+    """Let the pointer list these names.  It is written beside and renamed over the old one, so readers see one of both."""
+    fs, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    new, old = fs.Path(f"{root.rstrip('/')}/.latest-{uuid.uuid4().hex}"), fs.Path(_latest_file(root))
+    context = fs.FileContext.getFileContext(new.getFileSystem(conf).getUri(), conf)
+    out = new.getFileSystem(conf).create(new, True)
+    out.write(bytearray(("\n".join(names) + "\n").encode()))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    how[0] = getattr(fs, "Options$Rename").OVERWRITE
+    context.rename(new, old, how)
+
+
+def publish_latest(df: DataFrame, root: str) -> str:
+    """Publish rows and, once they are verified, let the pointer name them alone; a writer that dies before leaves the old one."""
+    name = publish(df, root)
+    _point(df.sparkSession, root, [name])
+    return name
+
+
+def append_published(df: DataFrame, root: str) -> str:
+    """Publish rows as an addition to those that the pointer lists already.  For one writer at a time."""
+    listed = latest(df.sparkSession, root)
+    name = publish(df, root)
+    if name not in listed:
+        _point(df.sparkSession, root, [*listed, name])
+    return name
+
+
+def read_latest(spark: SparkSession, root: str, schema: StructType | str) -> DataFrame:
+    """The rows that the pointer lists; an empty table if nothing was published."""
+    names = latest(spark, root)
+    return spark.read.schema(schema).parquet(*(f"{root.rstrip('/')}/{n}" for n in names)) if names else spark.createDataFrame([], schema)
+
+
 def key_slice(df: DataFrame, key: str, slices: int, i: int) -> DataFrame:
     """The i-th of equal slices by key hash."""
     return df.filter(F.pmod(F.xxhash64(key), F.lit(slices)) == i)
