@@ -136,20 +136,33 @@ def with_median(summary: DataFrame, df: DataFrame, value: str, name: str) -> Dat
     return summary.join(middle, how="left")
 
 
-def prefix_sums(df: DataFrame, order: Sequence[Column | str], value: str, name: str) -> DataFrame:
-    """Running sum over a global order in two passes: range-partitioned sums, then sums within each partition.
+def prefix_sums(df: DataFrame, order: Sequence[Column | str], value: str | Sequence[str], name: str | Sequence[str]) -> DataFrame:
+    """Running sums of one column or several over a global order in two passes: range-partitioned sums, then sums within each.
 
-    Only one total for each partition is ever ordered in a single task, and the rows are read once: they are written
-    with their partition's number, from which both passes read.
+    Only one row of totals for each partition is ever ordered in a single task, and the rows are read once: they are
+    written with their partition's number, from which both passes read.
     """
     from acrework.functions.storage import cut_lineage
 
+    sums = dict(zip([name] if isinstance(name, str) else name, [value] if isinstance(value, str) else value))
     ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
-    totals = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    totals = ranged.groupBy("_part").agg(*(F.sum(v).alias(f"_sum_{n}") for n, v in sums.items()))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    base = totals.select("_part", *(F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_base_{n}") for n in sums))
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranged.withColumn(name, F.sum(value).over(inside)).join(base, "_part").withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_base")
+    within = ranged.withColumns({n: F.sum(v).over(inside) for n, v in sums.items()})
+    return within.join(base, "_part").withColumns({n: F.col(n) + F.col(f"_base_{n}") for n in sums}).drop("_part", *(f"_base_{n}" for n in sums))
+
+
+def level_medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Medians of every value of several keys, and of all rows, in one global order: ``level``, ``key``, ``median``, ``n``.
+
+    Level i is that of the i-th key (as text; rows without it count for none), the last level is all rows (key null).
+    """
+    place = lambda i, key: F.struct(F.lit(i).alias("level"), key.cast("string").alias("key"))
+    places = F.array(*(F.when(F.col(k).isNotNull(), place(i, F.col(k))) for i, k in enumerate(keys)), place(len(keys), F.lit(None)))
+    rows = df.select(F.explode(F.array_compact(places)).alias("_l"), F.col(value).alias("_value")).select("_l.level", "_l.key", "_value")
+    return exact_quantiles(rows, ["level", "key"], "_value", [0.5]).select("level", "key", F.col("quantiles")[0].alias("median"), "n")
 
 
 def district_profile(df: DataFrame, selected: DataFrame, key: str, sums: Sequence[str], ratios: Mapping[str, tuple[str, str]], means: Sequence[str], weight: str, by: Sequence[str] = ()) -> DataFrame:

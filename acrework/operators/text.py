@@ -57,7 +57,16 @@ def keyword_class(text: Column, protected: Sequence[str], disposable: Sequence[s
     return F.when(has(protected), "protected").when(has(disposable), "disposable").otherwise("private")
 
 
-TOKEN = r"(§+\s*\d+(?:[-.]\d+)*|[A-Za-zÀ-ÖØ-öø-ÿ]+|\d+(?:[.,]\d+)*|[.,;:!?()]|[^\sA-Za-zÀ-ÖØ-öø-ÿ\d.,;:!?()])"
+#: What a token is, by kind; the first that fits counts.
+TOKENS = {"citation": r"§+\s*\d+(?:[-.]\d+)*", "word": "[A-Za-zÀ-ÖØ-öø-ÿ]+", "number": r"\d+(?:[.,]\d+)*", "punctuation": "[.,;:!?()]", "symbol": r"[^\sA-Za-zÀ-ÖØ-öø-ÿ\d.,;:!?()]"}
+TOKEN = f"({'|'.join(TOKENS.values())})"
+
+
+def token_counts(df: DataFrame, key: str, text: str, kinds: Sequence[str]) -> DataFrame:
+    """How many tokens of each kind a text has; texts without a token have no row.  Counted within the row: nothing is exploded."""
+    pattern = "(?s)" + "|".join(f"({p})" for p in TOKENS.values())
+    number = lambda kind: F.size(F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(1 + list(TOKENS).index(kind))), lambda t: t != "")).cast("long")
+    return df.filter(F.col(text).rlike(r"\S")).select(key, *(number(k).alias(k) for k in kinds))
 
 
 def tokens(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -21,7 +21,7 @@ def concentration(df: DataFrame, amount: str, base: str, tie: str) -> DataFrame:
     """Running shares of base and amount, from the highest amount per base down, over the whole table in two passes."""
     rated = df.filter((F.col(base) > 0) & F.col(amount).isNotNull()).select(tie, amount, base, (F.col(amount) / F.col(base)).alias("rate"))
     order = [F.desc("rate"), F.asc(tie)]
-    both = prefix_sums(prefix_sums(rated, order, amount, "_a"), order, base, "_b")
+    both = prefix_sums(rated, order, [amount, base], ["_a", "_b"])
     totals = rated.agg(F.sum(amount).alias("_ta"), F.sum(base).alias("_tb"))
     return both.crossJoin(totals).withColumns({"base_share": F.col("_b") / F.col("_tb"), "amount_share": F.col("_a") / F.col("_ta")}).drop("_a", "_b", "_ta", "_tb")
 

@@ -159,7 +159,9 @@ def estimates(spark, sf):
     """Unit prices with the estimate of a model learnt on the training folds."""
     u = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_suppkey") % 7).alias("region"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("v"), (A.fold(F.col("l_orderkey")) < 80).alias("train"))
     known = u.filter("train")
-    return A.hierarchical_estimate(u, A.support_median(known, "l_partkey", "v", 5), A.support_median(known, "region", "v", 20, large=True), A.exact_quantiles(known, [], "v", [0.5]).select(F.col("quantiles")[0].alias("median")), "l_partkey", "region")
+    wide = A.level_medians(known, ["region"], "v")
+    regions = wide.filter("level = 0 AND n >= 20").select(F.col("key").cast("long").alias("region"), "median")
+    return A.hierarchical_estimate(u, A.support_median(known, "l_partkey", "v", 5), regions, wide.filter("level = 1").select("median"), "l_partkey", "region")
 
 
 @query("j06_hierarchical_lookup", HOLDOUT_SQL + "SELECT method, count(*) AS n, round(sum(estimate), 2) AS total FROM e GROUP BY 1")

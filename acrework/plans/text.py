@@ -47,8 +47,8 @@ WORDS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 @query("x09_tokeniser", f"""
 SELECT doc_id, len(regexp_extract_all(t, '{WORDS}')) AS words, len(regexp_extract_all(t, '[.,;:!?()]')) AS marks FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '§+\\s*\\d+(?:[-.]\\d+)*', ' ', 'g'), '\\d+(?:[.,]\\d+)*', ' ', 'g') AS t FROM documents WHERE regexp_matches(text, '\\S'))""")
 def x09(spark, sf):
-    rows = X.tokens(table(spark, sf, "documents"), "doc_id", "text")
-    return rows.groupBy("doc_id").agg(F.count_if(F.col("kind") == "word").alias("words"), F.count_if(F.col("kind") == "punctuation").alias("marks"))
+    counts = X.token_counts(table(spark, sf, "documents"), "doc_id", "text", ["word", "punctuation"])
+    return counts.groupBy("doc_id").agg(F.sum("word").alias("words"), F.sum("punctuation").alias("marks"))
 
 
 MARKERS = {"modality": ["is", "was"], "condition": ["if", "for"], "coordination": ["and", "or"]}
