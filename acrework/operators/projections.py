@@ -9,9 +9,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from acrework.operators.geometry import from_web_mercator, require_one_srid, to_web_mercator
+
 #: Semi-major axis and inverse flattening of the two ellipsoids.
 WGS84 = (6378137.0, 298.257223563)
 GRS80 = (6378137.0, 298.257222101)
@@ -117,3 +119,37 @@ class ConformalConic:
 #: UTM zone 17 north, and the southern Michigan zone of the state plane in international feet.
 UTM_17N = TransverseMercator(-81.0)
 MICHIGAN_SOUTH_FEET = ConformalConic(-(84 + 22 / 60), 41.5, 42.1, 43 + 40 / 60, 4_000_000.0, 0.0, 0.3048)
+
+
+class Geographic:
+    """Longitude and latitude themselves."""
+
+    def forward(self, lon: Column, lat: Column) -> Column:
+        return F.struct(lon.alias("x"), lat.alias("y"))
+
+    def inverse(self, x: Column, y: Column) -> Column:
+        return F.struct(x.alias("lon"), y.alias("lat"))
+
+
+class WebMercator:
+    def forward(self, lon: Column, lat: Column) -> Column:
+        return to_web_mercator(lon, lat)
+
+    def inverse(self, x: Column, y: Column) -> Column:
+        return from_web_mercator(x, y)
+
+
+#: Reference systems by their registered numbers; others are one entry each.
+SYSTEMS = {4326: Geographic(), 3857: WebMercator(), 32617: UTM_17N, 2898: MICHIGAN_SOUTH_FEET}
+
+
+def align(left: DataFrame, right: DataFrame, x: str = "x", y: str = "y", srid: str = "srid") -> DataFrame:
+    """The right table with its coordinates in the left table's system; each side must be of a single one that is known."""
+    to, of = require_one_srid(left, srid), require_one_srid(right, srid)
+    if unknown := {to, of} - set(SYSTEMS):
+        raise ValueError(f"unknown reference systems: {sorted(unknown)}")
+    if to == of:
+        return right
+    globe = SYSTEMS[of].inverse(F.col(x), F.col(y))
+    there = SYSTEMS[to].forward(globe["lon"], globe["lat"])
+    return right.withColumn("_there", there).withColumns({x: F.col("_there.x"), y: F.col("_there.y"), srid: F.lit(to).cast(right.schema[srid].dataType)}).drop("_there")

@@ -8,7 +8,7 @@ from acrework.operators import geometry as G
 from acrework.operators import lots as L
 from acrework.operators import polygons as Po
 from acrework.operators import raster as Ra
-from acrework.operators.projections import MICHIGAN_SOUTH_FEET, UTM_17N
+from acrework.operators.projections import MICHIGAN_SOUTH_FEET, UTM_17N, align
 from acrework.operators.windows import dedupe
 from acrework.plans.registry import query, table
 
@@ -289,6 +289,17 @@ def g19(spark, sf):
     return df.agg(F.count("*").alias("n")).withColumn("srid", F.lit(G.require_one_srid(df)))
 
 
+@query("g19_alignment", f"WITH {P} SELECT id, round(x / 10 - 90, 6) AS lon, round(y / 20, 6) AS lat, 4326 AS srid, round(abs(x / 10 - 90 - x / 12 + 80), 6) <= 1 AS near FROM p")
+def g19_alignment(spark, sf):
+    """Points of web maps against points of longitude and latitude: the right table is brought to the left's system first."""
+    globe = points(spark, sf).withColumns({"lon": F.col("x") / 10 - 90, "lat": F.col("y") / 20})
+    web = G.to_web_mercator(F.col("lon"), F.col("lat"))
+    right = globe.select("id", web["x"].alias("x"), web["y"].alias("y"), F.lit(3857).alias("srid"))
+    left = points(spark, sf).select("id", (F.col("x") / 12 - 80).alias("other"), F.lit(4326).alias("srid"))
+    aligned = align(left, right).join(left.select("id", "other"), "id")
+    return aligned.select("id", F.round("x", 6).alias("lon"), F.round("y", 6).alias("lat"), "srid", (F.round(F.abs(F.col("x") - F.col("other")), 6) <= 1).alias("near"))
+
+
 @query("g20_measurement_policy", f"WITH {P} SELECT id, CASE WHEN id % 2 = 0 THEN x <= 500 ELSE x < 500 END AS near FROM p")
 def g20(spark, sf):
     return points(spark, sf).select("id", G.within(F.col("x"), F.lit(500.0), F.col("id") % 2 == 0).alias("near"))

@@ -39,3 +39,23 @@ def test_scale_and_angles(spark):
         dx, dy = [(p["x"] - here["x"]) * unit for p in (east, north)], [(p["y"] - here["y"]) * unit for p in (east, north)]
         assert math.isclose(math.hypot(dx[0], dy[0]) / along, scale, rel_tol=1e-6) and math.isclose(math.hypot(dx[1], dy[1]) / up, scale, rel_tol=1e-6)
         assert abs(dx[0] * dx[1] + dy[0] * dy[1]) < 1e-6
+
+
+def test_alignment_of_two_tables(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from acrework.operators.projections import SYSTEMS, align
+
+    globe = spark.createDataFrame([(1, -83.05, 42.33), (2, -83.2, 42.4)], "id int, x double, y double")
+    for srid, system in SYSTEMS.items():
+        there = globe.withColumn("_p", system.forward(F.col("x"), F.col("y"))).select("id", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"), F.lit(srid).alias("srid"))
+        for other in SYSTEMS:
+            left = spark.createDataFrame([(other,)], "srid int")
+            back = align(globe.withColumn("srid", F.lit(4326)), align(left, there))
+            found = [(r["id"], round(r["x"], 7), round(r["y"], 7), r["srid"]) for r in back.orderBy("id").collect()]
+            assert found == [(1, -83.05, 42.33, 4326), (2, -83.2, 42.4, 4326)]
+    with pytest.raises(ValueError, match="unknown"):
+        align(globe.withColumn("srid", F.lit(1)), globe.withColumn("srid", F.lit(4326)))
+    with pytest.raises(ValueError, match="mixed"):
+        align(globe.withColumn("srid", F.col("id")), globe.withColumn("srid", F.lit(4326)))
