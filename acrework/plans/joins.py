@@ -76,10 +76,10 @@ def j14(spark, sf):
 
 
 @query("j15_results_join", """
-SELECT r_name, count(*) AS nations, count(n_nationkey) AS matched FROM region LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON r_regionkey = n_regionkey GROUP BY 1""")
+SELECT n_name, count(*) AS customers, count(c_custkey) AS matched FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_nationkey <> 2) ON n_nationkey = c_nationkey GROUP BY 1""")
 def j15(spark, sf):
-    nations = table(spark, sf, "nation").filter("n_regionkey <> 2")
-    return table(spark, sf, "region").join(nations, F.col("r_regionkey") == F.col("n_regionkey"), "left").groupBy("r_name").agg(F.count("*").alias("nations"), F.count("n_nationkey").alias("matched"))
+    customers = table(spark, sf, "customer").filter("c_nationkey <> 2")
+    return table(spark, sf, "nation").join(customers, F.col("n_nationkey") == F.col("c_nationkey"), "left").groupBy("n_name").agg(F.count("*").alias("customers"), F.count("c_custkey").alias("matched"))
 
 
 @query("j16_cohort", """

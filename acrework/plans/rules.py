@@ -125,13 +125,13 @@ def r16(spark, sf):
 
 
 @query("r17_fact_errors", """
-SELECT s, p, o, CASE WHEN p = 'near' THEN 'unknown relation' WHEN o = 'r99' THEN 'unknown individual' ELSE 'wrong range' END AS error FROM (SELECT 'n' || n_nationkey AS s, CASE WHEN n_nationkey % 7 = 0 THEN 'near' ELSE 'in' END AS p, CASE WHEN n_nationkey % 5 = 0 THEN 'r99' WHEN n_nationkey % 5 = 1 THEN 'n1' ELSE 'r' || n_regionkey END AS o FROM nation) WHERE p = 'near' OR o IN ('r99', 'n1')""")
+SELECT s, p, o, CASE WHEN p = 'near' THEN 'unknown relation' WHEN o = 'n99' THEN 'unknown individual' ELSE 'wrong range' END AS error FROM (SELECT 'c' || c_custkey AS s, CASE WHEN c_custkey % 7 = 0 THEN 'near' ELSE 'in' END AS p, CASE WHEN c_custkey % 5 = 0 THEN 'n99' WHEN c_custkey % 5 = 1 THEN 'c' || c_custkey ELSE 'n' || c_nationkey END AS o FROM customer) WHERE p = 'near' OR o = 'n99' OR o LIKE 'c%'""")
 def r17(spark, sf):
-    n = F.col("n_nationkey")
-    nations = table(spark, sf, "nation")
-    facts = nations.select(F.concat(F.lit("n"), n.cast("string")).alias("s"), F.when(n % 7 == 0, "near").otherwise("in").alias("p"), F.when(n % 5 == 0, "r99").when(n % 5 == 1, "n1").otherwise(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))).alias("o"))
-    kinds = nations.select(F.concat(F.lit("n"), n.cast("string")).alias("node"), F.lit("nation").alias("kind")).union(table(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")), F.lit("region")))
-    return R.fact_errors(facts, spark.createDataFrame([("in", "nation", "region")], "p string, domain string, range string"), kinds)
+    k, customers = F.col("c_custkey"), table(spark, sf, "customer")
+    name = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    facts = customers.select(name("c", "c_custkey").alias("s"), F.when(k % 7 == 0, "near").otherwise("in").alias("p"), F.when(k % 5 == 0, "n99").when(k % 5 == 1, name("c", "c_custkey")).otherwise(name("n", "c_nationkey")).alias("o"))
+    kinds = customers.select(name("c", "c_custkey").alias("node"), F.lit("customer").alias("kind")).union(table(spark, sf, "nation").select(name("n", "n_nationkey"), F.lit("nation")))
+    return R.fact_errors(facts, spark.createDataFrame([("in", "customer", "nation")], "p string, domain string, range string"), kinds)
 
 
 @query("r18_conjunctive_pattern", """
@@ -230,10 +230,10 @@ def r27(spark, sf):
 
 
 @query("r28_overlay_prohibitions", """
-SELECT n_nationkey, rule FROM nation JOIN (VALUES ('NATION_3', 'a'), ('NATION_3', 'b'), ('*', 'c')) r(scope, rule) ON scope = n_name OR scope = '*'""")
+SELECT c_custkey, rule FROM customer JOIN (VALUES ('BUILDING', 'a'), ('BUILDING', 'b'), ('*', 'c')) r(scope, rule) ON scope = c_mktsegment OR scope = '*'""")
 def r28(spark, sf):
-    rules = spark.createDataFrame([("NATION_3", "a"), ("NATION_3", "b"), ("*", "c")], "scope string, rule string")
-    return R.overlay_prohibitions(table(spark, sf, "nation"), rules, "n_name").select("n_nationkey", "rule")
+    rules = spark.createDataFrame([("BUILDING", "a"), ("BUILDING", "b"), ("*", "c")], "scope string, rule string")
+    return R.overlay_prohibitions(table(spark, sf, "customer"), rules, "c_mktsegment").select("c_custkey", "rule")
 
 
 @query("r29_required_signature", "SELECT 'Brand#' || i AS required FROM range(0, 40) t(i) WHERE 'Brand#' || i NOT IN (SELECT p_brand FROM part)")

@@ -16,14 +16,13 @@ def s01(spark, sf):
     return T.read_csv(spark, path, "s_suppkey string, s_name string, s_nationkey int, s_acctbal double")
 
 
-@query("s02_feature_round_trip", "SELECT n_nationkey, n_name, n_nationkey * 1.5 AS x FROM nation WHERE n_regionkey = 2")
+@query("s02_feature_round_trip", "SELECT c_custkey, c_name, c_custkey * 1.5 AS x FROM customer WHERE c_nationkey = 2")
 def s02(spark, sf):
     path = shared_path(spark, "features")
-    nations = table(spark, sf, "nation")
-    point = F.struct(F.lit("Point").alias("type"), F.array(F.col("n_nationkey") * 1.5, F.lit(0.0)).alias("coordinates"))
-    T.write_features(nations.withColumn("geometry", point), path, ["n_nationkey", "n_name", "n_regionkey"])
-    back = T.read_feature_lines(spark, path, "n_nationkey:int,n_name:string,n_regionkey:int")
-    return back.filter("n_regionkey = 2").select("n_nationkey", "n_name", F.col("geometry.coordinates")[0].alias("x"))
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.col("c_custkey") * 1.5, F.lit(0.0)).alias("coordinates"))
+    T.write_features(table(spark, sf, "customer").withColumn("geometry", point), path, ["c_custkey", "c_name", "c_nationkey"])
+    back = T.read_feature_lines(spark, path, "c_custkey:int,c_name:string,c_nationkey:int")
+    return back.filter("c_nationkey = 2").select("c_custkey", "c_name", F.col("geometry.coordinates")[0].alias("x"))
 
 
 @query("s03_cached_join", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
@@ -92,11 +91,11 @@ def s10(spark, sf):
     return summary.crossJoin(rows)
 
 
-@query("s11_feature_sink", """SELECT '{"type":"Feature","properties":{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"},"geometry":{"type":"Point","coordinates":[' || r_regionkey || '.0,1.5]}}' AS value FROM region""")
+@query("s11_feature_sink", """SELECT '{"type":"Feature","properties":{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '"},"geometry":{"type":"Point","coordinates":[' || s_suppkey || '.0,1.5]}}' AS value FROM supplier""")
 def s11(spark, sf):
     path = shared_path(spark, "sink")
-    point = F.struct(F.lit("Point").alias("type"), F.array(F.col("r_regionkey").cast("double"), F.lit(1.5)).alias("coordinates"))
-    T.write_features(table(spark, sf, "region").withColumn("geometry", point), path, ["r_regionkey", "r_name"])
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.col("s_suppkey").cast("double"), F.lit(1.5)).alias("coordinates"))
+    T.write_features(table(spark, sf, "supplier").withColumn("geometry", point), path, ["s_suppkey", "s_name"])
     return spark.read.text(path)
 
 
