@@ -201,6 +201,28 @@ def test_wrapper_without_article(spark):
     assert found == expected
 
 
+LAYOUTS = {
+    "classes": "<body><div class='topnav'><a href=/>Home</a> News</div><div class='wrap has-sidebar'><h1>Title {k}</h1><div class='post'>{body}</div><ol class='commentlist'><li>First of {k}! A long comment that says very much about all of this and more</ol></div><div id='siteFooter'>Text of {k} at the end</div>",
+    "form": "<body><form action=/><div class=header><b>Site</b></div><div><h1>Title {k}</h1>{body}</div><div class=promo>Buy {k} now</div></form>",
+    "table": "<body><table><tr><td class=menu><a href=/a>A</a><td><h1>Title {k}</h1>{body}<td class=ads>Ad {k}</table>",
+    "main": "<body class=with-sidebar><main class='content sidebar-right'><div class='entry-header'><h1>Title {k}</h1></div>{body}<div class='share-buttons'>Share {k}</div></main><aside>Elsewhere {k}</aside>",
+    "article": "<body><div class='page no-sidebar'><article class='post-{k}'><h1>Title {k}</h1>{body}<section class='comments'><p>Comment of {k}</p></section></article></div><noscript>Please enable {k}</noscript>",
+    "plain": "<body><div><img src=x alt=y></div><div><h1>Title {k}</h1></div><div>{body}</div><div>All rights reserved</div>",
+}
+
+
+@pytest.mark.parametrize("n", [1, 6])
+def test_layouts_of_hosts(spark, n):
+    rows, expected = [], {}
+    for i, (host, layout) in enumerate(LAYOUTS.items()):
+        for k in range(n):
+            paragraphs = [f"{host} paragraph {j} of page {k} has words of its own, {j * 7 + k} of them" for j in range(2 + k % 3)]
+            rows.append((100 * i + k, f"http://{host}.example/{k}", layout.format(k=k, body="".join(f"<p>{p}</p>" for p in paragraphs))))
+            expected[100 * i + k] = " ".join([f"Title {k}", *paragraphs]) + (" All rights reserved" if host == "plain" and n == 1 else "")
+    found = {r["page_id"]: r["text"] for r in H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == expected
+
+
 def test_article_parts_and_edge_pages(spark):
     article = """<body><header>Site</header><div class="cookie-notice">We use cookies</div><main><article><header><h1>Title</h1></header><p>One&nbsp;<i>two</i></p>
     <aside>See also</aside><form>Name <input></form><div class="share">Share</div><blockquote>Three</blockquote><ul><li>Four<li>Five</ul></article>
