@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,14 +109,46 @@ def ordered_breaks(df: DataFrame, value: str, classes: int) -> DataFrame:
     return upto.join(F.broadcast(wanted), (F.col("_at") >= F.col("_upto") - F.col("_c")) & (F.col("_at") < F.col("_upto"))).select("i", F.col(value).alias("break"))
 
 
+#: Accuracy of the sketches that bracket exact quantiles: a bracket holds about four in so many rows.
+BRACKET = 2_000
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
     """Of each key n, the number of values, and ``quantiles`` (linear interpolation), for groups of any size.
 
-    Equal values share a row; their counts are summed over a global order in two passes, so no group is held in one
-    task.  Rows without a value count for none; a null key is a key of its own.
+    A sketch brackets every quantile; then only the values inside a bracket are told apart, and all between two brackets
+    are one count.  These few rows are summed over a global order in two passes, so no group is held in one task and no
+    row but those counts is sorted or shuffled.  Where a quantile should lie outside of its bracket all values of its group
+    are counted instead, so the result is exact.  Rows without a value count for none; a null key is a key of its own.
     """
+    from acrework.functions.storage import cut_lineage
+
     known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    upto = prefix_sums(known.groupBy(*keys, "_v").agg(F.count("*").alias("_c")), [*keys, "_v"], "_c", "_upto")
+    wanted = sorted(set(map(float, probabilities)))
+    around = [(max(0.0, p - 2 / BRACKET), min(1.0, p + 2 / BRACKET)) for p in wanted]
+    near = F.percentile_approx("_v", [q for pair in around for q in pair], BRACKET)
+    sketches = cut_lineage(known.groupBy(*keys).agg(near.alias("_near")), "brackets").withColumnsRenamed({k: f"_b{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_b{i}"))
+    placed = known.join(sketches, same) if keys else known.crossJoin(sketches)  # without keys one row
+    ends = [(F.lit(float("-inf")) if low == 0 else F.get("_near", 2 * i), F.lit(float("nan")) if high == 1 else F.get("_near", 2 * i + 1)) for i, (low, high) in enumerate(around)]  # NaN is above all
+    inside = reduce(lambda x, y: x | y, ((F.col("_v") >= low) & (F.col("_v") <= high) for low, high in ends))
+    gap = reduce(lambda x, y: x + y, ((F.col("_v") > high).cast("int") for _, high in ends))
+    told = placed.select(*keys, "_v", F.when(inside, F.col("_v")).alias("_w"), F.when(~inside, gap).alias("_gap"))
+    counted = told.groupBy(*keys, "_w", "_gap").agg(F.count("*").alias("_c"), F.min("_v").alias("_v")).withColumn("_told", F.col("_gap").isNull()).drop("_w", "_gap")
+    found = cut_lineage(_picked(counted, keys, probabilities), "quantiles")
+    missed = found.filter("NOT _sure").select(*(F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)), F.lit(1).alias("_missed"))
+    if not missed.isEmpty():
+        again = known.join(missed, same, "left_semi") if keys else known
+        every = again.groupBy(*keys, "_v").agg(F.count("*").alias("_c")).withColumn("_told", F.lit(True))
+        found = found.filter("_sure").unionByName(_picked(every, keys, probabilities))
+    return found.drop("_sure")
+
+
+def _picked(counts: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """Quantiles from counts ``_c`` of values ``_v``; ``_sure`` unless one falls on a count of several values (not ``_told``)."""
+    upto = prefix_sums(counts, [*keys, "_v"], "_c", "_upto")
     sizes = upto.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_c")).alias("_from"), F.sum("_c").alias("n"))
     at = sizes.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_from", "n", F.posexplode(F.array(*map(F.lit, map(float, probabilities)))).alias("_i", "_p"))
     at = at.withColumn("_at", F.col("_p") * (F.col("n") - 1)).withColumns({"_low": F.col("_from") + F.floor("_at"), "_high": F.col("_from") + F.ceil("_at")})
@@ -124,10 +157,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilitie
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     met = upto.join(at if keys else F.broadcast(at), same & (holds("_low") | holds("_high")))  # without keys one row for each probability
-    ends = met.groupBy(*keys, "n", "_i", "_at").agg(F.max(F.when(holds("_low"), F.col("_v"))).alias("_a"), F.max(F.when(holds("_high"), F.col("_v"))).alias("_b"))
+    ends = met.groupBy(*keys, "n", "_i", "_at").agg(F.max(F.when(holds("_low"), F.col("_v"))).alias("_a"), F.max(F.when(holds("_high"), F.col("_v"))).alias("_b"), F.bool_and("_told").alias("_sure"))
     part = F.col("_at") - F.floor("_at")
     found = F.struct("_i", (F.col("_a") * (1 - part) + F.col("_b") * part).alias("q"))
-    return ends.groupBy(*keys, "n").agg(F.transform(F.array_sort(F.collect_list(found)), lambda e: e["q"]).alias("quantiles"))
+    return ends.groupBy(*keys, "n").agg(F.transform(F.array_sort(F.collect_list(found)), lambda e: e["q"]).alias("quantiles"), F.bool_and("_sure").alias("_sure"))
 
 
 def with_median(summary: DataFrame, df: DataFrame, value: str, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from acrework.functions.storage import cut_lineage
 from acrework.operators import aggregates as A
 from acrework.operators.audits import crosswalk_faults
 from acrework.plans.registry import query, table
@@ -158,6 +159,7 @@ e AS (SELECT u.*, coalesce(f.m, c.m, g.m) AS estimate, CASE WHEN f.m IS NOT NULL
 def estimates(spark, sf):
     """Unit prices with the estimate of a model learnt on the training folds."""
     u = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_suppkey") % 7).alias("region"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("v"), (A.fold(F.col("l_orderkey")) < 80).alias("train"))
+    u = cut_lineage(u, "unit-prices")  # read several times below
     known = u.filter("train")
     wide = A.level_medians(known, ["region"], "v")
     regions = wide.filter("level = 0 AND n >= 20").select(F.col("key").cast("long").alias("region"), "median")
@@ -173,6 +175,7 @@ def j06(spark, sf):
 def a18(spark, sf):
     ratio = F.col("estimate") / F.col("v")
     held = estimates(spark, sf).filter("NOT train").select((F.abs(F.col("estimate") - F.col("v")) / F.col("v")).alias("error"), ratio.between(0.5, 2).cast("double").alias("close"))
+    held = cut_lineage(held, "held-out")
     summary = held.agg(F.count("*").alias("n"), F.round(F.avg("close"), 6).alias("within_factor_two"))
     return A.with_median(summary, held, "error", "mdape").withColumn("mdape", F.round("mdape", 6))
 

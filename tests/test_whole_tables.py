@@ -209,3 +209,22 @@ def test_written_alone_leaves_tables_of_other_threads(spark):
     assert result.count() == 4 and theirs[0][0].count() == 5
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
         spark.read.parquet(own[0][1]).count()
+
+
+def test_exact_quantiles_of_large_groups(spark):
+    rng = np.random.default_rng(9)
+    groups = {1: rng.normal(0, 1, 60_000), 2: np.repeat([1.0, 2.0, 9.0], 10_000), 3: rng.exponential(1, 7), None: rng.integers(0, 50, 20_000).astype(float)}
+    df = spark.createDataFrame([(k, float(v)) for k, own in groups.items() for v in own], "k int, v double").repartition(7)
+    probabilities = [0.9, 0.0, 0.5, 0.25, 1.0, 0.333]
+    for r in A.exact_quantiles(df, ["k"], "v", probabilities).collect():
+        assert r["n"] == len(groups[r["k"]]) and np.allclose(r["quantiles"], np.quantile(groups[r["k"]], probabilities), atol=1e-12)
+    every = np.concatenate(list(groups.values()))
+    assert np.allclose(A.exact_quantiles(df, [], "v", probabilities).first()["quantiles"], np.quantile(every, probabilities), atol=1e-12)
+
+
+def test_exact_quantiles_where_a_bracket_misses(spark, monkeypatch):
+    monkeypatch.setattr(A.F, "percentile_approx", lambda column, at, accuracy: A.F.array(*(A.F.min(column) for _ in at)))  # brackets of nothing
+    df = spark.createDataFrame([(i % 2, float(i)) for i in range(100)], "k int, v double")
+    found = {r["k"]: r["quantiles"] for r in A.exact_quantiles(df, ["k"], "v", [0.5, 0.75]).collect()}
+    assert found == {0: [49.0, 73.5], 1: [50.0, 74.5]}
+    assert A.exact_quantiles(df, [], "v", [0.5]).first()["quantiles"] == [49.5]
