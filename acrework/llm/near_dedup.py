@@ -8,13 +8,16 @@
    (10 at 0.85, 14 at 0.80).
 3. Table keys, those of ``ROUND_TABLES`` tables at a time, are counted before they are shuffled; classes that share a key are tied to the least of them.  The
    components of these ties are *families*: no link leaves a family.
-4. Families are cut into bands of sizes that can link, and dealt to groups of bounded size (pairs of blocks, where a band
-   is too large for one), in which pairs that share a table and whose sizes allow it are compared on full sets, most
-   similar first.  Pairs already connected
-   are skipped, since they cannot change a component; a group gives the links of a spanning forest only.
-5. Components of the links give the result.
+4. Each class is compared on full sets with the one class to which most tables tie it: at most n pairs, so a set travels
+   with its own pair only.  Families that these links connect wholly are done.
+5. The other families are cut into bands of sizes that can link, and dealt to groups of bounded size (pairs of blocks,
+   where a band is too large for one), in which pairs that share a table and whose sizes allow it are compared on full
+   sets, most similar first.  Pairs already connected, by step 4 or by the group itself, are skipped, since they cannot
+   change a component; a group gives the links of a spanning forest only.
+6. Components of all links give the result.
 
-A family of n different texts costs up to n**2 comparisons of keys inside its groups (no rows); exact links need that.
+A family of n different texts that step 4 leaves in parts costs up to n**2 comparisons of keys inside its groups (no
+rows); exact links need that.
 
 Defined results: null text and texts without words have an empty set and link with nothing; rows that share a doc_id
 are rows of their own, and those with the component's least id are all kept; a null doc_id comes last and is kept only
@@ -106,18 +109,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = np.flatnonzero(fingerprints(key, bounds).view(np.int64) == batch.column("node").to_numpy())
         nodes = batch.column("node").to_pylist()
         same = np.asarray([i for i in same.tolist() if nodes[i] not in seen and not seen.add(nodes[i])], np.int64)
-        sets = [key[bounds[i] : bounds[i + 1]].tobytes() for i in same.tolist()]
-        yield pa.record_batch([batch.column("node").take(pa.array(same)), pa.array(sets, pa.binary())], ["node", "members"])
+        sets = [key[bounds[i] : bounds[i + 1]].view(np.int64) for i in same.tolist()]
+        ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+        members = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+        yield pa.record_batch([batch.column("node").take(pa.array(same)), members], ["node", "members"])
 
 
 def _links_of_group(table: pa.Table, percent: int) -> pa.Table:
-    """Links of a spanning forest among one group's classes (between its two blocks only, if it has two)."""
-    node = table.column("node").to_numpy()
+    """Links that join parts of one group's classes, as a spanning forest (between its two blocks only, if it has two)."""
+    node, part = table.column("node").to_numpy(), table.column("part").to_numpy()
     block, own = table.column("block").to_numpy(), np.asarray(table.column("own").to_pylist(), bool)
-    sets = [np.frombuffer(m, np.uint64) for m in table.column("members").to_pylist()]
+    members = table.column("members").combine_chunks()
+    ends, values = members.offsets.to_numpy(), members.values.to_numpy().view(np.uint64)
+    sets = [values[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
     size = np.asarray([len(s) for s in sets])
     keys = [np.asarray(table.column(c).to_pylist(), np.int32).reshape(len(node), -1) for c in ("a", "b")]
-    parent = list(range(len(node)))
+    parent = np.unique(part, return_index=True)[1][np.unique(part, return_inverse=True)[1]].tolist()  # first row of each part
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -133,6 +140,7 @@ def _links_of_group(table: pa.Table, percent: int) -> pa.Table:
             rest = rest[block[rest] != block[i]]
         if not own[i]:
             rest = rest[own[rest]]  # visitors meet one another in their own band
+        rest = rest[part[rest] != part[i]]
         same = [keys[k][rest] == keys[k][i] for k in range(2)]
         fits = 100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])
         hit = fits & same[0].any(1) & same[1].any(1)
@@ -159,7 +167,18 @@ def _ties(classes: DataFrame, first: int, n: int) -> DataFrame:
     pairs = F.expr(f"flatten(transform(slice(a, {first + 1}, {n}), (x, i) -> transform(b, (y, j) -> xxhash64(i + {first}, j, x, y))))")
     keys = classes.select("node", F.explode(pairs).alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").drop("most")
-    return keys.join(shared, "key").filter("node <> least").select("node", "least").distinct()
+    return keys.join(shared, "key").filter("node <> least").groupBy("node", "least").agg(F.count("key").alias("shared"))
+
+
+def _tied_links(ties: DataFrame, classes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links between a class and the one with which it shares most tables among those it is tied to."""
+    best = ties.groupBy("node").agg(F.max(F.struct("shared", "least")).alias("best")).select(F.col("node").alias("src"), F.col("best.least").alias("dst"))
+    size = lambda end: classes.select(F.col("node").alias(end), F.col("n_shingles").alias(f"n_{end}"))
+    members = lambda end: full.select(F.col("node").alias(end), F.col("members").alias(f"m_{end}"))
+    sized = best.join(size("src"), "src").join(size("dst"), "dst").filter(100 * F.least("n_src", "n_dst") >= percent * F.greatest("n_src", "n_dst"))
+    common = F.size(F.array_intersect("m_src", "m_dst"))
+    pairs = sized.join(members("src"), "src").join(members("dst"), "dst")
+    return pairs.filter(100 * common >= percent * (F.col("n_src") + F.col("n_dst") - common)).select("src", "dst")
 
 
 def near_duplicate_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -176,24 +195,29 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT) -> DataFr
         found = materialise(_ties(classes, first, step), "ties")
         ties = found if ties is None else ties.unionByName(found)
     families = connected_components(ties, "node", "least").withColumnRenamed("component", "family")
-    members = materialise(families.join(classes, "node"), "family-members")
+    members = materialise(families.join(classes.select("node", "doc_id", "digest"), "node"), "family-members")
     # a class is fetched by the id and the text's hash of one of its rows, so rows without id or with a shared one do not
     # meet each other's classes; of rows equal in both one stays
     place = F.coalesce("doc_id", F.lit(-(2**63))).alias("place")
     wanted = members.select("node", place, "digest")
     full = texts.select(place, "digest", "text").join(wanted, ["place", "digest"]).select("node", "text")
-    full = materialise(full.mapInArrow(_sets, "node bigint, members binary"), "shingle-sets")
+    full = materialise(full.mapInArrow(_sets, "node bigint, members array<bigint>"), "shingle-sets")
+    tied = materialise(_tied_links(ties, classes, full, percent), "tied-links")
+    parts = connected_components(tied).withColumnRenamed("component", "part")
+    parted = members.select("node", "family").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    apart = parted.groupBy("family").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("family")
+    parted = materialise(parted.join(apart, "family").join(classes, "node"), "family-parts")
     # only sizes of neighbouring bands can link, so a class stays in its band and visits the next one
     width = math.log(100 / percent) * (1 + 1e-9)
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / width) if percent < 100 else F.col("n_shingles")
-    banded = members.withColumn("at", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own"))))).select("node", "a", "b", "n_shingles", "family", "at.band", "at.own")
-    blocks = banded.groupBy("family", "band").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("node") / BLOCK_CLASSES)).cast("int").alias("blocks"), F.max("own").alias("any"), F.count("node").alias("n"))
-    placed = banded.drop("n_shingles").join(blocks.filter("any AND n > 1").drop("any", "n"), ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    banded = parted.withColumn("at", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own"))))).select("node", "part", "a", "b", "n_shingles", "family", "at.band", "at.own")
+    blocks = banded.groupBy("family", "band").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("node") / BLOCK_CLASSES)).cast("int").alias("blocks"), F.max("own").alias("any"), F.min("part").alias("least"), F.max("part").alias("most"))
+    placed = banded.drop("n_shingles").join(blocks.filter("any AND least < most").select("family", "band", "blocks"), ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     partner = F.explode(F.expr("CASE WHEN blocks = 1 THEN array(0) ELSE sequence(0, blocks - 1) END")).alias("partner")
     dealt = placed.select("*", partner).withColumns({"low": F.least("block", "partner"), "high": F.greatest("block", "partner")}).drop("partner", "blocks")
     groups = dealt.join(full, "node").groupBy("family", "band", "low", "high")
     links = materialise(groups.applyInArrow(lambda t: _links_of_group(t, percent), "src bigint, dst bigint"), "links")
-    joined = connected_components(links).join(classes.select("node", "doc_id"), "node")
+    joined = connected_components(links.unionByName(tied)).join(classes.select("node", "doc_id"), "node")
     least = joined.groupBy("component").agg(F.min("doc_id").alias("least"))
     linked = joined.join(least, "component").select("node", "least")
     alone = classes.join(linked, "node", "left_anti").select("node", F.col("doc_id").alias("least"))

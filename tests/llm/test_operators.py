@@ -135,6 +135,36 @@ def test_near_duplicates_without_ids_and_of_many_sizes(spark):
     assert sum(r["component_id"] == 0 for r in found) == 30 + 45 and sum(r["kept"] for r in found) == 1 + 45 + 1
 
 
+@pytest.mark.parametrize("block_classes", [3, 1_500])
+def test_near_duplicates_of_families_in_parts(spark, monkeypatch, block_classes):
+    """Families of similar texts, only some of which link: parts that the first pairs leave meet in blocks of any size."""
+    from acrework.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", block_classes)
+    rng = np.random.default_rng(8)
+    texts = []
+    for family in range(3):
+        w = [f"f{family}w{k}" for k in range(120)]
+        for i in range(30):
+            if i % 10 == 0:  # a new branch, about 0.75 to the last
+                for k in rng.choice(120, 4, replace=False):
+                    w[k] = f"b{family}x{i}x{k}"
+            one = list(w)
+            for k in rng.choice(120, int(rng.integers(0, 3)), replace=False):
+                one[k] = f"c{family}x{i}x{k}"
+            texts.append(" ".join(one))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    least = list(range(len(texts)))
+    for _ in texts:  # labels fall along links until none does
+        for i in range(len(texts)):
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                    least[i] = least[j] = min(least[i], least[j])
+    got = near_dedup.near_duplicate_components(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(least))
+    assert 3 < len(set(least)) < len(texts)
+
+
 def test_near_dedup_stage_links_from_four_fifths(spark):
     import corpus_pipeline as C
     from acrework.llm.near_dedup import ROWS, near_duplicate_components, tables_for
