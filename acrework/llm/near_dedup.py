@@ -8,8 +8,9 @@
    (10 at 0.85, 14 at 0.80).
 3. Table keys, those of ``ROUND_TABLES`` tables at a time, are counted before they are shuffled; classes that share a key are tied to the least of them.  The
    components of these ties are *families*: no link leaves a family.
-4. Each class is compared on full sets with the one class to which most tables tie it: at most n pairs, so a set travels
-   with its own pair only.  Families that these links connect wholly are done.
+4. Each class is compared on full sets with the one class to which most tables tie it.  These pairs form stars, large
+   ones dealt to parts; a set travels once as a leaf and once to each part of its own star, never once for each pair.
+   Families that these links connect wholly are done.
 5. The other families are cut into bands of sizes that can link, and dealt to groups of bounded size (pairs of blocks,
    where a band is too large for one), in which pairs that share a table and whose sizes allow it are compared on full
    sets, most similar first.  Pairs already connected, by step 4 or by the group itself, are skipped, since they cannot
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acrework.llm.common import documents, materialise, mix64, text_slices, utf8
@@ -170,15 +171,27 @@ def _ties(classes: DataFrame, first: int, n: int) -> DataFrame:
     return keys.join(shared, "key").filter("node <> least").groupBy("node", "least").agg(F.count("key").alias("shared"))
 
 
-def _tied_links(ties: DataFrame, classes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links between a class and the one with which it shares most tables among those it is tied to."""
-    best = ties.groupBy("node").agg(F.max(F.struct("shared", "least")).alias("best")).select(F.col("node").alias("src"), F.col("best.least").alias("dst"))
-    size = lambda end: classes.select(F.col("node").alias(end), F.col("n_shingles").alias(f"n_{end}"))
-    members = lambda end: full.select(F.col("node").alias(end), F.col("members").alias(f"m_{end}"))
-    sized = best.join(size("src"), "src").join(size("dst"), "dst").filter(100 * F.least("n_src", "n_dst") >= percent * F.greatest("n_src", "n_dst"))
-    common = F.size(F.array_intersect("m_src", "m_dst"))
-    pairs = sized.join(members("src"), "src").join(members("dst"), "dst")
-    return pairs.filter(100 * common >= percent * (F.col("n_src") + F.col("n_dst") - common)).select("src", "dst")
+def _stars(ties: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Of each tied class its ``star``, the class with which it shares most tables (null if sizes cannot link), and ``chunks``, over how many parts its own star is dealt (0 if it is no centre)."""
+    best = ties.groupBy("node").agg(F.max(F.struct("shared", "least")).alias("best")).select("node", F.col("best.least").alias("star"))
+    sizes = classes.select("node", "n_shingles")
+    sized = best.join(sizes, "node").join(sizes.select(F.col("node").alias("star"), F.col("n_shingles").alias("n_star")), "star")
+    sized = sized.filter(100 * F.least("n_shingles", "n_star") >= percent * F.greatest("n_shingles", "n_star"))
+    chunks = sized.groupBy("star").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("node") / BLOCK_CLASSES)).cast("int").alias("chunks"))
+    leaves = sized.join(chunks, "star").select("node", "star", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
+    centres = chunks.select(F.col("star").alias("node"), "chunks")
+    return leaves.join(centres, "node", "full_outer").select("node", "star", "chunk", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
+def _tied_links(stars: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links between classes and the centres of their stars: each set is dealt once as a leaf and once to each part of its own star."""
+    own = F.expr("CASE WHEN star IS NULL THEN array() ELSE array(struct(star, chunk, false AS centre)) END")
+    around = F.expr("CASE WHEN chunks = 0 THEN array() ELSE transform(sequence(0, chunks - 1), c -> struct(node AS star, c AS chunk, true AS centre)) END")
+    dealt = full.join(stars, "node").select("node", "members", F.explode(F.concat(own, around)).alias("at")).select("node", "members", "at.*")
+    first = Window.partitionBy("star", "chunk").orderBy(F.desc("centre"))
+    beside = dealt.withColumn("other", F.first("members").over(first)).filter("NOT centre")
+    common = F.size(F.array_intersect("members", "other"))
+    return beside.filter(100 * common >= percent * (F.size("members") + F.size("other") - common)).select(F.col("node").alias("src"), F.col("star").alias("dst"))
 
 
 def near_duplicate_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -202,7 +215,7 @@ def near_duplicate_components(docs: DataFrame, percent: int = PERCENT) -> DataFr
     wanted = members.select("node", place, "digest")
     full = texts.select(place, "digest", "text").join(wanted, ["place", "digest"]).select("node", "text")
     full = materialise(full.mapInArrow(_sets, "node bigint, members array<bigint>"), "shingle-sets")
-    tied = materialise(_tied_links(ties, classes, full, percent), "tied-links")
+    tied = materialise(_tied_links(_stars(ties, classes, percent), full, percent), "tied-links")
     parts = connected_components(tied).withColumnRenamed("component", "part")
     parted = members.select("node", "family").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     apart = parted.groupBy("family").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("family")
