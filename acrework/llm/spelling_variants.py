@@ -13,6 +13,8 @@ rest is empty on a node where a word ends is a neighbour.  Three things keep it
 
 A word has about two states and one edge for each letter, and a node has no more children than there are letters, so
 all tables grow with the words.  Hashes only lead to candidates: pairs are confirmed on the words themselves.
+Joins are merged by hint: what Spark expects of these tables is the size of the compressed words, many times less than
+their states and edges, and by it the driver would gather them to broadcast.
 
 Defined results: null and empty texts have no words; a null doc_id counts as an empty one; repeated rows count each
 time; other columns are ignored.
@@ -176,7 +178,7 @@ def near_words(words: DataFrame) -> DataFrame:
     jumps = words.mapInArrow(lambda it: _edge_rows(it, False), "node long, label int, child long").distinct()
     ends = words.mapInArrow(_end_rows, "node long, near_id long")
     states = words.mapInArrow(_state_rows, _STATES).withColumnRenamed("char", "own")
-    frontier = states.join(edges, ["node", "label"]).filter(F.col("own") != F.col("char")).select("id", "inserts", F.col("child").alias("node"), "rest")
+    frontier = states.join(edges.hint("merge"), ["node", "label"]).filter(F.col("own") != F.col("char")).select("id", "inserts", F.col("child").alias("node"), "rest")
     done = []
     while True:
         frontier = cut_lineage(frontier, "trie-frontier")
@@ -185,14 +187,14 @@ def near_words(words: DataFrame) -> DataFrame:
         if going.isEmpty():
             break
         step = going.select("id", "inserts", "node", F.col("rest")[0].alias("label"), F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0))).alias("rest"))
-        frontier = step.join(jumps, ["node", "label"]).select("id", "inserts", F.col("child").alias("node"), "rest")
+        frontier = step.join(jumps.hint("merge"), ["node", "label"]).select("id", "inserts", F.col("child").alias("node"), "rest")
     terminal = done[0]
     for level in done[1:]:
         terminal = terminal.unionByName(level)
-    found = terminal.join(ends, "node").select("id", "near_id", "inserts")
+    found = terminal.join(ends.hint("merge"), "node").select("id", "near_id", "inserts")
     pairs = found.select("id", "near_id").unionByName(found.filter("inserts").select(F.col("near_id").alias("id"), F.col("id").alias("near_id"))).distinct()
     near = words.select(F.col("id").alias("near_id"), F.col("word").alias("near"))
-    both = pairs.join(words, "id").join(near, "near_id")
+    both = pairs.join(words.hint("merge"), "id").join(near.hint("merge"), "near_id")
     return both.select("id", "near_id", "word", "near").mapInArrow(_confirmed, "id long, near_id long")
 
 
@@ -206,7 +208,7 @@ def _rooted(forms: DataFrame) -> DataFrame:
     while True:
         chain = cut_lineage(chain, "word-roots")
         ahead = chain.filter(F.col("word") != F.col("root")).select(F.col("word").alias("root"), F.col("root").alias("_further"))
-        step = chain.join(ahead, "root", "left")
+        step = chain.join(ahead.hint("merge"), "root", "left")
         if step.filter("_further IS NOT NULL").isEmpty():
             return chain
         chain = step.select("word", F.coalesce("_further", "root").alias("root"))
@@ -219,11 +221,11 @@ def spelling_variants(counts: DataFrame, ratio: int = RATIO) -> DataFrame:
     """
     words = cut_lineage(counts.select("word", "n").withColumn("id", F.monotonically_increasing_id()), "words")
     target = words.select(F.col("id").alias("near_id"), F.struct((-F.col("n")).alias("m"), F.col("word").alias("form")).alias("_near"))
-    best = near_words(words).join(target, "near_id").groupBy("id").agg(F.count("*").alias("n_near"), F.min("_near").alias("_best"))
+    best = near_words(words).join(target.hint("merge"), "near_id").groupBy("id").agg(F.count("*").alias("n_near"), F.min("_near").alias("_best"))
     chosen: Column = -F.col("_best.m") >= ratio * F.col("n")
-    forms = words.join(best, "id", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(chosen, F.col("_best.form")).alias("form"), F.when(chosen, -F.col("_best.m")).alias("form_n"))
+    forms = words.join(best.hint("merge"), "id", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(chosen, F.col("_best.form")).alias("form"), F.when(chosen, -F.col("_best.m")).alias("form_n"))
     forms = cut_lineage(forms, "word-forms")
-    return forms.join(_rooted(forms), "word").select("word", "form", "root", "n", "n_near", "form_n")
+    return forms.join(_rooted(forms).hint("merge"), "word").select("word", "form", "root", "n", "n_near", "form_n")
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
