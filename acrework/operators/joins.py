@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acrework.functions.storage import cut_lineage
+
 from acrework.operators.audits import assert_single_value, assert_unique
 
 
@@ -101,3 +103,30 @@ def interval_join(df: DataFrame, value: str, intervals: DataFrame, low: str = "l
     v, lo, hi = F.col(value), F.col(f"r_{low}"), F.col(f"r_{high}")
     met = left.join(right, ["_level", "_bin"]).filter(beyond(low, low_open, v > lo, v >= lo) & beyond(high, high_open, v < hi, v <= hi))
     return met.select(*df.columns, *(f"r_{c}" for c in intervals.columns))
+
+
+def interval_totals(df: DataFrame, value: str, intervals: DataFrame, number: str, low: str = "low", high: str = "high", low_open: str | None = None, high_open: str | None = None) -> DataFrame:
+    """For each different value (``value``, as double) the count ``n`` of the intervals that hold it, and the least ``number`` of them.
+
+    Means what ``interval_join`` means, but no pair is built: the different values and ends are put in order together, an
+    interval becomes the few blocks of ranks (aligned, their lengths powers of two) that make it up, and a value meets one
+    block of each length.  So the work grows with both sides, not with their product.  Values in no interval are left out.
+    """
+    from acrework.operators.aggregates import prefix_sums
+
+    number_of = lambda c: F.col(c).cast("double") + 0.0
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c else F.lit(False)
+    known = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(number_of(value).alias("at"), F.lit(1).alias("kind"), F.lit(1).cast("long").alias("one")).distinct()
+    ends = intervals.select(F.col(number).alias("_number"), number_of(low).alias("_low"), F.when(flag(low_open), 2).otherwise(0).alias("_low_kind"), number_of(high).alias("_high"), F.when(flag(high_open), 0).otherwise(2).alias("_high_kind"))
+    marks = [ends.select(F.col(f"_{e}").alias("at"), F.col(f"_{e}_kind").alias("kind"), F.lit(0).cast("long").alias("one")).filter("at IS NOT NULL") for e in ("low", "high")]
+    placed = cut_lineage(prefix_sums(known.union(marks[0].union(marks[1]).distinct()), ["at", "kind"], "one", "upto"), "interval-ends")
+    total = placed.agg(F.coalesce(F.max("upto"), F.lit(0)).alias("_total"))  # one row
+    upto = lambda e: placed.filter("kind <> 1").select(F.col("at").alias(f"_{e}"), F.col("kind").alias(f"_{e}_kind"), F.col("upto").alias(f"_{e}_upto"))
+    spans = ends.join(upto("low"), ["_low", "_low_kind"], "left").join(upto("high"), ["_high", "_high_kind"], "left").crossJoin(total)
+    spans = spans.select("_number", F.coalesce("_low_upto", F.lit(0)).alias("_a"), F.coalesce("_high_upto", "_total").alias("_b")).filter("_a < _b")
+    halved = spans.withColumn("level", F.explode(F.sequence(F.lit(0), F.ceil(F.log2(F.col("_b") - F.col("_a") + 1)).cast("int"))))
+    halved = halved.withColumns({"_l": F.expr("shiftright(_a + shiftleft(1L, level) - 1, level)"), "_r": F.expr("shiftright(_b, level)")}).filter("_l < _r")
+    blocks = halved.select("_number", "level", F.explode(F.array_compact(F.array(F.when(F.col("_l") % 2 == 1, F.col("_l")), F.when(F.col("_r") % 2 == 1, F.col("_r") - 1)))).alias("block"))
+    held = blocks.groupBy("level", "block").agg(F.count("*").alias("n"), F.min("_number").alias(number))
+    ranked = placed.filter("kind = 1").crossJoin(total).withColumn("level", F.explode(F.sequence(F.lit(0), F.ceil(F.log2(F.col("_total") + 1)).cast("int")))).withColumn("block", F.expr("shiftright(upto - 1, level)"))
+    return ranked.join(held, ["level", "block"]).groupBy(F.col("at").alias(value)).agg(F.sum("n").alias("n"), F.min(number).alias(number))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from acrework.operators import rules as R
 from acrework.operators.audits import crosswalk_faults
-from acrework.operators.joins import interval_join
+from acrework.operators.joins import interval_totals
 from acrework.plans.registry import query, table
 
 
@@ -108,8 +108,9 @@ def r14_intervals(spark, sf):
     k = F.col("s_suppkey")
     low = 900.0 + k * 7 % 200
     intervals = table(spark, sf, "supplier").select(k.alias("rule"), F.when(k % 10 > 0, low).alias("low"), F.when(k % 11 > 0, low + k % 13 * 0.7).alias("high"), (k % 2 == 0).alias("high_open"))
-    met = interval_join(table(spark, sf, "part"), "p_retailprice", intervals, high_open="high_open")
-    return met.groupBy("p_partkey").agg(F.count("*").alias("rules"), F.min("r_rule").alias("first"))
+    parts = table(spark, sf, "part").select("p_partkey", "p_retailprice")
+    met = parts.join(interval_totals(parts, "p_retailprice", intervals, "rule", high_open="high_open"), "p_retailprice")
+    return met.groupBy("p_partkey").agg(F.sum("n").alias("rules"), F.min("rule").alias("first"))
 
 
 @query("r15_interval_faults", "SELECT p_partkey, CASE WHEN lo > hi THEN 'inverted' WHEN lo = hi AND p_partkey % 2 = 0 THEN 'empty' END AS fault FROM (SELECT p_partkey, p_size % 5 AS lo, p_partkey % 5 AS hi FROM part)")
