@@ -72,12 +72,10 @@ def token_counts(df: DataFrame, key: str, text: str, kinds: Sequence[str]) -> Da
 def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     """Tokens in order: kind is citation, word, number, punctuation or symbol; ``start`` and ``end`` are byte offsets."""
     parts = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(r"(?s)(\s*)" + TOKEN), 0)).alias("pos", "_raw"))
-    word = F.regexp_replace("_raw", r"^\s+", "")
-    kind = (
-        F.when(word.rlike("^§"), "citation").when(word.rlike("^[A-Za-zÀ-ÖØ-öø-ÿ]"), "word").when(word.rlike(r"^\d"), "number").when(word.rlike("^[.,;:!?()]"), "punctuation").otherwise("symbol")
-    )
+    first = F.substring("token", 1, 1)  # tells the kind; no pattern is searched for in each token
+    kind = F.when(first.isin(*".,;:!?()"), "punctuation").when(first == "§", "citation").when(first.between("0", "9"), "number").when(first.rlike("^[A-Za-zÀ-ÖØ-öø-ÿ]"), "word").otherwise("symbol")
     upto = F.sum(F.octet_length("_raw")).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return parts.withColumns({"token": word, "kind": kind, "end": upto}).withColumn("start", F.col("end") - F.octet_length("token")).drop("_raw")
+    return parts.withColumn("token", F.ltrim("_raw", F.lit(" \t\n\x0b\f\r"))).withColumns({"kind": kind, "end": upto}).withColumn("start", F.col("end") - F.octet_length("token")).drop("_raw")
 
 
 def proper_name_runs(token_rows: DataFrame, key: str) -> DataFrame:
@@ -98,23 +96,22 @@ def neighbourhood(token_rows: DataFrame, key: str, words: Sequence[str], reach:
 
 def phrases_around(token_rows: DataFrame, key: str, modals: Sequence[str]) -> DataFrame:
     """For each modal word its sentence number, and the words before (from the last comma) and after within the sentence."""
-    ordered = Window.partitionBy(key).orderBy("pos")
-    sentence = F.coalesce(F.sum(F.col("token").isin(".", "!", "?").cast("int")).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marked = token_rows.withColumn("sentence", sentence)
-    # one array for each sentence; the phrases of its modals are cut from it within the row
-    whole = marked.groupBy(key, "sentence").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "kind"))).alias("_all"))
-    modal = lambda t: F.lower(t["token"]).isin(*modals)
-    text = lambda items: F.array_join(F.transform(items, lambda t: t["token"]), " ")
-
-    def phrase(m: Column) -> Column:
-        commas = F.transform(F.filter("_all", lambda t: (t["token"] == ",") & (t["pos"] < m["pos"])), lambda t: t["pos"])
-        begin = F.coalesce(F.array_max(commas), F.lit(-1))
-        word = lambda t: t["kind"] != "punctuation"
-        before = F.filter("_all", lambda t: word(t) & (t["pos"] > begin) & (t["pos"] < m["pos"]))
-        after = F.filter("_all", lambda t: word(t) & (t["pos"] > m["pos"]))
-        return F.struct(m["pos"].alias("pos"), m["token"].alias("modal"), text(before).alias("subject"), text(after).alias("predicate"))
-
-    return whole.select(key, "sentence", F.explode(F.transform(F.filter("_all", modal), phrase)).alias("p")).select(key, "p.pos", "sentence", "p.modal", "p.subject", "p.predicate")
+    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    is_word, ends = F.col("kind") != "punctuation", F.col("token").isin(".", "!", "?")
+    upto = lambda of: F.coalesce(of.over(before), F.lit(0))
+    marked = token_rows.withColumns({"sentence": upto(F.sum(ends.cast("int"))), "_w": upto(F.sum(is_word.cast("int"))).cast("int")})
+    # words before the sentence, and before its last comma so far
+    counted = marked.withColumns({"_s": upto(F.max(F.when(ends, F.col("_w")))), "_c": upto(F.max(F.when(F.col("token") == ",", F.col("_w"))))})
+    counted = counted.withColumns({"_i": F.col("_w") - F.col("_s"), "_c": F.greatest("_c", "_s") - F.col("_s")})
+    is_modal = F.lower("token").isin(*modals)
+    counted = counted.withColumn("_m", F.max(is_modal).over(Window.partitionBy(key, "sentence"))).filter("_m")
+    # one array of words for each sentence with a modal, and its modals with their places; each phrase is a slice of the words
+    words, modal = F.when(is_word, F.struct("pos", "token")), F.when(is_modal, F.struct("pos", F.col("token").alias("modal"), "_i", "_c"))
+    whole = counted.groupBy(key, "sentence").agg(F.sort_array(F.collect_list(words)).alias("_words"), F.collect_list(modal).alias("_modals"))
+    cut = whole.select(key, "sentence", F.transform("_words", lambda t: t["token"]).alias("_words"), F.explode("_modals").alias("m"))
+    text = lambda first, n: F.array_join(F.slice("_words", first + 1, n), " ")
+    subject, predicate = text(F.col("m._c"), F.col("m._i") - F.col("m._c")), text(F.col("m._i") + 1, F.greatest(F.size("_words") - F.col("m._i") - 1, F.lit(0)))
+    return cut.select(key, "m.pos", "sentence", "m.modal", subject.alias("subject"), predicate.alias("predicate"))
 
 
 def citations(df: DataFrame, key: str, text: str, pattern: str, sections: DataFrame, section_key: str, reserved: tuple[int, int] | None = None) -> DataFrame:
