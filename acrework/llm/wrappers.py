@@ -7,8 +7,6 @@ aligned, and each mismatch becomes a repetition of its neighbour where it is lik
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 from acrework.llm.html_tokens import Node
 
 OPTIONAL, REPEATED = 1, 2
@@ -16,8 +14,8 @@ OPTIONAL, REPEATED = 1, 2
 PERIOD = 6
 #: So many siblings of one name in a row are a list, even if each is different inside.
 SERIES = 8
-#: Cells of an exact alignment; beyond them each node takes the next partner of its name.
-CELLS = 400_000
+#: Steps of an alignment.
+_A, _B, _BOTH, _MORE_B, _MORE_A = range(1, 6)
 
 
 def dump(nodes: list[Node]) -> list:
@@ -171,58 +169,41 @@ def _likeness(x: Node, y: Node) -> int:
 
 def _partners(a: list[Node], b: list[Node]) -> list[tuple[list[Node], list[Node]]]:
     """Both lists cut into counterparts, in order; a repeated node may have several, a node without has none."""
-    if len(a) * len(b) > CELLS:
-        return _next_partners(a, b)
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    move = [[""] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) + 1):
-        for j in range(len(b) + 1):
-            if i == j == 0:
-                continue
-            like = _likeness(a[i - 1], b[j - 1]) if i and j else 0
-            options = [(best[i - 1][j], "a")] if i else []
-            if j:
-                options.append((best[i][j - 1], "b"))
-            if like:
-                options.append((best[i - 1][j - 1] + like, "both"))
-                if a[i - 1].occ & REPEATED and move[i][j - 1] in ("both", "more b"):
-                    options.append((best[i][j - 1] + like, "more b"))
-                if b[j - 1].occ & REPEATED and move[i - 1][j] in ("both", "more a"):
-                    options.append((best[i - 1][j] + like, "more a"))
-            best[i][j], move[i][j] = max(options, key=lambda o: o[0])
+    before, moves = [0] * (len(b) + 1), [bytearray([0] + [_B] * len(b))]  # one row of sums is kept, and a byte for each cell
+    for x in a:
+        row, move, last = [before[0]], bytearray(len(b) + 1), moves[-1]
+        move[0], many = _A, x.occ & REPEATED
+        for j, y in enumerate(b, 1):
+            most, step = before[j], _A
+            if row[j - 1] > most:
+                most, step = row[j - 1], _B
+            if like := _likeness(x, y):
+                if before[j - 1] + like > most:
+                    most, step = before[j - 1] + like, _BOTH
+                if many and move[j - 1] in (_BOTH, _MORE_B) and row[j - 1] + like > most:
+                    most, step = row[j - 1] + like, _MORE_B
+                if y.occ & REPEATED and last[j] in (_BOTH, _MORE_A) and before[j] + like > most:
+                    most, step = before[j] + like, _MORE_A
+            row.append(most)
+            move[j] = step
+        before = row
+        moves.append(move)
     out: list[tuple[list[Node], list[Node]]] = []
     i, j = len(a), len(b)
     left, right = [], []
     while i or j:
-        step = move[i][j]
-        if step == "a":
+        step = moves[i][j]
+        if step == _A:
             out.append(([a[i - 1]], []))
-        elif step == "b":
+        elif step == _B:
             out.append(([], [b[j - 1]]))
-        elif step == "more b":
+        elif step == _MORE_B:
             right.append(b[j - 1])
-        elif step == "more a":
+        elif step == _MORE_A:
             left.append(a[i - 1])
         else:
             out.append(([a[i - 1], *left[::-1]], [b[j - 1], *right[::-1]]))
             left, right = [], []
-        i -= step in ("a", "both", "more a")
-        j -= step in ("b", "both", "more b")
+        i -= step in (_A, _BOTH, _MORE_A)
+        j -= step in (_B, _BOTH, _MORE_B)
     return out[::-1]
-
-
-def _next_partners(a: list[Node], b: list[Node]) -> list[tuple[list[Node], list[Node]]]:
-    places: dict[str, list[int]] = {}
-    for i, n in enumerate(a):
-        places.setdefault(n.key, []).append(i)
-    out, at = [], 0
-    for n in b:
-        own = places.get(n.key, [])
-        k = bisect_left(own, at)
-        if k < len(own):
-            out += [([x], []) for x in a[at : own[k]]]
-            out.append(([a[own[k]]], [n]))
-            at = own[k] + 1
-        else:
-            out.append(([], [n]))
-    return out + [([x], []) for x in a[at:]]
