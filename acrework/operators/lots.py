@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acrework.operators.geometry import area, centroid, rectangle
+from acrework.operators.geometry import area, centroid, dealt, rectangle
 from acrework.operators.polygons import common_area
 from acrework.operators.rules import ordered_reason
 
@@ -63,7 +63,7 @@ def setback_evaluation(parcels: DataFrame, fronts: DataFrame, buildings: DataFra
     ``crosses`` are null unless the parcel is evaluated.
     """
     joined = parcels.join(fronts.select(key, "x1", "y1", "x2", "y2"), key, "left").join(buildings.select(key, "building"), key, "left")
-    fitted = setback_envelopes(joined, ring, "building")
+    fitted = setback_envelopes(dealt(joined, parcels.count()), ring, "building")
     tests = (~F.coalesce(F.col(in_scope), F.lit(False)), F.col(several), ~F.coalesce(F.col(sampled), F.lit(False)), F.col("x1").isNull(), F.coalesce(F.size("building"), F.lit(0)) < 4, F.col("outside").isNull())
     done = F.col("reason") == REASONS[-1]
     limit = F.greatest(F.lit(LEAST_OUTSIDE), area(F.col("building")) * OUTSIDE_SHARE)
