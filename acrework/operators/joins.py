@@ -1,7 +1,7 @@
 """Joins: lookups, fallbacks, bands, similarity.
 
 Small reference tables are left to Spark's own size check (``autoBroadcastJoinThreshold`` and adaptive execution);
-nothing here forces a broadcast of data that grows.
+nothing here forces a broadcast of data that grows with the input, but for groups of more than a million rows (``join_groups``).
 """
 
 from __future__ import annotations
@@ -16,6 +16,36 @@ from acrework.functions.storage import cut_lineage
 from acrework.operators.audits import assert_single_value, assert_unique
 
 
+#: Rows of one task where joins are dealt by the number of their rows, rows from which they are, and rows of a group from which it is joined by broadcast.
+ROWS_EACH, DEALT_FROM, MANY = 500_000, 6_000_000, 1_000_000
+
+
+def dealt_by(keys: Sequence[str], *sides: DataFrame, rows: int | None = None) -> list[DataFrame]:
+    """The sides of a join, dealt by its keys to as many tasks as their rows need.
+
+    Spark would fill a task with 64 MB of compressed keys, which may be tens of millions of rows to sort; few rows are left
+    to it.  ``rows`` is the number of rows of all sides; they are counted without it, which costs little for stored tables.
+    """
+    rows = sum(df.count() for df in sides) if rows is None else rows
+    return [df.repartition(-(-rows // ROWS_EACH), *keys) for df in sides] if rows > DEALT_FROM else list(sides)
+
+
+def join_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str], n: str, rows: int, many: int = MANY) -> DataFrame:
+    """Inner join of ``rows`` rows with one stored row for each group of them; ``n`` counts its rows in ``df`` (or more) and is dropped.
+
+    Rows of the few groups that are too large for one task never meet in one: such groups are broadcast, one for each
+    ``many`` of the counted rows at most.  The rest is dealt by the number of rows.
+    """
+    keys, large = list(keys), F.col(n) > many
+    few, hot, rest = groups.drop(n), None, df
+    if 2 * rows > many and not groups.filter(large).isEmpty():
+        few, hot = groups.filter(~large).drop(n), F.broadcast(groups.filter(large).drop(n))
+        rest = df.join(hot, keys, "left_anti")
+    a, b = dealt_by(keys, rest, few, rows=rows)
+    joined = a.join(b.hint("merge"), keys)
+    return joined if hot is None else df.join(hot, keys).unionByName(joined)
+
+
 def lookup_join(df: DataFrame, reference: DataFrame, key: str, value: str, default=None) -> DataFrame:
     """Left join of one value; missing keys get the default."""
     return df.join(reference.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
