@@ -35,9 +35,10 @@ def j03(spark, sf):
 SELECT l.l_partkey, l.l_suppkey, count(*) AS n, round(max(price), 2) AS price FROM lineitem l
 LEFT JOIN (SELECT l_partkey, l_suppkey, max(l_extendedprice) AS price FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) r ON l.l_partkey = r.l_partkey AND l.l_suppkey = r.l_suppkey GROUP BY 1, 2""")
 def j04(spark, sf):
-    lines = table(spark, sf, "lineitem")
-    returned = lines.filter("l_returnflag = 'R'").groupBy("l_partkey", "l_suppkey").agg(F.max("l_extendedprice").alias("price"))
-    return lines.select("l_partkey", "l_suppkey").join(returned, ["l_partkey", "l_suppkey"], "left").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"), F.round(F.max("price"), 2).alias("price"))
+    lines, rows = table(spark, sf, "lineitem"), table(spark, sf, "lineitem").count()
+    lines, returned = J.dealt_by(["l_partkey", "l_suppkey"], lines.select("l_partkey", "l_suppkey"), lines.filter("l_returnflag = 'R'").select("l_partkey", "l_suppkey", "l_extendedprice"), rows=2 * rows)
+    returned = returned.groupBy("l_partkey", "l_suppkey").agg(F.max("l_extendedprice").alias("price"))
+    return lines.join(returned, ["l_partkey", "l_suppkey"], "left").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"), F.round(F.max("price"), 2).alias("price"))
 
 
 @query("j05_fallback_join", """
