@@ -2,40 +2,44 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acrework.functions.storage import cut_lineage
-from acrework.operators.components import connected_components
+from acrework.operators.components import contracted_components
+from acrework.operators.joins import dealt_by, join_groups
 
 
 def shared_member_components(membership: DataFrame, item: str, entity: str, keep_single: bool = False) -> DataFrame:
     """Components of items that share an entity: component (least item), and per component its size and linking entities.
 
-    Each entity ties its items to the least of them (a star), so an entity with n items gives n - 1 edges.
+    Each entity ties its items to the least of them (a star), so an entity with n items gives n - 1 edges.  All items of
+    an entity lie in one component, so entities are counted once each, where their least item is.
     """
-    known = membership.filter(F.col(item).isNotNull() & F.col(entity).isNotNull()).select(item, entity).distinct()
-    least = known.groupBy(entity).agg(F.min(item).alias("_least"), F.count("*").alias("_n"))
-    ties = known.join(least, entity)
-    found = connected_components(ties.select(F.col(item).alias("src"), F.col("_least").alias("dst")))
-    placed = found.withColumnRenamed("node", item)
+    known = cut_lineage(membership.filter(F.col(item).isNotNull() & F.col(entity).isNotNull()).select(item, entity).distinct(), "memberships")
+    least = cut_lineage(known.groupBy(entity).agg(F.min(item).alias("_least"), F.count("*").alias("_n")), "entities")
+    ties = join_groups(known, least, [entity], "_n", known.count())
+    placed = contracted_components(ties.select(F.col(item).alias("src"), F.col("_least").alias("dst"))).withColumnRenamed("node", item)
+    shared, nodes = dealt_by(["_least"], least.filter("_n > 1").select("_least"), placed.select(F.col(item).alias("_least"), "component"))
+    linking = shared.join(nodes.hint("merge"), "_least").groupBy("component").agg(F.count("*").alias("linking"))
     sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
-    linking = ties.filter("_n > 1").join(placed, item).groupBy("component").agg(F.count_distinct(entity).alias("linking"))
-    out = placed.join(sizes, "component").join(linking, "component", "left").fillna(0, ["linking"])
+    found = cut_lineage(sizes.join(linking.hint("merge"), "component", "left").fillna(0, ["linking"]).withColumn("_n", F.col("size")), "component-sizes")
+    out = join_groups(placed, found, ["component"], "_n", placed.count())
     return out if keep_single else out.filter("size > 1")
 
 
 def category_components(rows: DataFrame, category: str, item: str, identities: list[str]) -> DataFrame:
     """Components of items within a category over several identity columns; adds ``label``, the least item."""
-    node = F.struct(category, item)
-    by = None
-    for i, column in enumerate(identities):
-        entity = F.struct(F.col(category), F.lit(i).alias("which"), F.col(column).cast("string").alias("value"))
-        part = rows.filter(F.col(column).isNotNull()).select(node.alias("node"), entity.alias("entity"))
-        by = part if by is None else by.unionByName(part)
-    found = shared_member_components(by, "node", "entity", keep_single=True)
-    placed = found.select(F.col(f"node.{category}").alias(category), F.col(f"node.{item}").alias(item), F.col(f"component.{item}").alias("label"))
-    return rows.join(placed, [category, item])
+    known, ties = rows.filter(F.col(category).isNotNull() & F.col(item).isNotNull()), []
+    for column in identities:
+        part = cut_lineage(known.filter(F.col(column).isNotNull()).select(category, item, column).distinct(), "memberships")
+        least = cut_lineage(part.groupBy(category, column).agg(F.min(item).alias("dst"), F.count("*").alias("_n")), "entities")
+        ties.append(join_groups(part, least, [category, column], "_n", part.count()).select(category, F.col(item).alias("src"), "dst"))
+    placed = contracted_components(reduce(DataFrame.union, ties), within=[category])
+    a, b = dealt_by([category, item], known, placed.withColumnsRenamed({"node": item, "component": "label"}))
+    return a.join(b.hint("merge"), [category, item])
 
 
 def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
