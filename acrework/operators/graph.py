@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from acrework.functions.storage import cut_lineage
 from acrework.operators.components import contracted_components
-from acrework.operators.joins import dealt_by, join_groups
+from acrework.operators.joins import DEALT_FROM, MANY, dealt_by, join_groups
 
 
 def shared_member_components(membership: DataFrame, item: str, entity: str, keep_single: bool = False) -> DataFrame:
@@ -53,20 +53,38 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return reached
 
 
+def _paths(first: DataFrame, then: DataFrame, rows: int) -> DataFrame:
+    """Pairs (src, dst) of a pair of ``first`` and one of ``then`` behind it; ``rows`` is the number of both.
+
+    Large joins are dealt by their rows; those with a node at which more than a million pairs of ``first`` end are left
+    to Spark, which splits them.
+    """
+    a, b = first.select("src", F.col("dst").alias("_mid")), then.select(F.col("src").alias("_mid"), "dst")
+    if rows > DEALT_FROM and a.groupBy("_mid").count().filter(F.col("count") > MANY).isEmpty():
+        a, b = dealt_by(["_mid"], a, b, rows=rows)
+    return a.join(b.hint("merge"), "_mid").select("src", "dst")
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """All (src, dst) with a path of one edge or more.  Path lengths double, so few rounds reach any depth.
 
+    A round goes on only from pairs whose shortest path has exactly the round's length, so a forest has no pair built twice.
     The result itself is large where many nodes reach many others; forests of bounded depth are what it is for.
     """
-    known = cut_lineage(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct(), "closure")
-    n = known.count()
-    while True:
-        steps = known.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        wider = cut_lineage(known.union(steps).distinct(), "closure")
-        m = wider.count()
-        if m == n:
-            return known
-        known, n = wider, m
+    known = step = cut_lineage(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct(), "closure")
+    n = m = known.count()
+    while m:
+        # pairs first met at twice the length; if there are none, there are none at any greater length
+        ahead = cut_lineage(_paths(step, step, 2 * m), "closure-steps")
+        a, b = dealt_by(["src", "dst"], ahead, known, rows=ahead.count() + n)
+        step = cut_lineage(a.distinct().join(b.hint("merge"), ["src", "dst"], "left_anti"), "closure-steps")
+        if not (m := step.count()):
+            break
+        beyond = cut_lineage(step.union(_paths(step, known, m + n)), "closure-steps")
+        (every,) = dealt_by(["src", "dst"], known.union(beyond), rows=n + beyond.count())
+        known = cut_lineage(every.distinct(), "closure")
+        n = known.count()
+    return known
 
 
 def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
