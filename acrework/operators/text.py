@@ -88,9 +88,10 @@ def proper_name_runs(token_rows: DataFrame, key: str) -> DataFrame:
 
 def neighbourhood(token_rows: DataFrame, key: str, words: Sequence[str], reach: int = 2) -> DataFrame:
     """Numbers with the tokens around them, where one of these is a temporal word; ``unit`` is the next token."""
-    around = F.collect_list(F.lower("token")).over(Window.partitionBy(key).orderBy("pos").rowsBetween(-reach, reach))
-    unit = F.lead("token").over(Window.partitionBy(key).orderBy("pos"))
-    near = token_rows.withColumns({"around": around, "unit": unit}).filter("kind = 'number'")
+    order = Window.partitionBy(key).orderBy("pos")
+    beside = {f"_t{i}": F.lag("token", -i).over(order) for i in range(-reach, reach + 1)}  # no list is built for other tokens
+    near = token_rows.withColumns({**beside, "unit": F.lead("token").over(order)}).filter("kind = 'number'")
+    near = near.withColumn("around", F.array_compact(F.array(*map(F.lower, beside)))).select(*token_rows.columns, "around", "unit")
     return near.filter(F.arrays_overlap("around", F.array(*map(F.lit, words))))
 
 
