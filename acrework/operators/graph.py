@@ -30,18 +30,84 @@ def shared_member_components(membership: DataFrame, item: str, entity: str, keep
     return out if keep_single else out.filter("size > 1")
 
 
+#: Rows up to which a table of exceptions is broadcast, and times that the names above names are followed at once.
+FEW, JUMPS = 100_000, 2
+
+
+def _category_trees(rows: DataFrame, category: str, item: str, identities: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Components within categories as stored tables: items and values of the first identity, each with ``_top``, and the ``label`` of every ``_top``.
+
+    Values of the first identity are named by their least item (a row without one by its own), and names are merged into
+    the least that they reach over the next identity, and on up these trees; the tops of trees are contracted by the last
+    names reached.  Items and values of the other identities under which more than one top still meets are found by
+    their least and last, and all their ties are contracted.  So rows are dealt a fixed number of times, not in every round.
+    """
+    first, *rest = identities
+    with_ = lambda df, column: df.filter(F.col(column).isNotNull())
+    known = rows.filter(F.col(category).isNotNull() & F.col(item).isNotNull() & F.coalesce(*(F.when(F.col(c).isNotNull(), True) for c in identities)).isNotNull()).select(category, item, *identities)
+    n = known.count()
+    values = cut_lineage(with_(known, first).groupBy(category, first).agg(F.min(item).alias("_x"), F.count("*").alias("_n")), "entities")
+    named = join_groups(with_(known, first), values, [category, first], "_n", n).select(category, item, *rest, "_x")
+    named = cut_lineage(named.union(known.filter(F.col(first).isNull()).select(category, item, *rest, F.col(item).alias("_x"))), "memberships")
+    over = rest[0] if rest else item
+    least = cut_lineage(with_(named, over).groupBy(category, over).agg(F.min("_x").alias("_top"), F.count("*").alias("_n")), "entities")
+    steps = join_groups(with_(named, over).select(category, over, "_x"), least, [category, over], "_n", n).select(category, "_x", "_top")
+    steps = steps.union(named.filter(F.col(over).isNull()).select(category, "_x", F.col("_x").alias("_top")))
+    trees = cut_lineage(steps.groupBy(category, "_x").agg(F.min("_top").alias("_top"), F.max("_top").alias("_also"), F.count("*").alias("_n")), "names")
+    names = trees.count()
+
+    def up(column: str, to: DataFrame) -> DataFrame:
+        """The trees with the name that ``to`` (``_name``, ``_to``) gives for that in a column."""
+        above = trees.groupBy(category, column).agg(F.count("*").alias("_below")).join(to.select(category, F.col("_name").alias(column), "_to").hint("merge"), [category, column])
+        return join_groups(trees, cut_lineage(above, "names-above"), [category, column], "_below", names)
+
+    for _ in range(JUMPS):
+        trees = cut_lineage(up("_top", trees.select(category, F.col("_x").alias("_name"), F.col("_top").alias("_to"))).select(category, "_x", F.col("_to").alias("_top"), "_also", "_n"), "names")
+    # most tops are also tied by the last name that one of their names reaches
+    also = cut_lineage(up("_also", trees.select(category, F.col("_x").alias("_name"), F.col("_top").alias("_to"))).select(category, F.col("_top").alias("src"), F.col("_to").alias("dst")).distinct(), "name-ties")
+    tops = contracted_components(also, within=[category]).select(category, F.col("node").alias("_name"), F.col("component").alias("_to"))
+    trees = cut_lineage(up("_top", tops).select(category, "_x", F.col("_to").alias("_top"), "_n"), "names")
+    placed = cut_lineage(join_groups(named, trees, [category, "_x"], "_n", n).select(category, item, *rest, "_top"), "memberships")
+    items, ties = None, []
+    for column in (item, *rest):
+        ends = with_(placed, column).groupBy(category, column).agg(F.min("_top").alias("_top"), F.max("_top").alias("_last"), F.count("*").alias("_n"))
+        if items is None:
+            ends = cut_lineage(ends, "entities")
+            items = ends.select(category, item, "_top")
+        torn = cut_lineage(ends.filter("_top <> _last").select(category, column, F.col("_top").alias("dst"), "_n"), "torn-entities")
+        if (m := torn.count()):
+            own = with_(placed, column).select(category, column, "_top")
+            met = own.join(F.broadcast(torn.drop("_n")), [category, column]) if m <= FEW else join_groups(own, torn, [category, column], "_n", n)
+            ties.append(met.filter("_top <> dst").select(category, F.col("_top").alias("src"), "dst").distinct())
+    labels = trees.select(category, "_top").distinct()
+    if ties:
+        found = contracted_components(reduce(DataFrame.union, ties), within=[category]).withColumnRenamed("node", "_top")
+        labels = labels.join(found.hint("merge"), [category, "_top"], "left").select(category, "_top", F.coalesce("component", "_top").alias("label"))
+    else:
+        labels = labels.withColumn("label", F.col("_top"))
+    return items, join_groups(values.drop("_n"), trees, [category, "_x"], "_n", values.count()).select(category, first, "_top"), cut_lineage(labels, "labels")
+
+
 def category_components(rows: DataFrame, category: str, item: str, identities: list[str]) -> DataFrame:
     """Components of items within a category over several identity columns; adds ``label``, the least item."""
-    known, ties = rows.filter(F.col(category).isNotNull() & F.col(item).isNotNull()), []
-    for column in identities:
-        part = cut_lineage(known.filter(F.col(column).isNotNull()).select(category, item, column).distinct(), "memberships")
-        least = cut_lineage(part.groupBy(category, column).agg(F.min(item).alias("dst"), F.count("*").alias("_n")), "entities")
-        ties.append(join_groups(part, least, [category, column], "_n", part.count()).select(category, F.col(item).alias("src"), "dst"))
-    placed = contracted_components(reduce(DataFrame.union, ties), within=[category])
-    a, b = dealt_by([category, item], known, placed.withColumnsRenamed({"node": item, "component": "label"}))
+    items, _, labels = _category_trees(rows, category, item, identities)
+    below = cut_lineage(items.groupBy(category, "_top").agg(F.count("*").alias("_n")).join(labels.hint("merge"), [category, "_top"]), "labels")
+    placed = join_groups(items, below, [category, "_top"], "_n", items.count()).select(category, item, "label")
+    a, b = dealt_by([category, item], rows.filter(F.col(category).isNotNull() & F.col(item).isNotNull()), placed)
     return a.join(b.hint("merge"), [category, item])
 
 
+def category_sizes(rows: DataFrame, category: str, item: str, identities: list[str]) -> DataFrame:
+    """The components of ``category_components``: ``label``, number of ``items`` and of ``values`` of the first identity.
+
+    An item or a value lies in one component of its category, so that each is counted once, where it is stored.
+    """
+    items, values, labels = _category_trees(rows, category, item, identities)
+    for name, df in (("items", items), ("values", values)):
+        labels = labels.join(df.groupBy(category, "_top").agg(F.count("*").alias(name)).hint("merge"), [category, "_top"], "left")
+    return labels.groupBy(category, "label").agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("items", "values")))
+
+
 def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """Nodes within ``depth`` steps of the start nodes (column node), with the least number of steps."""
     reached = start.select("node").distinct().withColumn("steps", F.lit(0))

@@ -38,7 +38,7 @@ SELECT cat, v AS label, count(DISTINCT item) AS cases, count(DISTINCT p) AS plac
 def n02(spark, sf):
     """Orders of one return flag that share a part, or supplier and line."""
     rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("cat"), F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("p"), (F.col("l_suppkey") * 1000 + F.col("l_linenumber")).alias("s"))
-    return G.category_components(rows, "cat", "item", ["p", "s"]).groupBy("cat", "label").agg(F.count_distinct("item").alias("cases"), F.count_distinct("p").alias("places"))
+    return G.category_sizes(rows, "cat", "item", ["p", "s"]).select("cat", "label", F.col("items").alias("cases"), F.col("values").alias("places"))
 
 
 @query("n03_bounded_neighbourhood", """
