@@ -292,15 +292,21 @@ def reconcile(parsed: DataFrame, anchors: DataFrame, key: str, value: str) -> Da
 
 #: Bytes of a rule table's literals and expressions that one automaton takes; larger tables take several passes.
 RULE_BYTES = 32_000_000
+#: Texts of one task.
+TEXTS_EACH = 1_000
+#: An expression that is one whole word, and the words of a text.
+WHOLE_WORD, WORDS = re.compile(r"\\b([A-Za-z0-9_]+)\\b"), re.compile("[A-Za-z0-9_]+")
 
 
 def rule_hits(df: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
     """``key`` and ``rule`` of each text that a rule's expression matches; rules have ``rule``, ``literal``, ``expression``.
 
-    A literal is a string that every match holds (null where there is none).  All literals form one automaton, which reads
-    each text once however many rules there are; expressions (in the syntax that Java and Python share, letters and word
+    A literal is a string that every match holds (null where there is none).  Expressions that are their literal as a
+    whole word are looked up among the words of a text.  All other literals form one automaton, which reads each text
+    once however many rules there are; their expressions (in the syntax that Java and Python share, letters and word
     edges as in ASCII) are tried only where their literal occurs, or on every text without one.  An expression that is
-    null means the literal itself.  Null texts match nothing; equal rows stay rows of their own.
+    null means the literal itself.  Null texts match nothing; equal rows stay rows of their own.  Texts are dealt to
+    tasks by their number, as a small file of them is much work.
     """
     size = rules.agg(F.count("*"), F.sum(F.coalesce(F.octet_length("literal"), F.lit(0)) + F.coalesce(F.octet_length("expression"), F.lit(0)))).first()
     passes = max(1, -(-(size[1] or 0) // RULE_BYTES))
@@ -308,6 +314,8 @@ def rule_hits(df: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame
     source = df.select(key, F.col(text).cast("string").alias("_text")).filter("_text IS NOT NULL")
     schema = StructType([source.schema[key], rules.schema["rule"]])
     kind = to_arrow_type(rules.schema["rule"].dataType)
+    texts = df.count()
+    source = source.repartition(-(-texts // TEXTS_EACH)) if texts > TEXTS_EACH else source
     out = None
     for i in range(passes):
         table = [tuple(r) for r in numbered.filter(F.col("_pass") == i).select("rule", "literal", "expression").collect()]  # bounded by RULE_BYTES
@@ -319,10 +327,11 @@ def rule_hits(df: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame
 def _matched(batches: Iterator[pa.RecordBatch], table: list[tuple], key: str, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     import ahocorasick
 
-    automaton, by_literal, always = ahocorasick.Automaton(), {}, []
+    automaton, by_literal, by_word, always = ahocorasick.Automaton(), {}, {}, []
     for i, (_, literal, expression) in enumerate(table):
         if literal:
-            by_literal.setdefault(literal, []).append(i)
+            word = expression is not None and WHOLE_WORD.fullmatch(expression)
+            (by_word if word and word[1] == literal else by_literal).setdefault(literal, []).append(i)
         elif expression is not None:
             always.append(i)
     for literal, own in by_literal.items():
@@ -333,12 +342,14 @@ def _matched(batches: Iterator[pa.RecordBatch], table: list[tuple], key: str, ki
     for batch in batches:
         rows, rules = [], []
         for row, text in enumerate(batch.column("_text").to_pylist()):
+            met = [i for word in by_word.keys() & set(WORDS.findall(text)) for i in by_word[word]] if by_word else []
             tried = {i for _, own in automaton.iter(text) for i in own} if by_literal else set()
-            for i in sorted(tried.union(always)):
+            for i in tried.union(always):
                 expression = table[i][2]
                 if expression is not None and i not in compiled:
                     compiled[i] = re.compile(expression, re.ASCII)
                 if expression is None or compiled[i].search(text):
-                    rows.append(row)
-                    rules.append(table[i][0])
+                    met.append(i)
+            rows.extend([row] * len(met))
+            rules.extend(table[i][0] for i in sorted(met))
         yield pa.record_batch([batch.column(key).take(pa.array(rows, pa.int64())), pa.array(rules, kind)], [key, "rule"])
